@@ -331,3 +331,208 @@ SELECT tier, i, round(lo + (hi - lo) * i / 99.0, 6) AS x,
 FROM g GROUP BY tier, i, lo, hi, n, h"""))
 def q_density_grid(spark, sf):
     return S.density_grid(px(spark, sf), "ida", "tier")
+
+
+# ------------------------------------------------------------------ windows --
+@register("yoy_delta", with_panel("""
+SELECT *, round(inde - lag(inde) OVER w, 6) AS d_inde, round(ida - lag(ida) OVER w, 6) AS d_ida
+FROM (SELECT entity_id, yr, inde, ida FROM panel) WINDOW w AS (PARTITION BY entity_id ORDER BY yr)""", False))
+def q_yoy_delta(spark, sf):
+    return W.yoy_delta(px(spark, sf).select("entity_id", "yr", "inde", "ida"), "entity_id", "yr", ["inde", "ida"])
+
+
+@register("first_last", with_panel("""
+SELECT entity_id, min(yr) AS first_year, max(yr) AS last_year, arg_min(inde, yr) AS first,
+       arg_max(inde, yr) AS last, round(arg_max(inde, yr) - arg_min(inde, yr), 6) AS change,
+       CASE WHEN round(arg_max(inde, yr) - arg_min(inde, yr), 6) > 0.1 THEN 'up'
+            WHEN round(arg_max(inde, yr) - arg_min(inde, yr), 6) < -0.1 THEN 'down' ELSE 'flat' END AS verdict
+FROM panel WHERE inde IS NOT NULL GROUP BY entity_id""", False))
+def q_first_last(spark, sf):
+    return W.first_last(px(spark, sf), "entity_id", "yr", "inde")
+
+
+@register("latest_prev", with_panel("""
+SELECT entity_id, max(CASE WHEN rk = 1 THEN yr END) AS latest_year, max(CASE WHEN rk = 1 THEN inde END) AS latest,
+       max(CASE WHEN rk = 2 THEN yr END) AS prev_year, max(CASE WHEN rk = 2 THEN inde END) AS prev
+FROM (SELECT entity_id, yr, inde, row_number() OVER (PARTITION BY entity_id ORDER BY yr DESC) AS rk FROM panel)
+WHERE rk <= 2 GROUP BY entity_id""", False))
+def q_latest_prev(spark, sf):
+    return W.latest_prev(px(spark, sf), "entity_id", "yr", "inde")
+
+
+def _yearly_means_sql(cols):
+    return "SELECT yr, " + ", ".join(f"{EM(c)} AS {c}" for c in cols) + " FROM panel GROUP BY yr"
+
+
+def _yearly_means(spark, sf, cols):
+    return px(spark, sf).groupBy("yr").agg(*[exact_mean(c, 4).alias(c) for c in cols])
+
+
+@register("series_change", with_panel(f"""
+SELECT arg_min(ida, yr) AS first, arg_max(ida, yr) AS last, round(arg_max(ida, yr) - arg_min(ida, yr), 6) AS change,
+       CASE WHEN round(arg_max(ida, yr) - arg_min(ida, yr), 6) > 0.1 THEN 'up'
+            WHEN round(arg_max(ida, yr) - arg_min(ida, yr), 6) < -0.1 THEN 'down' ELSE 'flat' END AS verdict
+FROM ({_yearly_means_sql(["ida"])}) WHERE ida IS NOT NULL""", False))
+def q_series_change(spark, sf):
+    """Performance trend — first→last change of the yearly mean."""
+    return W.series_change(_yearly_means(spark, sf, ["ida"]), "yr", "ida")
+
+
+@register("biggest_mover", with_panel(f"""
+SELECT arg_min(indicator, (-change, indicator)) AS largest_gain, arg_min(indicator, (change, indicator)) AS largest_drop
+FROM (SELECT indicator, round(arg_max(value, yr) - arg_min(value, yr), 6) AS change
+      FROM (SELECT * FROM ({_yearly_means_sql(IND6)}) UNPIVOT (value FOR indicator IN ({", ".join(IND6)})))
+      WHERE value IS NOT NULL GROUP BY indicator)""", False))
+def q_biggest_mover(spark, sf):
+    return W.biggest_mover(_yearly_means(spark, sf, IND6), "yr", IND6)
+
+
+@register("tier_change", with_panel("""
+SELECT entity_id, yr, tier_ord, prev_ord, tier_ord - prev_ord AS tier_change FROM (
+  SELECT entity_id, yr, tier_ord, last_value(tier_ord IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY yr
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ord FROM panel_x)"""))
+def q_tier_change(spark, sf):
+    return W.tier_change_latest(px(spark, sf).select("entity_id", "yr", "tier_ord"), "entity_id", "yr", "tier_ord")
+
+
+@register("tier_change_fixed", with_panel("""
+SELECT entity_id, max(CASE WHEN yr = 1995 THEN tier_ord END) AS base_ord,
+       max(CASE WHEN yr = 2000 THEN tier_ord END) AS target_ord,
+       coalesce(max(CASE WHEN yr = 2000 THEN tier_ord END) - max(CASE WHEN yr = 1995 THEN tier_ord END), 0) AS tier_change
+FROM panel_x GROUP BY entity_id"""))
+def q_tier_change_fixed(spark, sf):
+    return W.tier_change_fixed(px(spark, sf), "entity_id", "yr", "tier_ord", 1995, 2000)
+
+
+@register("transitions", with_panel("""
+SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
+                           THEN 0 ELSE 1 END AS "left"
+FROM panel p WHERE yr BETWEEN 1995 AND 2000""", False))
+def q_transitions(spark, sf):
+    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+
+
+@register("leavers", with_panel("""
+SELECT entity_id, yr FROM panel p WHERE yr BETWEEN 1995 AND 2000
+  AND NOT EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)""", False))
+def q_leavers(spark, sf):
+    return W.leavers_join(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+
+
+@register("stayers", with_panel("""
+SELECT entity_id, yr FROM panel p WHERE yr BETWEEN 1995 AND 2000
+  AND EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)""", False))
+def q_stayers(spark, sf):
+    return W.stayers_join(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+
+
+@register("history_of", with_panel("""
+SELECT entity_id, yr, inde, tier FROM panel_x
+WHERE entity_id IN (SELECT entity_id FROM panel_x WHERE tier = 'Topázio')"""))
+def q_history_of(spark, sf):
+    p = px(spark, sf)
+    keys = p.filter(F.col("tier") == "Topázio").select("entity_id")
+    return W.history_of(p.select("entity_id", "yr", "inde", "tier"), keys, "entity_id", "yr")
+
+
+STREAK_SQL = """
+SELECT user_id, CAST(max(run) AS BIGINT) AS longest, count(*) AS n_runs, max(run) >= 3 AS reached FROM (
+  SELECT user_id, island, count(*) AS run FROM (
+    SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island
+    FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'))
+  GROUP BY user_id, island) GROUP BY user_id"""
+
+
+@register("streak", STREAK_SQL)
+def q_streak(spark, sf):
+    from panelkit.sources.readers import read_table
+    ev = read_table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    return W.streaks(ev, "user_id", "ts")
+
+
+@register("first_seen_code", with_panel("""
+SELECT institution, CAST(row_number() OVER (ORDER BY first_row, institution) - 1 AS INTEGER) AS code FROM (
+  SELECT institution, min(entity_id * 10000 + yr) AS first_row FROM panel_x
+  WHERE institution IS NOT NULL GROUP BY institution)"""))
+def q_first_seen_code(spark, sf):
+    from panelkit.plans.features import institution_codes
+    return institution_codes(px(spark, sf))
+
+
+# ------------------------------------------------------- scalar row features --
+@register("row_means", with_panel("""
+SELECT entity_id, yr,
+  round(CASE WHEN (CASE WHEN ida IS NULL THEN 0 ELSE 1 END + CASE WHEN iaa IS NULL THEN 0 ELSE 1 END
+                   + CASE WHEN ipp IS NULL THEN 0 ELSE 1 END) > 0
+        THEN (coalesce(ida, 0.0) + coalesce(iaa, 0.0) + coalesce(ipp, 0.0))
+             / (CASE WHEN ida IS NULL THEN 0 ELSE 1 END + CASE WHEN iaa IS NULL THEN 0 ELSE 1 END
+                + CASE WHEN ipp IS NULL THEN 0 ELSE 1 END) END, 6) AS mean_skipna,
+  round((ida + iaa + ipp) / 3.0, 6) AS mean_strict,
+  round(iaa - ida, 6) AS gap,
+  round(ieg / CAST(phase + 1 AS DOUBLE), 6) AS per_phase,
+  round(ieg * ipv, 6) AS interaction,
+  2001 - min(yr) OVER (PARTITION BY entity_id) AS tenure_ref
+FROM panel_x"""))
+def q_row_means(spark, sf):
+    """Skip-missing and strict row means, gap, per-phase ratio,
+    interaction and tenure against a reference year."""
+    from pyspark.sql import Window
+    p = px(spark, sf)
+    return p.select(
+        "entity_id", "yr",
+        F.round(row_mean_skipna(["ida", "iaa", "ipp"]), 6).alias("mean_skipna"),
+        F.round(row_mean_strict(["ida", "iaa", "ipp"]), 6).alias("mean_strict"),
+        F.round(F.col("iaa") - F.col("ida"), 6).alias("gap"),
+        F.round(ratio_by_phase("ieg", "phase"), 6).alias("per_phase"),
+        F.round(F.col("ieg") * F.col("ipv"), 6).alias("interaction"),
+        (F.lit(2001) - F.min("yr").over(Window.partitionBy("entity_id"))).alias("tenure_ref"))
+
+
+@register("median_fill", with_panel("""
+SELECT entity_id, yr, round(coalesce(ipv_n, coalesce((SELECT median(ipv_n) FROM panel_x), 0.0)), 6) AS ipv_f
+FROM panel_x"""))
+def q_median_fill(spark, sf):
+    from panelkit.operators.clean import median_fill
+    return median_fill(px(spark, sf).select("entity_id", "yr", "ipv_n"), ["ipv_n"]).select(
+        "entity_id", "yr", F.round("ipv_n", 6).alias("ipv_f"))
+
+
+@register("mode_fill", with_panel("""
+SELECT entity_id, yr, coalesce(pv, (SELECT pv FROM panel_x WHERE pv IS NOT NULL GROUP BY pv
+                                     ORDER BY count(*) DESC, pv LIMIT 1)) AS pv_f FROM panel_x"""))
+def q_mode_fill(spark, sf):
+    from panelkit.operators.clean import mode_fill
+    return mode_fill(px(spark, sf).select("entity_id", "yr", "pv"), ["pv"]).withColumnRenamed("pv", "pv_f")
+
+
+@register("text_ops", """
+SELECT c_custkey, upper(trim(c_name)) AS name_key, substring(c_name, 1, 12) AS short_name,
+       TRY_CAST(nullif(regexp_extract(c_name, '(\\d+)', 1), '') AS INTEGER) AS name_num,
+       coalesce(contains(upper(c_name), '#00000001'), false) AS matched,
+       split_part(trim(c_mktsegment), ' ', 1) AS first_word
+FROM customer""")
+def q_text_ops(spark, sf):
+    """P4/P7/P17/F21 over the customer table."""
+    from panelkit.functions.text import first_word, leading_int, name_matches, short_label, upper_key
+    from panelkit.sources.readers import read_table
+    c = read_table(spark, sf, "customer")
+    return c.select("c_custkey", upper_key("c_name").alias("name_key"), short_label("c_name", 12).alias("short_name"),
+                    leading_int("c_name").alias("name_num"), name_matches("c_name", "#00000001").alias("matched"),
+                    first_word("c_mktsegment").alias("first_word"))
+
+
+@register("tier_repair", with_panel("""
+SELECT tier_fixed, count(*) AS n FROM (
+  SELECT CASE WHEN dirty IN ('Agata') THEN 'Ágata' WHEN dirty IN ('Topazio') THEN 'Topázio'
+              WHEN trim(dirty) = '' OR dirty IN ('#NULO!') THEN NULL ELSE dirty END AS tier_fixed
+  FROM (SELECT CASE WHEN entity_id % 2 = 0 THEN translate(tier, 'á', 'a')
+                    WHEN entity_id % 5 = 1 THEN '#NULO!' ELSE tier END AS dirty FROM panel_x))
+GROUP BY tier_fixed"""))
+def q_tier_repair(spark, sf):
+    """Spelling variants and junk tokens repaired, then counted."""
+    from panelkit.functions.text import canonical_tier
+    p = px(spark, sf)
+    dirty = (F.when(F.col("entity_id") % 2 == 0, F.translate("tier", "á", "a"))
+             .when(F.col("entity_id") % 5 == 1, F.lit("#NULO!")).otherwise(F.col("tier")))
+    return (p.select(canonical_tier(dirty).alias("tier_fixed"))
+            .groupBy("tier_fixed").agg(F.count(F.lit(1)).alias("n")))
