@@ -82,8 +82,8 @@ def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descen
     key = -o if descending else o
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(key, qs, 1000)).scalar()
-    b = F.size(F.filter(bounds, lambda x: x < key))
-    r = df.withColumn("__k", key).withColumn("__b", b)
+    r = df.withColumn("__k", key).withColumn("__bounds", bounds)
+    r = r.withColumn("__b", F.size(F.filter(F.col("__bounds"), lambda x: x < F.col("__k")))).drop("__bounds")
     w = Window.partitionBy("__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values})
     tot = r.groupBy("__b").agg(*[F.sum(v).alias(f"t_{v}") for v in values])

@@ -58,10 +58,11 @@ def monitor_table(df: DataFrame, keep: Sequence[str] = (), missing_as: str = "no
 
 def alert_levels(df: DataFrame, keep: Sequence[str] = (), missing_as: str = "no_signal", **thr) -> DataFrame:
     """R2: individual alert level, signal count and reason list per entity."""
-    conds = _signal_conds(missing_as=missing_as, **thr)
-    n = flag_sum([flag(c) for c in conds])
+    s1, s2, s3, s4, s5 = _signal_conds(missing_as=missing_as, **thr)
+    n = flag_sum([flag(c) for c in (s1, s2, s3, s4, s5)])
+    # reasons are listed engagement, psychosocial, performance, tier drop, stagnation
     return df.select(*keep, n.alias("n_signals"), individual_level(n).alias("level"),
-                     reasons(conds, C.ALERT_REASONS).alias("reasons"))
+                     reasons([s1, s2, s4, s3, s5], C.ALERT_REASONS).alias("reasons"))
 
 
 def level_distribution(mon: DataFrame) -> DataFrame:

@@ -536,3 +536,505 @@ def q_tier_repair(spark, sf):
              .when(F.col("entity_id") % 5 == 1, F.lit("#NULO!")).otherwise(F.col("tier")))
     return (p.select(canonical_tier(dirty).alias("tier_fixed"))
             .groupBy("tier_fixed").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ------------------------------------------------------------ rule scoring --
+def _monitor_input(spark, sf):
+    """Panel rows with the tier change against the latest earlier year."""
+    p = px(spark, sf)
+    return W.tier_change_latest(p, "entity_id", "yr", "tier_ord")
+
+
+MONITOR_SQL_CTE = """
+WITH m0 AS (
+  SELECT entity_id, yr, ieg, ips, ida, ipv_n, tenure, coalesce(tier_ord - last_value(tier_ord IGNORE NULLS) OVER (
+           PARTITION BY entity_id ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ch
+  FROM panel_x),
+m1 AS (
+  SELECT entity_id, yr,
+         CASE WHEN ieg < 5.5 THEN 1 ELSE 0 END AS s1_engagement,
+         CASE WHEN ips < 5.0 THEN 1 ELSE 0 END AS s2_psychosocial,
+         CASE WHEN ch < 0 THEN 1 ELSE 0 END AS s3_tier_drop,
+         CASE WHEN ida < 5.5 THEN 1 ELSE 0 END AS s4_performance,
+         CASE WHEN tenure > 4 AND ch <= 0 THEN 1 ELSE 0 END AS s5_stagnation
+  FROM m0),
+mon AS (
+  SELECT *, s1_engagement + s2_psychosocial + s3_tier_drop + s4_performance + s5_stagnation AS n_signals FROM m1),
+monitor AS (
+  SELECT *, CASE WHEN n_signals >= 2 THEN 1 ELSE 0 END AS in_alert,
+         CASE WHEN n_signals >= 3 THEN 'Crítico' WHEN n_signals >= 2 THEN 'Atenção'
+              WHEN n_signals >= 1 THEN 'Observação' ELSE 'Nenhum' END AS level FROM mon)
+"""
+
+
+def _monitor(spark, sf):
+    from panelkit.operators.rules import monitor_table
+    return monitor_table(_monitor_input(spark, sf), keep=["entity_id", "yr"])
+
+
+@register("alert_table", with_panel(MONITOR_SQL_CTE + "SELECT * FROM monitor"))
+def q_alert_table(spark, sf):
+    """Five signals, count, alert flag and level per entity-year."""
+    return _monitor(spark, sf)
+
+
+@register("level_distribution", with_panel(MONITOR_SQL_CTE + "SELECT level, count(*) AS n FROM monitor GROUP BY level"))
+def q_level_distribution(spark, sf):
+    from panelkit.operators.rules import level_distribution
+    return level_distribution(_monitor(spark, sf))
+
+
+@register("signal_count_distribution", with_panel(
+    MONITOR_SQL_CTE + "SELECT n_signals, count(*) AS n FROM monitor GROUP BY n_signals"))
+def q_signal_count_distribution(spark, sf):
+    from panelkit.operators.rules import signal_count_distribution
+    return signal_count_distribution(_monitor(spark, sf))
+
+
+@register("signal_volumes", with_panel(MONITOR_SQL_CTE + " UNION ALL ".join(
+    f"SELECT '{s}' AS signal, CAST(sum({s}) AS BIGINT) AS n FROM monitor"
+    for s in ["s1_engagement", "s2_psychosocial", "s3_tier_drop", "s4_performance", "s5_stagnation"])))
+def q_signal_volumes(spark, sf):
+    from panelkit.operators.rules import SIGNALS
+    return A.flag_volumes(_monitor(spark, sf), SIGNALS)
+
+
+@register("watch_list", with_panel(MONITOR_SQL_CTE + """
+SELECT m.entity_id, m.yr, p.inde, m.n_signals, m.level FROM monitor m
+JOIN panel_x p ON p.entity_id = m.entity_id AND p.yr = m.yr WHERE m.in_alert = 1"""))
+def q_watch_list(spark, sf):
+    """Entities in alert with chosen columns, most signals first."""
+    from panelkit.operators.rules import monitor_table, watch_list
+    mon = monitor_table(_monitor_input(spark, sf), keep=["entity_id", "yr", "inde"])
+    return watch_list(mon, ["entity_id", "yr", "inde"], "entity_id")
+
+
+_REASONS_SQL = """concat_ws('; ',
+  CASE WHEN {ieg} < 5.5 THEN 'Engajamento crítico (IEG < 5.5)' END,
+  CASE WHEN {ips} < 5.0 THEN 'Aspecto psicossocial crítico (IPS < 5.0)' END,
+  CASE WHEN {ida} < 5.5 THEN 'Desempenho acadêmico baixo (IDA < 5.5)' END,
+  CASE WHEN ch < 0 THEN 'Regrediu de nível de classificação' END,
+  CASE WHEN tenure > 4 AND ch <= 0 THEN 'Estagnado há mais de 4 anos' END)"""
+
+
+def _alert_sql(ieg, ips, ida):
+    n = (f"(CASE WHEN {ieg} < 5.5 THEN 1 ELSE 0 END + CASE WHEN {ips} < 5.0 THEN 1 ELSE 0 END + "
+         f"CASE WHEN {ida} < 5.5 THEN 1 ELSE 0 END + CASE WHEN ch < 0 THEN 1 ELSE 0 END + "
+         f"CASE WHEN tenure > 4 AND ch <= 0 THEN 1 ELSE 0 END)")
+    return with_panel(MONITOR_SQL_CTE + f"""
+SELECT entity_id, yr, {n} AS n_signals,
+       CASE WHEN {n} >= 3 THEN 'Alto' WHEN {n} >= 2 THEN 'Moderado' ELSE 'Baixo' END AS level,
+       {_REASONS_SQL.format(ieg=ieg, ips=ips, ida=ida)} AS reasons FROM m0""")
+
+
+def _alerts(spark, sf, missing_as):
+    from panelkit.operators.rules import alert_levels
+    a = alert_levels(_monitor_input(spark, sf), keep=["entity_id", "yr"], missing_as=missing_as, ips="ipv_n")
+    return a.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@register("alert_levels", _alert_sql("ieg", "ipv_n", "ida"))
+def q_alert_levels(spark, sf):
+    """R2: level + reasons; the nullable indicator's missing value raises no
+    signal (monitoring semantics)."""
+    return _alerts(spark, sf, "no_signal")
+
+
+@register("alert_levels_zero", _alert_sql("coalesce(ieg, 0.0)", "coalesce(ipv_n, 0.0)", "coalesce(ida, 0.0)"))
+def q_alert_levels_zero(spark, sf):
+    """360° semantics — a missing indicator reads as 0 and raises."""
+    return _alerts(spark, sf, "zero")
+
+
+ATTN_SQL = """
+attn AS (SELECT entity_id, yr, inde, ida, ieg, entity_id * 10000 + yr AS row_id,
+    CASE WHEN ieg < 5.5 THEN 1 ELSE 0 END + CASE WHEN ips < 5.0 THEN 1 ELSE 0 END
+    + CASE WHEN ida < 5.5 THEN 1 ELSE 0 END + CASE WHEN inde < 5.0 THEN 1 ELSE 0 END
+    + CASE WHEN lag < 0 THEN 1 ELSE 0 END AS score FROM panel_x)"""
+
+
+def _attention(spark, sf):
+    from panelkit.operators.rules import attention_scores
+    from panelkit.plans.features import with_row_id
+    return attention_scores(with_row_id(px(spark, sf)), keep=["entity_id", "yr", "inde", "ida", "ieg", "row_id"])
+
+
+@register("attention_top10", with_panel("WITH " + ATTN_SQL + """
+SELECT entity_id, yr, inde, ida, ieg, row_id, score,
+       CASE WHEN score >= 4 THEN 'Crítico' WHEN score >= 3 THEN 'Alto' WHEN score >= 2 THEN 'Moderado'
+            ELSE 'Baixo' END AS level
+FROM attn ORDER BY score DESC, row_id LIMIT 10"""))
+def q_attention_top10(spark, sf):
+    """Top-10 attention list; ties keep the lowest row id."""
+    from panelkit.operators.topk import top_k
+    return top_k(_attention(spark, sf), "score", 10, "row_id")
+
+
+@register("attention_critical", with_panel("WITH " + ATTN_SQL + """
+SELECT CAST(count_if(score >= 3) AS BIGINT) AS n_critical, count(*) AS n FROM attn"""))
+def q_attention_critical(spark, sf):
+    return _attention(spark, sf).agg(F.count_if(F.col("score") >= 3).alias("n_critical"), F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------- reports --
+@register("gap_report", with_panel(f"""
+SELECT {EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")} AS mean_gap,
+       round(regr_slope(iaa, ida), 6) AS slope, round(regr_intercept(iaa, ida), 6) AS intercept,
+       round(regr_r2(iaa, ida), 6) AS r2, round(corr(iaa, ida), 6) AS r,
+       CASE WHEN {EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")} > 0.5 THEN 'over'
+            WHEN abs({EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")}) < 0.5 THEN 'coherent'
+            ELSE 'under' END AS verdict FROM panel""", False))
+def q_gap_report(spark, sf):
+    from panelkit.plans.reports import self_assessment
+    return self_assessment(px(spark, sf), "iaa", "ida", scale=4)
+
+
+@register("psychosocial_report", with_panel("""
+SELECT round(corr(ips, ida), 6) AS r_ips_ida, round(corr(ips, ieg), 6) AS r_ips_ieg,
+       round(regr_slope(ida, ips), 6) AS slope, round(regr_intercept(ida, ips), 6) AS intercept,
+       corr(ips, ida) > 0.2 AS relevant FROM panel""", False))
+def q_psychosocial_report(spark, sf):
+    from panelkit.plans.reports import psychosocial
+    return psychosocial(px(spark, sf))
+
+
+@register("assessment_report", with_panel(f"""
+SELECT band, {EM("ipp")} AS mean, round(stddev_samp(ipp), 6) AS std, count(ipp) AS n FROM (
+  SELECT ipp, CASE WHEN ian IS NULL THEN 'Sem dados' WHEN ian >= 8 THEN 'Adequado'
+                   WHEN ian >= 5 THEN 'Moderadamente defasado' WHEN ian >= 2.5 THEN 'Severamente defasado'
+                   ELSE 'Criticamente defasado' END AS band FROM panel WHERE ipp IS NOT NULL) GROUP BY band""", False))
+def q_assessment_report(spark, sf):
+    """Does the assessment index follow the adequacy band? (A7 by band;
+    rows missing the assessment index are excluded explicitly, D16)."""
+    p = px(spark, sf).filter(F.col("ipp").isNotNull()).withColumn("band", ian_band("ian"))
+    return A.mean_std(p, ["band"], "ipp", scale=4)
+
+
+@register("tier_profile", with_panel(f"""
+SELECT d.tier, m.mean_ida, m.mean_ieg, m.mean_ips FROM (VALUES ('Quartzo', 0), ('Ágata', 1), ('Ametista', 2),
+  ('Topázio', 3)) d(tier, o) LEFT JOIN (SELECT tier, {EM("ida")} AS mean_ida, {EM("ieg")} AS mean_ieg,
+  {EM("ips")} AS mean_ips FROM panel_x GROUP BY tier) m ON d.tier = m.tier
+WHERE m.mean_ida IS NOT NULL AND m.mean_ieg IS NOT NULL AND m.mean_ips IS NOT NULL"""))
+def q_tier_profile(spark, sf):
+    """Tier profile re-indexed to the tier order."""
+    from panelkit import config as C
+    from panelkit.operators.joins import reindex_groups
+    g = A.group_means(px(spark, sf), ["tier"], ["ida", "ieg", "ips"], scale=4)
+    return reindex_groups(g, "tier", C.TIER_ORDER)
+
+
+@register("effectiveness", with_panel(f"""
+SELECT yr, tier, {EM("inde")} AS mean_inde, count(*) AS n FROM panel_x WHERE tier IS NOT NULL GROUP BY yr, tier"""))
+def q_effectiveness(spark, sf):
+    """Tier trajectory (mean index per year × tier)."""
+    p = px(spark, sf)
+    return A.group_means(p, ["yr", "tier"], ["inde"], scale=4).join(
+        A.group_count(p.filter(F.col("tier").isNotNull()), ["yr", "tier"]), ["yr", "tier"]).withColumnRenamed(
+        "mean_inde", "mean_inde")
+
+
+@register("segments", with_panel(f"""
+SELECT 'segment' AS key, segment AS value, {EM("inde")} AS mean_inde, {EM("ida")} AS mean_ida, count(*) AS n
+FROM panel_x WHERE segment IS NOT NULL GROUP BY segment
+UNION ALL SELECT 'tenure', CAST(tenure AS VARCHAR), {EM("inde")}, {EM("ida")}, count(*) FROM panel_x GROUP BY tenure
+UNION ALL SELECT 'phase', CAST(phase AS VARCHAR), {EM("inde")}, {EM("ida")}, count(*) FROM panel_x GROUP BY phase
+UNION ALL SELECT 'pv', pv, {EM("inde")}, {EM("ida")}, count(*) FROM panel_x WHERE pv IS NOT NULL GROUP BY pv"""))
+def q_segments(spark, sf):
+    """Mean index and performance per segment key."""
+    from panelkit.plans.reports import segments
+    return segments(px(spark, sf), ["segment", "tenure", "phase", "pv"], ["inde", "ida"], scale=4)
+
+
+@register("source_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) AS \"rows\" FROM {t}" for t in
+    ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+     "labels"]))
+def q_source_counts(spark, sf):
+    """Rows per source table."""
+    from panelkit.sources.readers import read_table, source_counts
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
+    return source_counts({t: read_table(spark, sf, t) for t in names})
+
+
+# ---------------------------------------------------------- progress / quiz --
+QUIZ_SQL = """
+WITH a AS (SELECT user_id, event_type = 'purchase' AS ok,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord
+           FROM events WHERE event_type IN ('purchase', 'error')),
+s AS (SELECT user_id, CAST(ord // 10 AS BIGINT) AS session, count(*) AS answers, CAST(count_if(ok) AS BIGINT) AS "right"
+      FROM a GROUP BY 1, 2),
+q AS (SELECT user_id, session, answers, "right", answers = 10 AS complete,
+       CAST("right" * 10 + (answers - "right") * 2 + CASE WHEN answers = 10 THEN 20 ELSE 0 END AS BIGINT) AS points,
+       CASE WHEN answers = 10 THEN CASE WHEN "right" >= 10 THEN 'perfect' WHEN "right" >= 8 THEN 'elite'
+            WHEN "right" >= 5 THEN 'good' ELSE 'keep_trying' END END AS band FROM s)
+"""
+
+
+def _quiz(spark, sf):
+    from panelkit.plans.progress import quiz_sessions
+    from panelkit.sources.readers import read_table
+    ev = read_table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "error"))
+    return quiz_sessions(ev, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
+
+
+@register("quiz_sessions", QUIZ_SQL + "SELECT * FROM q")
+def q_quiz_sessions(spark, sf):
+    """F19/J10 stand-in: answer events in blocks of 10 → points and band."""
+    return _quiz(spark, sf)
+
+
+@register("quiz_summary", QUIZ_SQL + """
+SELECT count(*) AS sessions, CAST(count_if(complete) AS BIGINT) AS complete,
+       CAST(count_if(complete AND "right" >= 8) AS BIGINT) AS complete_8, CAST(sum(points) AS BIGINT) AS points FROM q""")
+def q_quiz_summary(spark, sf):
+    return _quiz(spark, sf).agg(F.count(F.lit(1)).alias("sessions"), F.count_if("complete").alias("complete"),
+                                F.count_if(F.col("complete") & (F.col("right") >= 8)).alias("complete_8"),
+                                F.sum("points").alias("points"))
+
+
+LATEST_SQL = """
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY yr DESC) AS rk FROM panel_x)
+       WHERE rk = 1),
+st AS (""" + STREAK_SQL + """),
+b AS (SELECT lt.entity_id, lt.yr, lt.inde, lt.ida, lt.ips, lt.ipp, lt.tier, coalesce(st.longest, 0) AS streak
+      FROM lt LEFT JOIN st ON st.user_id = lt.entity_id)"""
+
+
+def _latest_with_streak(spark, sf):
+    from pyspark.sql import Window
+    from panelkit.sources.readers import read_table
+    p = px(spark, sf)
+    lt = p.withColumn("__rk", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("yr")))).filter(
+        F.col("__rk") == 1).drop("__rk")
+    st = W.streaks(read_table(spark, sf, "events").filter(F.col("event_type") == "purchase"), "user_id", "ts")
+    return lt.join(st.select(F.col("user_id").alias("entity_id"), F.col("longest").alias("streak")), "entity_id",
+                   "left").fillna(0, ["streak"])
+
+
+_BADGE_SQL = ("concat_ws(',', 'first_login', CASE WHEN inde >= 7 THEN 'inde_7' END, CASE WHEN inde >= 8 THEN 'inde_8' END, "
+              "CASE WHEN ida >= 8 THEN 'nota_mat_8' END, CASE WHEN ips >= 8 THEN 'nota_port_8' END, "
+              "CASE WHEN streak >= 3 THEN 'streak_3' END, CASE WHEN tier IN ('Topázio', 'Diamante') THEN 'topazio' END)")
+_NB_SQL = ("(1 + CASE WHEN inde >= 7 THEN 1 ELSE 0 END + CASE WHEN inde >= 8 THEN 1 ELSE 0 END + CASE WHEN ida >= 8 "
+           "THEN 1 ELSE 0 END + CASE WHEN ips >= 8 THEN 1 ELSE 0 END + CASE WHEN streak >= 3 THEN 1 ELSE 0 END "
+           "+ CASE WHEN tier IN ('Topázio', 'Diamante') THEN 1 ELSE 0 END)")
+
+
+@register("badges_xp", with_panel("WITH " + LATEST_SQL + f""",
+x AS (SELECT entity_id, {_BADGE_SQL} AS badges, CAST({_NB_SQL} AS INTEGER) AS n_badges,
+             CAST(trunc(inde * 100.0 + {_NB_SQL} * 50.0) AS BIGINT) AS xp,
+             CASE WHEN ida IS NOT NULL AND ida <= coalesce(ips, ida) AND ida <= coalesce(ipp, ida) THEN 'Matemática'
+                  WHEN ips IS NOT NULL AND ips <= coalesce(ipp, ips) THEN 'Português'
+                  WHEN ipp IS NOT NULL THEN 'Inglês' END AS weakest FROM b)
+SELECT entity_id, badges, n_badges, xp, xp // 1000 + 1 AS level, xp % 1000 AS progress, weakest FROM x"""))
+def q_badges_xp(spark, sf):
+    """Badges, XP, level and weakest subject on each entity's
+    latest year (grades: mat = ida, port = ips, eng = ipp)."""
+    from panelkit.plans.progress import badges, weakest_subject, xp_level
+    b = _latest_with_streak(spark, sf).withColumn("badges_arr", badges("inde", "ida", "ips", "streak", "tier"))
+    return b.select("entity_id", F.array_join("badges_arr", ",").alias("badges"), F.size("badges_arr").alias("n_badges"),
+                    *xp_level("inde", "badges_arr"), weakest_subject("ida", "ips", "ipp").alias("weakest"))
+
+
+@register("missions", with_panel("WITH " + LATEST_SQL + """
+SELECT entity_id, mission, current, target,
+       round(CASE WHEN current IS NOT NULL THEN least(current / target * 100.0, 100.0) END, 6) AS progress_pct,
+       coalesce(current >= target, false) AS done, CASE WHEN current >= target THEN reward_xp ELSE 0 END AS reward
+FROM (SELECT entity_id, 'inde_7' AS mission, inde AS current, 7.0::DOUBLE AS target, 200 AS reward_xp FROM b
+      UNION ALL SELECT entity_id, 'nota_mat_8', ida, 8.0::DOUBLE, 150 FROM b
+      UNION ALL SELECT entity_id, 'nota_port_8', ips, 8.0::DOUBLE, 150 FROM b
+      UNION ALL SELECT entity_id, 'nota_ing_6', ipp, 6.0::DOUBLE, 100 FROM b)"""))
+def q_missions(spark, sf):
+    """mission progress per entity (latest year)."""
+    from panelkit.plans.progress import missions
+    return missions(_latest_with_streak(spark, sf), ["entity_id"],
+                    {"inde": "inde", "nota_mat": "ida", "nota_port": "ips", "nota_ing": "ipp"})
+
+
+@register("tier_next", with_panel("""
+SELECT tier, tier_ord, CASE tier WHEN 'Quartzo' THEN 'Ágata' WHEN 'Ágata' THEN 'Ametista'
+       WHEN 'Ametista' THEN 'Topázio' WHEN 'Topázio' THEN 'Diamante' END AS next_tier, count(*) AS n
+FROM panel_x GROUP BY tier, tier_ord"""))
+def q_tier_next(spark, sf):
+    """Next tier of each tier present."""
+    from panelkit.functions.bands import next_tier
+    return px(spark, sf).groupBy("tier", "tier_ord").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "next_tier", next_tier("tier"))
+
+
+# -------------------------------------------------------------- evaluation --
+SCORED_SQL = """
+WITH scored AS (SELECT d.doc_id, l.quality AS label, least(CAST(d.n_chars AS DOUBLE) / 20000.0, 1.0) AS score,
+                       d.lang, CASE WHEN least(CAST(d.n_chars AS DOUBLE) / 20000.0, 1.0) >= 0.1 THEN 1 ELSE 0 END AS pred
+                FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+
+def scored_docs(spark, sf):
+    """documents ⋈ labels with a length score and a 0.1 cut prediction."""
+    from panelkit.sources.readers import read_table
+    d = read_table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
+    score = F.least(F.col("n_chars").cast("double") / F.lit(20000.0), F.lit(1.0))
+    return d.join(lab, "doc_id").select("doc_id", F.col("quality").alias("label"), score.alias("score"), "lang",
+                                        F.when(score >= 0.1, 1).otherwise(0).alias("pred"))
+
+
+def _cells_sql(where=""):
+    return f"""SELECT CAST(count_if(label = 1 AND pred = 1) AS BIGINT) AS tp, CAST(count_if(label = 0 AND pred = 1) AS BIGINT) AS fp,
+  CAST(count_if(label = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count_if(label = 0 AND pred = 0) AS BIGINT) AS tn FROM scored {where}"""
+
+
+@register("binary_metrics", SCORED_SQL + f"""
+SELECT tp, fp, fn, tn, coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0.0) AS accuracy,
+       coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision,
+       coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall,
+       coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM ({_cells_sql()})""")
+def q_binary_metrics(spark, sf):
+    from panelkit.operators.evaluation import binary_metrics
+    return binary_metrics(scored_docs(spark, sf))
+
+
+@register("confusion", SCORED_SQL + """
+SELECT g.label, g.pred, coalesce(c.n, 0) AS n FROM
+  (SELECT a.c AS label, b.c AS pred FROM (SELECT DISTINCT label AS c FROM scored UNION SELECT DISTINCT pred FROM scored) a,
+        (SELECT DISTINCT label AS c FROM scored UNION SELECT DISTINCT pred FROM scored) b) g
+  LEFT JOIN (SELECT label, pred, count(*) AS n FROM scored GROUP BY 1, 2) c ON c.label = g.label AND c.pred = g.pred""")
+def q_confusion(spark, sf):
+    from panelkit.operators.evaluation import confusion
+    return confusion(scored_docs(spark, sf))
+
+
+REPORT_SQL = """,
+cells AS (SELECT c AS cls, CAST(count_if(label = c AND pred = c) AS BIGINT) AS tp, CAST(count_if(label = c) AS BIGINT) AS support,
+                 CAST(count_if(pred = c) AS BIGINT) AS predicted
+          FROM scored, (SELECT DISTINCT label AS c FROM scored UNION SELECT DISTINCT pred FROM scored) k GROUP BY c),
+rep AS (SELECT cls, coalesce(CAST(tp AS DOUBLE) / nullif(predicted, 0), 0.0) AS precision,
+               coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS recall,
+               coalesce(CAST(2 * tp AS DOUBLE) / nullif(support + predicted, 0), 0.0) AS f1, support FROM cells)
+"""
+
+
+@register("class_report", SCORED_SQL + REPORT_SQL + "SELECT * FROM rep")
+def q_class_report(spark, sf):
+    from panelkit.operators.evaluation import class_report
+    return class_report(scored_docs(spark, sf))
+
+
+@register("weighted_f1", SCORED_SQL + REPORT_SQL + """
+SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1,
+       sum(precision * support) / CAST(sum(support) AS DOUBLE) AS weighted_precision,
+       sum(recall * support) / CAST(sum(support) AS DOUBLE) AS weighted_recall,
+       sum(f1 * support) / CAST(sum(support) AS DOUBLE) AS weighted_f1 FROM rep""")
+def q_weighted_f1(spark, sf):
+    from panelkit.operators.evaluation import weighted_f1
+    return weighted_f1(scored_docs(spark, sf))
+
+
+@register("roc_points", SCORED_SQL + """,
+g AS (SELECT score, CAST(count_if(label = 1) AS BIGINT) AS pos, CAST(count_if(label <> 1) AS BIGINT) AS neg
+      FROM scored WHERE score IS NOT NULL GROUP BY score)
+SELECT score AS threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
+       sum(pos) OVER w / CAST((SELECT count_if(label = 1) FROM scored) AS DOUBLE) AS tpr,
+       sum(neg) OVER w / CAST((SELECT count_if(label <> 1) FROM scored) AS DOUBLE) AS fpr
+FROM g WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_roc_points(spark, sf):
+    """ROC points by distinct score (range-parallel prefix sums)."""
+    from panelkit.operators.evaluation import roc_points
+    return roc_points(scored_docs(spark, sf))
+
+
+AUC_SQL = """,
+g AS (SELECT {k} score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored
+      WHERE score IS NOT NULL GROUP BY {k} score),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {p} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                AS below FROM g)
+SELECT {k} sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM c {gb}"""
+
+
+@register("auc", SCORED_SQL + AUC_SQL.format(k="", p="1", gb=""))
+def q_auc(spark, sf):
+    """Tie-averaged AUC (Mann–Whitney) over the whole scored table."""
+    from panelkit.operators.evaluation import auc
+    return auc(scored_docs(spark, sf))
+
+
+@register("auc_by_group", SCORED_SQL + AUC_SQL.format(k="lang,", p="lang", gb="GROUP BY lang"))
+def q_auc_by_group(spark, sf):
+    from panelkit.operators.evaluation import auc
+    return auc(scored_docs(spark, sf), keys=["lang"])
+
+
+def _grid():
+    from panelkit.operators.evaluation import threshold_grid
+    return threshold_grid(0.20, 0.80)
+
+
+def _thr_sql():
+    vals = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(_grid()))
+    return SCORED_SQL + f""",
+t AS (SELECT * FROM (VALUES {vals}) v(ti, threshold)),
+c AS (SELECT CAST(doc_id % 5 AS BIGINT) AS fold, ti, threshold,
+             CAST(count_if(label = 1 AND score >= threshold) AS BIGINT) AS tp,
+             CAST(count_if(label <> 1 AND score >= threshold) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND score < threshold) AS BIGINT) AS fn
+      FROM scored, t GROUP BY 1, 2, 3),
+f AS (SELECT *, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM c)
+"""
+
+
+@register("threshold_f1", _thr_sql() + "SELECT fold, CAST(ti AS INTEGER) AS ti, threshold, tp, fp, fn, f1 FROM f")
+def q_threshold_f1(spark, sf):
+    """J7/ML11: F1 per (fold, threshold) on the calibration grid."""
+    from panelkit.operators.evaluation import threshold_f1
+    return threshold_f1(scored_docs(spark, sf).withColumn("fold", F.col("doc_id") % 5), _grid())
+
+
+@register("best_threshold", _thr_sql() + """
+SELECT arg_min(threshold, (-mean_f1, ti)) AS threshold, max(mean_f1) AS mean_f1
+FROM (SELECT ti, threshold, round(avg(f1), 12) AS mean_f1 FROM f GROUP BY ti, threshold)""")
+def q_best_threshold(spark, sf):
+    from panelkit.operators.evaluation import best_threshold, threshold_f1
+    return best_threshold(threshold_f1(scored_docs(spark, sf).withColumn("fold", F.col("doc_id") % 5), _grid()))
+
+
+# ------------------------------------------------- stratified split / folds --
+TRANS_SQL = """
+WITH tr AS (SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id
+             AND q.yr = p.yr + 1) THEN 0 ELSE 1 END AS label FROM panel p WHERE yr BETWEEN 1995 AND 2000),
+cn AS (SELECT label, count(*) AS n FROM tr GROUP BY label)
+"""
+
+
+def _transitions(spark, sf):
+    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000).withColumnRenamed(
+        "left", "label")
+
+
+@register("fold_sizes", with_panel(TRANS_SQL + """
+SELECT label, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n FROM cn, range(0, 5) r(f)""", False))
+def q_fold_sizes(spark, sf):
+    """Seeded stratified 5-fold assignment; sizes per class differ by ≤ 1."""
+    from panelkit.operators.sampling import stratified_folds
+    f = stratified_folds(_transitions(spark, sf), "label", ["entity_id", "yr"], 5)
+    return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_sizes", with_panel(TRANS_SQL + """
+SELECT label, 1 AS is_test, CAST(ceil(n * 0.2) AS BIGINT) AS n FROM cn
+UNION ALL SELECT label, 0, CAST(n - ceil(n * 0.2) AS BIGINT) FROM cn""", False))
+def q_split_sizes(spark, sf):
+    """Seeded stratified 80/20 split with exact per-class quotas."""
+    from panelkit.operators.sampling import stratified_split
+    s = stratified_split(_transitions(spark, sf), "label", ["entity_id", "yr"], 0.2)
+    return s.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_overlap", with_panel(TRANS_SQL + "SELECT CAST(0 AS BIGINT) AS overlap, (SELECT count(*) FROM tr) AS n", False))
+def q_split_overlap(spark, sf):
+    """Test ∩ train on the key is empty, and the parts cover every row."""
+    from panelkit.operators.joins import overlap_count
+    from panelkit.operators.sampling import stratified_split
+    s = stratified_split(_transitions(spark, sf), "label", ["entity_id", "yr"], 0.2)
+    o = overlap_count(s.filter("is_test = 1"), s.filter("is_test = 0"), ["entity_id", "yr"])
+    return o.crossJoin(s.agg(F.count(F.lit(1)).alias("n"))) if False else o.select(
+        "overlap", s.select(F.count(F.lit(1))).scalar().alias("n"))

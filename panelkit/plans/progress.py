@@ -89,6 +89,7 @@ def missions(df: DataFrame, keep: list[str], columns: dict) -> DataFrame:
              for mid, c, t, xp in C.MISSIONS]
     m = df.select(*keep, F.explode(F.array(*items)).alias("m")).select(*keep, "m.*")
     done = F.coalesce(F.col("current") >= F.col("target"), F.lit(False))
-    return m.select(*keep, "mission", "current", "target",
-                    F.least(F.col("current") / F.col("target") * F.lit(100.0), F.lit(100.0)).alias("progress_pct"),
+    pct = F.when(F.col("current").isNotNull(),
+                 F.least(F.col("current") / F.col("target") * F.lit(100.0), F.lit(100.0)))
+    return m.select(*keep, "mission", "current", "target", F.round(pct, 6).alias("progress_pct"),
                     done.alias("done"), F.when(done, F.col("reward_xp")).otherwise(F.lit(0)).alias("reward"))
