@@ -1036,5 +1036,128 @@ def q_split_overlap(spark, sf):
     from panelkit.operators.sampling import stratified_split
     s = stratified_split(_transitions(spark, sf), "label", ["entity_id", "yr"], 0.2)
     o = overlap_count(s.filter("is_test = 1"), s.filter("is_test = 0"), ["entity_id", "yr"])
-    return o.crossJoin(s.agg(F.count(F.lit(1)).alias("n"))) if False else o.select(
-        "overlap", s.select(F.count(F.lit(1))).scalar().alias("n"))
+    return o.select("overlap", s.select(F.count(F.lit(1))).scalar().alias("n"))
+
+
+# ---------------------------------------------------------- model matrices --
+def _r6(cols):
+    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in cols]
+
+
+LAGF_SQL = """
+SELECT entity_id, yr, round(iaa, 6) AS IAA, round(ieg, 6) AS IEG, round(ips, 6) AS IPS, round(ida, 6) AS IDA,
+  round(ipv, 6) AS IPV, round(CAST(phase AS DOUBLE), 6) AS FASE, round(CAST(tenure AS DOUBLE), 6) AS ANOS_PM,
+  round(CASE WHEN gender = 'Menino' THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS GENERO_NUM,
+  round(CASE WHEN pv = 'Sim' THEN 1.0 ELSE 0.0 END::DOUBLE, 6) AS PV_NUM,
+  round((iaa + ieg + ips) / 3.0, 6) AS SCORE_COMPORTAMENTAL, round(iaa - ida, 6) AS GAP_IAA_IDA,
+  round(ieg / (CAST(phase AS DOUBLE) + 1), 6) AS IEG_POR_FASE, round(ieg * ipv, 6) AS IEG_X_IPV,
+  round(ida * tenure, 6) AS IDA_X_ANOS, CASE WHEN lag < 0 THEN 1 ELSE 0 END AS label
+FROM panel_x WHERE iaa IS NOT NULL AND ieg IS NOT NULL AND ips IS NOT NULL AND ida IS NOT NULL AND ipv IS NOT NULL"""
+
+
+@register("features_lag", with_panel(LAGF_SQL))
+def q_features_lag(spark, sf):
+    """ML1: lag-risk matrix (14 features + target)."""
+    from panelkit.plans.features import LAG_FEATURES, lag_features
+    return lag_features(px(spark, sf)).select("entity_id", "yr", *_r6(LAG_FEATURES), "label")
+
+
+_ATTR_BASE = """
+tr AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM panel_x q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
+                   THEN 0 ELSE 1 END AS label FROM panel_x p WHERE yr BETWEEN 1995 AND 2000),
+a0 AS (SELECT entity_id, yr, iaa AS IAA, ieg AS IEG, ips AS IPS, ida AS IDA, ipv AS IPV, ian AS IAN,
+              CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, CAST(tier_ord AS DOUBLE) AS PEDRA_NUM,
+              (coalesce(iaa, 0.0) + coalesce(ieg, 0.0) + coalesce(ips, 0.0) + coalesce(ida, 0.0) + coalesce(ipv, 0.0)
+               + coalesce(ian, 0.0)) / nullif((CASE WHEN iaa IS NULL THEN 0 ELSE 1 END + CASE WHEN ieg IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ida IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ipv IS NULL THEN 0 ELSE 1 END + CASE WHEN ian IS NULL THEN 0 ELSE 1 END), 0) AS MEDIA_INDICADORES,
+              label FROM tr WHERE iaa IS NOT NULL AND ieg IS NOT NULL AND ips IS NOT NULL AND ida IS NOT NULL)"""
+_ATTR_FILL = ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
+
+
+@register("features_attrition", with_panel("WITH " + _ATTR_BASE + "\nSELECT entity_id, yr, " + ", ".join(
+    [f"round({c}, 6) AS {c}" for c in ["IAA", "IEG", "IPS", "IDA"]] +
+    [f"round(coalesce({c}, coalesce((SELECT median({c}) FROM a0), 0.0)), 6) AS {c}" for c in _ATTR_FILL]) +
+    ", label FROM a0"))
+def q_features_attrition(spark, sf):
+    """ML4: transition observations (present in year N → absent in N+1)."""
+    from panelkit.plans.features import ATTRITION_FEATURES, attrition_features
+    return attrition_features(px(spark, sf), 1995, 2000).select("entity_id", "yr", *_r6(ATTRITION_FEATURES), "label")
+
+
+_TP_BASE = """
+codes AS (SELECT institution, row_number() OVER (ORDER BY first_row, institution) - 1 AS code FROM (
+            SELECT institution, min(entity_id * 10000 + yr) AS first_row FROM panel_x WHERE institution IS NOT NULL
+            GROUP BY institution)),
+t0 AS (SELECT entity_id, yr, iaa AS IAA, ieg AS IEG, ips AS IPS, ipp AS IPP, ida AS IDA, ian AS IAN,
+              CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, CAST(tier_ord AS DOUBLE) AS PEDRA_NUM,
+              ida AS NOTA_MAT, ips AS NOTA_PORT, ipp AS NOTA_ING,
+              (coalesce(ida, 0.0) + coalesce(ips, 0.0) + coalesce(ipp, 0.0)) / nullif((CASE WHEN ida IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ipp IS NULL THEN 0 ELSE 1 END), 0) AS MEDIA_NOTAS,
+              (coalesce(iaa, 0.0) + coalesce(ieg, 0.0) + coalesce(ips, 0.0) + coalesce(ida, 0.0) + coalesce(ipv, 0.0))
+               / nullif((CASE WHEN iaa IS NULL THEN 0 ELSE 1 END + CASE WHEN ieg IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ida IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ipv IS NULL THEN 0 ELSE 1 END), 0) AS MEDIA_INDICADORES,
+              CAST(CASE WHEN gender = 'Menina' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS GENERO_FEMININO,
+              CAST(coalesce(c.code, -1) AS DOUBLE) AS INSTITUICAO_COD,
+              CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS label
+       FROM panel_x p LEFT JOIN codes c USING (institution))"""
+
+
+def _tp_cols():
+    from panelkit.plans.features import TP_FEATURES
+    return TP_FEATURES
+
+
+@register("features_turning_point", with_panel("WITH " + _TP_BASE + "\nSELECT entity_id, yr, " + ", ".join(
+    f"round(coalesce({c}, coalesce((SELECT median({c}) FROM t0), 0.0)), 6) AS {c}" for c in _tp_cols()) +
+    ", label FROM t0"))
+def q_features_turning_point(spark, sf):
+    """ML3: 16 median-imputed features (no IPV, no index) + target."""
+    from panelkit.plans.features import TP_FEATURES, turning_point_features
+    return turning_point_features(px(spark, sf)).select("entity_id", "yr", *_r6(TP_FEATURES), "label")
+
+
+@register("features_tier", with_panel("WITH " + _TP_BASE.replace("CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS label",
+                                                                   "tier AS label") + """
+SELECT entity_id, yr, """ + ", ".join(f"round({c}, 6) AS {c}" for c in
+                                     ["FASE", "ANOS_PM", "IAA", "IEG", "IPS", "IDA", "IPV", "NOTA_MAT", "NOTA_PORT",
+                                      "MEDIA_NOTAS", "MEDIA_INDICADORES", "GENERO_FEMININO", "INSTITUICAO_COD"]) + """,
+  label AS tier FROM (SELECT t0.*, p.ipv AS IPV FROM t0 JOIN panel_x p USING (entity_id, yr))
+WHERE label IS NOT NULL"""))
+def q_features_tier(spark, sf):
+    """ML2: tier matrix (13 features, no index/IAN) + tier label."""
+    from panelkit.plans.features import TIER_FEATURES, tier_features
+    return tier_features(px(spark, sf)).select("entity_id", "yr", *_r6(TIER_FEATURES), "tier")
+
+
+# ------------------------------------------------- model fits (rows only) --
+def _fit_and_score(spark, sf, which):
+    from panelkit.operators.sampling import stratified_split
+    from panelkit.plans import features as FT
+    from panelkit.plans import models as M
+    from panelkit.session import cut_lineage
+    p = px(spark, sf)
+    keys = ["entity_id", "yr"]
+    if which == "tier":
+        d = cut_lineage(M.class_weights(FT.tier_features(p), "tier"))
+        s = stratified_split(d, "tier", keys, 0.2)
+        m = M.fit(s.filter("is_test = 0"), FT.TIER_FEATURES, M.MODEL_SPECS["tier"], label="label_idx", string_label="tier")
+        out = M.score_multiclass(m, s.filter("is_test = 1"))
+        return out.select("entity_id", "yr", "tier", "pred_label", F.round("confidence", 6).alias("confidence"))
+    feats, spec, data, band = {
+        "lag_risk": (FT.LAG_FEATURES, M.MODEL_SPECS["lag_risk"], lambda: FT.lag_features(p), "lag"),
+        "turning_point": (FT.TP_FEATURES, M.MODEL_SPECS["turning_point"], lambda: FT.turning_point_features(p), None),
+        "attrition": (FT.ATTRITION_FEATURES, M.MODEL_SPECS["attrition"], lambda: FT.attrition_features(p, 1995, 2000),
+                      "attrition"),
+    }[which]
+    d = cut_lineage(M.class_weights(data()))
+    s = stratified_split(d, "label", keys, 0.2)
+    m = M.fit(s.filter("is_test = 0"), feats, spec)
+    out = M.score_binary(m, s.filter("is_test = 1"), float(spec.get("threshold", spec.get("min_thresh", 0.5))), band)
+    return out.select("entity_id", "yr", "label", F.round("score", 6).alias("score"), "pred",
+                      *(["band"] if band else []))
+
+
+for _name in ["lag_risk", "tier", "turning_point", "attrition"]:
+    QUERIES[f"score_{_name}"] = (lambda n: lambda spark, sf: _fit_and_score(spark, sf, n))(_name)
