@@ -19,7 +19,7 @@ from panelkit.operators import reshape as U
 from panelkit.operators import stats as S
 from panelkit.operators import windows as W
 from panelkit.plans.oracle import with_panel
-from panelkit.plans.panel import INDICATORS, panel_x
+from panelkit.plans.panel import INDICATORS, panel_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,8 @@ def EM(x: str) -> str:
 
 
 def px(spark, sf):
-    return panel_x(spark, sf)
+    """The enriched panel, materialised once per application."""
+    return panel_table(spark, sf)
 
 
 # ---------------------------------------------------------------- reshapes --

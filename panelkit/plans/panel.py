@@ -34,7 +34,7 @@ from panelkit.functions.bands import tier_of, tier_ordinal
 from panelkit.sources.readers import read_table
 
 __all__ = ["INDICATORS", "STANDIN_TIER_CUTS", "build_panel", "enrich_panel", "panel",
-           "panel_x", "MISSING_IPP_YEAR"]
+           "panel_x", "panel_table", "MISSING_IPP_YEAR"]
 
 INDICATORS = ["ieg", "ida", "iaa", "ips", "ipv", "ian", "ipp", "inde"]
 INDEX_PARTS = ["ieg", "ida", "iaa", "ips", "ipv", "ian"]
@@ -122,4 +122,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched panel as a lazy plan (joins run every time it is used)."""
     return enrich_panel(spark, sf_dir, build_panel(spark, sf_dir))
+
+
+def panel_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The enriched panel written once per application to the shared
+    checkpoint folder, partitioned by year, and read back for every report."""
+    import hashlib
+    from panelkit.session import materialize
+    name = "panel_x_" + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return materialize(spark, name, lambda: panel_x(spark, sf_dir), partition_by="yr", refresh=refresh)
