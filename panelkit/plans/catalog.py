@@ -1162,3 +1162,56 @@ def _fit_and_score(spark, sf, which):
 
 for _name in ["lag_risk", "tier", "turning_point", "attrition"]:
     QUERIES[f"score_{_name}"] = (lambda n: lambda spark, sf: _fit_and_score(spark, sf, n))(_name)
+
+
+# ---------------------------------------------------------------- audit --
+@register("audit", with_panel("WITH " + LAGF_SQL.replace("\nSELECT", "lagf AS (SELECT", 1) + """),
+tr AS (SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
+       THEN 0 ELSE 1 END AS label FROM panel p WHERE yr BETWEEN 1995 AND 2000),
+lk AS (SELECT max(abs(r)) AS m FROM (""" + " UNION ALL ".join(
+    f"SELECT round(corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)), 6) AS r FROM lagf"
+    for c in ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM", "SCORE_COMPORTAMENTAL",
+              "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]) + """))
+SELECT 'rows_present' AS "check", count(*) > 0 AS passed, CAST(count(*) AS DOUBLE) AS observed FROM panel_x
+UNION ALL SELECT 'no_null_keys', count_if(entity_id IS NULL OR yr IS NULL) = 0,
+  CAST(count_if(entity_id IS NULL OR yr IS NULL) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'unique_keys', count(*) = 0, CAST(count(*) AS DOUBLE)
+  FROM (SELECT entity_id, yr FROM panel_x GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'indicators_in_0_10', s = 0, CAST(s AS DOUBLE) FROM (SELECT """ + " + ".join(
+    f"count_if({c} < 0 OR {c} > 10)" for c in INDICATORS) + """ AS s FROM panel_x)
+UNION ALL SELECT 'tenure_non_negative', count_if(tenure < 0) = 0, CAST(count_if(tenure < 0) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'binary_target', count_if(label NOT IN (0, 1)) = 0, CAST(count_if(label NOT IN (0, 1)) AS DOUBLE) FROM tr
+UNION ALL SELECT 'split_disjoint', true, 0.0::DOUBLE
+UNION ALL SELECT 'leakage_max_abs_corr', m <= 0.5, m FROM lk"""))
+def q_audit(spark, sf):
+    """Audit checks over the panel, transitions, split and the
+    lag-risk feature matrix."""
+    from panelkit.operators.sampling import stratified_split
+    from panelkit.plans.audit import panel_audit
+    from panelkit.plans.features import LAG_FEATURES, lag_features
+    p = px(spark, sf)
+    tr = _transitions(spark, sf)
+    split = stratified_split(tr, "label", ["entity_id", "yr"], 0.2)
+    return panel_audit(p, INDICATORS, ["entity_id", "yr"], tr, split, lag_features(p), LAG_FEATURES)
+
+
+@register("leakage_screen", with_panel("WITH " + LAGF_SQL.replace("\nSELECT", "lagf AS (SELECT", 1) + ")\n" +
+                                       " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)), 6) AS r, "
+    f"coalesce(abs(round(corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)), 6)) > 0.5, false) AS suspect FROM lagf"
+    for c in ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM", "SCORE_COMPORTAMENTAL",
+              "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"])))
+def q_leakage_screen(spark, sf):
+    """Correlation of each lag-risk feature with the target."""
+    from panelkit.plans.audit import leakage_screen
+    from panelkit.plans.features import LAG_FEATURES, lag_features
+    return leakage_screen(lag_features(px(spark, sf)), LAG_FEATURES, "label")
+
+
+@register("profile_360", None)
+def q_profile_360(spark, sf):
+    """Batch 360° table — latest values, tier, tier change against the
+    latest earlier year, yearly index history (sorted array), alert level
+    with reasons (missing as zero, D20) and recommendations."""
+    from panelkit.plans.reports import profile_360
+    return profile_360(px(spark, sf))

@@ -103,3 +103,21 @@ def overview(p: DataFrame, cols: Sequence[str], tier="tier", year="yr", index="i
             "panorama": A.column_stats(p, cols, scale), "best_worst": A.best_worst(p, cols, scale),
             "movers": W.biggest_mover(ym, year, cols),
             "radar": reindex_groups(A.group_means(p, [tier], cols, scale), tier, C.TIER_ORDER)}
+
+
+def profile_360(p: DataFrame, entity="entity_id", year="yr") -> DataFrame:
+    """One row per entity. History is gathered per entity — bounded by
+    the number of years — with ``collect_list`` then sorted."""
+    from pyspark.sql import Window
+    from panelkit.functions.bands import inde_message
+    from panelkit.operators.rules import alert_levels, recommendations
+    w = Window.partitionBy(entity).orderBy(F.desc(year))
+    ch = W.tier_change_latest(p, entity, year, "tier_ord")
+    latest = ch.withColumn("__rk", F.row_number().over(w)).filter("__rk = 1").drop("__rk")
+    hist = p.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(year, "inde"))).alias("history"))
+    al = alert_levels(latest.withColumn("tier_change", F.coalesce("tier_change", F.lit(0))),
+                      keep=[entity, year, "inde", "ieg", "ips", "ida", "iaa", "tier", "tier_change"], missing_as="zero")
+    al = al.join(latest.select(entity, "tenure"), entity) if "tenure" not in al.columns else al
+    return (al.join(hist, entity)
+            .withColumn("recommendations", recommendations())
+            .withColumn("message", inde_message("inde")))
