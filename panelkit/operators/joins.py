@@ -52,3 +52,13 @@ def grade_answers(answers: DataFrame, bank: DataFrame) -> DataFrame:
     b = F.broadcast(bank.select("subject", "question_id", "answer"))
     return answers.join(b, ["subject", "question_id"], "left").withColumn(
         "correct", F.coalesce(F.col("chosen") == F.col("answer"), F.lit(False)))
+
+
+def lookup_first(df: DataFrame, keys: DataFrame, key: str, row_id: str) -> DataFrame:
+    """P16 (batch form): for each requested key, the first matching row by
+    ``row_id`` (``df[df.k == x].iloc[0]``). The semi join keeps only
+    requested keys before the window, which then sees one key's rows."""
+    from pyspark.sql import Window
+    hits = df.join(keys.select(key).distinct(), key, "left_semi")
+    w = Window.partitionBy(key).orderBy(row_id)
+    return hits.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

@@ -1215,3 +1215,45 @@ def q_profile_360(spark, sf):
     with reasons (missing as zero, D20) and recommendations."""
     from panelkit.plans.reports import profile_360
     return profile_360(px(spark, sf))
+
+
+@register("progress_report", None)
+def q_progress_report(spark, sf):
+    """Per-entity progress (YoY array, total gain, badges, XP, level)."""
+    from panelkit.plans.progress import progress_report
+    return progress_report(px(spark, sf), _latest_with_streak(spark, sf))
+
+
+@register("engagement_report", with_panel("""
+SELECT round(corr(ieg, ida), 6) AS r_ieg_ida, round(corr(ieg, ipv), 6) AS r_ieg_ipv,
+       round(regr_slope(ida, ieg), 6) AS slope_ida, round(regr_slope(ipv, ieg), 6) AS slope_ipv
+FROM panel WHERE ieg IS NOT NULL AND ida IS NOT NULL AND ipv IS NOT NULL""", False))
+def q_engagement_report(spark, sf):
+    """Engagement vs performance and turning point."""
+    from panelkit.plans.reports import engagement
+    return engagement(px(spark, sf))
+
+
+@register("tier_count_by_year", with_panel("""
+SELECT g.yr, g.tier, coalesce(c.n, 0) AS n FROM
+  (SELECT y.yr, t.tier FROM (SELECT DISTINCT yr FROM panel_x) y,
+          (VALUES ('Quartzo'), ('Ágata'), ('Ametista'), ('Topázio')) t(tier)) g
+  LEFT JOIN (SELECT yr, tier, count(*) AS n FROM panel_x GROUP BY 1, 2) c ON c.yr = g.yr AND c.tier = g.tier"""))
+def q_tier_count_by_year(spark, sf):
+    """Tier counts per year from year-suffixed tier columns (the panel
+    pivoted wide, one tier column per year), each row counted once, on the
+    complete year × tier grid."""
+    from panelkit import config as C
+    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", ["tier"], YEARS)
+    return A.tier_count_by_year(wide, {y: f"tier_{y}" for y in YEARS}, C.TIER_ORDER)
+
+
+@register("lookup_first", with_panel("""
+SELECT entity_id, yr, inde FROM (SELECT entity_id, yr, inde, row_number() OVER (PARTITION BY entity_id ORDER BY yr) AS rn
+  FROM panel_x WHERE entity_id IN (SELECT entity_id FROM panel_x WHERE lag = 3 AND phase = 1)) WHERE rn = 1"""))
+def q_lookup_first(spark, sf):
+    """First row per requested key (keys from a data-derived list)."""
+    from panelkit.operators.joins import lookup_first
+    p = px(spark, sf)
+    keys = p.filter((F.col("lag") == 3) & (F.col("phase") == 1)).select("entity_id")
+    return lookup_first(p.select("entity_id", "yr", "inde"), keys, "entity_id", "yr")

@@ -238,3 +238,16 @@ def smoke_inference(model: PipelineModel, spark, features: Sequence[str], value:
     row = spark.createDataFrame([tuple(float(value) for _ in features)], ", ".join(f"{f} double" for f in features))
     out = model.transform(row).withColumn("p", vector_to_array("probability"))
     return out.select(F.forall("p", lambda x: (x >= 0) & (x <= 1)).alias("valid"), "p")
+
+
+def compare_candidates(train: DataFrame, features: Sequence[str], specs: dict, metric: str = "auc",
+                       seed: int = C.SEED) -> DataFrame:
+    """ML10: cross-validated metric per candidate spec (out-of-fold scores,
+    no test-set selection); returns (candidate, mean, std, best)."""
+    rows = []
+    for name, spec in specs.items():
+        oof = out_of_fold_scores(train, features, spec, seed=seed)
+        rows.append(cv_metric(oof, metric).withColumn("candidate", F.lit(name)))
+    allc = reduce(DataFrame.unionByName, rows)
+    best = allc.agg(F.max_by("candidate", f"cv_{metric}_mean").alias("best")).first()["best"]  # one name
+    return allc.withColumn("best", F.col("candidate") == F.lit(best))

@@ -10,7 +10,7 @@ from panelkit import config as C
 from panelkit.functions.core import col_
 from panelkit.operators.rules import reasons
 
-__all__ = ["event_ordinal", "quiz_sessions", "quiz_band", "weakest_subject", "badges", "xp_level",
+__all__ = ["event_ordinal", "quiz_sessions", "quiz_band", "weakest_subject", "badges", "xp_level", "progress_report",
            "missions", "BADGES", "SUBJECTS"]
 
 # fixed values: subjects in tie-break order
@@ -93,3 +93,19 @@ def missions(df: DataFrame, keep: list[str], columns: dict) -> DataFrame:
                  F.least(F.col("current") / F.col("target") * F.lit(100.0), F.lit(100.0)))
     return m.select(*keep, "mission", "current", "target", F.round(pct, 6).alias("progress_pct"),
                     done.alias("done"), F.when(done, F.col("reward_xp")).otherwise(F.lit(0)).alias("reward"))
+
+
+def progress_report(history: DataFrame, latest: DataFrame, entity: str = "entity_id", year: str = "yr",
+                    index: str = "inde") -> DataFrame:
+    """Per entity — YoY deltas of the index (as a sorted array),
+    total gain first→last, badges, XP/level and weakest subject.
+    ``history`` is the long panel; ``latest`` one row per entity with the
+    grade, tier and streak columns used by :func:`badges`."""
+    from panelkit.operators.windows import first_last, yoy_delta
+    d = yoy_delta(history.select(entity, year, index), entity, year, [index])
+    yoy = d.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(year, F.col(f"d_{index}").alias("delta"))))
+                                .alias("yoy"))
+    gain = first_last(history, entity, year, index).select(entity, F.col("change").alias("total_gain"), "verdict")
+    b = latest.withColumn("badges", badges(index, "ida", "ips", "streak", "tier"))
+    b = b.select(entity, "badges", *xp_level(index, "badges"), weakest_subject("ida", "ips", "ipp").alias("weakest"))
+    return b.join(gain, entity).join(yoy, entity)
