@@ -46,6 +46,13 @@ MODEL_SPECS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the model input over the cluster's task slots: tree
+    training parallelism is the partition count of its input, and a small
+    aggregated panel can arrive in a handful of partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """ML5: balanced weights n / (k · n_c). Class counts form a table with
     one row per class (bounded by the number of classes), so it is
@@ -158,7 +165,7 @@ def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Seq
                  cv_metric_name: str = "f1", calibrate: bool = True, seed: int = C.SEED) -> dict:
     """Full binary procedure; returns model, threshold, scored test rows and a
     one-row metrics frame."""
-    data = cut_lineage(class_weights(data))
+    data = cut_lineage(spread(class_weights(data)))
     split = cut_lineage(stratified_split(data, "label", keys, C.TEST_FRACTION, seed))
     train = cut_lineage(stratified_folds(split.filter("is_test = 0"), "label", keys, C.N_FOLDS, seed))
     test = split.filter("is_test = 1")
@@ -190,7 +197,7 @@ def train_multiclass(data: DataFrame, features: Sequence[str], spec: dict, keys:
     """Multiclass procedure (tier): split stratified on the label text,
     weighted by class, evaluated with accuracy and weighted F1."""
     from panelkit.operators.evaluation import weighted_f1
-    data = cut_lineage(class_weights(data, label_text))
+    data = cut_lineage(spread(class_weights(data, label_text)))
     split = cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))
     train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
     model = fit(train, features, spec, label="label_idx", string_label=label_text, seed=seed)
