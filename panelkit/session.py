@@ -92,7 +92,8 @@ def materialize(spark: SparkSession, name: str, build, partition_by: str | None
     hit = _MATERIALIZED.get(key)
     if hit is None or refresh:
         base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/tables/{name}"
+        # per-application folder: concurrent applications never overwrite each other
+        path = f"{base}/tables/{spark.sparkContext.applicationId}/{name}"
         df = build()
         cols = df.columns
         w = df.write.mode("overwrite")
