@@ -75,9 +75,12 @@ def weighted_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
 
 
 def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                        buckets: int = 64) -> DataFrame:
+                        buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in global ``order`` (one row per
-    distinct ``order`` value expected), computed range-parallel."""
+    distinct ``order`` value expected), computed range-parallel over
+    ``buckets`` ranges (default: the session's shuffle parallelism)."""
+    from panelkit.operators.sampling import _buckets
+    buckets = _buckets(df, buckets, 8)
     o = F.col(order)
     key = -o if descending else o
     qs = [i / buckets for i in range(1, buckets)]
@@ -100,7 +103,7 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> D
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """One ROC point per distinct score (threshold = score, predict
     positive when score ≥ threshold)."""
     g = score_groups(df, label, score)
@@ -113,7 +116,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", bucket
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = (),
-        buckets: int = 64) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """ROC AUC with tie-averaged ranks (Mann–Whitney):
     Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N)."""
     if keys:

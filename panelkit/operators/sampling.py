@@ -17,9 +17,18 @@ from pyspark.sql import functions as F
 __all__ = ["hash_rank", "stratified_split", "stratified_folds", "sample_per_entity"]
 
 
-def hash_rank(df: DataFrame, strata: str, keys: Sequence[str], seed: int = 42, buckets: int = 256) -> DataFrame:
+def _buckets(df: DataFrame, buckets: int | None, floor: int) -> int:
+    """Bucket count: explicit, else the session's shuffle parallelism (so the
+    ranking spreads over the whole cluster), never below ``floor``."""
+    if buckets:
+        return int(buckets)
+    return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", str(floor))))
+
+
+def hash_rank(df: DataFrame, strata: str, keys: Sequence[str], seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Adds ``__h`` (seeded hash), ``rank`` (0-based, within stratum, in hash
     order; ties by key) and ``stratum_n``."""
+    buckets = _buckets(df, buckets, 256)
     h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
     # bucket = high-order range of the hash, so bucket order = hash order
     d = df.withColumn("__h", h).withColumn("__b", F.least(F.lit(buckets - 1), F.floor((F.col("__h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64 / buckets)).cast("int")))
@@ -34,7 +43,7 @@ def hash_rank(df: DataFrame, strata: str, keys: Sequence[str], seed: int = 42, b
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_fraction: float = 0.2,
-                     seed: int = 42, buckets: int = 256) -> DataFrame:
+                     seed: int = 42, buckets: int | None = None) -> DataFrame:
     """``is_test`` = 1 for the first ceil(fraction·n_c) rows of each
     class in seeded hash order (exact per-class quota)."""
     r = hash_rank(df, label, keys, seed, buckets)
@@ -43,7 +52,7 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_fracti
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 5, seed: int = 42,
-                     buckets: int = 256) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """``fold`` = rank mod k within each class, so fold sizes per class
     differ by at most one."""
     r = hash_rank(df, label, keys, seed + 1, buckets)
