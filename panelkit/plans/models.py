@@ -31,7 +31,7 @@ from panelkit.operators.evaluation import (auc, best_threshold, binary_metrics,
 from panelkit.operators.sampling import stratified_folds, stratified_split
 from panelkit.session import cut_lineage
 
-__all__ = ["class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
+__all__ = ["run_concurrently", "spread", "class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
            "out_of_fold_scores", "cv_metric", "train_binary", "train_multiclass", "save_model", "load_model",
            "write_metric_rows", "artefact_check", "smoke_inference", "MODEL_SPECS"]
 
@@ -139,15 +139,27 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
     return df.orderBy(F.desc("importance"), "feature")
 
 
+def run_concurrently(tasks: dict, parallelism: int = 4) -> dict:
+    """Run independent Spark actions from driver threads so that their jobs
+    share the executors (what ``CrossValidator(parallelism=...)`` does):
+    small per-iteration jobs of tree learners leave most task slots idle
+    when run one model at a time. Returns {name: result}."""
+    from concurrent.futures import ThreadPoolExecutor
+    if parallelism <= 1 or len(tasks) <= 1:
+        return {k: f() for k, f in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as ex:
+        futs = {k: ex.submit(f) for k, f in tasks.items()}
+        return {k: fu.result() for k, fu in futs.items()}
+
+
 def out_of_fold_scores(train: DataFrame, features, spec, k: int = C.N_FOLDS, label: str = "label",
-                       fold: str = "fold", **kw) -> DataFrame:
-    """k fits; each fold is scored by the model trained on the others.
-    The scored folds are reused by ML9 and ML11 (no refits)."""
-    parts = []
-    for i in range(k):
-        m = fit(train.filter(F.col(fold) != i), features, spec, label=label, **kw)
-        parts.append(m.transform(train.filter(F.col(fold) == i)).select(
-            fold, label, vector_to_array("probability")[1].alias("score")))
+                       fold: str = "fold", parallelism: int = 4, **kw) -> DataFrame:
+    """k fits (run concurrently); each fold is scored by the model trained
+    on the others. The scored folds are reused by ML9 and ML11 (no refits)."""
+    models = run_concurrently({i: (lambda i=i: fit(train.filter(F.col(fold) != i), features, spec, label=label, **kw))
+                               for i in range(k)}, parallelism)
+    parts = [models[i].transform(train.filter(F.col(fold) == i)).select(
+        fold, label, vector_to_array("probability")[1].alias("score")) for i in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
 
