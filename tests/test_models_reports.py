@@ -51,3 +51,24 @@ def test_overview_report(spark):
     out = overview(p, ["ieg", "ida", "ips"], scale=4)
     assert out["tier_mix"].count() > 0 and out["radar"].count() > 0
     assert out["best_worst"].first()["best"] in ("ieg", "ida", "ips")
+
+
+def test_train_all_small(spark):
+    """Full training run on sf0.001 with small forests (speed only; the
+    procedure is the same as with the reference settings)."""
+    from panelkit.plans.training import train_all
+    small = {"lag_risk": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 5, "min_thresh": 0.45},
+             "tier": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 3},
+             "turning_point": {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.8,
+                               "threshold": 0.5},
+             "turning_point_rf": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 4},
+             "attrition": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 4, "threshold": 0.5}}
+    out = tempfile.mkdtemp(prefix="panelkit-train-")
+    m = train_all(spark, SF_SMALL, out, specs=small)
+    rows = {r["model"]: r for r in m.collect()}
+    assert set(rows) == {"lag_risk", "tier", "turning_point", "attrition"}
+    assert 0.0 <= rows["attrition"]["auc_test"] <= 1.0
+    art = spark.read.json(out + "/artefacts").collect()
+    assert all(r["present"] for r in art)
+    loaded = M.load_model(out + "/models/attrition")
+    assert loaded is not None
