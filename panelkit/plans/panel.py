@@ -128,8 +128,10 @@ def panel_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
     """The enriched panel written once per application to the shared
-    checkpoint folder, partitioned by year, and read back for every report."""
+    checkpoint folder, bucketed by entity, and read back for every report:
+    per-entity windows (YoY, transitions, tier change, latest row) and
+    entity joins run without a shuffle of the panel."""
     import hashlib
     from panelkit.session import materialize
     name = "panel_x_" + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return materialize(spark, name, lambda: panel_x(spark, sf_dir), partition_by="yr", refresh=refresh)
+    return materialize(spark, name, lambda: panel_x(spark, sf_dir), bucket_by="entity_id", refresh=refresh)
