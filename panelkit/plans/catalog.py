@@ -1257,3 +1257,60 @@ def q_lookup_first(spark, sf):
     p = px(spark, sf)
     keys = p.filter((F.col("lag") == 3) & (F.col("phase") == 1)).select("entity_id")
     return lookup_first(p.select("entity_id", "yr", "inde"), keys, "entity_id", "yr")
+
+
+# --------------------------------------------------- cleaning / balance / E5 --
+@register("class_balance", with_panel(TRANS_SQL + """
+SELECT CAST(count_if(label = 0) AS BIGINT) AS n0, CAST(count_if(label = 1) AS BIGINT) AS n1,
+       CAST(count_if(label = 0) AS DOUBLE) / count_if(label = 1) AS ratio,
+       CAST(count_if(label = 1) AS DOUBLE) / (count_if(label = 0) + count_if(label = 1)) AS rate FROM tr""", False))
+def q_class_balance(spark, sf):
+    """Class balance of the attrition target."""
+    return A.class_balance(_transitions(spark, sf), "label")
+
+
+@register("scatter_points", with_panel("""
+SELECT ieg, ida, coalesce(ipp, (SELECT median(ipp) FROM panel WHERE ieg IS NOT NULL AND ida IS NOT NULL)) AS ipp
+FROM panel WHERE ieg IS NOT NULL AND ida IS NOT NULL""", False))
+def q_scatter_points(spark, sf):
+    """Complete (x, y) pairs with the colour column median-filled."""
+    from panelkit.operators.clean import scatter_points
+    return scatter_points(px(spark, sf), "ieg", "ida", colour="ipp")
+
+
+@register("cleaning_chain", with_panel("""
+SELECT entity_id, yr, pv, pv AS pv_ORIG, CASE WHEN lag IS NULL THEN lag ELSE greatest(lag, 0) END AS lag_clipped,
+       coalesce(TRY_CAST(CAST(ipv_n AS VARCHAR) AS DOUBLE), 10.0) AS ipv_safe, coalesce(ipp, -1.0) AS ipp_filled
+FROM panel_x WHERE inde IS NOT NULL AND pv IS NOT NULL"""))
+def q_cleaning_chain(spark, sf):
+    """Anchor filter, complete cases, backup copy,
+    clip at 0, safe scalar with default, constant fill."""
+    from panelkit.functions.core import clip_lower, safe_value
+    from panelkit.operators import clean as CL
+    p = CL.complete_cases(CL.keep_anchor(px(spark, sf), "inde"), ["pv"])
+    p = CL.backup_columns(p, ["pv"])
+    p = CL.fill_constant(p, -1.0, ["ipp"])
+    return p.select("entity_id", "yr", "pv", "pv_ORIG", clip_lower("lag", 0).alias("lag_clipped"),
+                    safe_value("ipv_n", 10.0).alias("ipv_safe"), F.col("ipp").alias("ipp_filled"))
+
+
+_OVR = {"Quartzo": "ieg", "Ágata": "ida", "Ametista": "iaa", "Topázio": "ips"}
+
+
+@register("auc_ovr", with_panel("""
+WITH l AS (""" + " UNION ALL ".join(
+    f"SELECT tier, '{c}' AS cls, {col} AS score, CASE WHEN tier = '{c}' THEN 1 ELSE 0 END AS y FROM panel_x"
+    for c, col in _OVR.items()) + """),
+g AS (SELECT cls, score, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM l WHERE score IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS below FROM g),
+a AS (SELECT cls, sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc
+      FROM c GROUP BY cls),
+s AS (SELECT tier AS cls, count(*) AS support FROM panel_x GROUP BY tier)
+SELECT round(sum(auc * support) / sum(support), 9) AS auc_ovr_weighted FROM a JOIN s USING (cls)"""))
+def q_auc_ovr(spark, sf):
+    """E5: support-weighted one-vs-rest AUC of the tier, one indicator per
+    tier as that class's score (a data-derived stand-in for class
+    probabilities)."""
+    from panelkit.operators.evaluation import auc_ovr_weighted
+    return auc_ovr_weighted(px(spark, sf), "tier", _OVR).select(F.round("auc_ovr_weighted", 9).alias("auc_ovr_weighted"))
