@@ -1314,3 +1314,21 @@ def q_auc_ovr(spark, sf):
     probabilities)."""
     from panelkit.operators.evaluation import auc_ovr_weighted
     return auc_ovr_weighted(px(spark, sf), "tier", _OVR).select(F.round("auc_ovr_weighted", 9).alias("auc_ovr_weighted"))
+
+
+@register("train_test_gap", SCORED_SQL + """,
+m AS (SELECT doc_id % 5 = 0 AS is_test, CAST(count_if(label = pred) AS DOUBLE) / count(*) AS accuracy,
+             coalesce(CAST(2 * count_if(label = 1 AND pred = 1) AS DOUBLE)
+                      / nullif(2 * count_if(label = 1 AND pred = 1) + count_if(label = 0 AND pred = 1)
+                               + count_if(label = 1 AND pred = 0), 0), 0.0) AS f1
+      FROM scored GROUP BY 1)
+SELECT a.accuracy AS train_accuracy, a.f1 AS train_f1, b.accuracy AS test_accuracy, b.f1 AS test_f1,
+       a.accuracy - b.accuracy AS gap_accuracy, a.f1 - b.f1 AS gap_f1
+FROM m a JOIN m b ON NOT a.is_test AND b.is_test""")
+def q_train_test_gap(spark, sf):
+    """Metric gap between two parts of a scored table (doc_id % 5 = 0 is
+    the held-out part)."""
+    from panelkit.operators.evaluation import binary_metrics, train_test_gap
+    s = scored_docs(spark, sf)
+    return train_test_gap(binary_metrics(s.filter(F.col("doc_id") % 5 != 0)),
+                          binary_metrics(s.filter(F.col("doc_id") % 5 == 0)))
