@@ -31,7 +31,7 @@ from panelkit.operators.evaluation import (auc, best_threshold, binary_metrics,
 from panelkit.operators.sampling import stratified_folds, stratified_split
 from panelkit.session import cut_lineage
 
-__all__ = ["run_concurrently", "spread", "class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
+__all__ = ["run_concurrently", "spread", "prepare_split", "compare_candidates", "fit_folds_and_final", "class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
            "out_of_fold_scores", "cv_metric", "train_binary", "train_multiclass", "save_model", "load_model",
            "write_metric_rows", "artefact_check", "smoke_inference", "MODEL_SPECS"]
 
@@ -152,6 +152,27 @@ def run_concurrently(tasks: dict, parallelism: int = 4) -> dict:
         return {k: fu.result() for k, fu in futs.items()}
 
 
+def fit_folds_and_final(train: DataFrame, features, specs: dict, k: int = C.N_FOLDS, label: str = "label",
+                        fold: str = "fold", parallelism: int = 8, **kw) -> dict:
+    """All fits of a model selection at once: for every candidate spec, the
+    k fold models and the final model on the whole training part. None of
+    them depends on another's result, so they are submitted together and
+    share the executors. Returns {candidate: {"final": model, "oof": scores}}
+    with the out-of-fold scores checkpointed."""
+    tasks = {}
+    for c, spec in specs.items():
+        tasks[(c, "final")] = (lambda spec=spec: fit(train, features, spec, label=label, **kw))
+        for i in range(k):
+            tasks[(c, i)] = (lambda spec=spec, i=i: fit(train.filter(F.col(fold) != i), features, spec, label=label, **kw))
+    res = run_concurrently(tasks, parallelism)
+    out = {}
+    for c in specs:
+        parts = [res[(c, i)].transform(train.filter(F.col(fold) == i)).select(
+            fold, label, vector_to_array("probability")[1].alias("score")) for i in range(k)]
+        out[c] = {"final": res[(c, "final")], "oof": cut_lineage(reduce(DataFrame.unionByName, parts))}
+    return out
+
+
 def out_of_fold_scores(train: DataFrame, features, spec, k: int = C.N_FOLDS, label: str = "label",
                        fold: str = "fold", parallelism: int = 4, **kw) -> DataFrame:
     """k fits (run concurrently); each fold is scored by the model trained
@@ -173,21 +194,31 @@ def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label
     return per.agg(F.avg(metric).alias(f"cv_{metric}_mean"), F.stddev_samp(metric).alias(f"cv_{metric}_std"))
 
 
+def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label"):
+    """Weights, stratified 80/20 split and folds on the training part, each
+    checkpointed: returns (train with ``fold``, test)."""
+    data = cut_lineage(spread(class_weights(data, label)))
+    split = cut_lineage(stratified_split(data, label, keys, C.TEST_FRACTION, seed))
+    train = cut_lineage(stratified_folds(split.filter("is_test = 0"), label, keys, C.N_FOLDS, seed))
+    return train, split.filter("is_test = 1")
+
+
 def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Sequence[str],
-                 cv_metric_name: str = "f1", calibrate: bool = True, seed: int = C.SEED) -> dict:
+                 cv_metric_name: str = "f1", calibrate: bool = True, seed: int = C.SEED,
+                 prepared=None, oof: DataFrame | None = None, model: PipelineModel | None = None) -> dict:
     """Full binary procedure; returns model, threshold, scored test rows and a
-    one-row metrics frame."""
-    data = cut_lineage(spread(class_weights(data)))
-    split = cut_lineage(stratified_split(data, "label", keys, C.TEST_FRACTION, seed))
-    train = cut_lineage(stratified_folds(split.filter("is_test = 0"), "label", keys, C.N_FOLDS, seed))
-    test = split.filter("is_test = 1")
-    oof = cut_lineage(out_of_fold_scores(train, features, spec, seed=seed))
+    one-row metrics frame. ``prepared`` (train, test), ``oof`` and ``model``
+    let a caller reuse a split, out-of-fold scores and a final fit it
+    already has; otherwise fold fits and the final fit run together."""
+    train, test = prepared if prepared is not None else prepare_split(data, keys, seed)
+    if oof is None or model is None:
+        r = fit_folds_and_final(train, features, {"m": spec}, seed=seed)["m"]
+        oof, model = (oof if oof is not None else r["oof"]), (model if model is not None else r["final"])
     if calibrate and "threshold" not in spec:
         grid = threshold_grid(spec.get("min_thresh", 0.20), 0.80)
         thr = best_threshold(threshold_f1(oof, grid)).first()["threshold"]  # one scalar
     else:
         thr = float(spec.get("threshold", 0.5))
-    model = fit(train, features, spec, seed=seed)
     s_tr = score_binary(model, train, thr)
     s_te = score_binary(model, test, thr)
     m_tr = binary_metrics(s_tr)
@@ -260,12 +291,16 @@ def smoke_inference(model: PipelineModel, spark, features: Sequence[str], value:
 
 
 def compare_candidates(train: DataFrame, features: Sequence[str], specs: dict, metric: str = "auc",
-                       seed: int = C.SEED) -> DataFrame:
+                       seed: int = C.SEED, oof_out: dict | None = None) -> DataFrame:
     """ML10: cross-validated metric per candidate spec (out-of-fold scores,
-    no test-set selection); returns (candidate, mean, std, best)."""
+    no test-set selection); returns (candidate, mean, std, best). With
+    ``oof_out`` the checkpointed out-of-fold scores of each candidate are
+    handed back for reuse (calibration / CV report without refits)."""
     rows = []
     for name, spec in specs.items():
-        oof = out_of_fold_scores(train, features, spec, seed=seed)
+        oof = cut_lineage(out_of_fold_scores(train, features, spec, seed=seed))
+        if oof_out is not None:
+            oof_out[name] = oof
         rows.append(cv_metric(oof, metric).withColumn("candidate", F.lit(name)))
     allc = reduce(DataFrame.unionByName, rows)
     best = allc.agg(F.max_by("candidate", f"cv_{metric}_mean").alias("best")).first()["best"]  # one name

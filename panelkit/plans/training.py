@@ -31,18 +31,22 @@ def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
         data, feats, metric = FT.attrition_features(p, 1995, 2000), FT.ATTRITION_FEATURES, "auc"
     else:
         data, feats, metric = FT.turning_point_features(p), FT.TP_FEATURES, "auc"
-    spec = specs[name]
+    prepared = M.prepare_split(data, KEYS)
+    cands = {name: specs[name]}
     if name == "turning_point":
-        # ML10: boosting vs forest candidate, chosen by cross-validated AUC
-        from panelkit.operators.sampling import stratified_folds
-        from panelkit.session import cut_lineage
-        tr = cut_lineage(stratified_folds(M.spread(M.class_weights(data)), "label", KEYS))
-        cmp = M.compare_candidates(tr, feats, {"turning_point": specs["turning_point"],
-                                               "turning_point_rf": specs["turning_point_rf"]}, "auc")
-        best = cmp.filter("best").first()["candidate"]  # one name
-        spec = specs[best]
-    r = M.train_binary(data, feats, spec, KEYS, cv_metric_name=metric,
-                       calibrate=(name == "lag_risk"))
+        cands["turning_point_rf"] = specs["turning_point_rf"]
+    fits = M.fit_folds_and_final(prepared[0], feats, cands, parallelism=6 * len(cands))
+    best = name
+    if len(cands) > 1:
+        # ML10: boosting vs forest candidate, chosen by cross-validated AUC on
+        # the training part (never on the test part)
+        from functools import reduce
+        rows = [M.cv_metric(f["oof"], "auc").withColumn("candidate", F.lit(c)) for c, f in fits.items()]
+        best = reduce(DataFrame.unionByName, rows).agg(
+            F.max_by("candidate", "cv_auc_mean")).first()[0]  # one name
+    r = M.train_binary(data, feats, specs[best], KEYS, cv_metric_name=metric, calibrate=(name == "lag_risk"),
+                       prepared=prepared, oof=fits[best]["oof"], model=fits[best]["final"])
+    r["candidate"] = best
     r["features"] = feats
     return r
 
