@@ -1141,8 +1141,8 @@ def _fit_and_score(spark, sf, which):
     p = px(spark, sf)
     keys = ["entity_id", "yr"]
     if which == "tier":
-        d = cut_lineage(M.spread(M.class_weights(FT.tier_features(p), "tier")))
-        s = cut_lineage(stratified_split(d, "tier", keys, 0.2))
+        d = cut_lineage(M.class_weights(FT.tier_features(p), "tier"))
+        s = cut_lineage(M.spread(cut_lineage(stratified_split(d, "tier", keys, 0.2))))
         m = M.fit(s.filter("is_test = 0"), FT.TIER_FEATURES, M.MODEL_SPECS["tier"], label="label_idx", string_label="tier")
         out = M.score_multiclass(m, s.filter("is_test = 1"))
         return out.select("entity_id", "yr", "tier", "pred_label", F.round("confidence", 6).alias("confidence"))
@@ -1152,8 +1152,8 @@ def _fit_and_score(spark, sf, which):
         "attrition": (FT.ATTRITION_FEATURES, M.MODEL_SPECS["attrition"], lambda: FT.attrition_features(p, 1995, 2000),
                       "attrition"),
     }[which]
-    d = cut_lineage(M.spread(M.class_weights(data())))
-    s = cut_lineage(stratified_split(d, "label", keys, 0.2))
+    d = cut_lineage(M.class_weights(data()))
+    s = cut_lineage(M.spread(cut_lineage(stratified_split(d, "label", keys, 0.2))))
     m = M.fit(s.filter("is_test = 0"), feats, spec)
     out = M.score_binary(m, s.filter("is_test = 1"), float(spec.get("threshold", spec.get("min_thresh", 0.5))), band)
     return out.select("entity_id", "yr", "label", F.round("score", 6).alias("score"), "pred",

@@ -46,11 +46,15 @@ MODEL_SPECS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the model input over the cluster's task slots: tree
-    training parallelism is the partition count of its input, and a small
-    aggregated panel can arrive in a handful of partitions."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Size the model input's partitions to its rows: tree learners run one
+    task per partition per level, so a tiny matrix over many partitions pays
+    task overhead on every one of hundreds of jobs, while a large one needs
+    every task slot. ``df`` should be checkpointed (its count is cheap)."""
+    import math
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    n = df.count()
+    return df.repartition(max(1, min(slots, math.ceil(n / rows_per_task))))
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -197,9 +201,9 @@ def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label
 def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label"):
     """Weights, stratified 80/20 split and folds on the training part, each
     checkpointed: returns (train with ``fold``, test)."""
-    data = cut_lineage(spread(class_weights(data, label)))
+    data = cut_lineage(class_weights(data, label))
     split = cut_lineage(stratified_split(data, label, keys, C.TEST_FRACTION, seed))
-    train = cut_lineage(stratified_folds(split.filter("is_test = 0"), label, keys, C.N_FOLDS, seed))
+    train = cut_lineage(spread(cut_lineage(stratified_folds(split.filter("is_test = 0"), label, keys, C.N_FOLDS, seed))))
     return train, split.filter("is_test = 1")
 
 
@@ -240,8 +244,8 @@ def train_multiclass(data: DataFrame, features: Sequence[str], spec: dict, keys:
     """Multiclass procedure (tier): split stratified on the label text,
     weighted by class, evaluated with accuracy and weighted F1."""
     from panelkit.operators.evaluation import weighted_f1
-    data = cut_lineage(spread(class_weights(data, label_text)))
-    split = cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))
+    data = cut_lineage(class_weights(data, label_text))
+    split = cut_lineage(spread(cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))))
     train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
     model = fit(train, features, spec, label="label_idx", string_label=label_text, seed=seed)
     s_te = score_multiclass(model, test)
