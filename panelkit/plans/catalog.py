@@ -1332,3 +1332,16 @@ def q_train_test_gap(spark, sf):
     s = scored_docs(spark, sf)
     return train_test_gap(binary_metrics(s.filter(F.col("doc_id") % 5 != 0)),
                           binary_metrics(s.filter(F.col("doc_id") % 5 == 0)))
+
+
+@register("driver_report", with_panel(f"""
+SELECT indicator, {EM("CASE WHEN pv = 'Sim' THEN value END")} AS "Sim", {EM("CASE WHEN pv = 'Não' THEN value END")} AS "Não"
+FROM (SELECT pv, indicator, value FROM panel_x WHERE pv IS NOT NULL
+      UNPIVOT INCLUDE NULLS (value FOR indicator IN (ieg, ida, iaa, ips, ian, ipp, inde)))
+GROUP BY indicator"""))
+def q_driver_report(spark, sf):
+    """Indicator profile of rows that reached the turning point vs
+    those that did not (indicator × group, the turning-point index itself
+    excluded)."""
+    cols = [c for c in INDICATORS if c != "ipv"]
+    return U.transpose_means(px(spark, sf), "pv", cols, ["Sim", "Não"], scale=4)
