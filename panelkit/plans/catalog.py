@@ -1336,8 +1336,8 @@ def q_train_test_gap(spark, sf):
 
 @register("driver_report", with_panel(f"""
 SELECT indicator, {EM("CASE WHEN pv = 'Sim' THEN value END")} AS "Sim", {EM("CASE WHEN pv = 'Não' THEN value END")} AS "Não"
-FROM (SELECT pv, indicator, value FROM panel_x WHERE pv IS NOT NULL
-      UNPIVOT INCLUDE NULLS (value FOR indicator IN (ieg, ida, iaa, ips, ian, ipp, inde)))
+FROM (SELECT pv, ieg, ida, iaa, ips, ian, ipp, inde FROM panel_x WHERE pv IS NOT NULL)
+     UNPIVOT INCLUDE NULLS (value FOR indicator IN (ieg, ida, iaa, ips, ian, ipp, inde))
 GROUP BY indicator"""))
 def q_driver_report(spark, sf):
     """Indicator profile of rows that reached the turning point vs
