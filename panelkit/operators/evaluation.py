@@ -75,24 +75,29 @@ def weighted_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
 
 
 def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                        buckets: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``values`` in global ``order`` (one row per
-    distinct ``order`` value expected), computed range-parallel over
-    ``buckets`` ranges (default: the session's shuffle parallelism)."""
+                        buckets: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``values`` in ``order`` (within each
+    ``keys`` group; one row per distinct (keys, order) value expected),
+    computed range-parallel: rows are cut into ``buckets`` ranges at global
+    approximate quantiles of ``order`` (default: the session's shuffle
+    parallelism), summed per (keys, range) in parallel, and shifted by range
+    offsets from a table with one row per (keys, range). A key holding most
+    rows is thus spread over all ranges."""
     from panelkit.operators.sampling import _buckets
     buckets = _buckets(df, buckets, 8)
+    keys = list(keys)
     o = F.col(order)
     key = -o if descending else o
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.percentile_approx(key, qs, 1000)).scalar()
     r = df.withColumn("__k", key).withColumn("__bounds", bounds)
     r = r.withColumn("__b", F.size(F.filter(F.col("__bounds"), lambda x: x < F.col("__k")))).drop("__bounds")
-    w = Window.partitionBy("__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values})
-    tot = r.groupBy("__b").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
-    wo = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    off = tot.select("__b", *[F.coalesce(F.sum(f"t_{v}").over(wo), F.lit(0)).alias(f"o_{v}") for v in values])
-    out = r.join(F.broadcast(off), "__b")
+    tot = r.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
+    wo = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ buckets rows per key
+    off = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"t_{v}").over(wo), F.lit(0)).alias(f"o_{v}") for v in values])
+    out = r.join(off if keys else F.broadcast(off), [*keys, "__b"])
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}).drop(
         "__b", "__k", *[f"o_{v}" for v in values])
 
@@ -122,10 +127,10 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequenc
     if keys:
         g = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-        w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        g = g.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-        return g.groupBy(*keys).agg(
-            (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0)))
+        c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets, keys=keys)
+        below = F.col("cum_neg") - F.col("neg")
+        return c.groupBy(*keys).agg(
+            (F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
              / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
     g = score_groups(df, label, score)
     c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets)

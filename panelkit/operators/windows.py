@@ -77,10 +77,14 @@ def biggest_mover(yearly_means: DataFrame, year: str, cols: Sequence[str], digit
 
 
 def first_seen_code(df: DataFrame, col: str, row_id: str) -> DataFrame:
-    """Category → code by order of first appearance (0-based). The
-    window runs over the distinct categories only (one row each)."""
+    """Category → code by order of first appearance (0-based). Each
+    category's first row id is unique, so the code is a global running count
+    over first row ids — computed range-parallel, so a column with millions
+    of categories never lands in one task."""
+    from panelkit.operators.evaluation import ordered_prefix_sums
     firsts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(row_id).alias("first_row"))
-    return firsts.select(col, (F.row_number().over(Window.orderBy("first_row", col)) - 1).alias("code"))
+    c = ordered_prefix_sums(firsts.withColumn("__one", F.lit(1)), "first_row", ["__one"])
+    return c.select(col, (F.col("cum___one") - 1).cast("int").alias("code"))
 
 
 def tier_change_fixed(df: DataFrame, entity: str, year: str, ord_col: str, base_year: int,

@@ -142,3 +142,20 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]], "g string, x double")
     r = S.box_summary(df, "x", "g").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_hi"], r["outliers"]) == (2.0, 3.0, 4.0, 4.0, 1)
+
+
+def test_keyed_auc_with_hot_key_matches_brute_force(spark):
+    rnd = random.Random(11)
+    data = [("hot" if i % 10 else f"k{i % 3}", round(rnd.random(), 2), rnd.randint(0, 1)) for i in range(600)]
+    df = spark.createDataFrame(data, "g string, score double, label int")
+    got = {r["g"]: r["auc"] for r in E.auc(df, keys=["g"], buckets=6).collect()}
+    for g in got:
+        pos = [s for k, s, y in data if k == g and y == 1]
+        neg = [s for k, s, y in data if k == g and y == 0]
+        brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(got[g] - brute) < 1e-12
+
+
+def test_first_seen_code_order(spark):
+    df = spark.createDataFrame([(5, "b"), (1, "c"), (3, "a"), (2, "c"), (9, None)], "rid int, cat string")
+    assert {r["cat"]: r["code"] for r in W.first_seen_code(df, "cat", "rid").collect()} == {"c": 0, "a": 1, "b": 2}
