@@ -1345,3 +1345,28 @@ def q_driver_report(spark, sf):
     excluded)."""
     cols = [c for c in INDICATORS if c != "ipv"]
     return U.transpose_means(px(spark, sf), "pv", cols, ["Sim", "Não"], scale=4)
+
+
+@register("csv_wide_roundtrip", with_panel("SELECT entity_id, yr, ieg, ida, inde, tier FROM panel_x"))
+def q_csv_wide_roundtrip(spark, sf):
+    """S1/P1/P2/P3/P6/U2 end to end on data derived from the tables: the
+    panel is written wide (``INDE_1995`` …, ``PEDRA_1995`` …) as a
+    ``;``-separated UTF-8 CSV in the shared folder, read back as latin-1
+    text (so accented tiers arrive as mojibake, like the source file),
+    renamed, typed with bad text → NULL, repaired and reshaped to long."""
+    from panelkit.operators import clean as CL
+    from panelkit.session import ensure_checkpoint_dir
+    from panelkit.sources.readers import read_delimited_panel
+    measures = ["ieg", "ida", "inde", "tier"]
+    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", measures, YEARS)
+    upper = {f"{m}_{y}": f"{'PEDRA' if m == 'tier' else m.upper()}_{y}" for m in measures for y in YEARS}
+    wide = wide.withColumnsRenamed({**upper, "entity_id": "ID"})
+    path = (ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{spark.sparkContext.applicationId}/wide_csv_"
+            + __import__("hashlib").sha1(sf.encode()).hexdigest()[:12])
+    wide.write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
+    raw = read_delimited_panel(spark, path, wide.columns)
+    num = [c for c in raw.columns if not c.startswith("PEDRA_")]
+    t = CL.canonicalise_tier(CL.coerce_numeric(raw, num), [c for c in raw.columns if c.startswith("PEDRA_")])
+    t = CL.rename_columns(t, {**{v: k for k, v in upper.items()}, "ID": "entity_id"})
+    long = U.wide_to_long(t, ["entity_id"], measures, YEARS, "yr", anchor="inde")
+    return long.select(F.col("entity_id").cast("bigint").alias("entity_id"), "yr", "ieg", "ida", "inde", "tier")
