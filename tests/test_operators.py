@@ -159,3 +159,15 @@ def test_keyed_auc_with_hot_key_matches_brute_force(spark):
 def test_first_seen_code_order(spark):
     df = spark.createDataFrame([(5, "b"), (1, "c"), (3, "a"), (2, "c"), (9, None)], "rid int, cat string")
     assert {r["cat"]: r["code"] for r in W.first_seen_code(df, "cat", "rid").collect()} == {"c": 0, "a": 1, "b": 2}
+
+
+def test_event_ordinal_hot_user_matches_row_number(spark):
+    from pyspark.sql import Window
+    from panelkit.plans.progress import event_ordinal
+    rnd = random.Random(5)
+    rows = [(0 if i % 3 else rnd.randint(1, 4), i, 1_700_000_000 + rnd.randint(0, 10 * 86400)) for i in range(900)]
+    ev = spark.createDataFrame(rows, "u int, eid int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["eid"]: r["ordinal"] for r in event_ordinal(ev, "u", "ts", "eid").collect()}
+    w = Window.partitionBy("u").orderBy("ts", "eid")
+    want = {r["eid"]: r["o"] for r in ev.select("eid", (F.row_number().over(w) - 1).alias("o")).collect()}
+    assert got == want
