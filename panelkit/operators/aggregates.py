@@ -164,7 +164,7 @@ def count_above_mean(df: DataFrame, col: str, scale: int | None = None) -> DataF
     return df.agg(F.count_if(F.col(col) > m).alias("n_above"), F.count(col).alias("n"))
 
 
-def mean_gap(df: DataFrame, a: str, b: str, scale: int | None = None) -> Column:
+def mean_gap(a: str, b: str, scale: int | None = None) -> Column:
     """Mean of a − b over complete pairs (as an aggregate column)."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     return mean_of(F.when(both, F.col(a) - F.col(b)), scale)

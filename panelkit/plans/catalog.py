@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.functions.bands import ian_band, trend_verdict
+from panelkit.functions.bands import ian_band
 from panelkit.functions.core import exact_mean, ratio_by_phase, row_mean_skipna, row_mean_strict
 from panelkit.operators import aggregates as A
 from panelkit.operators import reshape as U
@@ -211,7 +211,7 @@ def q_group_gap(spark, sf):
 @register("mean_gap", with_panel(f"""
 SELECT {EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")} AS mean_gap FROM panel""", False))
 def q_mean_gap(spark, sf):
-    return px(spark, sf).agg(A.mean_gap(None, "iaa", "ida", scale=4).alias("mean_gap"))
+    return px(spark, sf).agg(A.mean_gap("iaa", "ida", scale=4).alias("mean_gap"))
 
 
 @register("distinct_sorted", with_panel("""
@@ -730,8 +730,7 @@ def q_effectiveness(spark, sf):
     """Tier trajectory (mean index per year × tier)."""
     p = px(spark, sf)
     return A.group_means(p, ["yr", "tier"], ["inde"], scale=4).join(
-        A.group_count(p.filter(F.col("tier").isNotNull()), ["yr", "tier"]), ["yr", "tier"]).withColumnRenamed(
-        "mean_inde", "mean_inde")
+        A.group_count(p.filter(F.col("tier").isNotNull()), ["yr", "tier"]), ["yr", "tier"])
 
 
 @register("segments", with_panel(f"""

@@ -43,7 +43,7 @@ def engagement(p: DataFrame, ieg="ieg", ida="ida", ipv="ipv") -> DataFrame:
 def self_assessment(p: DataFrame, iaa="iaa", ida="ida", scale=None) -> DataFrame:
     """Mean gap, regression of self-assessment on performance, verdict
     (gap > 0.5 over; |gap| < 0.5 coherent; else under)."""
-    gap = A.mean_gap(p, iaa, ida, scale)
+    gap = A.mean_gap(iaa, ida, scale)
     one = p.agg(gap.alias("mean_gap"), F.round(F.regr_slope(iaa, ida), 6).alias("slope"),
                 F.round(F.regr_intercept(iaa, ida), 6).alias("intercept"),
                 F.round(F.regr_r2(iaa, ida), 6).alias("r2"), F.round(F.corr(iaa, ida), 6).alias("r"))
