@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["binary_metrics", "confusion", "class_report", "weighted_f1", "ordered_prefix_sums",
+__all__ = ["one_row", "binary_metrics", "confusion", "class_report", "weighted_f1", "ordered_prefix_sums",
            "score_groups", "roc_points", "auc", "auc_ovr_weighted", "threshold_grid", "threshold_f1",
            "best_threshold", "train_test_gap", "metric_rows"]
 
@@ -185,12 +185,21 @@ def best_threshold(per_fold: DataFrame) -> DataFrame:
                  F.max("mean_f1").alias("mean_f1"))
 
 
+def one_row(frames: Sequence[DataFrame]) -> DataFrame:
+    """Combine one-row frames with distinct column names into one row:
+    union by name (missing columns NULL) and take each column's non-null
+    value in a single aggregation — no join."""
+    from functools import reduce
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
+
+
 def train_test_gap(train_metrics: DataFrame, test_metrics: DataFrame,
                    metrics: Sequence[str] = ("accuracy", "f1")) -> DataFrame:
     """Train − test difference per metric (inputs: one row each)."""
-    a = train_metrics.select(*[F.col(m).alias(f"train_{m}") for m in metrics]).withColumn("__k", F.lit(1))
-    b = test_metrics.select(*[F.col(m).alias(f"test_{m}") for m in metrics]).withColumn("__k", F.lit(1))
-    j = a.join(b, "__k").drop("__k")
+    a = train_metrics.select(*[F.col(m).alias(f"train_{m}") for m in metrics])
+    b = test_metrics.select(*[F.col(m).alias(f"test_{m}") for m in metrics])
+    j = one_row([a, b])
     return j.withColumns({f"gap_{m}": F.col(f"train_{m}") - F.col(f"test_{m}") for m in metrics})
 
 

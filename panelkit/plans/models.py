@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelkit import config as C
 from panelkit.functions.bands import attrition_band, lag_band
-from panelkit.operators.evaluation import (auc, best_threshold, binary_metrics, threshold_f1,
+from panelkit.operators.evaluation import (auc, best_threshold, binary_metrics, one_row, threshold_f1,
                                            threshold_grid)
 from panelkit.operators.sampling import stratified_folds, stratified_split
 from panelkit.session import cut_lineage
@@ -226,14 +226,12 @@ def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Seq
     s_tr = score_binary(model, train, thr)
     s_te = score_binary(model, test, thr)
     m_tr = binary_metrics(s_tr)
-    m_te = binary_metrics(s_te).withColumn("__k", F.lit(1)).join(
-        auc(s_te).withColumn("__k", F.lit(1)), "__k").drop("__k")
+    m_te = binary_metrics(s_te)
     cvm = cv_metric(oof, cv_metric_name, thr)
-    row = (m_te.select(F.col("accuracy").alias("accuracy_test"), F.col("f1").alias("f1_test"),
-                       F.col("recall").alias("recall_test"), F.col("precision").alias("precision_test"),
-                       F.col("auc").alias("auc_test"), F.lit(1).alias("__k"))
-           .join(m_tr.select(F.col("accuracy").alias("accuracy_train"), F.lit(1).alias("__k")), "__k")
-           .join(cvm.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    row = (one_row([m_te.select(F.col("accuracy").alias("accuracy_test"), F.col("f1").alias("f1_test"),
+                                F.col("recall").alias("recall_test"), F.col("precision").alias("precision_test")),
+                    auc(s_te).select(F.col("auc").alias("auc_test")),
+                    m_tr.select(F.col("accuracy").alias("accuracy_train")), cvm])
            .withColumn("threshold", F.lit(float(thr)))
            .withColumn("gap_accuracy", F.col("accuracy_train") - F.col("accuracy_test")))
     return {"model": model, "threshold": thr, "test_scores": s_te, "metrics": row, "oof": oof}
@@ -254,9 +252,8 @@ def train_multiclass(data: DataFrame, features: Sequence[str], spec: dict, keys:
     def acc(s):
         return s.agg(F.avg((F.col("pred_label") == F.col(label_text)).cast("double")).alias("acc"))
     wf1 = weighted_f1(s_te.select(F.col(label_text).alias("label"), F.col("pred_label").alias("pred")))
-    row = (acc(s_te).select(F.col("acc").alias("accuracy_test"), F.lit(1).alias("__k"))
-           .join(acc(s_tr).select(F.col("acc").alias("accuracy_train"), F.lit(1).alias("__k")), "__k")
-           .join(wf1.select("weighted_f1", F.lit(1).alias("__k")), "__k").drop("__k"))
+    row = one_row([acc(s_te).select(F.col("acc").alias("accuracy_test")),
+                   acc(s_tr).select(F.col("acc").alias("accuracy_train")), wf1.select("weighted_f1")])
     return {"model": model, "test_scores": s_te, "metrics": row}
 
 
