@@ -66,22 +66,32 @@ def fill_constant(df: DataFrame, value, cols: Iterable[str]) -> DataFrame:
     return df.fillna(value, subset=list(cols))
 
 
+def median_struct(df: DataFrame, cols: Iterable[str], exact: bool = True) -> Column:
+    """One scalar subquery holding every column's median as a struct field.
+    Exact ``median`` keeps a value→count map per column — bounded for scores
+    with limited precision; ``exact=False`` uses ``approx_percentile`` for
+    unbounded domains."""
+    aggs = [(F.median(c) if exact else F.approx_percentile(c, 0.5, 10000)).cast("double").alias(c) for c in cols]
+    return df.select(F.struct(*aggs)).scalar()
+
+
 def median_values(df: DataFrame, cols: Iterable[str], exact: bool = True) -> dict[str, Column]:
-    """Scalar-subquery columns holding each column's median (0 when the
-    column is entirely missing). Exact ``median`` keeps a value→count map per
-    column — bounded for scores with limited precision; ``exact=False`` uses
-    ``approx_percentile`` for unbounded domains."""
+    """Per-column median columns (0 when a column is entirely missing)."""
     cols = list(cols)
-    aggs = [F.median(c) if exact else F.approx_percentile(c, 0.5, 10000) for c in cols]
-    return {c: F.coalesce(df.select(a.cast("double")).scalar(), F.lit(0.0)) for c, a in zip(cols, aggs)}
+    one = median_struct(df, cols, exact)
+    return {c: F.coalesce(one.getField(c), F.lit(0.0)) for c in cols}
 
 
 def median_fill(df: DataFrame, cols: Iterable[str], fit_on: DataFrame | None = None,
                 exact: bool = True) -> DataFrame:
     """P20: fill missing with the median fitted on ``fit_on`` (default ``df``);
-    fit on the training part only to avoid leakage (D23)."""
-    med = median_values(fit_on if fit_on is not None else df, cols, exact)
-    return df.withColumns({c: F.coalesce(F.col(c), m) for c, m in med.items()})
+    fit on the training part only to avoid leakage (D23). All medians come
+    from one subquery, attached once as a column and read field by field."""
+    cols = list(cols)
+    src = fit_on if fit_on is not None else df
+    out = df.withColumn("__med", median_struct(src, cols, exact))
+    out = out.withColumns({c: F.coalesce(F.col(c), F.coalesce(F.col("__med").getField(c), F.lit(0.0))) for c in cols})
+    return out.drop("__med")
 
 
 def mode_fill(df: DataFrame, cols: Iterable[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -50,13 +50,16 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
 
 
 def class_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """Per-class precision, recall, F1, support (one-vs-rest cells from
-    one pass over the confusion counts)."""
-    cm = confusion(df, label, pred)
-    tp = cm.filter(F.col(label) == F.col(pred)).select(F.col(label).alias("cls"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col(label).alias("cls")).agg(F.sum("n").alias("support"))
-    predn = cm.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("predicted"))
-    r = tp.join(sup, "cls").join(predn, "cls")
+    """Per-class precision, recall, F1, support. Each row contributes
+    to its true class (support, hit) and to its predicted class, so one
+    generator + one aggregation gives every one-vs-rest cell."""
+    y, p = F.col(label), F.col(pred)
+    hit = F.coalesce(y == p, F.lit(False)).cast("long")
+    rows = df.select(F.explode(F.array(
+        F.struct(y.alias("cls"), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("p"), hit.alias("tp")),
+        F.struct(p.alias("cls"), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("p"),
+                 F.lit(0).cast("long").alias("tp")))).alias("r")).select("r.*")
+    r = rows.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("s").alias("support"), F.sum("p").alias("predicted"))
     prec, rec = _div(F.col("tp"), F.col("predicted")), _div(F.col("tp"), F.col("support"))
     return r.select("cls", prec.alias("precision"), rec.alias("recall"),
                     _div(F.lit(2) * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"),

@@ -80,15 +80,17 @@ def line_grid(df: DataFrame, x: str, y: str, points: int = 100, digits: int = 6)
 def histogram(df: DataFrame, col: str, bins: int, group: str | None = None, digits: int = 6) -> DataFrame:
     """Equal-width histogram over [min, max] with ``bins`` bins (last
     bin right-closed, as numpy). min/max are scalar subqueries."""
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
+    mm = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    d = df.filter(F.col(col).isNotNull()).withColumn("__mm", mm)  # the subquery is attached once
+    lo, hi = F.col("__mm.lo"), F.col("__mm.hi")
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - lo) / width).cast("int"), F.lit(bins - 1)))
     keys = ([group] if group else []) + ["bin"]
-    h = df.filter(F.col(col).isNotNull()).withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return h.select(*keys, F.round(lo + width * F.col("bin"), digits).alias("lo"),
-                    F.round(lo + width * (F.col("bin") + 1), digits).alias("hi"), "n")
+    h = d.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first(lo).alias("__lo"),
+                                                  F.first(width).alias("__w"))
+    return h.select(*keys, F.round(F.col("__lo") + F.col("__w") * F.col("bin"), digits).alias("lo"),
+                    F.round(F.col("__lo") + F.col("__w") * (F.col("bin") + 1), digits).alias("hi"), "n")
 
 
 def right_closed_bins(col: str, edges: Sequence[float]):
