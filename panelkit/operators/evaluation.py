@@ -115,12 +115,11 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", bucket
     """One ROC point per distinct score (threshold = score, predict
     positive when score ≥ threshold)."""
     g = score_groups(df, label, score)
-    P = df.select(F.count_if(F.col(label) == 1)).scalar()
-    N = df.select(F.count_if(F.col(label) != 1)).scalar()
-    c = ordered_prefix_sums(g, "score", ["pos", "neg"], descending=True, buckets=buckets)
+    pn = df.select(F.struct(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) != 1).alias("N"))).scalar()
+    c = ordered_prefix_sums(g, "score", ["pos", "neg"], descending=True, buckets=buckets).withColumn("__pn", pn)
     return c.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                    F.try_divide(F.col("cum_pos").cast("double"), P.cast("double")).alias("tpr"),
-                    F.try_divide(F.col("cum_neg").cast("double"), N.cast("double")).alias("fpr"))
+                    F.try_divide(F.col("cum_pos").cast("double"), F.col("__pn.P").cast("double")).alias("tpr"),
+                    F.try_divide(F.col("cum_neg").cast("double"), F.col("__pn.N").cast("double")).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = (),
