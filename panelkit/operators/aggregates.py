@@ -139,7 +139,7 @@ def null_profile(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     cols = list(cols)
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = one.unpivot(["__n"], cols, "column", "nulls")
-    pct = F.round(F.col("nulls").cast("double") / F.col("__n") * F.lit(100.0), 4)
+    pct = F.round(F.try_divide(F.col("nulls").cast("double"), F.col("__n").cast("double")) * F.lit(100.0), 4)
     return long.select("column", "nulls", pct.alias("pct"), null_share_status(pct).alias("status"))
 
 

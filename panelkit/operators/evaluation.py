@@ -72,9 +72,9 @@ def weighted_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
     tot = F.sum("support").cast("double")
     return rep.agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
                    F.avg("f1").alias("macro_f1"),
-                   (F.sum(F.col("precision") * F.col("support")) / tot).alias("weighted_precision"),
-                   (F.sum(F.col("recall") * F.col("support")) / tot).alias("weighted_recall"),
-                   (F.sum(F.col("f1") * F.col("support")) / tot).alias("weighted_f1"))
+                   F.try_divide(F.sum(F.col("precision") * F.col("support")), tot).alias("weighted_precision"),
+                   F.try_divide(F.sum(F.col("recall") * F.col("support")), tot).alias("weighted_recall"),
+                   F.try_divide(F.sum(F.col("f1") * F.col("support")), tot).alias("weighted_f1"))
 
 
 def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
@@ -131,14 +131,15 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequenc
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
         c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets, keys=keys)
         below = F.col("cum_neg") - F.col("neg")
-        return c.groupBy(*keys).agg(
-            (F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
-             / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
+        return c.groupBy(*keys).agg(F.try_divide(
+            F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),
+            F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
     g = score_groups(df, label, score)
     c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets)
     below = F.col("cum_neg") - F.col("neg")
-    return c.agg((F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
-                  / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
+    # undefined (NULL) when one class is absent
+    return c.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),
+                              F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
 def auc_ovr_weighted(df: DataFrame, label: str, prob_cols: dict) -> DataFrame:
@@ -150,7 +151,8 @@ def auc_ovr_weighted(df: DataFrame, label: str, prob_cols: dict) -> DataFrame:
     per = auc(long, "y", "score", keys=["cls"])
     sup = df.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("support"))
     j = per.join(sup, "cls")
-    return j.agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc_ovr_weighted"))
+    return j.agg(F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support").cast("double"))
+                 .alias("auc_ovr_weighted"))
 
 
 def threshold_grid(min_thresh: float = 0.20, max_thresh: float = 0.80, per_unit: int = 60) -> list[float]:

@@ -948,7 +948,7 @@ g AS (SELECT {k} score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg
       WHERE score IS NOT NULL GROUP BY {k} score),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {p} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                 AS below FROM g)
-SELECT {k} sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM c {gb}"""
+SELECT {k} sum(pos * (below + neg / 2.0)) / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc FROM c {gb}"""
 
 
 @register("auc", SCORED_SQL + AUC_SQL.format(k="", p="1", gb=""))
@@ -1261,8 +1261,8 @@ def q_lookup_first(spark, sf):
 # --------------------------------------------------- cleaning / balance / E5 --
 @register("class_balance", with_panel(TRANS_SQL + """
 SELECT CAST(count_if(label = 0) AS BIGINT) AS n0, CAST(count_if(label = 1) AS BIGINT) AS n1,
-       CAST(count_if(label = 0) AS DOUBLE) / count_if(label = 1) AS ratio,
-       CAST(count_if(label = 1) AS DOUBLE) / (count_if(label = 0) + count_if(label = 1)) AS rate FROM tr""", False))
+       CAST(count_if(label = 0) AS DOUBLE) / nullif(count_if(label = 1), 0) AS ratio,
+       CAST(count_if(label = 1) AS DOUBLE) / nullif(count_if(label = 0) + count_if(label = 1), 0) AS rate FROM tr""", False))
 def q_class_balance(spark, sf):
     """Class balance of the attrition target."""
     return A.class_balance(_transitions(spark, sf), "label")
@@ -1303,7 +1303,7 @@ WITH l AS (""" + " UNION ALL ".join(
 g AS (SELECT cls, score, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM l WHERE score IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
       AS below FROM g),
-a AS (SELECT cls, sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc
+a AS (SELECT cls, sum(pos * (below + neg / 2.0)) / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc
       FROM c GROUP BY cls),
 s AS (SELECT tier AS cls, count(*) AS support FROM panel_x GROUP BY tier)
 SELECT round(sum(auc * support) / sum(support), 9) AS auc_ovr_weighted FROM a JOIN s USING (cls)"""))

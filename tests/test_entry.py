@@ -26,13 +26,16 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("key", ["tier_share", "kpi_row", "corr_matrix", "transitions", "alert_levels",
-                                 "quiz_sessions", "auc", "roc_points", "features_attrition", "box_summary",
-                                 "badges_xp", "threshold_f1"])
-def test_matches_duckdb(spark, key):
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+def test_matches_duckdb(spark, con, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     s = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=repr)

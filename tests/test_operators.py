@@ -171,3 +171,11 @@ def test_event_ordinal_hot_user_matches_row_number(spark):
     w = Window.partitionBy("u").orderBy("ts", "eid")
     want = {r["eid"]: r["o"] for r in ev.select("eid", (F.row_number().over(w) - 1).alias("o")).collect()}
     assert got == want
+
+
+def test_degenerate_inputs_give_null_not_errors(spark):
+    one_class = spark.createDataFrame([(0.3, 1), (0.7, 1)], "score double, label int")
+    assert E.auc(one_class).first()["auc"] is None
+    empty = spark.createDataFrame([], "x double, label int, pred int")
+    assert A.null_profile(empty, ["x"]).first()["pct"] is None
+    assert E.weighted_f1(empty).first()["weighted_f1"] is None
