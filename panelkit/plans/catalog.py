@@ -984,7 +984,9 @@ f AS (SELECT *, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0
 
 @register("threshold_f1", _thr_sql() + "SELECT fold, CAST(ti AS INTEGER) AS ti, threshold, tp, fp, fn, f1 FROM f")
 def q_threshold_f1(spark, sf):
-    """J7/ML11: F1 per (fold, threshold) on the calibration grid."""
+    """J7/ML11: F1 per (fold, threshold) on the calibration grid. Every
+    scored row is used; ``doc_id % 5`` only assigns rows to the five folds
+    (deterministically, so the oracle can reproduce it)."""
     from panelkit.operators.evaluation import threshold_f1
     return threshold_f1(scored_docs(spark, sf).withColumn("fold", F.col("doc_id") % 5), _grid())
 
@@ -1249,12 +1251,13 @@ def q_tier_count_by_year(spark, sf):
 
 @register("lookup_first", with_panel("""
 SELECT entity_id, yr, inde FROM (SELECT entity_id, yr, inde, row_number() OVER (PARTITION BY entity_id ORDER BY yr) AS rn
-  FROM panel_x WHERE entity_id IN (SELECT entity_id FROM panel_x WHERE lag = 3 AND phase = 1)) WHERE rn = 1"""))
+  FROM panel_x WHERE entity_id IN (SELECT entity_id FROM panel_x WHERE tier = 'Topázio')) WHERE rn = 1"""))
 def q_lookup_first(spark, sf):
-    """First row per requested key (keys from a data-derived list)."""
+    """First row of each requested entity (the key list: entities that
+    ever reach the top tier)."""
     from panelkit.operators.joins import lookup_first
     p = px(spark, sf)
-    keys = p.filter((F.col("lag") == 3) & (F.col("phase") == 1)).select("entity_id")
+    keys = p.filter(F.col("tier") == "Topázio").select("entity_id")
     return lookup_first(p.select("entity_id", "yr", "inde"), keys, "entity_id", "yr")
 
 
@@ -1316,7 +1319,7 @@ def q_auc_ovr(spark, sf):
 
 
 @register("train_test_gap", SCORED_SQL + """,
-m AS (SELECT doc_id % 5 = 0 AS is_test, CAST(count_if(label = pred) AS DOUBLE) / count(*) AS accuracy,
+m AS (SELECT lang <> 'en' AS is_test, CAST(count_if(label = pred) AS DOUBLE) / count(*) AS accuracy,
              coalesce(CAST(2 * count_if(label = 1 AND pred = 1) AS DOUBLE)
                       / nullif(2 * count_if(label = 1 AND pred = 1) + count_if(label = 0 AND pred = 1)
                                + count_if(label = 1 AND pred = 0), 0), 0.0) AS f1
@@ -1325,12 +1328,12 @@ SELECT a.accuracy AS train_accuracy, a.f1 AS train_f1, b.accuracy AS test_accura
        a.accuracy - b.accuracy AS gap_accuracy, a.f1 - b.f1 AS gap_f1
 FROM m a JOIN m b ON NOT a.is_test AND b.is_test""")
 def q_train_test_gap(spark, sf):
-    """Metric gap between two parts of a scored table (doc_id % 5 = 0 is
-    the held-out part)."""
+    """Metric gap between two parts of a scored table: English
+    documents (the majority) against all other languages."""
     from panelkit.operators.evaluation import binary_metrics, train_test_gap
     s = scored_docs(spark, sf)
-    return train_test_gap(binary_metrics(s.filter(F.col("doc_id") % 5 != 0)),
-                          binary_metrics(s.filter(F.col("doc_id") % 5 == 0)))
+    return train_test_gap(binary_metrics(s.filter(F.col("lang") == "en")),
+                          binary_metrics(s.filter(F.col("lang") != "en")))
 
 
 @register("driver_report", with_panel(f"""
