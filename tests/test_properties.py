@@ -48,3 +48,15 @@ def test_panel_is_unique_per_entity_year_and_in_range(spark):
     assert p.count() == p.select("entity_id", "yr").distinct().count()
     bad = p.filter(" OR ".join(f"({c} < 0 OR {c} > 10)" for c in INDICATORS)).count()
     assert bad == 0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 2), min_size=5, max_size=120))
+def test_split_quota_is_exact_per_class(spark, labels):
+    import math
+    from panelkit.operators.sampling import stratified_split
+    df = spark.createDataFrame(list(enumerate(labels)), "id int, label int")
+    got = {r["label"]: r["n"] for r in stratified_split(df, "label", ["id"], 0.2, buckets=8)
+           .filter("is_test = 1").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    for c in set(labels):
+        assert got.get(c, 0) == math.ceil(labels.count(c) * 0.2)
