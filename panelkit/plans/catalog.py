@@ -1372,3 +1372,15 @@ def q_csv_wide_roundtrip(spark, sf):
     t = CL.rename_columns(t, {**{v: k for k, v in upper.items()}, "ID": "entity_id"})
     long = U.wide_to_long(t, ["entity_id"], measures, YEARS, "yr", anchor="inde")
     return long.select(F.col("entity_id").cast("bigint").alias("entity_id"), "yr", "ieg", "ida", "inde", "tier")
+
+
+@register("flag_count_distribution", with_panel("""
+SELECT n_flags, count(*) AS n FROM (
+  SELECT CASE WHEN ieg < 4 THEN 1 ELSE 0 END + CASE WHEN ips < 4 THEN 1 ELSE 0 END
+         + CASE WHEN ida < 4 THEN 1 ELSE 0 END AS n_flags FROM panel) GROUP BY n_flags""", False))
+def q_flag_count_distribution(spark, sf):
+    """The fixture's three stand-in alert flags (ieg, ips, ida
+    below 4), summed per row, rows per flag count."""
+    from panelkit.functions.core import flag, flag_sum
+    p = px(spark, sf).select(flag_sum([flag(F.col(c) < 4) for c in ("ieg", "ips", "ida")]).alias("n_flags"))
+    return A.counts_by_key(p, "n_flags")
