@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 __all__ = ["col_", "to_double", "nan_to_null", "flag", "flag_sum", "row_mean_skipna",
            "row_mean_strict", "safe_value", "safe_div", "clip_lower", "ratio_by_phase",
-           "exact_mean"]
+           "exact_mean", "tenure"]
 
 
 def col_(c) -> Column:
@@ -87,3 +87,10 @@ def exact_mean(c, scale: int = 4) -> Column:
     m = 10 ** scale
     s = F.sum(F.round(col_(c) * F.lit(float(m))).cast("long"))
     return F.try_divide(s.cast("double") / F.lit(float(m)), F.count(col_(c)).cast("double"))
+
+
+def tenure(entry_year, reference_year: int, clip_at_zero: bool = False) -> Column:
+    """Reference year − entry year; optionally clipped at 0 (NULL
+    stays NULL)."""
+    t = F.lit(int(reference_year)) - col_(entry_year)
+    return clip_lower(t, 0) if clip_at_zero else t

@@ -8,7 +8,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["union_all", "wide_to_long", "long_to_wide", "melt", "transpose_means",
+__all__ = ["union_all", "wide_to_long", "long_to_wide", "melt", "transpose_means", "append_snapshot",
            "explode_history"]
 
 
@@ -66,3 +66,17 @@ def explode_history(df: DataFrame, map_col: str, key_name: str = "yr",
                     value_name: str = "value", keep: Iterable[str] = ()) -> DataFrame:
     """a ``map<year, value>`` column → one row per entry."""
     return df.select(*keep, F.explode(map_col).alias(key_name, value_name))
+
+
+def append_snapshot(long_df: DataFrame, snapshot: DataFrame, entity: str, year_col: str,
+                    snapshot_year: int) -> DataFrame:
+    """Add snapshot rows (one per entity, no year column) to the long
+    panel under an explicit ``snapshot_year``, plus ``dup_year`` = 1 when the
+    entity already has a row for that year (the source labels its snapshot
+    2024 while the values are the 2022 columns; here the year is a parameter
+    and clashes are flagged, not silently doubled)."""
+    snap = snapshot.withColumn(year_col, F.lit(int(snapshot_year)))
+    out = long_df.unionByName(snap, allowMissingColumns=True)
+    from pyspark.sql import Window
+    w = Window.partitionBy(entity, year_col)
+    return out.withColumn("dup_year", (F.count(F.lit(1)).over(w) > 1).cast("int"))

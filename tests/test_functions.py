@@ -72,3 +72,18 @@ def test_probability_bands(spark):
     assert rows(df2.select(lag_band("p").alias("v"))) == ["Baixo", "Médio", "Alto"]
     df3 = spark.createDataFrame([(4.0,), (None,), (8.5,)], "x double")
     assert rows(df3.select(inde_message("x").alias("v")))[1] == "Em desenvolvimento — acompanhamento necessário"
+
+
+def test_tenure_reference_year_and_clip(spark):
+    from panelkit.functions.core import tenure
+    df = spark.createDataFrame([(2018,), (2024,), (None,)], "y int")
+    assert rows(df.select(tenure("y", 2022).alias("v"))) == [4, -2, None]
+    assert rows(df.select(tenure("y", 2022, clip_at_zero=True).alias("v"))) == [4, 0, None]
+
+
+def test_append_snapshot_flags_duplicate_year(spark):
+    from panelkit.operators.reshape import append_snapshot
+    long = spark.createDataFrame([(1, 2022, 6.0), (2, 2021, 5.0)], "e int, yr int, inde double")
+    snap = spark.createDataFrame([(1, 7.0), (2, 8.0)], "e int, inde double")
+    out = {(r["e"], r["yr"], r["inde"]): r["dup_year"] for r in append_snapshot(long, snap, "e", "yr", 2022).collect()}
+    assert out == {(1, 2022, 6.0): 1, (1, 2022, 7.0): 1, (2, 2021, 5.0): 0, (2, 2022, 8.0): 0}
