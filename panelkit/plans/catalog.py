@@ -1135,6 +1135,10 @@ def q_features_tier(spark, sf):
 
 # ------------------------------------------------- model fits (rows only) --
 def _fit_and_score(spark, sf, which):
+    """Split first; weights and (where used) median imputation are fitted on
+    the training part only (D23); one fit with the reference settings; the
+    test part scored (ML12–ML14)."""
+    from panelkit.operators.clean import median_fill
     from panelkit.operators.sampling import stratified_split
     from panelkit.plans import features as FT
     from panelkit.plans import models as M
@@ -1142,21 +1146,25 @@ def _fit_and_score(spark, sf, which):
     p = px(spark, sf)
     keys = ["entity_id", "yr"]
     if which == "tier":
-        d = cut_lineage(M.class_weights(FT.tier_features(p), "tier"))
-        s = cut_lineage(M.spread(cut_lineage(stratified_split(d, "tier", keys, 0.2))))
-        m = M.fit(s.filter("is_test = 0"), FT.TIER_FEATURES, M.MODEL_SPECS["tier"], label="label_idx", string_label="tier")
+        s = cut_lineage(stratified_split(FT.tier_features(p), "tier", keys, 0.2))
+        tr = cut_lineage(M.spread(cut_lineage(M.class_weights(s.filter("is_test = 0"), "tier"))))
+        m = M.fit(tr, FT.TIER_FEATURES, M.MODEL_SPECS["tier"], label="label_idx", string_label="tier")
         out = M.score_multiclass(m, s.filter("is_test = 1"))
         return out.select("entity_id", "yr", "tier", "pred_label", F.round("confidence", 6).alias("confidence"))
-    feats, spec, data, band = {
-        "lag_risk": (FT.LAG_FEATURES, M.MODEL_SPECS["lag_risk"], lambda: FT.lag_features(p), "lag"),
-        "turning_point": (FT.TP_FEATURES, M.MODEL_SPECS["turning_point"], lambda: FT.turning_point_features(p), None),
-        "attrition": (FT.ATTRITION_FEATURES, M.MODEL_SPECS["attrition"], lambda: FT.attrition_features(p, 1995, 2000),
-                      "attrition"),
+    feats, spec, data, band, fill = {
+        "lag_risk": (FT.LAG_FEATURES, M.MODEL_SPECS["lag_risk"], lambda: FT.lag_features(p), "lag", []),
+        "turning_point": (FT.TP_FEATURES, M.MODEL_SPECS["turning_point"],
+                          lambda: FT.turning_point_features(p, fill=False), None, FT.TP_FEATURES),
+        "attrition": (FT.ATTRITION_FEATURES, M.MODEL_SPECS["attrition"],
+                      lambda: FT.attrition_features(p, 1995, 2000, fill=False), "attrition", FT.ATTRITION_FILL),
     }[which]
-    d = cut_lineage(M.class_weights(data()))
-    s = cut_lineage(M.spread(cut_lineage(stratified_split(d, "label", keys, 0.2))))
-    m = M.fit(s.filter("is_test = 0"), feats, spec)
-    out = M.score_binary(m, s.filter("is_test = 1"), float(spec.get("threshold", spec.get("min_thresh", 0.5))), band)
+    s = cut_lineage(stratified_split(data(), "label", keys, 0.2))
+    tr, te = s.filter("is_test = 0"), s.filter("is_test = 1")
+    if fill:
+        tr, te = median_fill(tr, fill, fit_on=tr), median_fill(te, fill, fit_on=tr)
+    tr = cut_lineage(M.spread(cut_lineage(M.class_weights(tr))))
+    m = M.fit(tr, feats, spec)
+    out = M.score_binary(m, te, float(spec.get("threshold", spec.get("min_thresh", 0.5))), band)
     return out.select("entity_id", "yr", "label", F.round("score", 6).alias("score"), "pred",
                       *(["band"] if band else []))
 

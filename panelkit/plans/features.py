@@ -80,17 +80,22 @@ def tier_features(p: DataFrame, codes: DataFrame | None = None) -> DataFrame:
         subset=TIER_FEATURES + ["tier"])
 
 
-def turning_point_features(p: DataFrame, codes: DataFrame | None = None, fit_on: DataFrame | None = None) -> DataFrame:
+def turning_point_features(p: DataFrame, codes: DataFrame | None = None, fit_on: DataFrame | None = None,
+                           fill: bool = True) -> DataFrame:
     """ML3: 16 features (no IPV, no index), median-imputed, label = pv == Sim.
-    Medians are fitted on ``fit_on`` (the training part) when given (D23)."""
+    Medians are fitted on ``fit_on`` when given; ``fill=False`` leaves the
+    gaps for a caller that fits the medians on its training part (D23)."""
     codes = codes if codes is not None else institution_codes(p)
     b = _common(_base(p))
     b = code_lookup(b, codes, "institution").withColumn("INSTITUICAO_COD", F.col("code").cast("double"))
     b = b.select("entity_id", "yr", *TP_FEATURES, flag(F.col("pv") == "Sim").alias("label"))
-    return median_fill(b, TP_FEATURES, fit_on=fit_on)
+    return median_fill(b, TP_FEATURES, fit_on=fit_on) if fill else b
 
 
-def attrition_features(p: DataFrame, first_year: int, last_year: int) -> DataFrame:
+ATTRITION_FILL = ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
+
+
+def attrition_features(p: DataFrame, first_year: int, last_year: int, fill: bool = True) -> DataFrame:
     """ML4: transitions year → year+1 (J3), 10 features, label = left;
     complete on the four core indicators, the rest median-filled."""
     t = transitions(p, "entity_id", "yr", first_year, last_year)
@@ -98,4 +103,4 @@ def attrition_features(p: DataFrame, first_year: int, last_year: int) -> DataFra
     b = b.withColumn("MEDIA_INDICADORES", row_mean_skipna(["IAA", "IEG", "IPS", "IDA", "IPV", "IAN"]))
     b = b.select("entity_id", "yr", *ATTRITION_FEATURES, F.col("left").alias("label"))
     b = b.dropna(subset=["IAA", "IEG", "IPS", "IDA", "label"])
-    return median_fill(b, ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"])
+    return median_fill(b, ATTRITION_FILL) if fill else b

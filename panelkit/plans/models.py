@@ -198,13 +198,20 @@ def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label
     return per.agg(F.avg(metric).alias(f"cv_{metric}_mean"), F.stddev_samp(metric).alias(f"cv_{metric}_std"))
 
 
-def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label"):
-    """Weights, stratified 80/20 split and folds on the training part, each
-    checkpointed: returns (train with ``fold``, test)."""
-    data = cut_lineage(class_weights(data, label))
+def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label",
+                  fill_cols: Sequence[str] = ()):
+    """Stratified 80/20 split first; then, on the training part only (D23),
+    median imputation of ``fill_cols`` (the same medians applied to the test
+    part) and class weights; stratified folds on the training part. Each step
+    is checkpointed: returns (train with ``fold`` and ``weight``, test)."""
+    from panelkit.operators.clean import median_fill
     split = cut_lineage(stratified_split(data, label, keys, C.TEST_FRACTION, seed))
-    train = cut_lineage(spread(cut_lineage(stratified_folds(split.filter("is_test = 0"), label, keys, C.N_FOLDS, seed))))
-    return train, split.filter("is_test = 1")
+    tr, te = split.filter("is_test = 0"), split.filter("is_test = 1")
+    if fill_cols:
+        tr, te = median_fill(tr, fill_cols, fit_on=tr), median_fill(te, fill_cols, fit_on=tr)
+    train = class_weights(cut_lineage(tr), label)
+    train = cut_lineage(spread(cut_lineage(stratified_folds(train, label, keys, C.N_FOLDS, seed))))
+    return train, cut_lineage(te)
 
 
 def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Sequence[str],
@@ -242,9 +249,9 @@ def train_multiclass(data: DataFrame, features: Sequence[str], spec: dict, keys:
     """Multiclass procedure (tier): split stratified on the label text,
     weighted by class, evaluated with accuracy and weighted F1."""
     from panelkit.operators.evaluation import weighted_f1
-    data = cut_lineage(class_weights(data, label_text))
-    split = cut_lineage(spread(cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))))
-    train, test = split.filter("is_test = 0"), split.filter("is_test = 1")
+    split = cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))
+    train = cut_lineage(spread(cut_lineage(class_weights(split.filter("is_test = 0"), label_text))))
+    test = split.filter("is_test = 1")
     model = fit(train, features, spec, label="label_idx", string_label=label_text, seed=seed)
     s_te = score_multiclass(model, test)
     s_tr = score_multiclass(model, train)

@@ -25,13 +25,15 @@ KEYS = ["entity_id", "yr"]
 
 
 def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
+    # medians are fitted on the training part inside prepare_split
     if name == "lag_risk":
-        data, feats, metric = FT.lag_features(p), FT.LAG_FEATURES, "f1"
+        data, feats, metric, fill = FT.lag_features(p), FT.LAG_FEATURES, "f1", []
     elif name == "attrition":
-        data, feats, metric = FT.attrition_features(p, 1995, 2000), FT.ATTRITION_FEATURES, "auc"
+        data, feats, metric, fill = (FT.attrition_features(p, 1995, 2000, fill=False), FT.ATTRITION_FEATURES, "auc",
+                                     FT.ATTRITION_FILL)
     else:
-        data, feats, metric = FT.turning_point_features(p), FT.TP_FEATURES, "auc"
-    prepared = M.prepare_split(data, KEYS)
+        data, feats, metric, fill = FT.turning_point_features(p, fill=False), FT.TP_FEATURES, "auc", FT.TP_FEATURES
+    prepared = M.prepare_split(data, KEYS, fill_cols=fill)
     cands = {name: specs[name]}
     if name == "turning_point":
         cands["turning_point_rf"] = specs["turning_point_rf"]
