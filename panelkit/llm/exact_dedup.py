@@ -54,7 +54,7 @@ def grow_directory(keys: DataFrame, bucket_keys: int, key_bits: int) -> DataFram
 
 def locate(keys: DataFrame, directory: DataFrame) -> DataFrame:
     """Adds ``bucket_start`` (first key of the bucket, left-aligned) and ``depth``."""
-    depths = [r[0] for r in directory.select("depth").distinct().collect()]  # at most 64 values
+    depths = [r[0] for r in directory.select("depth").distinct().collect()] or [0]  # at most 64 values
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), unsigned_prefix(F.col("key"), d).alias("prefix")) for d in depths])
     return (keys.withColumn("try", F.explode(tries)).select("*", "try.depth", "try.prefix").drop("try")
             .join(directory.select("depth", "prefix"), ["depth", "prefix"], "left_semi"))
@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # owner tasks: ranges of buckets; chains are told apart by the bytes of the texts
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"),
                           F.col("doc_id"), F.col("uid"))).alias("best")
-    links = (store.select("uid", "doc_id", "key", "n_chars", "text").join(shared_keys.select("key"), "key", "left_semi")
+    links = (store.select("uid", "doc_id", "key", "n_chars", "text").join(shared_keys.select("key").hint("merge"), "key", "left_semi")
              .groupBy("key", normalised(text).alias("norm")).agg(best, F.count("*").alias("group_size")))
     links = write_shared(links.select("key", "norm", F.col("best.doc_id").alias("keep_id"),
                                       F.col("best.uid").alias("keep_uid"), "group_size"), "hash-links")
