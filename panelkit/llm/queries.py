@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from panelkit.llm import curriculum, exact_dedup, shuffle
+from panelkit.llm import bpe, curriculum, exact_dedup, quality, shuffle, simhash
 from panelkit.llm.common import documents
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_mixing(spark, sf_dir):
     return curriculum.mix_report(documents(spark, sf_dir))
 
@@ -18,5 +24,17 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_exact_dedup)}
+def op5_quality_rules(spark, sf_dir):
+    return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.bpe(documents(spark, sf_dir), tokenizer_path(), digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe)}
 SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL}
