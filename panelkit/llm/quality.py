@@ -165,16 +165,18 @@ def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[tu
         if not rule:
             break
         # prune: the shortest form with the best precision on the rows held out
+        # (on all rows where the rule meets none of those)
         forms = [rule[: i + 1] for i in range(len(rule))]
-        held = rest.where("prune").agg(*[x for i, r in enumerate(forms) for x in (
-            F.count_if(F.col("bad") & covered(r)).alias(f"p{i}"), F.count_if(~F.col("bad") & covered(r)).alias(f"n{i}"))]).first()
-        score = [(held[f"p{i}"] + 1) / (held[f"p{i}"] + held[f"n{i}"] + 2) for i in range(len(forms))]
+        held = rest.agg(*[F.count_if(side & kind & covered(r)).alias(f"{k}{s}{i}")
+                          for i, r in enumerate(forms) for s, side in (("p", F.col("prune")), ("a", F.lit(True)))
+                          for k, kind in (("b", F.col("bad")), ("g", ~F.col("bad")))]).first()
+        s = "p" if held["bp0"] + held["gp0"] else "a"
+        score = [(held[f"b{s}{i}"] + 1) / (held[f"b{s}{i}"] + held[f"g{s}{i}"] + 2) for i in range(len(forms))]
         i = max(range(len(forms)), key=lambda j: (score[j], -j))
-        seen = held[f"p{i}"] + held[f"n{i}"]
-        if seen and held[f"p{i}"] / seen >= MIN_PRECISION:
-            rules.append(forms[i])
-        elif not seen or len(rule) == 0 or held[f"p{i}"] / seen < MIN_PRECISION:
+        bad, seen = held[f"b{s}{i}"], held[f"b{s}{i}"] + held[f"g{s}{i}"]
+        if not seen or bad / seen < MIN_PRECISION:
             break
+        rules.append(forms[i])
         rest = rest.where(~covered(forms[i]))
     return rules
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelkit.llm import bpe, curriculum, exact_dedup, quality, shuffle, simhash
+from panelkit.llm import bpe, curriculum, exact_dedup, quality, shuffle, simhash, suffix
 from panelkit.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.suffix_dedup(documents(spark, sf_dir)).drop("spans")
+
+
 def op2_mixing(spark, sf_dir):
     return curriculum.mix_report(documents(spark, sf_dir))
 
@@ -36,5 +40,5 @@ def op8_bpe(spark, sf_dir):
     return bpe.bpe(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe)}
 SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL}
