@@ -179,14 +179,15 @@ def _stretches(texts: list[str | None]) -> Iterator[list[str]]:
 
 def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, digests: bool = False,
         carry: bool = False) -> DataFrame:
-    """Encode and decode: ``doc_id``, and ``ids`` (array of int) with ``decoded``
-    or, with ``digests``, ``n_tokens, ids_sha256, decoded_sha256`` (the ids as
+    """Encode and decode: ``doc_id``, ``n_tokens``, and ``ids`` (array of int) with
+    ``decoded`` or, with ``digests``, ``ids_sha256, decoded_sha256`` (the ids as
     decimal numbers joined by commas)."""
     tables = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # fixed size: the vocabulary
     rows = with_row(docs, carry, doc_id=F.col(id_col), text=F.col(text_col))
     keep = [f for f in rows.schema.fields if f.name != "text"]
-    made = ([("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests
-            else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
+    made = [("n_tokens", T.LongType())] + (
+        [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests
+        else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
     schema = T.StructType(keep + [T.StructField(n, t) for n, t in made])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +199,10 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                 for words in codec.encode(texts):
                     ids = [i for w in words for i in w]
                     decoded = codec.decode(ids)
-                    if digests:
-                        cols[0].append(len(ids))
-                        cols[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                        cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    else:
-                        cols[0].append(ids)
-                        cols[1].append(decoded)
-                types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
+                    cols[0].append(len(ids))
+                    cols[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() if digests else ids)
+                    cols[2].append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
+                types = [pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()]
                 part = batch.slice(first, len(texts))
                 first += len(texts)
                 yield pa.RecordBatch.from_arrays(

@@ -124,7 +124,7 @@ def curriculum_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.col("r.source").alias("c_source"), F.col("range").alias("c_range"), "offset", "source_size", "class",
                      "target", *[f"demand{i}" for i in range(len(weights))]))
     inside = W.partitionBy("source", "range").orderBy("digest", "uid").rowsBetween(W.unboundedPreceding, -1)
-    d = (base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = (base.drop("row").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
          .join(cells, F.expr("source <=> c_source AND range = c_range"))
          .withColumn("start", F.col("offset") + F.col("inside"))
          .withColumn("goal", F.floor("target")))
@@ -153,8 +153,8 @@ def curriculum_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                 F.col(f"time{epoch}").alias("time"), position.alias("position")))
     d = d.withColumn("copies", F.filter(F.array(*structs), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return d.select("uid", "doc_id", "size", "source_size", "target", taken.alias("taken"), "copies",
-                    *(["row"] if carry else []))
+    d = d.select("uid", "doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+    return d.join(base.select("uid", "row"), "uid") if carry else d  # whole rows move once
 
 
 def curriculum_mix(docs: DataFrame, **kw) -> DataFrame:

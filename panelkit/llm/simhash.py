@@ -186,11 +186,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = write_shared(groups.join(ids, "root").select("fp", "root", "component_id"), "simhash-groups")
-    need = ["uid", "doc_id", "fp"] + (["row"] if carry else [])
-    found = store.select(*need).join(groups, "fp")
+    found = store.select("uid", "doc_id", "fp").join(groups, "fp")
     out = found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     if not carry:
         return out.select("doc_id", "fingerprint", "component_id")
-    keeper = (found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias("keep_uid")))
-    return (out.join(keeper, "root").withColumn("kept", F.col("uid") == F.col("keep_uid"))
-            .select("doc_id", "fingerprint", "component_id", "kept", "row"))
+    keeper = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias("keep_uid"))
+    out = out.join(keeper, "root").withColumn("kept", F.col("uid") == F.col("keep_uid"))
+    # whole rows move once, to their decisions
+    return store.select("uid", "row").join(out, "uid").select("doc_id", "fingerprint", "component_id", "kept", "row")
