@@ -25,6 +25,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from panelkit.llm.common import with_row
 #: the pre-tokenizer's pattern (fixed value); \s is Unicode white space
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-STRETCH = 1_000_000
-CACHE_WORDS = 100_000
+STRETCH = 4_000_000
+CACHE_WORDS = 600_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -67,78 +68,91 @@ def vocabulary(path: str) -> dict:
     return out
 
 
+def _sorted_pairs(v: dict) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.fromiter(v["rank"].keys(), np.int64, len(v["rank"]))
+    ranks = np.fromiter(v["rank"].values(), np.int64, len(v["rank"]))
+    order = np.argsort(pairs)
+    return pairs[order], ranks[order]
+
+
 def encode_words(words: list[bytes], v: dict) -> list[list[int]]:
     """Token ids of each word, by the pair occurrence index over all of them."""
-    start, rank, product = v["start"], v["rank"], v["product"]
-    sym: list[int] = []
-    ends = []
-    for w in words:  # one list; -1 stands between words and belongs to no pair
-        sym.extend([start[b] for b in w])
-        sym.append(-1)
-        ends.append(len(sym))
+    if not words:
+        return []
+    pairs, ranks = v["sorted_pairs"]
+    # all words in one linked list; -1 stands after each word and belongs to no pair
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1)
+    sym = np.full(int(ends[-1]), -1, np.int64)
+    inner = np.ones(len(sym), bool)
+    inner[ends - 1] = False
+    sym[inner] = np.array(v["start"])[np.frombuffer(b"".join(words), np.uint8)]
     n = len(sym)
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-    a = -1
-    for i, b in enumerate(sym):
-        r = rank.get(a << 32 | b) if a >= 0 <= b else None
-        if r is not None:
+    nxt, prv = np.minimum(np.arange(1, n + 1), n - 1), np.arange(-1, n - 1)
+    index: dict[int, list[np.ndarray]] = {}
+    active: list[int] = []
+
+    def file(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> None:
+        """Enter the positions of those pairs that have a rank."""
+        key = left << 32 | right
+        i = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        ok = np.flatnonzero((pairs[i] == key) & (left >= 0) & (right >= 0))
+        if not len(ok):
+            return
+        rank, at = ranks[i[ok]], at[ok]
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cut = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+        for a, b in zip(cut, cut[1:]):
+            r = int(rank[a])
             if r in index:
-                index[r].append(i - 1)
+                index[r].append(at[a:b])
             else:
-                index[r] = [i - 1]
-        a = b
-    active = list(index)
-    heapq.heapify(active)
+                index[r] = [at[a:b]]
+                heapq.heappush(active, r)
+
+    file(sym[:-1], sym[1:], np.arange(n - 1))
     while active:
         r = heapq.heappop(active)
-        left, right, made = product[r]
-        spots = index.pop(r)
-        spots.sort()
-        for i in spots:
-            j = nxt[i]
-            if sym[i] != left or j >= n or sym[j] != right:
-                continue  # one of the two is gone since
-            sym[i], sym[j] = made, -2
-            k = nxt[j]
-            nxt[i] = k
-            if k < n:
-                prv[k] = i
-                if sym[k] >= 0:
-                    q = rank.get(made << 32 | sym[k])
-                    if q is not None:
-                        if q in index:
-                            index[q].append(i)
-                        else:
-                            index[q] = [i]
-                            heapq.heappush(active, q)
-            h = prv[i]
-            if h >= 0 and sym[h] >= 0:
-                q = rank.get(sym[h] << 32 | made)
-                if q is not None:
-                    if q in index:
-                        index[q].append(h)
-                    else:
-                        index[q] = [h]
-                        heapq.heappush(active, q)
-    out, at = [], 0
-    for end in ends:
-        out.append([s for s in sym[at:end] if s >= 0])
-        at = end
-    return out
+        left, right, made = v["product"][r]
+        at = np.concatenate(index.pop(r))
+        at = at[(sym[at] == left) & (sym[nxt[at]] == right)]  # some are gone since
+        if left == right:  # in a run of one symbol every other place is taken, from the left
+            take, free = [], -1
+            for i in np.unique(at).tolist():
+                if i >= free:
+                    take.append(i)
+                    free = nxt[nxt[i]]
+            at = np.array(take, dtype=np.int64)
+        if not len(at):
+            continue
+        gone = nxt[at]
+        after = nxt[gone]
+        sym[at], sym[gone], nxt[at], prv[after] = made, -2, after, at
+        before = prv[at]
+        made_all = np.full(len(at), made)
+        file(np.concatenate([made_all, np.where(before >= 0, sym[before], -1)]),
+             np.concatenate([sym[after], made_all]), np.concatenate([at, before]))
+    alive = sym >= 0
+    ids = sym[alive].tolist()
+    stops = np.cumsum(alive)[ends - 1].tolist()
+    return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
 
 class Codec:
-    """Encodes and decodes texts in a task; keeps a bounded cache of words."""
+    """Splits texts into words and encodes each word once, while a bounded cache
+    holds it: the number of its ids with these in decimal (``digests``) or as a
+    list, and the bytes they decode to."""
 
-    def __init__(self, v: dict):
+    def __init__(self, v: dict, digests: bool = False):
         import regex
 
-        self.v, self.special = v, v["special"]
+        self.v, self.special, self.digests = v, v["special"], digests
         self.find = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split
-        self.cache: dict[str, list[int]] = {}
+        v["sorted_pairs"] = _sorted_pairs(v)
+        self.cache: dict[str, tuple[int, list[int] | str, bytes]] = {}
 
     def words(self, text: str) -> list[str]:
         if not any(s in text for s in self.special):
@@ -148,26 +162,36 @@ class Codec:
             out.extend([piece] if piece in self.special else self.find(piece))
         return out
 
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """Per text the ids of its words, one list a word."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[int, list[int] | str, bytes]]]:
+        """Per text, what the cache holds of each of its words."""
         split = [self.words(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
         known = self.cache
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
+        new = list({w for ws in split for w in ws}.difference(known))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({w for ws in split for w in ws})
+        table = self.v["bytes"]
         for w, ids in zip(new, encode_words([w.encode() for w in new], self.v)):
-            known[w] = [self.special[w]] if w in self.special else ids
-        return [[known[w] for w in ws] for ws in split]
+            if w in self.special:
+                ids = [self.special[w]]
+            known[w] = len(ids), ",".join(map(str, ids)) if self.digests else ids, b"".join([table[i] for i in ids])
+        for ws in split:
+            yield [known[w] for w in ws]
 
-    def decode(self, ids: list[int]) -> str:
-        table = self.v["bytes"]
-        return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
+
+def ids_of(words: list[tuple]) -> list[int]:
+    return [i for w in words for i in w[1]]
+
+
+def decoded(words: list[tuple]) -> str:
+    """The text of the tokens: their bytes joined, read as UTF-8."""
+    return b"".join([w[2] for w in words]).decode("utf-8", errors="replace")
 
 
-def _stretches(texts: list[str | None]) -> Iterator[list[str]]:
+def _stretches(texts: pa.Array) -> Iterator[list[str]]:
     some, size = [], 0
     for t in texts:
-        t = t or ""
+        t = t.as_py() or ""
         if some and size + len(t) > STRETCH:
             yield some
             some, size = [], 0
@@ -191,17 +215,18 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType(keep + [T.StructField(n, t) for n, t in made])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tables.value)
+        # a worker process keeps its cache of words from task to task
+        codec = tables.value.setdefault("codec", None) or Codec(tables.value, digests)
+        tables.value["codec"] = codec
         for batch in batches:
             first = 0
-            for texts in _stretches(batch["text"].to_pylist()):
+            for texts in _stretches(batch["text"]):
                 cols: list[list] = [[] for _ in made]
                 for words in codec.encode(texts):
-                    ids = [i for w in words for i in w]
-                    decoded = codec.decode(ids)
-                    cols[0].append(len(ids))
-                    cols[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() if digests else ids)
-                    cols[2].append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
+                    text = decoded(words)
+                    cols[0].append(sum([w[0] for w in words]))
+                    cols[1].append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest() if digests else ids_of(words))
+                    cols[2].append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
                 types = [pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()]
                 part = batch.slice(first, len(texts))
                 first += len(texts)

@@ -35,9 +35,9 @@ def test_bpe_words_equal_the_library():
         texts.append("".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 40))))
     codec = bpe.Codec(v)
     for text, words in zip(texts, codec.encode(texts)):
-        ids = [i for w in words for i in w]
+        ids = bpe.ids_of(words)
         assert ids == tok.encode(text, add_special_tokens=False).ids, repr(text)
-        assert codec.decode(ids) == tok.decode(ids, skip_special_tokens=False) == text
+        assert bpe.decoded(words) == tok.decode(ids, skip_special_tokens=False) == text
 
 
 def test_bpe_query_equals_the_library(spark):
