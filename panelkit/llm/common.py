@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def drop_shared(*tables: DataFrame) -> None:
             fs.delete(p.getParent(), True)
 
 
+#: parts of an input split that are handled as one group of texts
+PAGES = 4
+
+
+def page_of(uid: str = "uid") -> Column:
+    """The page of a row number: its input split, and its place in it modulo PAGES."""
+    return F.expr(f"shiftright({uid}, 33) * {PAGES} + {uid} % 8589934592 % {PAGES}")
+
+
+def write_pages(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a row number ``uid`` written with their ``page``, bucketed by it.
+    Every task writes the pages of its own split, so nothing is moved; later,
+    small tables are brought to the pages (cogroup by page) instead of moving texts."""
+    spark = rows.sparkSession
+    table = f"pk_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    (rows.withColumn("page", page_of()).write.format("parquet").option("path", shared_path(spark, name))
+     .option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "page").saveAsTable(table))
+    return spark.table(table)
+
+
 def with_row(docs: DataFrame, carry: bool, **cols: Column) -> DataFrame:
     """``cols`` and, with ``carry``, all input columns inside the struct ``row``."""
     out = [c.alias(n) for n, c in cols.items()]
@@ -71,6 +92,17 @@ def unsigned_prefix(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
+def sliding(op, x: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """``op`` over every ``width`` neighbours of x (block prefixes and suffixes)."""
+    n = len(x)
+    padded = np.full(-(-n // width) * width, fill, dtype=x.dtype)
+    padded[:n] = x
+    blocks = padded.reshape(-1, width)
+    ahead = op.accumulate(blocks, axis=1).ravel()
+    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return op(back[: n - width + 1], ahead[width - 1: n])
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, root)``, root being the
     smallest node reachable; only nodes with an edge are returned.

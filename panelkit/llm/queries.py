@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelkit.llm import bpe, curriculum, exact_dedup, quality, shuffle, simhash, suffix
+from panelkit.llm import bpe, chaining, curriculum, exact_dedup, quality, shuffle, simhash, suffix
 from panelkit.llm.common import documents
 
 
@@ -40,5 +40,10 @@ def op8_bpe(spark, sf_dir):
     return bpe.bpe(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe)}
+def op10_passages(spark, sf_dir):
+    return chaining.passage_dedup(documents(spark, sf_dir)).drop("passages")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe, op10_passages)}
 SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL}

@@ -42,13 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm.common import drop_shared, shared_path, with_row, write_shared
+from panelkit.llm.common import drop_shared, page_of, shared_path, sliding, with_row, write_pages, write_shared
 
 LENGTH = 400
 REACH = 160
 BATCHES = 4
-#: parts of an input split that are handled as one group of texts
-PAGES = 4
 GROUP_ROWS = 16_384
 _SEGMENT = 2_000_000
 _GRAM = 8
@@ -56,17 +54,6 @@ _GRAM = 8
 
 # --- anchors ---------------------------------------------------------------------------------
 
-def _sliding(op, x: np.ndarray, width: int, fill: int) -> np.ndarray:
-    """``op`` over every ``width`` neighbours of x (block prefixes and suffixes)."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, fill, dtype=x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, width)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[: n - width + 1], ahead[width - 1: n])
-
-
 def anchors(data: bytes, reach: int) -> np.ndarray:
     """Positions that hold the smallest gram hash of some ``reach`` neighbours."""
     grams = len(data) - _GRAM + 1
@@ -76,10 +63,10 @@ def anchors(data: bytes, reach: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    least = _sliding(np.minimum, h, reach, 2 ** 64 - 1)
+    least = sliding(np.minimum, h, reach, 2 ** 64 - 1)
     # position i is the minimum of one of the windows i-reach+1 .. i if the largest of their minima equals h[i]
     side = np.zeros(reach - 1, np.uint64)
-    best = _sliding(np.maximum, np.concatenate([side, least, side]), reach, 0)
+    best = sliding(np.maximum, np.concatenate([side, least, side]), reach, 0)
     return np.flatnonzero(h == best)
 
 
@@ -234,10 +221,6 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, end - 1
 
 
-def _page(uid: str = "uid"):
-    return F.expr(f"shiftright({uid}, 33) * {PAGES} + {uid} % 8589934592 % {PAGES}")
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, reach: int = REACH,
                  batches: int = BATCHES, group_rows: int = GROUP_ROWS, carry: bool = False) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``
@@ -247,16 +230,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     core = length - reach + 1
 
-    def paged(df: DataFrame, name: str) -> DataFrame:
-        """Written bucketed by page, each task its own pages: nothing is moved."""
-        table = f"pk_pages_{uuid.uuid4().hex}"
-        (df.write.format("parquet").option("path", shared_path(spark, name)).option("compression", "zstd")
-         .bucketBy(buckets, "page").saveAsTable(table))
-        return spark.table(table)
-
     rows = with_row(docs, carry, uid=F.monotonically_increasing_id(), doc_id=F.col(id_col),
                     text=F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    store = paged(rows.withColumn("page", _page()), "suffix-texts")
+    store = write_pages(rows, "suffix-texts")
 
     # 1. sampled suffixes of every text
     found_schema = "uid long, at int, core long, context long"
@@ -292,7 +268,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count("*").alias("n"), F.first("uid").alias("uid"), F.first("at").alias("at")), "suffix-classes")
     mixed = (classes.groupBy("core").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("single"))
              .where("k > 1 AND single > 0").select("core", "k"))
-    asked = classes.join(mixed, "core").select(_page().alias("page"), "uid", "at", "core", "k", (F.col("n") > 1).alias("full"))
+    asked = classes.join(mixed, "core").select(page_of().alias("page"), "uid", "at", "core", "k", (F.col("n") > 1).alias("full"))
     cut_schema = "core long, uid long, at int, k long, full boolean, left int, bytes binary"
 
     def cut(texts: pa.Table, at: pa.Table) -> pa.Table:
@@ -360,7 +336,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # 4. what is covered, brought to the texts
     whole = hits.join(classes.where("n > 1").select("core", "context"), ["core", "context"], "left_semi").select(
         "uid", "at", F.lit(0).alias("d0"), F.lit(reach - 1).alias("d1"))
-    cover = whole.unionByName(runs).withColumn("page", _page())
+    cover = whole.unionByName(runs).withColumn("page", page_of())
     out_schema = T.StructType([f for f in store.schema.fields if f.name in ("doc_id", "row")] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType()),
