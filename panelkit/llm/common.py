@@ -10,6 +10,7 @@ internal one.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +32,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     when the application ends (tables of a finished run are of no use)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _hadoop_fs(spark, path)[0].deleteOnExit(_hadoop_fs(spark, path)[1])
+    fs, p = _hadoop_fs(spark, path)
+    fs.deleteOnExit(p)
+    for made in _RECORDS:
+        made.append(path)
     return path
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_paths():
+    """Collects the shared folders made inside the block."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders whose tables no plan reads any more."""
+    for path in paths:
+        fs, p = _hadoop_fs(spark, path)
+        fs.delete(p, True)
+
+
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,7 +72,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor never replays what came before, and
     values drawn while writing (row numbers) are the same for every reader."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
