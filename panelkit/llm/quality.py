@@ -117,9 +117,7 @@ def learn(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[tu
     """Ordered rules for bad text from rows ``(doc_id, bad boolean, features...)``."""
     names = list(FEATURES)
     # the sample is chosen by the hash of the id, so the same rows are taken in every run
-    n = labelled.count()
-    if n > max_labelled:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
+    labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "bad", *FEATURES).limit(max_labelled)
     quantiles = labelled.groupBy("bad").agg(*[
         F.percentile_approx(f, list(LEVELS), 10_000).alias(f) for f in names]).collect()  # two rows
     if len(quantiles) < 2:

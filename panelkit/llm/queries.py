@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelkit.llm import bpe, chaining, curriculum, exact_dedup, quality, shuffle, simhash, suffix
+from panelkit.llm import bpe, chaining, curriculum, exact_dedup, license, quality, shuffle, simhash, suffix, toxicity
 from panelkit.llm.common import documents
 
 
@@ -36,14 +36,23 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark, sf_dir):
+    return license.license_scan(documents(spark, sf_dir), license.document_path())
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.bpe(documents(spark, sf_dir), tokenizer_path(), digests=True)
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_passages(spark, sf_dir):
     return chaining.passage_dedup(documents(spark, sf_dir)).drop("passages")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op8_bpe, op10_passages)}
-SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_license_scan, op8_bpe, op9_toxicity,
+    op10_passages)}
+SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license.SQL}
