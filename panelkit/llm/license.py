@@ -11,6 +11,9 @@
   the other words of any template cannot reach the threshold: without key words
   the cosine is at most the share of the template's length that is left, which is
   below it. The scan for key words therefore loses nothing.
+* A bag of n words, v of them known to the templates, has a cosine of at most
+  v / sqrt(n - v): unknown words weigh most and each counts at least once. Bags
+  below the threshold by this bound are not unfolded.
 * Equal lines are compared once: a notice in a third of all files is one row.
 * A file without a licence of its own takes that of the nearest ancestor directory
   with a licence file: directories are taken once, unfolded into their ancestors
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.common import with_row, write_shared
 
-THRESHOLD = 0.6
+THRESHOLD = 0.7
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: words that tell nothing about a licence; they are left out of all bags
 STOP_WORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "if", "in", "is", "it", "may", "not",
               "of", "on", "or", "that", "the", "this", "to", "with", "you", "your")
+#: template words that are everyday words of another language; key words only if no others do
+EVERYDAY = ("mit",)
 #: names of licence files (last part of a path, lower case)
 LICENCE_NAMES = r"^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 #: short notices and opening sentences of common licences
@@ -89,7 +94,7 @@ def key_words(rows: list[tuple[int, str, str, float]], threshold: float) -> list
         def rest(t=t):
             return math.sqrt(sum(x * x for w, x in t.items() if w not in chosen))
         # words of several templates do for all of these
-        for w in sorted(t, key=lambda w: (w not in chosen, -t[w] * t[w] * holders[w], w)):
+        for w in sorted(t, key=lambda w: (w not in chosen, w in EVERYDAY, -t[w] * t[w] * holders[w], -len(w), w)):
             if rest() < threshold * 0.999:
                 break
             chosen.add(w)
@@ -134,6 +139,10 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
         F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("body"), x.alias("part"))))).alias("p"))
     bags = bags.where(F.col("p.body") | F.lower(F.col("p.part")).rlike(has_key)).select(
         "uid", "path", "p.body", bag_key(F.col("p.part")).alias("key"))
+    known = sorted({w for _, _, w, _ in rows})
+    bags = bags.withColumn("words", F.split("key", " "))
+    v = F.size(F.filter("words", lambda w: w.isin(*known)))
+    bags = bags.where(v * v >= threshold * threshold * (F.size("words") - v)).drop("words")
     bags = write_shared(bags.withColumn("id", F.sha2("key", 256)), "license-parts")
     scores = write_shared(score_keys(bags.select("key").distinct(), templates).where(F.col("score") >= threshold), "license-scores")
     hits = bags.select("uid", "path", "body", "id").join(scores, "id")
