@@ -61,7 +61,6 @@ PARITY_EPS = 0.3
 SELF_ASSESS_GAP = 0.5
 NULL_SHARE_OK = 5.0
 NULL_SHARE_WARN = 20.0
-MIN_YEAR_COUNT = 50
 MIN_POSITIVES = 50
 RECOMMEND_GAP = 2.0
 RECOMMENDATIONS = [
@@ -76,6 +75,8 @@ INDE_MESSAGES = [(4.0, "Requer atenção imediata"),
                  (8.0, "Progredindo bem")]
 INDE_MESSAGE_TOP = "Excelente desenvolvimento"
 INDE_MESSAGE_MISSING_AS = 5.0
+STATUS_BANDS = [(8.0, "Excelente"), (6.0, "Bom")]
+STATUS_LOW = "Em desenvolvimento"
 
 # --- fixed values: student page gamification --------------------------------
 XP_PER_INDE = 100
@@ -93,9 +94,6 @@ MISSIONS = [  # (mission id, measured column, target, reward xp)
 ]
 
 # --- fixed values: model settings -------------------------------------------
-LAG_FEATURES = ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM",
-                "SCORE_COMPORTAMENTAL", "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]
-THRESHOLD_GRID = (0.45, 0.80, 0.05)  # F1 calibration grid start, stop, step
 SEED = 42
 TEST_FRACTION = 0.2
 N_FOLDS = 5

@@ -126,5 +126,10 @@ def colour_band(c) -> Column:
     return band_ge(col_(c), [(7.0, "high"), (5.0, "mid")], "low")
 
 
+def status_text(c) -> Column:
+    """≥8 excellent / ≥6 good / else in development (F18); missing stays missing."""
+    return F.when(col_(c).isNotNull(), band_ge(col_(c), C.STATUS_BANDS, C.STATUS_LOW))
+
+
 def null_share_status(pct) -> Column:
     return band_lt(pct, [(C.NULL_SHARE_OK, "ok"), (C.NULL_SHARE_WARN, "warn")], "bad")

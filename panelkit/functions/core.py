@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = ["col_", "to_double", "nan_to_null", "flag", "flag_sum", "row_mean_skipna",
-           "row_mean_strict", "safe_value", "safe_div", "clip_lower", "ratio_by_phase",
+           "row_mean_strict", "safe_value", "clip_lower", "ratio_by_phase",
            "exact_mean", "tenure"]
 
 
@@ -64,11 +64,6 @@ def safe_value(c, default: float) -> Column:
     return F.coalesce(nan_to_null(col_(c).cast("string").try_cast("double")), F.lit(float(default)))
 
 
-def safe_div(a, b) -> Column:
-    """Division with NULL instead of an error on zero."""
-    return F.try_divide(col_(a), col_(b))
-
-
 def clip_lower(c, lower=0) -> Column:
     """``clip(lower=...)`` keeping NULL as NULL."""
     c = col_(c)
@@ -83,7 +78,9 @@ def ratio_by_phase(a, phase) -> Column:
 def exact_mean(c, scale: int = 4) -> Column:
     """Aggregate mean of a column that holds values with at most ``scale``
     decimals, summed exactly as scaled longs: identical on every partitioning
-    and in any engine (cheap long adds, no decimal objects)."""
+    and in any engine (cheap long adds, no decimal objects). Values with more
+    decimals would be rounded to ``scale`` first: pass no scale for them
+    (``aggregates.mean_of`` then takes a plain average)."""
     m = 10 ** scale
     s = F.sum(F.round(col_(c) * F.lit(float(m))).cast("long"))
     return F.try_divide(s.cast("double") / F.lit(float(m)), F.count(col_(c)).cast("double"))

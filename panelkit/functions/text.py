@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelkit import config as C
 from panelkit.functions.core import col_
 
-__all__ = ["replace_tokens", "null_tokens", "canonical_tier", "leading_int", "first_char_int",
+__all__ = ["replace_tokens", "null_tokens", "canonical_tier", "leading_int", 
            "upper_key", "name_matches", "first_word", "short_label"]
 
 
@@ -40,11 +40,6 @@ def leading_int(c) -> Column:
     return F.nullif(s, F.lit("")).try_cast("int")
 
 
-def first_char_int(c) -> Column:
-    """Legacy parse: the first character as a digit (``int(x[0])``)."""
-    return F.substring(col_(c).cast("string"), 1, 1).try_cast("int")
-
-
 def upper_key(c) -> Column:
     """Upper-cased, trimmed name key; NULL stays NULL."""
     return F.upper(F.trim(col_(c).cast("string")))

@@ -11,7 +11,7 @@ from panelkit.functions.core import nan_to_null, to_double
 from panelkit.functions.text import canonical_tier, null_tokens, replace_tokens
 
 __all__ = ["rename_columns", "coerce_numeric", "repair_tokens", "add_missing_columns",
-           "keep_anchor", "complete_cases", "fill_constant", "median_values", "median_fill",
+           "keep_anchor", "complete_cases", "fill_constant", "median_fill",
            "mode_fill", "backup_columns", "scatter_points", "canonicalise_tier", "nan_to_nulls"]
 
 
@@ -75,13 +75,6 @@ def median_struct(df: DataFrame, cols: Iterable[str], exact: bool = True) -> Col
     return df.select(F.struct(*aggs)).scalar()
 
 
-def median_values(df: DataFrame, cols: Iterable[str], exact: bool = True) -> dict[str, Column]:
-    """Per-column median columns (0 when a column is entirely missing)."""
-    cols = list(cols)
-    one = median_struct(df, cols, exact)
-    return {c: F.coalesce(one.getField(c), F.lit(0.0)) for c in cols}
-
-
 def median_fill(df: DataFrame, cols: Iterable[str], fit_on: DataFrame | None = None,
                 exact: bool = True) -> DataFrame:
     """P20: fill missing with the median fitted on ``fit_on`` (default ``df``);

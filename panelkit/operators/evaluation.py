@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.session import cut_lineage
+
 __all__ = ["one_row", "binary_metrics", "confusion", "class_report", "weighted_f1", "ordered_prefix_sums",
            "score_groups", "roc_points", "auc", "auc_ovr_weighted", "threshold_grid", "threshold_f1",
            "best_threshold", "train_test_gap", "metric_rows"]
@@ -39,14 +41,23 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "pred", keys
                     _div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1"))
 
 
+#: most classes a confusion grid is made for
+MAX_CLASSES = 1000
+
+
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Counts on the complete (label × prediction) grid of observed
-    classes; the grid is generated from the (small) set of classes."""
-    classes = df.select(F.col(label).alias("c")).union(df.select(F.col(pred).alias("c"))).distinct()
-    grid = classes.agg(F.collect_set("c").alias("cs")).select(
-        F.explode("cs").alias(label), F.col("cs")).select(label, F.explode("cs").alias(pred))
+    classes. One scan: the classes are read off the counted cells. A key with
+    more than ``MAX_CLASSES`` values is refused (not a class)."""
     counts = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(grid).join(counts, [label, pred], "left").fillna(0, ["n"])
+    both = counts.agg(F.collect_list(F.struct(label, pred, "n")).alias("cells"))
+    cs = F.array_sort(F.array_distinct(F.flatten(F.transform("cells", lambda c: F.array(c[label], c[pred])))))
+    both = both.withColumn("cs", F.filter(cs, lambda c: c.isNotNull()))
+    both = both.withColumn("cs", F.when(F.size("cs") <= MAX_CLASSES, F.col("cs")).otherwise(
+        F.raise_error(F.lit("too many classes for a confusion grid")).cast(both.schema["cs"].dataType)))
+    grid = both.select("cells", "cs", F.explode("cs").alias(label)).select("cells", label, F.explode("cs").alias(pred))
+    mine = F.filter("cells", lambda c: (c[label] == F.col(label)) & (c[pred] == F.col(pred)))
+    return grid.select(label, pred, F.coalesce(F.get(mine, F.lit(0))["n"], F.lit(0)).alias("n"))
 
 
 def class_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -77,30 +88,32 @@ def weighted_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
                    F.try_divide(F.sum(F.col("f1") * F.col("support")), tot).alias("weighted_f1"))
 
 
+#: ranges of a prefix sum: fixed, so plans do not follow the session's settings
+PREFIX_RANGES = 256
+
+
 def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
-                        buckets: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+                        keys: Sequence[str] = (), ranges: int = PREFIX_RANGES) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (within each
     ``keys`` group; one row per distinct (keys, order) value expected),
-    computed range-parallel: rows are cut into ``buckets`` ranges at global
-    approximate quantiles of ``order`` (default: the session's shuffle
-    parallelism), summed per (keys, range) in parallel, and shifted by range
-    offsets from a table with one row per (keys, range). A key holding most
-    rows is thus spread over all ranges."""
-    from panelkit.operators.sampling import _buckets
-    buckets = _buckets(df, buckets, 8)
+    computed range-parallel. The rows are written once, cut into ``ranges``
+    ranges at quantiles of ``order`` (fewer than 256 numbers, fetched once and
+    searched in halves by ``Bucketizer``), summed per (keys, range) in
+    parallel, and shifted by range offsets from a table with one row per
+    (keys, range). A key holding most rows is thus spread over all ranges."""
+    from pyspark.ml.feature import Bucketizer
     keys = list(keys)
-    o = F.col(order)
-    key = -o if descending else o
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.percentile_approx(key, qs, 1000)).scalar()
-    r = df.withColumn("__k", key).withColumn("__bounds", bounds)
-    r = r.withColumn("__b", F.size(F.filter(F.col("__bounds"), lambda x: x < F.col("__k")))).drop("__bounds")
+    key = (-F.col(order) if descending else F.col(order)).cast("double")
+    r = cut_lineage(df.withColumn("__k", key))
+    qs = [i / ranges for i in range(1, ranges)]
+    bounds = r.agg(F.percentile_approx("__k", qs, 100 * ranges)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    r = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(r)
     w = Window.partitionBy(*keys, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values})
     tot = r.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
-    wo = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ buckets rows per key
+    wo = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ ranges rows per key
     off = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"t_{v}").over(wo), F.lit(0)).alias(f"o_{v}") for v in values])
-    out = r.join(off if keys else F.broadcast(off), [*keys, "__b"])
+    out = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(off if keys else F.broadcast(off), [*keys, "__b"])
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}).drop(
         "__b", "__k", *[f"o_{v}" for v in values])
 
@@ -111,31 +124,33 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> D
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One ROC point per distinct score (threshold = score, predict
-    positive when score ≥ threshold)."""
-    g = score_groups(df, label, score)
-    pn = df.select(F.struct(F.count_if(F.col(label) == 1).alias("P"), F.count_if(F.col(label) != 1).alias("N"))).scalar()
-    c = ordered_prefix_sums(g, "score", ["pos", "neg"], descending=True, buckets=buckets).withColumn("__pn", pn)
+    positive when score ≥ threshold). Rows without a score are no points but
+    count in the totals."""
+    # one scan: rows without a score are grouped too, for the totals only
+    g = cut_lineage(df.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
+    pn = g.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    c = ordered_prefix_sums(g.filter(F.col("score").isNotNull()), "score", ["pos", "neg"], descending=True).withColumn("__pn", pn)
     return c.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                     F.try_divide(F.col("cum_pos").cast("double"), F.col("__pn.P").cast("double")).alias("tpr"),
                     F.try_divide(F.col("cum_neg").cast("double"), F.col("__pn.N").cast("double")).alias("fpr"))
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = (),
-        buckets: int | None = None) -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """ROC AUC with tie-averaged ranks (Mann–Whitney):
     Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N)."""
     if keys:
         g = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-        c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets, keys=keys)
+        c = ordered_prefix_sums(g, "score", ["neg"], keys=keys)
         below = F.col("cum_neg") - F.col("neg")
         return c.groupBy(*keys).agg(F.try_divide(
             F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),
             F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
     g = score_groups(df, label, score)
-    c = ordered_prefix_sums(g, "score", ["neg"], buckets=buckets)
+    c = ordered_prefix_sums(g, "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     # undefined (NULL) when one class is absent
     return c.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),

@@ -15,12 +15,17 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["with_totals", "reindex_groups", "code_lookup", "overlap_count", "grade_answers"]
+__all__ = ["reindex_groups", "broadcast_if_small", "code_lookup", "overlap_count", "grade_answers"]
 
 
-def with_totals(counts: DataFrame, totals: DataFrame, on: str) -> DataFrame:
-    """Group counts joined to per-key totals (inner)."""
-    return counts.join(totals, on)
+#: most rows of a dimension that is broadcast
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``dim`` with a broadcast hint if it holds at most ``rows`` rows (counted
+    up to the bound only); beyond, the join is left to Catalyst."""
+    return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
 def reindex_groups(agg: DataFrame, key: str, order: Sequence[str], drop_incomplete: bool = True) -> DataFrame:
@@ -37,8 +42,10 @@ def reindex_groups(agg: DataFrame, key: str, order: Sequence[str], drop_incomple
 def code_lookup(df: DataFrame, codes: DataFrame, col: str, code_col: str = "code",
                 missing: int = -1) -> DataFrame:
     """Category → code via a left join to the fitted code table; unseen
-    or missing categories get ``missing``."""
-    return df.join(codes.select(col, code_col), col, "left").fillna(missing, [code_col])
+    or missing categories get ``missing``. The table has one row per category
+    and is broadcast when its row count is small, so the rows themselves are
+    not shuffled on a key with few values."""
+    return df.join(broadcast_if_small(codes.select(col, code_col)), col, "left").fillna(missing, [code_col])
 
 
 def overlap_count(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,8 +55,9 @@ def overlap_count(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def grade_answers(answers: DataFrame, bank: DataFrame) -> DataFrame:
     """Answers (subject, question_id, chosen) ⋈ bank → ``correct``.
-    The bank is a fixed-size dimension, so it is broadcast."""
-    b = F.broadcast(bank.select("subject", "question_id", "answer"))
+    A bank of checked, small size is broadcast; a larger one is joined by
+    shuffle."""
+    b = broadcast_if_small(bank.select("subject", "question_id", "answer"))
     return answers.join(b, ["subject", "question_id"], "left").withColumn(
         "correct", F.coalesce(F.col("chosen") == F.col("answer"), F.lit(False)))
 

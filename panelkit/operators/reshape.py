@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["union_all", "wide_to_long", "long_to_wide", "melt", "transpose_means", "append_snapshot",
+__all__ = ["wide_to_long", "long_to_wide", "melt", "transpose_means", "append_snapshot",
            "explode_history"]
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union by name; missing columns become NULL."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def wide_to_long(df: DataFrame, id_cols: Sequence[str], measures: Sequence[str],
                  years: Sequence[int], year_col: str = "yr", anchor: str | None = None,
                  sep: str = "_") -> DataFrame:

@@ -93,8 +93,10 @@ def attention_scores(df: DataFrame, keep: Sequence[str] = (), lag: str | None =
     return df.select(*keep, s.alias("score"), attention_level(s).alias("level"))
 
 
-def recommendations(ieg="ieg", ips="ips", ida="ida", iaa="iaa") -> Column:
-    """recommendation texts for one profile row (default when none)."""
-    conds = [F.col(ieg) < F.lit(C.ALERT_IEG_LT), F.col(ips) < F.lit(C.ALERT_IPS_LT),
-             F.col(ida) < F.lit(C.ALERT_IDA_LT), (F.col(iaa) - F.col(ida)) > F.lit(C.RECOMMEND_GAP)]
+def recommendations(ieg="ieg", ips="ips", ida="ida", iaa="iaa", missing_as: str = "zero") -> Column:
+    """recommendation texts for one profile row (default when none). The
+    profile reads a missing indicator as 0, as its alerts do (D20)."""
+    ieg, ips, ida, iaa = (_val(c, missing_as) for c in (ieg, ips, ida, iaa))
+    conds = [ieg < F.lit(C.ALERT_IEG_LT), ips < F.lit(C.ALERT_IPS_LT),
+             ida < F.lit(C.ALERT_IDA_LT), (iaa - ida) > F.lit(C.RECOMMEND_GAP)]
     return reasons(conds, C.RECOMMENDATIONS, C.RECOMMEND_DEFAULT)

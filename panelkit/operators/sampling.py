@@ -17,18 +17,14 @@ from pyspark.sql import functions as F
 __all__ = ["hash_rank", "stratified_split", "stratified_folds", "sample_per_entity"]
 
 
-def _buckets(df: DataFrame, buckets: int | None, floor: int) -> int:
-    """Bucket count: explicit, else the session's shuffle parallelism (so the
-    ranking spreads over the whole cluster), never below ``floor``."""
-    if buckets:
-        return int(buckets)
-    return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", str(floor))))
+#: hash ranges per stratum; ranks do not depend on it
+HASH_RANGES = 1024
 
 
 def hash_rank(df: DataFrame, strata: str, keys: Sequence[str], seed: int = 42, buckets: int | None = None) -> DataFrame:
     """Adds ``__h`` (seeded hash), ``rank`` (0-based, within stratum, in hash
     order; ties by key) and ``stratum_n``."""
-    buckets = _buckets(df, buckets, 256)
+    buckets = buckets or HASH_RANGES
     h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
     # bucket = high-order range of the hash, so bucket order = hash order
     d = df.withColumn("__h", h).withColumn("__b", F.least(F.lit(buckets - 1), F.floor((F.col("__h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64 / buckets)).cast("int")))
@@ -38,7 +34,9 @@ def hash_rank(df: DataFrame, strata: str, keys: Sequence[str], seed: int = 42, b
                      (F.sum("__c").over(wo.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__off"),
                      F.sum("__c").over(Window.partitionBy(strata)).alias("stratum_n"))
     w = Window.partitionBy(strata, "__b").orderBy("__h", *keys)
-    r = d.join(cnt, [strata, "__b"])
+    # a missing stratum value is a stratum like any other: null-safe match, no row is lost
+    cnt = cnt.withColumnsRenamed({strata: "__s", "__b": "__cb"})
+    r = d.join(cnt, F.col(strata).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__cb"))).drop("__s", "__cb")
     return r.withColumn("rank", F.col("__off") + F.row_number().over(w) - 1).drop("__b", "__off")
 
 

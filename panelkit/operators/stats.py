@@ -114,23 +114,24 @@ def binned_means(df: DataFrame, bin_col: str, edges: Sequence[float], cols: Sequ
 
 def box_summary(df: DataFrame, col: str, group: str, digits: int = 6) -> DataFrame:
     """Quartiles (exact, linear), whiskers at the most extreme values
-    inside 1.5·IQR, and the outlier count, per group. Pass 1 computes the
-    quartiles per group; pass 2 joins those (one row per group) back on the
-    group key to find whiskers and outliers."""
+    inside 1.5·IQR, and the outlier count, per group. Rows are first reduced
+    to (group, value, count) on the map side; quartiles, whiskers and outliers
+    all come from these counts, so rows are never joined or shuffled on a
+    group key with few values."""
     d = df.filter(F.col(col).isNotNull() & F.col(group).isNotNull())
-    q = d.groupBy(group).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-                             F.count(F.lit(1)).alias("__n"))
+    v = d.groupBy(group, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    q = v.groupBy(group).agg(F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__c")).alias("q"),
+                             F.sum("__c").alias("__n"))
     q = q.select(group, "__n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("lf", F.col("q1") - F.lit(1.5) * iqr).withColumn("uf", F.col("q3") + F.lit(1.5) * iqr)
-    j = d.select(group, col).join(q, group)
-    x = F.col(col)
-    out = j.groupBy(group).agg(
+    x = F.col("__v")
+    out = v.join(q, group).groupBy(group).agg(
         F.first("__n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
         F.min(F.when(x >= F.col("lf"), x)).alias("whisker_lo"),
         F.max(F.when(x <= F.col("uf"), x)).alias("whisker_hi"),
-        F.count_if((x < F.col("lf")) | (x > F.col("uf"))).alias("outliers"))
+        F.sum(F.when((x < F.col("lf")) | (x > F.col("uf")), F.col("__c")).otherwise(0)).alias("outliers"))
     return out.select(group, "n", *[F.round(c, digits).alias(c) for c in ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
                       "outliers")
 

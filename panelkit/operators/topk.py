@@ -1,36 +1,15 @@
-"""Sort / limit / top-k (T1–T4). Global top-k plans as TakeOrderedAndProject
-(each partition keeps k rows, one merge); per-group top-k uses a
-``row_number`` filter, which Spark turns into a partial per-partition limit
-before the shuffle (window group limit)."""
+"""Top-k (T1, T3). Plans as TakeOrderedAndProject: each partition keeps k
+rows, one merge. (T2 sorts and T4 top categories are in ``aggregates``.)"""
 
 from __future__ import annotations
 
-from typing import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["top_k", "top_k_per_group", "sort_by", "top_category"]
+__all__ = ["top_k"]
 
 
 def top_k(df: DataFrame, score: str, k: int, tiebreak: str, ascending: bool = False) -> DataFrame:
     """K rows by score; ties keep the lowest ``tiebreak``."""
     o = F.asc(score) if ascending else F.desc(score)
     return df.orderBy(o, F.asc(tiebreak)).limit(k)
-
-
-def top_k_per_group(df: DataFrame, group: str, score: str, k: int, tiebreak: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(tiebreak))
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def sort_by(df: DataFrame, cols: Sequence[str], tiebreak: str, descending: bool = False) -> DataFrame:
-    """Sort with an explicit tie-breaker (deterministic output)."""
-    o = [F.desc(c) if descending else F.asc(c) for c in cols]
-    return df.orderBy(*o, F.asc(tiebreak))
-
-
-def top_category(df: DataFrame, col: str) -> DataFrame:
-    """T4: most frequent non-null value (ties → smallest value)."""
-    vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return vc.agg(F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col))).alias(col), F.max("n").alias("n"))

@@ -18,7 +18,7 @@ from panelkit.functions.bands import trend_verdict
 
 __all__ = ["yoy_delta", "latest_prev", "first_last", "series_change", "biggest_mover",
            "first_seen_code", "tier_change_fixed", "tier_change_latest", "streaks",
-           "transitions", "leavers_join", "stayers_join", "history_of"]
+           "transitions", "leavers", "stayers", "history_of"]
 
 
 def yoy_delta(df: DataFrame, entity: str, year: str, cols: Sequence[str], consecutive_only: bool = False,
@@ -117,8 +117,9 @@ def streaks(events: DataFrame, entity: str, ts: str, min_run: int = 3) -> DataFr
         "reached", F.col("longest") >= F.lit(min_run))
 
 
-def transitions(df: DataFrame, entity: str, year: str, first_year: int, last_year: int) -> DataFrame:
-    """J3 (window form): for each (entity, year) with first ≤ year ≤ last,
+def transitions(df: DataFrame, entity: str, year: str, first_year, last_year) -> DataFrame:
+    """J3 (window form): for each (entity, year) with first ≤ year ≤ last
+    (numbers or columns, such as scalar subqueries),
     ``left`` = 1 when the entity is absent the following year. One shuffle
     on the entity key instead of a self join on (entity, year+1)."""
     w = Window.partitionBy(entity).orderBy(year)
@@ -128,22 +129,15 @@ def transitions(df: DataFrame, entity: str, year: str, first_year: int, last_yea
     return out.withColumn("left", left).drop("__next")
 
 
-def _next_year_keys(df: DataFrame, entity: str, year: str) -> DataFrame:
-    return df.select(F.col(entity).alias("__e"), (F.col(year) - 1).alias("__y"))
+def leavers(df: DataFrame, entity: str, year: str, first_year, last_year) -> DataFrame:
+    """Present in year, absent in year + 1 (a filter on the transitions:
+    no self join, no shuffle beyond the entity window)."""
+    return transitions(df, entity, year, first_year, last_year).filter("left = 1").drop("left")
 
 
-def leavers_join(df: DataFrame, entity: str, year: str, first_year: int, last_year: int) -> DataFrame:
-    """J3 (join form): present in year, absent in year+1 — ``left_anti``."""
-    base = df.filter(F.col(year).between(first_year, last_year))
-    nxt = _next_year_keys(df, entity, year)
-    return base.join(nxt, (base[entity] == nxt["__e"]) & (base[year] == nxt["__y"]), "left_anti")
-
-
-def stayers_join(df: DataFrame, entity: str, year: str, first_year: int, last_year: int) -> DataFrame:
-    """J3 (join form): present in both years — ``left_semi``."""
-    base = df.filter(F.col(year).between(first_year, last_year))
-    nxt = _next_year_keys(df, entity, year)
-    return base.join(nxt, (base[entity] == nxt["__e"]) & (base[year] == nxt["__y"]), "left_semi")
+def stayers(df: DataFrame, entity: str, year: str, first_year, last_year) -> DataFrame:
+    """Present in both years."""
+    return transitions(df, entity, year, first_year, last_year).filter("left = 0").drop("left")
 
 
 def history_of(df: DataFrame, keys: DataFrame, entity: str, year: str) -> DataFrame:

@@ -19,13 +19,12 @@ from panelkit.operators import reshape as U
 from panelkit.operators import stats as S
 from panelkit.operators import windows as W
 from panelkit.plans.oracle import with_panel
-from panelkit.plans.panel import INDICATORS, panel_table
+from panelkit.plans.panel import INDICATORS, panel_table, panel_years, year_bounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 IND6 = ["ieg", "ida", "iaa", "ips", "ipv", "ian"]
-YEARS = list(range(1995, 2002))
 
 
 def register(name: str, sql: str | None):
@@ -47,14 +46,21 @@ def px(spark, sf):
     return panel_table(spark, sf)
 
 
+def _spans(spark, sf):
+    """Years that have a following year: the first present to the last but one."""
+    first, last = year_bounds(px(spark, sf))
+    return first, last - 1
+
+
 # ---------------------------------------------------------------- reshapes --
 @register("panel_long", with_panel("""
 SELECT entity_id, yr, ieg, ida, inde FROM panel WHERE inde IS NOT NULL""", False))
 def q_panel_long(spark, sf):
     """Pivot the panel to year-suffixed wide columns, then back to
     long with one ``stack`` per row, dropping rows without the anchor."""
-    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", ["ieg", "ida", "inde"], YEARS)
-    return U.wide_to_long(wide, ["entity_id"], ["ieg", "ida", "inde"], YEARS, "yr", anchor="inde")
+    years = panel_years(px(spark, sf))
+    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", ["ieg", "ida", "inde"], years)
+    return U.wide_to_long(wide, ["entity_id"], ["ieg", "ida", "inde"], years, "yr", anchor="inde")
 
 
 @register("indicator_melt", with_panel("""
@@ -259,11 +265,16 @@ def q_corr_target(spark, sf):
     return S.corr_target(px(spark, sf), "ipv", INDICATORS)
 
 
+_DRIVER_ROWS = "ipv IS NOT NULL AND ida IS NOT NULL AND ieg IS NOT NULL AND iaa IS NOT NULL AND ips IS NOT NULL AND ipp IS NOT NULL"
+_DRIVERS = ["ida", "ieg", "iaa", "ips", "ipp", "ian"]
+
+
 @register("corr_rank", with_panel("SELECT indicator, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, indicator) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS indicator, (SELECT round(corr({c}, ipv), 6) FROM panel) AS r" for c in INDICATORS if c != "ipv") + ") WHERE r IS NOT NULL", False))
+    f"SELECT '{c}' AS indicator, (SELECT round(corr({c}, ipv), 6) FROM panel WHERE {_DRIVER_ROWS}) AS r" for c in _DRIVERS) + ") WHERE r IS NOT NULL", False))
 def q_corr_rank(spark, sf):
-    """Turning-point drivers ranked by |r|."""
-    return S.rank_by_abs(S.corr_target(px(spark, sf), "ipv", INDICATORS))
+    """Turning-point drivers ranked by |r| on rows complete in the six."""
+    from panelkit.plans.reports import turning_point_drivers
+    return turning_point_drivers(px(spark, sf))
 
 
 @register("ols_line", with_panel("""
@@ -397,34 +408,34 @@ def q_tier_change(spark, sf):
 
 
 @register("tier_change_fixed", with_panel("""
-SELECT entity_id, max(CASE WHEN yr = 1995 THEN tier_ord END) AS base_ord,
-       max(CASE WHEN yr = 2000 THEN tier_ord END) AS target_ord,
-       coalesce(max(CASE WHEN yr = 2000 THEN tier_ord END) - max(CASE WHEN yr = 1995 THEN tier_ord END), 0) AS tier_change
-FROM panel_x GROUP BY entity_id"""))
+SELECT entity_id, max(CASE WHEN yr = lo THEN tier_ord END) AS base_ord,
+       max(CASE WHEN yr = hi - 1 THEN tier_ord END) AS target_ord,
+       coalesce(max(CASE WHEN yr = hi - 1 THEN tier_ord END) - max(CASE WHEN yr = lo THEN tier_ord END), 0) AS tier_change
+FROM panel_x, (SELECT min(yr) AS lo, max(yr) AS hi FROM panel) b GROUP BY entity_id"""))
 def q_tier_change_fixed(spark, sf):
-    return W.tier_change_fixed(px(spark, sf), "entity_id", "yr", "tier_ord", 1995, 2000)
+    return W.tier_change_fixed(px(spark, sf), "entity_id", "yr", "tier_ord", *_spans(spark, sf))
 
 
 @register("transitions", with_panel("""
 SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
                            THEN 0 ELSE 1 END AS "left"
-FROM panel p WHERE yr BETWEEN 1995 AND 2000""", False))
+FROM panel p WHERE yr < (SELECT max(yr) FROM panel)""", False))
 def q_transitions(spark, sf):
-    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", *_spans(spark, sf))
 
 
 @register("leavers", with_panel("""
-SELECT entity_id, yr FROM panel p WHERE yr BETWEEN 1995 AND 2000
+SELECT entity_id, yr FROM panel p WHERE yr < (SELECT max(yr) FROM panel)
   AND NOT EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)""", False))
 def q_leavers(spark, sf):
-    return W.leavers_join(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+    return W.leavers(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", *_spans(spark, sf))
 
 
 @register("stayers", with_panel("""
-SELECT entity_id, yr FROM panel p WHERE yr BETWEEN 1995 AND 2000
+SELECT entity_id, yr FROM panel p WHERE yr < (SELECT max(yr) FROM panel)
   AND EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)""", False))
 def q_stayers(spark, sf):
-    return W.stayers_join(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000)
+    return W.stayers(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", *_spans(spark, sf))
 
 
 @register("history_of", with_panel("""
@@ -472,7 +483,7 @@ SELECT entity_id, yr,
   round(iaa - ida, 6) AS gap,
   round(ieg / CAST(phase + 1 AS DOUBLE), 6) AS per_phase,
   round(ieg * ipv, 6) AS interaction,
-  2001 - min(yr) OVER (PARTITION BY entity_id) AS tenure_ref
+  (SELECT max(yr) FROM panel) - min(yr) OVER (PARTITION BY entity_id) AS tenure_ref
 FROM panel_x"""))
 def q_row_means(spark, sf):
     """Skip-missing and strict row means, gap, per-phase ratio,
@@ -486,7 +497,7 @@ def q_row_means(spark, sf):
         F.round(F.col("iaa") - F.col("ida"), 6).alias("gap"),
         F.round(ratio_by_phase("ieg", "phase"), 6).alias("per_phase"),
         F.round(F.col("ieg") * F.col("ipv"), 6).alias("interaction"),
-        (F.lit(2001) - F.min("yr").over(Window.partitionBy("entity_id"))).alias("tenure_ref"))
+        (F.lit(year_bounds(p)[1]) - F.min("yr").over(Window.partitionBy("entity_id"))).alias("tenure_ref"))
 
 
 @register("median_fill", with_panel("""
@@ -678,82 +689,204 @@ def q_attention_critical(spark, sf):
 
 
 # --------------------------------------------------------------- reports --
+_GAP_ROWS = "iaa IS NOT NULL AND ida IS NOT NULL AND ieg IS NOT NULL"
+
+
 @register("gap_report", with_panel(f"""
-SELECT {EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")} AS mean_gap,
-       round(regr_slope(iaa, ida), 6) AS slope, round(regr_intercept(iaa, ida), 6) AS intercept,
-       round(regr_r2(iaa, ida), 6) AS r2, round(corr(iaa, ida), 6) AS r,
-       CASE WHEN {EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")} > 0.5 THEN 'over'
-            WHEN abs({EM("CASE WHEN iaa IS NOT NULL AND ida IS NOT NULL THEN iaa - ida END")}) < 0.5 THEN 'coherent'
-            ELSE 'under' END AS verdict FROM panel""", False))
+SELECT mean_gap, slope, intercept, r2, r, CASE WHEN mean_gap > 0.5 THEN 'over' WHEN abs(mean_gap) < 0.5 THEN 'coherent' ELSE 'under' END AS verdict
+FROM (SELECT {EM("iaa - ida")} AS mean_gap, round(regr_slope(ida, iaa), 6) AS slope, round(regr_intercept(ida, iaa), 6) AS intercept,
+             round(regr_r2(ida, iaa), 6) AS r2, round(corr(iaa, ida), 6) AS r FROM panel WHERE {_GAP_ROWS})""", False))
 def q_gap_report(spark, sf):
+    """Self-assessment against performance on complete rows."""
     from panelkit.plans.reports import self_assessment
-    return self_assessment(px(spark, sf), "iaa", "ida", scale=4)
+    return self_assessment(px(spark, sf), scale=4)
 
 
-@register("psychosocial_report", with_panel("""
+@register("gap_histogram", with_panel(f"""
+WITH d AS (SELECT yr, round(iaa - ida, 4) AS gap FROM panel WHERE {_GAP_ROWS}),
+mm AS (SELECT min(gap) AS lo, max(gap) AS hi FROM d),
+b AS (SELECT yr, CASE WHEN (hi - lo) / 30.0 = 0 THEN 0 ELSE least(CAST(floor((gap - lo) / ((hi - lo) / 30.0)) AS INTEGER), 29) END AS bin
+      FROM d, mm)
+SELECT yr, bin, round(lo + (hi - lo) / 30.0 * bin, 6) AS lo, round(lo + (hi - lo) / 30.0 * (bin + 1), 6) AS hi,
+       count(*) AS n FROM b, mm GROUP BY yr, bin, mm.lo, mm.hi""", False))
+def q_gap_histogram(spark, sf):
+    """Histogram of the self-assessment gap, coloured by year."""
+    from panelkit.plans.reports import gap_histogram
+    return gap_histogram(px(spark, sf))
+
+
+_PSY_ROWS = "ips IS NOT NULL AND ida IS NOT NULL AND ieg IS NOT NULL"
+
+
+@register("psychosocial_report", with_panel(f"""
 SELECT round(corr(ips, ida), 6) AS r_ips_ida, round(corr(ips, ieg), 6) AS r_ips_ieg,
        round(regr_slope(ida, ips), 6) AS slope, round(regr_intercept(ida, ips), 6) AS intercept,
-       corr(ips, ida) > 0.2 AS relevant FROM panel""", False))
+       round(regr_slope(ieg, ips), 6) AS slope_ieg, round(regr_intercept(ieg, ips), 6) AS intercept_ieg,
+       corr(ips, ida) > 0.2 AS relevant FROM panel WHERE {_PSY_ROWS}""", False))
 def q_psychosocial_report(spark, sf):
     from panelkit.plans.reports import psychosocial
     return psychosocial(px(spark, sf))
 
 
+@register("psychosocial_bins", with_panel(f"""
+SELECT bin, count(*) AS n, {EM("ida")} AS mean_ida, {EM("ieg")} AS mean_ieg, {EM("inde")} AS mean_inde FROM (
+  SELECT *, CASE WHEN ips > 0 AND ips <= 4 THEN '(0, 4]' WHEN ips > 4 AND ips <= 6 THEN '(4, 6]'
+                 WHEN ips > 6 AND ips <= 8 THEN '(6, 8]' WHEN ips > 8 AND ips <= 10 THEN '(8, 10]' END AS bin
+  FROM panel WHERE {_PSY_ROWS}) t WHERE bin IS NOT NULL GROUP BY bin""", False))
+def q_psychosocial_bins(spark, sf):
+    """Performance, engagement and index per support bin."""
+    from panelkit.plans.reports import psychosocial_bins
+    return psychosocial_bins(px(spark, sf), scale=4)
+
+
 @register("assessment_report", with_panel(f"""
 SELECT band, {EM("ipp")} AS mean, round(stddev_samp(ipp), 6) AS std, count(ipp) AS n FROM (
-  SELECT ipp, CASE WHEN ian IS NULL THEN 'Sem dados' WHEN ian >= 8 THEN 'Adequado'
+  SELECT ipp, CASE WHEN ian >= 8 THEN 'Adequado'
                    WHEN ian >= 5 THEN 'Moderadamente defasado' WHEN ian >= 2.5 THEN 'Severamente defasado'
-                   ELSE 'Criticamente defasado' END AS band FROM panel WHERE ipp IS NOT NULL) GROUP BY band""", False))
+                   ELSE 'Criticamente defasado' END AS band FROM panel WHERE ipp IS NOT NULL AND ian IS NOT NULL) GROUP BY band""", False))
 def q_assessment_report(spark, sf):
-    """Does the assessment index follow the adequacy band? (A7 by band;
-    rows missing the assessment index are excluded explicitly, D16)."""
-    p = px(spark, sf).filter(F.col("ipp").isNotNull()).withColumn("band", ian_band("ian"))
-    return A.mean_std(p, ["band"], "ipp", scale=4)
+    """Does the assessment index follow the adequacy band? (A7 by band,
+    rows complete in both, D16)."""
+    from panelkit.plans.reports import assessment_vs_adequacy
+    return assessment_vs_adequacy(px(spark, sf), scale=4)
+
+
+@register("assessment_verdict", with_panel("""
+SELECT round(corr(ipp, ian), 6) AS r, round(regr_slope(ian, ipp), 6) AS slope, round(regr_intercept(ian, ipp), 6) AS intercept,
+       CASE WHEN corr(ipp, ian) > 0.2 THEN 'confirms' ELSE 'independent' END AS verdict
+FROM panel WHERE ipp IS NOT NULL AND ian IS NOT NULL""", False))
+def q_assessment_verdict(spark, sf):
+    """Correlation, line and verdict."""
+    from panelkit.plans.reports import assessment_verdict
+    return assessment_verdict(px(spark, sf))
+
 
+_MULTI = ["ida", "ieg", "ips", "ipp", "iaa", "ipv", "ian"]
+_MULTI_ROWS = " AND ".join(f"{c} IS NOT NULL" for c in [*_MULTI, "inde"])
 
-@register("tier_profile", with_panel(f"""
-SELECT d.tier, m.mean_ida, m.mean_ieg, m.mean_ips FROM (VALUES ('Quartzo', 0), ('Ágata', 1), ('Ametista', 2),
-  ('Topázio', 3)) d(tier, o) LEFT JOIN (SELECT tier, {EM("ida")} AS mean_ida, {EM("ieg")} AS mean_ieg,
-  {EM("ips")} AS mean_ips FROM panel_x GROUP BY tier) m ON d.tier = m.tier
-WHERE m.mean_ida IS NOT NULL AND m.mean_ieg IS NOT NULL AND m.mean_ips IS NOT NULL"""))
+
+@register("tier_profile", with_panel(
+    "SELECT d.tier, " + ", ".join(f"m.mean_{c}" for c in _MULTI) + " FROM (VALUES ('Quartzo', 0), ('Ágata', 1), ('Ametista', 2), "
+    "('Topázio', 3)) d(tier, o) JOIN (SELECT tier, " + ", ".join(f"{EM(c)} AS mean_{c}" for c in _MULTI) +
+    f" FROM panel_x WHERE {_MULTI_ROWS} GROUP BY tier) m ON d.tier = m.tier"))
 def q_tier_profile(spark, sf):
-    """Tier profile re-indexed to the tier order."""
-    from panelkit import config as C
-    from panelkit.operators.joins import reindex_groups
-    g = A.group_means(px(spark, sf), ["tier"], ["ida", "ieg", "ips"], scale=4)
-    return reindex_groups(g, "tier", C.TIER_ORDER)
+    """Tier profile over seven indicators on complete rows."""
+    from panelkit.plans.reports import multidimensional
+    return multidimensional(px(spark, sf), scale=4)["profile"]
+
+
+@register("multi_matrix", with_panel("WITH mr AS (SELECT * FROM panel WHERE " + _MULTI_ROWS + ") SELECT * FROM (" +
+                                     _corr_matrix_sql([*_MULTI, "inde"]).replace("FROM panel", "FROM mr") + ")", False))
+def q_multi_matrix(spark, sf):
+    """Correlation matrix on rows complete in all eight."""
+    from panelkit.plans.reports import multidimensional
+    return multidimensional(px(spark, sf))["matrix"]
+
+
+@register("multi_drivers", with_panel("SELECT indicator, r, CAST(row_number() OVER (ORDER BY abs(r) DESC, indicator) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS indicator, (SELECT round(corr({c}, inde), 6) FROM panel WHERE {_MULTI_ROWS}) AS r" for c in _MULTI) + ") WHERE r IS NOT NULL", False))
+def q_multi_drivers(spark, sf):
+    """What moves the index most, on complete rows."""
+    from panelkit.plans.reports import multidimensional
+    return multidimensional(px(spark, sf))["drivers"]
+
+
+@register("performance_by_year_tier", with_panel(f"""
+SELECT yr, tier, {EM("ida")} AS mean_ida FROM panel_x WHERE tier IS NOT NULL GROUP BY yr, tier"""))
+def q_performance_by_year_tier(spark, sf):
+    """Mean performance per year and tier."""
+    from panelkit.plans.reports import performance_evolution
+    return performance_evolution(px(spark, sf), scale=4)["by_year_tier"]
 
 
 @register("effectiveness", with_panel(f"""
-SELECT yr, tier, {EM("inde")} AS mean_inde, count(*) AS n FROM panel_x WHERE tier IS NOT NULL GROUP BY yr, tier"""))
+SELECT yr, tier, {EM("inde")} AS mean_inde, {EM("ida")} AS mean_ida, {EM("ieg")} AS mean_ieg, count(*) AS n
+FROM panel_x WHERE tier IS NOT NULL GROUP BY yr, tier"""))
 def q_effectiveness(spark, sf):
-    """Tier trajectory (mean index per year × tier)."""
-    p = px(spark, sf)
-    return A.group_means(p, ["yr", "tier"], ["inde"], scale=4).join(
-        A.group_count(p.filter(F.col("tier").isNotNull()), ["yr", "tier"]), ["yr", "tier"])
+    """Tier trajectory (index, performance, engagement per year × tier)."""
+    from panelkit.plans.reports import trajectory
+    return trajectory(px(spark, sf), scale=4)
+
+
+_SEG = ["segment", "tenure", "phase", "pv", "gender"]
 
 
-@register("segments", with_panel(f"""
-SELECT 'segment' AS key, segment AS value, {EM("inde")} AS mean_inde, {EM("ida")} AS mean_ida, count(*) AS n
-FROM panel_x WHERE segment IS NOT NULL GROUP BY segment
-UNION ALL SELECT 'tenure', CAST(tenure AS VARCHAR), {EM("inde")}, {EM("ida")}, count(*) FROM panel_x GROUP BY tenure
-UNION ALL SELECT 'phase', CAST(phase AS VARCHAR), {EM("inde")}, {EM("ida")}, count(*) FROM panel_x GROUP BY phase
-UNION ALL SELECT 'pv', pv, {EM("inde")}, {EM("ida")}, count(*) FROM panel_x WHERE pv IS NOT NULL GROUP BY pv"""))
+@register("segments", with_panel(" UNION ALL ".join(
+    f"SELECT '{k}' AS key, CAST({k} AS VARCHAR) AS value, {EM('inde')} AS mean_inde, {EM('ida')} AS mean_ida, "
+    f"{EM('ieg')} AS mean_ieg, count(*) AS n FROM panel_x WHERE {k} IS NOT NULL GROUP BY {k}" for k in _SEG)))
 def q_segments(spark, sf):
-    """Mean index and performance per segment key."""
+    """Mean index, performance and engagement per segment key."""
     from panelkit.plans.reports import segments
-    return segments(px(spark, sf), ["segment", "tenure", "phase", "pv"], ["inde", "ida"], scale=4)
+    return segments(px(spark, sf), _SEG, ["inde", "ida", "ieg"], scale=4)
+
+
+_GENDER = ["inde", "ida", "ieg", "iaa", "ips", "ipv"]
+
+
+@register("gender_profile", with_panel(f"""
+SELECT indicator, {EM("CASE WHEN gender = 'Menina' THEN value END")} AS "Menina",
+       {EM("CASE WHEN gender = 'Menino' THEN value END")} AS "Menino"
+FROM (SELECT gender, indicator, value FROM panel_x UNPIVOT INCLUDE NULLS (value FOR indicator IN ({", ".join(_GENDER)})))
+GROUP BY indicator"""))
+def q_gender_profile(spark, sf):
+    """Six indicators by gender."""
+    return U.transpose_means(px(spark, sf), "gender", _GENDER, ["Menina", "Menino"], scale=4)
+
+
+@register("tenure_histogram", with_panel("""
+WITH mm AS (SELECT min(tenure) AS lo, max(tenure) AS hi FROM panel_x),
+b AS (SELECT gender, CASE WHEN (hi - lo) / 15.0 = 0 THEN 0
+             ELSE least(CAST(floor((tenure - lo) / ((hi - lo) / 15.0)) AS INTEGER), 14) END AS bin FROM panel_x, mm WHERE tenure IS NOT NULL)
+SELECT gender, bin, round(lo + (hi - lo) / 15.0 * bin, 6) AS lo, round(lo + (hi - lo) / 15.0 * (bin + 1), 6) AS hi,
+       count(*) AS n FROM b, mm GROUP BY gender, bin, mm.lo, mm.hi"""))
+def q_tenure_histogram(spark, sf):
+    """15-bin histogram coloured by gender (tenure stands in for age)."""
+    return S.histogram(px(spark, sf), "tenure", 15, "gender")
+
+
+@register("overview_radar", with_panel(
+    "SELECT d.tier, " + ", ".join(f"m.mean_{c}" for c in IND6) + " FROM (VALUES ('Quartzo', 0), ('Ágata', 1), ('Ametista', 2), "
+    "('Topázio', 3)) d(tier, o) JOIN (SELECT tier, " + ", ".join(f"{EM(c)} AS mean_{c}" for c in IND6) +
+    " FROM panel_x GROUP BY tier) m ON d.tier = m.tier"))
+def q_overview_radar(spark, sf):
+    """Tier radar of the overview."""
+    from panelkit.plans.reports import overview
+    return overview(px(spark, sf), IND6, scale=4)["radar"]
+
+
+@register("overview_histogram", with_panel("""
+WITH mm AS (SELECT min(inde) AS lo, max(inde) AS hi FROM panel),
+b AS (SELECT CASE WHEN (hi - lo) / 15.0 = 0 THEN 0
+                  ELSE least(CAST(floor((inde - lo) / ((hi - lo) / 15.0)) AS INTEGER), 14) END AS bin
+      FROM panel, mm WHERE inde IS NOT NULL)
+SELECT bin, round(lo + (hi - lo) / 15.0 * bin, 6) AS lo, round(lo + (hi - lo) / 15.0 * (bin + 1), 6) AS hi,
+       count(*) AS n FROM b, mm GROUP BY bin, mm.lo, mm.hi""", False))
+def q_overview_histogram(spark, sf):
+    """Index histogram of the overview."""
+    from panelkit.plans.reports import overview
+    return overview(px(spark, sf), IND6, scale=4)["index_hist"]
 
 
-@register("source_counts", " UNION ALL ".join(
-    f"SELECT '{t}' AS source, count(*) AS \"rows\" FROM {t}" for t in
-    ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-     "labels"]))
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+           "pages", "benchmark", "labels", "conversations"]
+
+
+@register("source_counts", with_panel(" UNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) AS \"rows\" FROM {t}" for t in _TABLES) + """
+UNION ALL SELECT 'panel', count(*) FROM panel UNION ALL SELECT 'panel_years', count(DISTINCT yr) FROM panel""", False))
 def q_source_counts(spark, sf):
-    """Rows per source table."""
+    """Rows per source table and of the panel, and the years present."""
     from panelkit.sources.readers import read_table, source_counts
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
-    return source_counts({t: read_table(spark, sf, t) for t in names})
+    p = px(spark, sf)
+    return source_counts({t: read_table(spark, sf, t) for t in _TABLES} | {"panel": p, "panel_years": p.select("yr").distinct()})
+
+
+@register("non_null_counts", with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null FROM panel_x" for c in ["ipp", "pv", "ipv_n", "segment", "tier", "inde"])))
+def q_non_null_counts(spark, sf):
+    """Present values per column, one pass."""
+    from panelkit.sources.readers import non_null_counts
+    return non_null_counts(px(spark, sf), ["ipp", "pv", "ipv_n", "segment", "tier", "inde"])
 
 
 # ---------------------------------------------------------- progress / quiz --
@@ -1002,13 +1135,13 @@ def q_best_threshold(spark, sf):
 # ------------------------------------------------- stratified split / folds --
 TRANS_SQL = """
 WITH tr AS (SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id
-             AND q.yr = p.yr + 1) THEN 0 ELSE 1 END AS label FROM panel p WHERE yr BETWEEN 1995 AND 2000),
+             AND q.yr = p.yr + 1) THEN 0 ELSE 1 END AS label FROM panel p WHERE yr < (SELECT max(yr) FROM panel)),
 cn AS (SELECT label, count(*) AS n FROM tr GROUP BY label)
 """
 
 
 def _transitions(spark, sf):
-    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 1995, 2000).withColumnRenamed(
+    return W.transitions(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", *_spans(spark, sf)).withColumnRenamed(
         "left", "label")
 
 
@@ -1066,7 +1199,7 @@ def q_features_lag(spark, sf):
 
 _ATTR_BASE = """
 tr AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM panel_x q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
-                   THEN 0 ELSE 1 END AS label FROM panel_x p WHERE yr BETWEEN 1995 AND 2000),
+                   THEN 0 ELSE 1 END AS label FROM panel_x p WHERE yr < (SELECT max(yr) FROM panel)),
 a0 AS (SELECT entity_id, yr, iaa AS IAA, ieg AS IEG, ips AS IPS, ida AS IDA, ipv AS IPV, ian AS IAN,
               CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, CAST(tier_ord AS DOUBLE) AS PEDRA_NUM,
               (coalesce(iaa, 0.0) + coalesce(ieg, 0.0) + coalesce(ips, 0.0) + coalesce(ida, 0.0) + coalesce(ipv, 0.0)
@@ -1084,124 +1217,212 @@ _ATTR_FILL = ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
 def q_features_attrition(spark, sf):
     """ML4: transition observations (present in year N → absent in N+1)."""
     from panelkit.plans.features import ATTRITION_FEATURES, attrition_features
-    return attrition_features(px(spark, sf), 1995, 2000).select("entity_id", "yr", *_r6(ATTRITION_FEATURES), "label")
+    return attrition_features(px(spark, sf), *_spans(spark, sf)).select("entity_id", "yr", *_r6(ATTRITION_FEATURES), "label")
 
 
-_TP_BASE = """
+_CODES = """
 codes AS (SELECT institution, row_number() OVER (ORDER BY first_row, institution) - 1 AS code FROM (
             SELECT institution, min(entity_id * 10000 + yr) AS first_row FROM panel_x WHERE institution IS NOT NULL
-            GROUP BY institution)),
+            GROUP BY institution)),"""
+_NOTES = """(coalesce(ida, 0.0) + coalesce(ips, 0.0) + coalesce(ipp, 0.0)) / nullif((CASE WHEN ida IS NULL THEN 0 ELSE 1 END
+               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ipp IS NULL THEN 0 ELSE 1 END), 0)"""
+_TP_FILLED = ["IAN", "IPP", "NOTA_MAT", "NOTA_PORT", "NOTA_ING", "PEDRA_NUM", "MEDIA_NOTAS"]
+_TP_KEPT = ["IAA", "IEG", "IPS", "IDA", "FASE", "ANOS_PM", "MEDIA_INDICADORES", "GENERO_FEMININO", "INSTITUICAO_COD"]
+
+
+@register("features_turning_point", with_panel("WITH " + _CODES + f"""
 t0 AS (SELECT entity_id, yr, iaa AS IAA, ieg AS IEG, ips AS IPS, ipp AS IPP, ida AS IDA, ian AS IAN,
-              CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, CAST(tier_ord AS DOUBLE) AS PEDRA_NUM,
-              ida AS NOTA_MAT, ips AS NOTA_PORT, ipp AS NOTA_ING,
-              (coalesce(ida, 0.0) + coalesce(ips, 0.0) + coalesce(ipp, 0.0)) / nullif((CASE WHEN ida IS NULL THEN 0 ELSE 1 END
-               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ipp IS NULL THEN 0 ELSE 1 END), 0) AS MEDIA_NOTAS,
-              (coalesce(iaa, 0.0) + coalesce(ieg, 0.0) + coalesce(ips, 0.0) + coalesce(ida, 0.0) + coalesce(ipv, 0.0))
-               / nullif((CASE WHEN iaa IS NULL THEN 0 ELSE 1 END + CASE WHEN ieg IS NULL THEN 0 ELSE 1 END
-               + CASE WHEN ips IS NULL THEN 0 ELSE 1 END + CASE WHEN ida IS NULL THEN 0 ELSE 1 END
-               + CASE WHEN ipv IS NULL THEN 0 ELSE 1 END), 0) AS MEDIA_INDICADORES,
+              CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, CAST(coalesce(tier_ord, 0) AS DOUBLE) AS PEDRA_NUM,
+              ida AS NOTA_MAT, ips AS NOTA_PORT, ipp AS NOTA_ING, {_NOTES} AS MEDIA_NOTAS,
+              (iaa + ieg + ips + ida) / 4.0 AS MEDIA_INDICADORES,
               CAST(CASE WHEN gender = 'Menina' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS GENERO_FEMININO,
               CAST(coalesce(c.code, -1) AS DOUBLE) AS INSTITUICAO_COD,
               CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS label
-       FROM panel_x p LEFT JOIN codes c USING (institution))"""
-
-
-def _tp_cols():
-    from panelkit.plans.features import TP_FEATURES
-    return TP_FEATURES
-
-
-@register("features_turning_point", with_panel("WITH " + _TP_BASE + "\nSELECT entity_id, yr, " + ", ".join(
-    f"round(coalesce({c}, coalesce((SELECT median({c}) FROM t0), 0.0)), 6) AS {c}" for c in _tp_cols()) +
-    ", label FROM t0"))
+       FROM panel_x p LEFT JOIN codes c USING (institution)
+       WHERE iaa IS NOT NULL AND ieg IS NOT NULL AND ips IS NOT NULL AND ida IS NOT NULL AND phase IS NOT NULL AND tenure IS NOT NULL)
+SELECT entity_id, yr, """ + ", ".join([f"round({c}, 6) AS {c}" for c in _TP_KEPT] + [
+    f"round(coalesce({c}, coalesce((SELECT median({c}) FROM t0), 0.0)), 6) AS {c}" for c in _TP_FILLED]) + ", label FROM t0"))
 def q_features_turning_point(spark, sf):
-    """ML3: 16 median-imputed features (no IPV, no index) + target."""
+    """ML3: 16 features, none made from IPV or the index, + target."""
     from panelkit.plans.features import TP_FEATURES, turning_point_features
     return turning_point_features(px(spark, sf)).select("entity_id", "yr", *_r6(TP_FEATURES), "label")
 
 
-@register("features_tier", with_panel("WITH " + _TP_BASE.replace("CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS label",
-                                                                   "tier AS label") + """
+@register("features_tier", with_panel("WITH " + _CODES + f"""
+t0 AS (SELECT entity_id, yr, CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM, iaa AS IAA, ieg AS IEG, ips AS IPS,
+              ida AS IDA, ipv AS IPV, ida AS NOTA_MAT, ips AS NOTA_PORT, {_NOTES} AS MEDIA_NOTAS,
+              (iaa + ieg + ips + ida + ipv) / 5.0 AS MEDIA_INDICADORES,
+              CAST(CASE WHEN gender = 'Menina' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS GENERO_FEMININO,
+              CAST(coalesce(c.code, -1) AS DOUBLE) AS INSTITUICAO_COD, tier
+       FROM panel_x p LEFT JOIN codes c USING (institution)
+       WHERE iaa IS NOT NULL AND ieg IS NOT NULL AND ips IS NOT NULL AND ida IS NOT NULL AND ipv IS NOT NULL
+         AND phase IS NOT NULL AND tenure IS NOT NULL AND tier IS NOT NULL)
 SELECT entity_id, yr, """ + ", ".join(f"round({c}, 6) AS {c}" for c in
                                      ["FASE", "ANOS_PM", "IAA", "IEG", "IPS", "IDA", "IPV", "NOTA_MAT", "NOTA_PORT",
-                                      "MEDIA_NOTAS", "MEDIA_INDICADORES", "GENERO_FEMININO", "INSTITUICAO_COD"]) + """,
-  label AS tier FROM (SELECT t0.*, p.ipv AS IPV FROM t0 JOIN panel_x p USING (entity_id, yr))
-WHERE label IS NOT NULL"""))
+                                      "MEDIA_NOTAS", "MEDIA_INDICADORES", "GENERO_FEMININO", "INSTITUICAO_COD"]) + ", tier FROM t0"))
 def q_features_tier(spark, sf):
     """ML2: tier matrix (13 features, no index/IAN) + tier label."""
     from panelkit.plans.features import TIER_FEATURES, tier_features
     return tier_features(px(spark, sf)).select("entity_id", "yr", *_r6(TIER_FEATURES), "tier")
 
 
-# ------------------------------------------------- model fits (rows only) --
-def _fit_and_score(spark, sf, which):
-    """Split first; weights and (where used) median imputation are fitted on
-    the training part only (D23); one fit with the reference settings; the
-    test part scored (ML12–ML14)."""
-    from panelkit.operators.clean import median_fill
+# ------------------------------------------------- model fits (whole-table scores) --
+_SCORED: dict = {}
+_SCORE_LOCKS = {n: __import__("threading").Lock() for n in ("lag_risk", "tier", "turning_point", "attrition")}
+
+
+def scored(spark, sf, which):
+    """Whole-table scores of one model (ML12–ML14), fitted once per
+    application: split first; codes, medians and weights fitted on the training
+    part (D23); the lag model's threshold calibrated on out-of-fold scores; then
+    every row of the matrix is scored."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), which)
+    with _SCORE_LOCKS[which]:
+        if key not in _SCORED:
+            from panelkit.session import cut_lineage
+            _SCORED[key] = cut_lineage(_score(spark, sf, which))
+    return _SCORED[key]
+
+
+def _score(spark, sf, which):
+    from panelkit.operators.evaluation import best_threshold, threshold_f1, threshold_grid
     from panelkit.operators.sampling import stratified_split
     from panelkit.plans import features as FT
     from panelkit.plans import models as M
     from panelkit.session import cut_lineage
-    p = px(spark, sf)
-    keys = ["entity_id", "yr"]
+    p, keys, spec = px(spark, sf), ["entity_id", "yr"], M.MODEL_SPECS[which]
     if which == "tier":
-        s = cut_lineage(stratified_split(FT.tier_features(p), "tier", keys, 0.2))
-        tr = cut_lineage(M.spread(cut_lineage(M.class_weights(s.filter("is_test = 0"), "tier"))))
-        m = M.fit(tr, FT.TIER_FEATURES, M.MODEL_SPECS["tier"], label="label_idx", string_label="tier")
-        out = M.score_multiclass(m, s.filter("is_test = 1"))
-        return out.select("entity_id", "yr", "tier", "pred_label", F.round("confidence", 6).alias("confidence"))
-    feats, spec, data, band, fill = {
-        "lag_risk": (FT.LAG_FEATURES, M.MODEL_SPECS["lag_risk"], lambda: FT.lag_features(p), "lag", []),
-        "turning_point": (FT.TP_FEATURES, M.MODEL_SPECS["turning_point"],
-                          lambda: FT.turning_point_features(p, fill=False), None, FT.TP_FEATURES),
-        "attrition": (FT.ATTRITION_FEATURES, M.MODEL_SPECS["attrition"],
-                      lambda: FT.attrition_features(p, 1995, 2000, fill=False), "attrition", FT.ATTRITION_FILL),
-    }[which]
-    s = cut_lineage(stratified_split(data(), "label", keys, 0.2))
-    tr, te = s.filter("is_test = 0"), s.filter("is_test = 1")
-    if fill:
-        tr, te = median_fill(tr, fill, fit_on=tr), median_fill(te, fill, fit_on=tr)
-    tr = cut_lineage(M.spread(cut_lineage(M.class_weights(tr))))
-    m = M.fit(tr, feats, spec)
-    out = M.score_binary(m, te, float(spec.get("threshold", spec.get("min_thresh", 0.5))), band)
-    return out.select("entity_id", "yr", "label", F.round("score", 6).alias("score"), "pred",
-                      *(["band"] if band else []))
+        s = cut_lineage(stratified_split(FT.tier_features(p, coded=False), "tier", keys, 0.2))
+        tr, te = M.prepare_parts(s.filter("is_test = 0"), s.filter("is_test = 1"), codes=True)
+        m = M.fit(cut_lineage(M.spread(cut_lineage(tr), keys)), FT.TIER_FEATURES, spec, label="label_idx", string_label="tier")
+        out = M.score_multiclass(m, tr.unionByName(te))
+        return out.select("entity_id", "yr", "tier", "is_test", "pred_label", F.round("confidence", 6).alias("confidence"))
+    feats, data, band, fill, codes = {
+        "lag_risk": lambda: (FT.LAG_FEATURES, FT.lag_features(p), "lag", [], False),
+        "turning_point": lambda: (FT.TP_FEATURES, FT.turning_point_features(p, fill=False, coded=False), None, FT.TP_FILL, True),
+        "attrition": lambda: (FT.ATTRITION_FEATURES, FT.attrition_features(p, *_spans(spark, sf), fill=False), "attrition",
+                              FT.ATTRITION_FILL, False),
+    }[which]()
+    train, test = M.prepare_split(data, keys, fill_cols=fill, codes=codes)
+    if "threshold" in spec:
+        m, threshold = M.fit(train, feats, spec), spec["threshold"]
+    else:
+        fits = M.fit_folds_and_final(train, feats, {which: spec})[which]
+        m = fits["final"]
+        threshold = best_threshold(threshold_f1(fits["oof"], threshold_grid(spec["min_thresh"], 0.80))).first()["threshold"]
+    out = M.score_binary(m, train.unionByName(test, allowMissingColumns=True), float(threshold), band)
+    return out.select("entity_id", "yr", "label", "is_test", F.round("score", 6).alias("score"), "pred",
+                      F.lit(float(threshold)).alias("threshold"), *(["band"] if band else []))
 
 
 for _name in ["lag_risk", "tier", "turning_point", "attrition"]:
-    QUERIES[f"score_{_name}"] = (lambda n: lambda spark, sf: _fit_and_score(spark, sf, n))(_name)
+    QUERIES[f"score_{_name}"] = (lambda n: lambda spark, sf: scored(spark, sf, n))(_name)
+
+_BASE_ROWS = "iaa IS NOT NULL AND ieg IS NOT NULL AND ips IS NOT NULL AND ida IS NOT NULL"
+
+
+@register("score_checks", with_panel(f"""
+SELECT 'lag_risk' AS model, CAST(CASE WHEN lag < 0 THEN 1 ELSE 0 END AS VARCHAR) AS label, count(*) AS n, 0::BIGINT AS bad
+FROM panel_x WHERE {_BASE_ROWS} AND ipv IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'turning_point', CAST(CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS VARCHAR), count(*), 0::BIGINT
+FROM panel_x WHERE {_BASE_ROWS} GROUP BY 2
+UNION ALL SELECT 'attrition', CAST(CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
+   THEN 0 ELSE 1 END AS VARCHAR), count(*), 0::BIGINT FROM panel p WHERE yr < (SELECT max(yr) FROM panel) AND {_BASE_ROWS} GROUP BY 2
+UNION ALL SELECT 'tier', tier, count(*), 0::BIGINT FROM panel_x WHERE {_BASE_ROWS} AND ipv IS NOT NULL AND tier IS NOT NULL GROUP BY 2"""))
+def q_score_checks(spark, sf):
+    """ML12–ML14: rows scored per model and label, and how many of them break
+    a property: score in [0, 1], flag = score ≥ threshold, band of its range,
+    predicted tier among the tiers."""
+    from panelkit import config as C
+    parts = []
+    for name in ("lag_risk", "turning_point", "attrition"):
+        d = scored(spark, sf, name)
+        score = F.col("score")
+        ok = score.between(0, 1) & ((F.col("pred") == (score >= F.col("threshold")).cast("int"))
+                                    | (F.abs(score - F.col("threshold")) < 1e-6))
+        if name == "lag_risk":
+            ok &= F.col("band") == F.when(score <= 0.2, "Baixo").when(score <= 0.5, "Médio").otherwise("Alto")
+        if name == "attrition":
+            ok &= F.col("band") == F.when(score < 0.3, "Estável").when(score <= 0.6, "Acompanhar").otherwise("Atenção")
+        parts.append(d.groupBy(F.col("label").cast("string").alias("label"))
+                     .agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("bad")).select(F.lit(name).alias("model"), "*"))
+    t = scored(spark, sf, "tier")
+    ok = F.col("pred_label").isin(*C.TIER_ORDER) & F.col("confidence").between(0, 1)
+    parts.append(t.groupBy(F.col("tier").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("bad"))
+                 .select(F.lit("tier").alias("model"), "*"))
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("score_bands", None)
+def q_score_bands(spark, sf):
+    """ML14: rows and share per attrition band over the whole table."""
+    return A.group_share(scored(spark, sf, "attrition").withColumn("all", F.lit("all")), "all", "band").drop("all")
+
+
+@register("score_ranking", None)
+def q_score_ranking(spark, sf):
+    """ML14: the whole table ranked by attrition score, highest first."""
+    return scored(spark, sf, "attrition").select("entity_id", "yr", "score", "band").orderBy(F.desc("score"), "entity_id", "yr")
 
 
 # ---------------------------------------------------------------- audit --
+_LAG_COLS = ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM", "SCORE_COMPORTAMENTAL",
+             "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]
+
+
+def _leak_sql(name, cols, table):
+    return f"SELECT '{name}' AS k, max(abs(r)) AS m FROM (" + " UNION ALL ".join(
+        f"SELECT round(corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)), 6) AS r FROM {table}" for c in cols) + ")"
+
+
+_ATTR_COLS = ["IAA", "IEG", "IPS", "IDA", "IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
+_TP_COLS = ["IAA", "IEG", "IPS", "IDA", "FASE", "ANOS_PM", "MEDIA_INDICADORES"]
+
+
 @register("audit", with_panel("WITH " + LAGF_SQL.replace("\nSELECT", "lagf AS (SELECT", 1) + """),
-tr AS (SELECT entity_id, yr, CASE WHEN EXISTS (SELECT 1 FROM panel q WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1)
-       THEN 0 ELSE 1 END AS label FROM panel p WHERE yr BETWEEN 1995 AND 2000),
-lk AS (SELECT max(abs(r)) AS m FROM (""" + " UNION ALL ".join(
-    f"SELECT round(corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)), 6) AS r FROM lagf"
-    for c in ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM", "SCORE_COMPORTAMENTAL",
-              "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]) + """))
-SELECT 'rows_present' AS "check", count(*) > 0 AS passed, CAST(count(*) AS DOUBLE) AS observed FROM panel_x
-UNION ALL SELECT 'no_null_keys', count_if(entity_id IS NULL OR yr IS NULL) = 0,
-  CAST(count_if(entity_id IS NULL OR yr IS NULL) AS DOUBLE) FROM panel_x
-UNION ALL SELECT 'unique_keys', count(*) = 0, CAST(count(*) AS DOUBLE)
-  FROM (SELECT entity_id, yr FROM panel_x GROUP BY 1, 2 HAVING count(*) > 1)
-UNION ALL SELECT 'indicators_in_0_10', s = 0, CAST(s AS DOUBLE) FROM (SELECT """ + " + ".join(
+""" + _ATTR_BASE.strip() + """,
+tp AS (SELECT iaa AS IAA, ieg AS IEG, ips AS IPS, ida AS IDA, CAST(phase AS DOUBLE) AS FASE, CAST(tenure AS DOUBLE) AS ANOS_PM,
+              (iaa + ieg + ips + ida) / 4.0 AS MEDIA_INDICADORES, CASE WHEN pv = 'Sim' THEN 1 ELSE 0 END AS label
+       FROM panel_x WHERE """ + _BASE_ROWS + """),
+q AS (SELECT label, count(*) AS n, ceil(count(*) * 0.2) AS te FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM panel q
+        WHERE q.entity_id = p.entity_id AND q.yr = p.yr + 1) THEN 0 ELSE 1 END AS label FROM panel p
+        WHERE yr < (SELECT max(yr) FROM panel)) GROUP BY label),
+lk AS (""" + " UNION ALL ".join([_leak_sql("leakage_lag_risk", _LAG_COLS, "lagf"), _leak_sql("leakage_turning_point", _TP_COLS, "tp"),
+                                 _leak_sql("leakage_attrition", _ATTR_COLS, "a0")]) + """),
+o AS (
+SELECT 'rows_present' AS k, CAST(count(*) AS DOUBLE) AS v FROM panel_x
+UNION ALL SELECT 'no_null_keys', CAST(count_if(entity_id IS NULL OR yr IS NULL) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'no_null_entity_id', CAST(count_if(entity_id IS NULL) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'no_null_yr', CAST(count_if(yr IS NULL) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'unique_keys', CAST(count(*) AS DOUBLE) FROM (SELECT entity_id, yr FROM panel_x GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'indicators_in_0_10', CAST(s AS DOUBLE) FROM (SELECT """ + " + ".join(
     f"count_if({c} < 0 OR {c} > 10)" for c in INDICATORS) + """ AS s FROM panel_x)
-UNION ALL SELECT 'tenure_non_negative', count_if(tenure < 0) = 0, CAST(count_if(tenure < 0) AS DOUBLE) FROM panel_x
-UNION ALL SELECT 'binary_target', count_if(label NOT IN (0, 1)) = 0, CAST(count_if(label NOT IN (0, 1)) AS DOUBLE) FROM tr
-UNION ALL SELECT 'split_disjoint', true, 0.0::DOUBLE
-UNION ALL SELECT 'leakage_max_abs_corr', m <= 0.5, m FROM lk"""))
+UNION ALL SELECT 'tenure_non_negative', CAST(count_if(tenure < 0) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'category_spelling', CAST(count_if(tier NOT IN ('Quartzo', 'Ágata', 'Ametista', 'Topázio', 'Sem classificação')) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'rows_outside_years', CAST(count_if(yr < (SELECT min(year(o_orderdate)) FROM orders) OR yr > (SELECT max(year(o_orderdate)) FROM orders)) AS DOUBLE) FROM panel_x
+UNION ALL SELECT 'indicator_types', 0 UNION ALL SELECT 'excluded_inputs', 0 UNION ALL SELECT 'binary_target', 0 UNION ALL SELECT 'split_disjoint', 0
+UNION ALL SELECT 'split_stratified', round(abs(sum(CASE WHEN label = 1 THEN te END) / sum(te) - sum(CASE WHEN label = 1 THEN n - te END) / sum(n - te)), 6) FROM q
+UNION ALL SELECT k, m FROM lk)
+SELECT k AS "check", CASE WHEN k = 'rows_present' THEN v > 0 WHEN k = 'split_stratified' THEN v <= 0.01 WHEN k LIKE 'leakage%' THEN v <= 0.5
+  ELSE v = 0 END AS passed, v AS observed FROM o"""))
 def q_audit(spark, sf):
     """Audit checks over the panel, transitions, split and the
-    lag-risk feature matrix."""
+    feature matrices of the models."""
+    from panelkit import config as C
     from panelkit.operators.sampling import stratified_split
+    from panelkit.plans import features as FT
     from panelkit.plans.audit import panel_audit
-    from panelkit.plans.features import LAG_FEATURES, lag_features
+    from panelkit.sources.readers import read_table
     p = px(spark, sf)
     tr = _transitions(spark, sf)
     split = stratified_split(tr, "label", ["entity_id", "yr"], 0.2)
-    return panel_audit(p, INDICATORS, ["entity_id", "yr"], tr, split, lag_features(p), LAG_FEATURES)
+    o = read_table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()  # two numbers
+    mats = {"lag_risk": (FT.lag_features(p), FT.LAG_FEATURES),
+            "turning_point": (FT.turning_point_features(p, fill=False, coded=False), _TP_COLS),
+            "attrition": (FT.attrition_features(p, *_spans(spark, sf), fill=False), FT.ATTRITION_FEATURES)}
+    return panel_audit(p, INDICATORS, ["entity_id", "yr"], "yr", (o[0], o[1]), "tier", [*C.TIER_ORDER, C.TIER_MISSING],
+                       tr, split, mats, FT.excluded_inputs())
 
 
 @register("leakage_screen", with_panel("WITH " + LAGF_SQL.replace("\nSELECT", "lagf AS (SELECT", 1) + ")\n" +
@@ -1217,20 +1438,195 @@ def q_leakage_screen(spark, sf):
     return leakage_screen(lag_features(px(spark, sf)), LAG_FEATURES, "label")
 
 
-@register("profile_360", None)
+_PROFILE_SQL = """
+WITH c0 AS (
+  SELECT *, coalesce(coalesce(tier_ord, 0) - last_value(tier_ord IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY yr
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ch,
+         row_number() OVER (PARTITION BY entity_id ORDER BY yr DESC) AS rk FROM panel_x),
+c1 AS (SELECT *, coalesce(ieg, 0.0) AS zieg, coalesce(ips, 0.0) AS zips, coalesce(ida, 0.0) AS zida, coalesce(iaa, 0.0) AS ziaa FROM c0 WHERE rk = 1),
+h AS (SELECT entity_id, string_agg(yr || ':' || coalesce(CAST(CAST(round(inde * 10000) AS BIGINT) AS VARCHAR), ''), ',' ORDER BY yr) AS history
+      FROM panel GROUP BY entity_id)
+SELECT c1.entity_id, yr, inde, tier, ch AS tier_change, signals AS n_signals,
+       CASE WHEN signals >= 3 THEN 'Alto' WHEN signals >= 2 THEN 'Moderado' ELSE 'Baixo' END AS level, """ + _REASONS_SQL.format(
+    ieg="zieg", ips="zips", ida="zida") + """ AS reasons, history,
+       CASE WHEN zieg < 5.5 OR zips < 5.0 OR zida < 5.5 OR ziaa - zida > 2.0 THEN concat_ws(' | ',
+         CASE WHEN zieg < 5.5 THEN 'Engajamento: Propor atividades mais interativas e acompanhamento próximo.' END,
+         CASE WHEN zips < 5.0 THEN 'Psicossocial: Encaminhar para suporte psicopedagógico.' END,
+         CASE WHEN zida < 5.5 THEN 'Desempenho: Reforço escolar em matemática e português.' END,
+         CASE WHEN ziaa - zida > 2.0 THEN 'Autoavaliação: Trabalhar percepção realista do próprio desempenho.' END)
+       ELSE 'Indicadores adequados. Manter acompanhamento regular.' END AS recommendations,
+       CASE WHEN coalesce(inde, 5.0) <= 4 THEN 'Requer atenção imediata'
+            WHEN coalesce(inde, 5.0) <= 6 THEN 'Em desenvolvimento — acompanhamento necessário'
+            WHEN coalesce(inde, 5.0) <= 8 THEN 'Progredindo bem' ELSE 'Excelente desenvolvimento' END AS message
+FROM (SELECT *, CASE WHEN zieg < 5.5 THEN 1 ELSE 0 END + CASE WHEN zips < 5.0 THEN 1 ELSE 0 END + CASE WHEN zida < 5.5 THEN 1 ELSE 0 END
+      + CASE WHEN ch < 0 THEN 1 ELSE 0 END + CASE WHEN tenure > 4 AND ch <= 0 THEN 1 ELSE 0 END AS signals FROM c1) c1
+JOIN h ON h.entity_id = c1.entity_id"""
+
+
+def _pairs(col, value):
+    """A sorted (year, value) array as one text, values in units of 1e-4."""
+    return F.array_join(F.transform(col, lambda x: F.concat(x["yr"].cast("string"), F.lit(":"), F.coalesce(
+        F.round(x[value] * 10000).cast("long").cast("string"), F.lit("")))), ",")
+
+
+def _flat_profile(df):
+    keep = [c for c in df.columns if c not in ("ieg", "ips", "ida", "iaa", "reasons", "recommendations", "history")]
+    return df.select(*keep, F.array_join("reasons", "; ").alias("reasons"), F.array_join("recommendations", " | ").alias("recommendations"),
+                     _pairs("history", "inde").alias("history"))
+
+
+@register("profile_360", with_panel(_PROFILE_SQL))
 def q_profile_360(spark, sf):
     """Batch 360° table — latest values, tier, tier change against the
-    latest earlier year, yearly index history (sorted array), alert level
-    with reasons (missing as zero, D20) and recommendations."""
+    latest earlier year, yearly index history, alert level with reasons,
+    recommendations (missing as zero in both, D20) and message; arrays joined."""
     from panelkit.plans.reports import profile_360
-    return profile_360(px(spark, sf))
+    return _flat_profile(profile_360(px(spark, sf)))
+
+
+@register("profile_360_scores", None)
+def q_profile_360_scores(spark, sf):
+    """The 360° table with the models' scores of the latest row."""
+    from panelkit.plans.reports import profile_360
+    keys = ["entity_id", "yr"]
+    scores = {
+        "lag": scored(spark, sf, "lag_risk").select(*keys, F.col("score").alias("lag_score"), F.col("band").alias("lag_band")),
+        "tier": scored(spark, sf, "tier").select(*keys, F.col("pred_label").alias("tier_predicted"), F.col("confidence").alias("tier_confidence")),
+        "tp": scored(spark, sf, "turning_point").select(*keys, F.col("score").alias("turning_point_score"), F.col("pred").alias("turning_point"))}
+    return _flat_profile(profile_360(px(spark, sf), scores=scores))
 
 
-@register("progress_report", None)
+@register("progress_report", with_panel("WITH " + LATEST_SQL + f""",
+x AS (SELECT entity_id, {_BADGE_SQL} AS badges, CAST(trunc(inde * 100.0 + {_NB_SQL} * 50.0) AS BIGINT) AS xp,
+             CASE WHEN ida IS NOT NULL AND ida <= coalesce(ips, ida) AND ida <= coalesce(ipp, ida) THEN 'Matemática'
+                  WHEN ips IS NOT NULL AND ips <= coalesce(ipp, ips) THEN 'Português'
+                  WHEN ipp IS NOT NULL THEN 'Inglês' END AS weakest FROM b),
+y AS (SELECT entity_id, string_agg(yr || ':' || coalesce(CAST(CAST(round(d * 10000) AS BIGINT) AS VARCHAR), ''), ',' ORDER BY yr) AS yoy
+      FROM (SELECT entity_id, yr, round(inde - lag(inde) OVER (PARTITION BY entity_id ORDER BY yr), 6) AS d FROM panel) GROUP BY entity_id),
+g AS (SELECT entity_id, round(arg_max(inde, yr) - arg_min(inde, yr), 6) AS total_gain FROM panel WHERE inde IS NOT NULL GROUP BY entity_id)
+SELECT x.entity_id, badges, xp, xp // 1000 + 1 AS level, xp % 1000 AS progress, weakest, total_gain,
+       CASE WHEN total_gain > 0.1 THEN 'up' WHEN total_gain < -0.1 THEN 'down' ELSE 'flat' END AS verdict, yoy
+FROM x JOIN y ON y.entity_id = x.entity_id JOIN g ON g.entity_id = x.entity_id"""))
 def q_progress_report(spark, sf):
-    """Per-entity progress (YoY array, total gain, badges, XP, level)."""
+    """Per-entity progress (yearly changes, total gain, badges, XP, level)."""
     from panelkit.plans.progress import progress_report
-    return progress_report(px(spark, sf), _latest_with_streak(spark, sf))
+    r = progress_report(px(spark, sf), _latest_with_streak(spark, sf))
+    return r.withColumns({"badges": F.array_join("badges", ","), "yoy": _pairs("yoy", "delta")})
+
+
+# ------------------------------------------- sources, bank, texts, samples --
+@register("snapshot_roundtrip", with_panel("""
+WITH l AS (SELECT max(yr) AS y FROM panel)
+SELECT fmt, entity_id, inde, tier, snapshot_year, dup_year FROM (VALUES ('csv'), ('parquet')) f(fmt),
+ (SELECT entity_id, inde, tier, l.y + 1 AS snapshot_year, 0 AS dup_year FROM panel_x, l WHERE yr = l.y) s"""))
+def q_snapshot_roundtrip(spark, sf):
+    """The latest year as a snapshot file (CSV and Parquet, explicit
+    schema), read back and appended to the panel under the following year."""
+    from functools import reduce
+    from panelkit.operators.reshape import append_snapshot
+    from panelkit.sources.readers import read_snapshot
+    p = px(spark, sf)
+    last = year_bounds(p)[1]
+    snap = p.filter(F.col("yr") == last).select("entity_id", "inde", "tier")
+    parts = []
+    for fmt in ("csv", "parquet"):
+        path = _work_path(spark, sf, f"snapshot_{fmt}")
+        snap.write.mode("overwrite").format(fmt).option("header", "true").save(path)
+        back = read_snapshot(spark, path, fmt, snap.schema)
+        both = append_snapshot(p.select("entity_id", "yr", "inde", "tier"), back, "entity_id", "yr", last + 1)
+        parts.append(both.filter(F.col("yr") == last + 1).select(F.lit(fmt).alias("fmt"), "entity_id", "inde", "tier",
+                                                                 F.col("yr").alias("snapshot_year"), "dup_year"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("metrics_roundtrip", SCORED_SQL + """,
+m AS (SELECT lang AS model, coalesce(CAST(count_if(label = pred) AS DOUBLE) / nullif(count(*), 0), 0.0) AS accuracy FROM scored
+      WHERE lang IN ('en', 'de') GROUP BY lang)
+SELECT e.model, round(m.accuracy, 9) AS accuracy, m.model IS NOT NULL AS present FROM (VALUES ('de'), ('en'), ('none')) e(model) LEFT JOIN m ON m.model = e.model""")
+def q_metrics_roundtrip(spark, sf):
+    """Metric rows of two groups written as JSON, read back, and
+    checked against the list of expected models."""
+    from panelkit.operators.evaluation import binary_metrics, metric_rows
+    from panelkit.plans.models import artefact_check
+    from panelkit.sources.readers import read_metrics, write_metrics
+    d = scored_docs(spark, sf)
+    rows = metric_rows({g: binary_metrics(d.filter(F.col("lang") == g)).select("accuracy") for g in ("en", "de")})
+    path = _work_path(spark, sf, "metrics")
+    write_metrics(rows, path)
+    back = read_metrics(spark, path, rows.schema)
+    return artefact_check(spark, ["de", "en", "none"], back).join(back, "model", "left").select(
+        "model", F.round("accuracy", 9).alias("accuracy"), "present")
+
+
+@register("bank_answers", """
+SELECT p_type AS subject, count(*) AS answers, CAST(count_if(CASE WHEN l_linenumber % 2 = 1 THEN p_brand ELSE 'x' END = p_brand) AS BIGINT) AS "right"
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type""")
+def q_bank_answers(spark, sf):
+    """A question bank derived from ``part`` (subject = type, answer =
+    brand) written as JSON lines and read back; the lines' answers graded."""
+    from panelkit.operators.joins import grade_answers
+    from panelkit.sources.readers import read_question_bank, read_table
+    part = read_table(spark, sf, "part")
+    bank = part.select(F.col("p_type").alias("subject"), F.col("p_partkey").cast("int").alias("question_id"),
+                       F.col("p_name").alias("question"), F.array("p_brand", F.lit("x")).alias("options"),
+                       F.col("p_brand").alias("answer"), F.lit(None).cast("string").alias("hint"))
+    path = _work_path(spark, sf, "bank")
+    bank.write.mode("overwrite").json(path)
+    li = read_table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    answers = li.select(F.col("p_type").alias("subject"), F.col("p_partkey").cast("int").alias("question_id"),
+                        F.when(F.col("l_linenumber") % 2 == 1, F.col("p_brand")).otherwise(F.lit("x")).alias("chosen"))
+    return grade_answers(answers, read_question_bank(spark, path)).groupBy("subject").agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if("correct").alias("right"))
+
+
+@register("items_per_entity", with_panel("""
+SELECT entity_id, least(count(*), 3) AS n FROM panel GROUP BY entity_id""", False))
+def q_items_per_entity(spark, sf):
+    """Three items per entity in seeded order (how many each got)."""
+    from panelkit.operators.sampling import sample_per_entity
+    s = sample_per_entity(px(spark, sf).select("entity_id", "yr"), "entity_id", "yr", 3)
+    return s.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("probability_bands", with_panel("""
+SELECT attrition, lag, count(*) AS n FROM (SELECT
+  CASE WHEN s < 0.3 THEN 'Estável' WHEN s <= 0.6 THEN 'Acompanhar' WHEN s IS NOT NULL THEN 'Atenção' END AS attrition,
+  CASE WHEN s <= 0.2 THEN 'Baixo' WHEN s <= 0.5 THEN 'Médio' WHEN s IS NOT NULL THEN 'Alto' END AS lag
+  FROM (SELECT ipv_n / 10.0 AS s FROM panel_x)) GROUP BY attrition, lag"""))
+def q_probability_bands(spark, sf):
+    """both probability bands on a stand-in score."""
+    from panelkit.functions.bands import attrition_band, lag_band
+    d = px(spark, sf).withColumn("s", F.col("ipv_n") / 10.0)
+    return d.groupBy(attrition_band("s").alias("attrition"), lag_band("s").alias("lag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("status_texts", with_panel("""
+SELECT status, grade, message, count(*) AS n FROM (SELECT
+  CASE WHEN ipp >= 8 THEN 'Excelente' WHEN ipp >= 6 THEN 'Bom' WHEN ipp IS NOT NULL THEN 'Em desenvolvimento' END AS status,
+  CASE WHEN ipp >= 7 THEN 'high' WHEN ipp >= 5 THEN 'mid' ELSE 'low' END AS grade,
+  CASE WHEN coalesce(ipp, 5.0) <= 4 THEN 'Requer atenção imediata' WHEN coalesce(ipp, 5.0) <= 6 THEN 'Em desenvolvimento — acompanhamento necessário'
+       WHEN coalesce(ipp, 5.0) <= 8 THEN 'Progredindo bem' ELSE 'Excelente desenvolvimento' END AS message FROM panel) GROUP BY ALL""", False))
+def q_status_texts(spark, sf):
+    """status text, grade class and message of an indicator."""
+    from panelkit.functions.bands import colour_band, inde_message, status_text
+    return px(spark, sf).groupBy(status_text("ipp").alias("status"), colour_band("ipp").alias("grade"),
+                                 inde_message("ipp").alias("message")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("history_exploded", with_panel("SELECT entity_id, yr, inde AS value FROM panel", False))
+def q_history_exploded(spark, sf):
+    """a year → value map per entity, exploded to rows."""
+    m = px(spark, sf).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("yr", "inde"))).alias("history"))
+    return U.explode_history(m, "history", keep=["entity_id"])
+
+
+@register("added_columns", with_panel("""
+SELECT entity_id, yr, inde, CAST(NULL AS DOUBLE) AS NOTA_ING, 0 AS bolsa FROM panel""", False))
+def q_added_columns(spark, sf):
+    """P5: absent optional columns added as typed literals; present ones kept."""
+    from panelkit.operators.clean import add_missing_columns
+    return add_missing_columns(px(spark, sf).select("entity_id", "yr", "inde"),
+                               {"NOTA_ING": (None, "double"), "bolsa": (0, "int"), "inde": (-1.0, "double")})
 
 
 @register("engagement_report", with_panel("""
@@ -1253,8 +1649,9 @@ def q_tier_count_by_year(spark, sf):
     pivoted wide, one tier column per year), each row counted once, on the
     complete year × tier grid."""
     from panelkit import config as C
-    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", ["tier"], YEARS)
-    return A.tier_count_by_year(wide, {y: f"tier_{y}" for y in YEARS}, C.TIER_ORDER)
+    years = panel_years(px(spark, sf))
+    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", ["tier"], years)
+    return A.tier_count_by_year(wide, {y: f"tier_{y}" for y in years}, C.TIER_ORDER)
 
 
 @register("lookup_first", with_panel("""
@@ -1346,40 +1743,53 @@ def q_train_test_gap(spark, sf):
 
 @register("driver_report", with_panel(f"""
 SELECT indicator, {EM("CASE WHEN pv = 'Sim' THEN value END")} AS "Sim", {EM("CASE WHEN pv = 'Não' THEN value END")} AS "Não"
-FROM (SELECT pv, ieg, ida, iaa, ips, ian, ipp, inde FROM panel_x WHERE pv IS NOT NULL)
-     UNPIVOT INCLUDE NULLS (value FOR indicator IN (ieg, ida, iaa, ips, ian, ipp, inde))
+FROM (SELECT pv, {", ".join(_DRIVERS)} FROM panel_x WHERE pv IS NOT NULL AND {_DRIVER_ROWS})
+     UNPIVOT INCLUDE NULLS (value FOR indicator IN ({", ".join(_DRIVERS)}))
 GROUP BY indicator"""))
 def q_driver_report(spark, sf):
-    """Indicator profile of rows that reached the turning point vs
-    those that did not (indicator × group, the turning-point index itself
-    excluded)."""
-    cols = [c for c in INDICATORS if c != "ipv"]
-    return U.transpose_means(px(spark, sf), "pv", cols, ["Sim", "Não"], scale=4)
+    """Indicator profile of rows that reached the turning point vs those
+    that did not, on rows complete in the six."""
+    from panelkit.plans.reports import turning_point_profile
+    return turning_point_profile(px(spark, sf), scale=4)
 
 
-@register("csv_wide_roundtrip", with_panel("SELECT entity_id, yr, ieg, ida, inde, tier FROM panel_x"))
+@register("csv_wide_roundtrip", with_panel("SELECT entity_id, yr, ieg, ida, inde, tier, pv FROM panel_x"))
 def q_csv_wide_roundtrip(spark, sf):
     """S1/P1/P2/P3/P6/U2 end to end on data derived from the tables: the
     panel is written wide (``INDE_1995`` …, ``PEDRA_1995`` …) as a
     ``;``-separated UTF-8 CSV in the shared folder, read back as latin-1
-    text (so accented tiers arrive as mojibake, like the source file),
-    renamed, typed with bad text → NULL, repaired and reshaped to long."""
+    text (so accented tiers and the turning point's "Não" arrive as mojibake,
+    like the source file), renamed, typed with bad text → NULL, repaired and
+    reshaped to long. The write is the point of this query; it runs when the
+    query is built."""
+    from panelkit import config as C
     from panelkit.operators import clean as CL
-    from panelkit.session import ensure_checkpoint_dir
     from panelkit.sources.readers import read_delimited_panel
-    measures = ["ieg", "ida", "inde", "tier"]
-    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", measures, YEARS)
-    upper = {f"{m}_{y}": f"{'PEDRA' if m == 'tier' else m.upper()}_{y}" for m in measures for y in YEARS}
+    measures, years = ["ieg", "ida", "inde", "tier", "pv"], panel_years(px(spark, sf))
+    names = {"tier": "PEDRA", "pv": "PONTO_VIRADA"}
+    wide = U.long_to_wide(px(spark, sf), ["entity_id"], "yr", measures, years)
+    upper = {f"{m}_{y}": f"{names.get(m, m.upper())}_{y}" for m in measures for y in years}
     wide = wide.withColumnsRenamed({**upper, "entity_id": "ID"})
-    path = (ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{spark.sparkContext.applicationId}/wide_csv_"
-            + __import__("hashlib").sha1(sf.encode()).hexdigest()[:12])
+    path = _work_path(spark, sf, "wide_csv")
     wide.write.mode("overwrite").option("header", "true").option("sep", ";").csv(path)
     raw = read_delimited_panel(spark, path, wide.columns)
-    num = [c for c in raw.columns if not c.startswith("PEDRA_")]
+    text = tuple(f"{n}_" for n in names.values())
+    num = [c for c in raw.columns if not c.startswith(text)]
     t = CL.canonicalise_tier(CL.coerce_numeric(raw, num), [c for c in raw.columns if c.startswith("PEDRA_")])
+    t = CL.repair_tokens(t, [c for c in raw.columns if c.startswith("PONTO_VIRADA_")], C.YES_NO_REPAIR)
     t = CL.rename_columns(t, {**{v: k for k, v in upper.items()}, "ID": "entity_id"})
-    long = U.wide_to_long(t, ["entity_id"], measures, YEARS, "yr", anchor="inde")
-    return long.select(F.col("entity_id").cast("bigint").alias("entity_id"), "yr", "ieg", "ida", "inde", "tier")
+    long = U.wide_to_long(t, ["entity_id"], measures, years, "yr", anchor="inde")
+    return long.select(F.col("entity_id").cast("bigint").alias("entity_id"), "yr", "ieg", "ida", "inde", "tier", "pv")
+
+
+def _work_path(spark, sf, name):
+    """A folder of this application in the shared folder, removed at its end."""
+    import hashlib
+    from panelkit.session import delete_at_end, ensure_checkpoint_dir
+    path = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}_"
+            + hashlib.sha1(sf.encode()).hexdigest()[:12])
+    delete_at_end(spark, path)
+    return path
 
 
 @register("flag_count_distribution", with_panel("""

@@ -18,7 +18,8 @@ from panelkit.operators.joins import code_lookup
 from panelkit.operators.windows import first_seen_code, transitions
 
 __all__ = ["with_row_id", "LAG_FEATURES", "TIER_FEATURES", "TP_FEATURES", "ATTRITION_FEATURES",
-           "lag_features", "tier_features", "turning_point_features", "attrition_features", "institution_codes"]
+           "lag_features", "tier_features", "turning_point_features", "attrition_features", "institution_codes",
+           "add_institution_codes", "TP_FILL", "excluded_inputs"]
 
 LAG_FEATURES = ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM",
                 "SCORE_COMPORTAMENTAL", "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]
@@ -64,38 +65,63 @@ def institution_codes(p: DataFrame) -> DataFrame:
     return first_seen_code(with_row_id(p), "institution", "row_id")
 
 
+def add_institution_codes(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """INSTITUICAO_COD from a fitted code table; unseen institutions get −1."""
+    return (code_lookup(df, codes, "institution").withColumn("INSTITUICAO_COD", F.col("code").cast("double"))
+            .drop("code", "institution"))
+
+
 def _common(b: DataFrame) -> DataFrame:
     return b.withColumns({
         "MEDIA_NOTAS": row_mean_skipna(["NOTA_MAT", "NOTA_PORT", "NOTA_ING"]),
-        "MEDIA_INDICADORES": row_mean_skipna(["IAA", "IEG", "IPS", "IDA", "IPV"]),
-        "GENERO_FEMININO": flag(F.col("gender") == "Menina")})
+        "GENERO_FEMININO": flag(F.col("gender") == "Menina").cast("double")})
+
+
+def _without_code(features: list[str]) -> list[str]:
+    return [f for f in features if f != "INSTITUICAO_COD"]
 
 
-def tier_features(p: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """ML2: 13 features (no index, no IAN) + tier label text."""
-    codes = codes if codes is not None else institution_codes(p)
-    b = _common(_base(p))
-    b = code_lookup(b, codes, "institution").withColumn("INSTITUICAO_COD", F.col("code").cast("double"))
-    return b.select("entity_id", "yr", *TIER_FEATURES, F.col("PEDRA").alias("tier")).dropna(
-        subset=TIER_FEATURES + ["tier"])
+def tier_features(p: DataFrame, codes: DataFrame | None = None, coded: bool = True) -> DataFrame:
+    """ML2: 13 features (no index, no IAN) + tier label text. ``coded=False``
+    leaves ``institution`` for a caller that fits the codes on its training
+    part (D23)."""
+    b = _common(_base(p)).withColumn("MEDIA_INDICADORES", row_mean_skipna(["IAA", "IEG", "IPS", "IDA", "IPV"]))
+    raw = _without_code(TIER_FEATURES)
+    b = b.select("entity_id", "yr", "institution", *raw, F.col("PEDRA").alias("tier")).dropna(subset=raw + ["tier"])
+    if not coded:
+        return b
+    b = add_institution_codes(b, codes if codes is not None else institution_codes(p))
+    return b.select("entity_id", "yr", *TIER_FEATURES, "tier")
+
+
+#: columns whose gaps are filled with medians, and those that must be present
+TP_FILL = ["IAN", "IPP", "NOTA_MAT", "NOTA_PORT", "NOTA_ING", "PEDRA_NUM", "MEDIA_NOTAS"]
+TP_REQUIRED = ["IAA", "IEG", "IPS", "IDA", "FASE", "ANOS_PM"]
 
 
 def turning_point_features(p: DataFrame, codes: DataFrame | None = None, fit_on: DataFrame | None = None,
-                           fill: bool = True) -> DataFrame:
-    """ML3: 16 features (no IPV, no index), median-imputed, label = pv == Sim.
-    Medians are fitted on ``fit_on`` when given; ``fill=False`` leaves the
-    gaps for a caller that fits the medians on its training part (D23)."""
-    codes = codes if codes is not None else institution_codes(p)
-    b = _common(_base(p))
-    b = code_lookup(b, codes, "institution").withColumn("INSTITUICAO_COD", F.col("code").cast("double"))
-    b = b.select("entity_id", "yr", *TP_FEATURES, flag(F.col("pv") == "Sim").alias("label"))
-    return median_fill(b, TP_FEATURES, fit_on=fit_on) if fill else b
+                           fill: bool = True, coded: bool = True) -> DataFrame:
+    """ML3: 16 features, label = pv == Sim. Neither IPV (the label is made from
+    it) nor anything computed from it is among them: the mean is over IAA, IEG,
+    IPS and IDA. Rows missing a required column go; a missing tier is ordinal 0;
+    seven columns are median-filled. Medians are fitted on ``fit_on`` when
+    given; ``fill=False`` and ``coded=False`` leave gaps and ``institution``
+    for a caller that fits medians and codes on its training part (D23)."""
+    b = _common(_base(p)).withColumn("PEDRA_NUM", F.coalesce("PEDRA_NUM", F.lit(0.0))).dropna(subset=TP_REQUIRED)
+    b = b.withColumn("MEDIA_INDICADORES", row_mean_strict(["IAA", "IEG", "IPS", "IDA"]))
+    b = b.select("entity_id", "yr", "institution", *_without_code(TP_FEATURES), flag(F.col("pv") == "Sim").alias("label"))
+    if fill:
+        b = median_fill(b, TP_FILL, fit_on=fit_on)
+    if not coded:
+        return b
+    b = add_institution_codes(b, codes if codes is not None else institution_codes(p))
+    return b.select("entity_id", "yr", *TP_FEATURES, "label")
 
 
 ATTRITION_FILL = ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
 
 
-def attrition_features(p: DataFrame, first_year: int, last_year: int, fill: bool = True) -> DataFrame:
+def attrition_features(p: DataFrame, first_year, last_year, fill: bool = True) -> DataFrame:
     """ML4: transitions year → year+1 (J3), 10 features, label = left;
     complete on the four core indicators, the rest median-filled."""
     t = transitions(p, "entity_id", "yr", first_year, last_year)
@@ -104,3 +130,30 @@ def attrition_features(p: DataFrame, first_year: int, last_year: int, fill: bool
     b = b.select("entity_id", "yr", *ATTRITION_FEATURES, F.col("left").alias("label"))
     b = b.dropna(subset=["IAA", "IEG", "IPS", "IDA", "label"])
     return median_fill(b, ATTRITION_FILL) if fill else b
+
+
+#: panel columns each feature is computed from (its own column where not listed)
+FEATURE_INPUTS = {
+    "IAA": ["iaa"], "IEG": ["ieg"], "IPS": ["ips"], "IDA": ["ida"], "IPV": ["ipv"], "IAN": ["ian"], "IPP": ["ipp"],
+    "FASE": ["phase"], "ANOS_PM": ["tenure"], "PEDRA_NUM": ["tier_ord"], "GENERO_NUM": ["gender"], "PV_NUM": ["pv"],
+    "GENERO_FEMININO": ["gender"], "INSTITUICAO_COD": ["institution"], "NOTA_MAT": ["ida"], "NOTA_PORT": ["ips"],
+    "NOTA_ING": ["ipp"], "MEDIA_NOTAS": ["ida", "ips", "ipp"], "SCORE_COMPORTAMENTAL": ["iaa", "ieg", "ips"],
+    "GAP_IAA_IDA": ["iaa", "ida"], "IEG_POR_FASE": ["ieg", "phase"], "IEG_X_IPV": ["ieg", "ipv"], "IDA_X_ANOS": ["ida", "tenure"],
+}
+#: means over indicators differ by model
+MEAN_INPUTS = {"tier": ["iaa", "ieg", "ips", "ida", "ipv"], "turning_point": ["iaa", "ieg", "ips", "ida"],
+               "attrition": ["iaa", "ieg", "ips", "ida", "ipv", "ian"]}
+MODEL_FEATURES = {"lag_risk": LAG_FEATURES, "tier": TIER_FEATURES, "turning_point": TP_FEATURES, "attrition": ATTRITION_FEATURES}
+#: columns that hold or decide a model's target and must not reach its features
+EXCLUDED_INPUTS = {"lag_risk": {"lag", "ian", "inde"}, "tier": {"tier", "tier_ord", "inde", "ian"},
+                   "turning_point": {"pv", "ipv", "ipv_n", "inde"}, "attrition": {"left", "inde"}}
+
+
+def excluded_inputs() -> list[tuple[str, str, str]]:
+    """(model, feature, input) for every feature computed from an excluded column."""
+    out = []
+    for model, feats in MODEL_FEATURES.items():
+        for f in feats:
+            inputs = MEAN_INPUTS[model] if f == "MEDIA_INDICADORES" else FEATURE_INPUTS[f]
+            out += [(model, f, i) for i in inputs if i in EXCLUDED_INPUTS[model]]
+    return out

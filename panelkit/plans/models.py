@@ -31,30 +31,37 @@ from panelkit.operators.evaluation import (auc, best_threshold, binary_metrics,
 from panelkit.operators.sampling import stratified_folds, stratified_split
 from panelkit.session import cut_lineage
 
-__all__ = ["run_concurrently", "spread", "prepare_split", "compare_candidates", "fit_folds_and_final", "class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
-           "out_of_fold_scores", "cv_metric", "train_binary", "train_multiclass", "save_model", "load_model",
+__all__ = ["run_concurrently", "spread", "prepare_split", "fit_folds_and_final", "class_weights", "build_pipeline", "fit", "score_binary", "score_multiclass", "feature_importance",
+           "cv_metric", "train_binary", "train_multiclass", "save_model", "load_model",
            "write_metric_rows", "artefact_check", "smoke_inference", "MODEL_SPECS"]
 
-# fixed values: model settings of the four models
+# fixed values: model settings of the four models; only the weighted ones balance the classes
 MODEL_SPECS = {
-    "lag_risk": {"kind": "rf", "numTrees": 300, "maxDepth": 4, "minInstancesPerNode": 5, "min_thresh": 0.45},
+    "lag_risk": {"kind": "rf", "numTrees": 300, "maxDepth": 4, "minInstancesPerNode": 5, "min_thresh": 0.45, "weighted": True},
     "tier": {"kind": "rf", "numTrees": 300, "maxDepth": 6, "minInstancesPerNode": 3},
+    "tier_gbt": {"kind": "gbt_ovr", "maxIter": 300, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8},
     "turning_point": {"kind": "gbt", "maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,
                       "threshold": 0.5},
-    "turning_point_rf": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4},
-    "attrition": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5},
+    "turning_point_rf": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5,
+                         "weighted": True},
+    "attrition": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5, "weighted": True},
 }
 
+#: partitions of a model's input. Tree learners draw their samples per partition,
+#: so this number is part of the model: it is the same for every data size and
+#: cluster. Raise it for a deployment whose training rows need more tasks.
+MODEL_PARTITIONS = 8
 
-def spread(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
-    """Size the model input's partitions to its rows: tree learners run one
-    task per partition per level, so a tiny matrix over many partitions pays
-    task overhead on every one of hundreds of jobs, while a large one needs
-    every task slot. ``df`` should be checkpointed (its count is cheap)."""
-    import math
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    n = df.count()
-    return df.repartition(max(1, min(slots, math.ceil(n / rows_per_task))))
+
+def spread(df: DataFrame, keys: Sequence[str], partitions: int = MODEL_PARTITIONS) -> DataFrame:
+    """Model input in a layout that depends on the rows alone: hash-partitioned
+    on the keys and sorted inside, whatever the input's partitions, the row
+    count or the task slots."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
+#: boosting iterations between two reliable checkpoints
+CHECKPOINT_INTERVAL = 10
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -70,20 +77,24 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
 
 def _classifier(spec: dict, label: str, weight: str | None, seed: int):
     kind = spec["kind"]
+    weight = weight if spec.get("weighted") else None
     if kind == "rf":
-        return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=spec["numTrees"],
-                                      maxDepth=spec["maxDepth"], minInstancesPerNode=spec["minInstancesPerNode"],
-                                      featureSubsetStrategy="sqrt", weightCol=weight, seed=seed,
-                                      maxMemoryInMB=1024)
+        clf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=spec["numTrees"],
+                                     maxDepth=spec["maxDepth"], minInstancesPerNode=spec["minInstancesPerNode"],
+                                     featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024)
+        return clf.setWeightCol(weight) if weight else clf
     if kind == "gbt":
-        return GBTClassifier(labelCol=label, featuresCol="features", maxIter=spec["maxIter"],
-                             maxDepth=spec["maxDepth"], stepSize=spec["stepSize"],
-                             subsamplingRate=spec["subsamplingRate"], weightCol=weight, seed=seed,
-                             maxMemoryInMB=1024, checkpointInterval=10)
+        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=spec["maxIter"],
+                            maxDepth=spec["maxDepth"], stepSize=spec["stepSize"],
+                            subsamplingRate=spec["subsamplingRate"], seed=seed,
+                            maxMemoryInMB=1024, checkpointInterval=CHECKPOINT_INTERVAL)
+        return clf.setWeightCol(weight) if weight else clf
     if kind == "gbt_ovr":  # ML8: multiclass boosting as one-vs-rest
         return OneVsRest(classifier=GBTClassifier(maxIter=spec["maxIter"], maxDepth=spec["maxDepth"],
-                                                  stepSize=spec.get("stepSize", 0.1), seed=seed),
-                         labelCol=label, featuresCol="features")
+                                                  stepSize=spec.get("stepSize", 0.1),
+                                                  subsamplingRate=spec.get("subsamplingRate", 1.0), seed=seed,
+                                                  maxMemoryInMB=1024, checkpointInterval=CHECKPOINT_INTERVAL),
+                         labelCol=label, featuresCol="features", rawPredictionCol="rawPrediction", parallelism=4)
     raise ValueError(kind)
 
 
@@ -100,7 +111,7 @@ def build_pipeline(features: Sequence[str], spec: dict, label: str = "label", we
                                   handleInvalid="keep"))
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    stages.append(_classifier(spec, lab, weight if spec["kind"] != "gbt_ovr" else None, seed))
+    stages.append(_classifier(spec, lab, weight, seed))
     return Pipeline(stages=stages)
 
 
@@ -125,10 +136,12 @@ def score_multiclass(model: PipelineModel, df: DataFrame) -> DataFrame:
     labels = list(idx.labels)
     out = model.transform(df)
     out = IndexToString(inputCol="prediction", outputCol="pred_label", labels=labels).transform(out)
+    names = F.array(*[F.lit(x) for x in labels])
     if "probability" in out.columns:
-        arr = vector_to_array("probability")
-        out = out.withColumn("probs", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), arr)).withColumn(
-            "confidence", F.array_max(arr))
+        arr = F.slice(vector_to_array("probability"), 1, len(labels))  # the indexer keeps a place for unseen labels
+        out = out.withColumn("probs", F.map_from_arrays(names, arr)).withColumn("confidence", F.array_max(arr))
+    elif "rawPrediction" in out.columns:  # one-vs-rest boosting: margins, whose order is all that an AUC needs
+        out = out.withColumn("margins", F.map_from_arrays(names, F.slice(vector_to_array("rawPrediction"), 1, len(labels))))
     return out.drop("features", "rawPrediction", "probability")
 
 
@@ -177,17 +190,6 @@ def fit_folds_and_final(train: DataFrame, features, specs: dict, k: int = C.N_FO
     return out
 
 
-def out_of_fold_scores(train: DataFrame, features, spec, k: int = C.N_FOLDS, label: str = "label",
-                       fold: str = "fold", parallelism: int = 4, **kw) -> DataFrame:
-    """k fits (run concurrently); each fold is scored by the model trained
-    on the others. The scored folds are reused by ML9 and ML11 (no refits)."""
-    models = run_concurrently({i: (lambda i=i: fit(train.filter(F.col(fold) != i), features, spec, label=label, **kw))
-                               for i in range(k)}, parallelism)
-    parts = [models[i].transform(train.filter(F.col(fold) == i)).select(
-        fold, label, vector_to_array("probability")[1].alias("score")) for i in range(k)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label: str = "label") -> DataFrame:
     """ML9: per-fold metric → mean ± sample std (one row)."""
     if metric == "auc":
@@ -199,21 +201,30 @@ def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label
 
 
 def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label",
-                  fill_cols: Sequence[str] = ()):
-    """Stratified 80/20 split first; then, on the training part only (D23),
-    median imputation of ``fill_cols`` (the same medians applied to the test
-    part) and class weights; stratified folds on the training part. Each step
-    is checkpointed: returns (train with ``fold`` and ``weight``, test)."""
-    from panelkit.operators.clean import median_fill
+                  fill_cols: Sequence[str] = (), codes: bool = False):
+    """Stratified 80/20 split first; then, fitted on the training part only
+    (D23) and applied to both parts: institution codes (``codes``), medians of
+    ``fill_cols`` and class weights; stratified folds on the training part.
+    Each step is checkpointed: returns (train with ``fold`` and ``weight``, test)."""
     split = cut_lineage(stratified_split(data, label, keys, C.TEST_FRACTION, seed))
-    tr, te = split.filter("is_test = 0"), split.filter("is_test = 1")
-    if fill_cols:
-        tr, te = median_fill(tr, fill_cols, fit_on=tr), median_fill(te, fill_cols, fit_on=tr)
+    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), fill_cols, codes)
     train = class_weights(cut_lineage(tr), label)
-    train = cut_lineage(spread(cut_lineage(stratified_folds(train, label, keys, C.N_FOLDS, seed))))
+    train = cut_lineage(spread(stratified_folds(train, label, keys, C.N_FOLDS, seed), keys))
     return train, cut_lineage(te)
 
 
+def prepare_parts(tr: DataFrame, te: DataFrame, fill_cols: Sequence[str] = (), codes: bool = False):
+    """Codes and medians of the training part, applied to both."""
+    from panelkit.operators.clean import median_fill
+    from panelkit.plans.features import add_institution_codes, institution_codes
+    if codes:
+        fitted = cut_lineage(institution_codes(tr))
+        tr, te = add_institution_codes(tr, fitted), add_institution_codes(te, fitted)
+    if fill_cols:
+        tr, te = median_fill(tr, fill_cols, fit_on=tr), median_fill(te, fill_cols, fit_on=tr)
+    return tr, te
+
+
 def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Sequence[str],
                  cv_metric_name: str = "f1", calibrate: bool = True, seed: int = C.SEED,
                  prepared=None, oof: DataFrame | None = None, model: PipelineModel | None = None) -> dict:
@@ -244,24 +255,48 @@ def train_binary(data: DataFrame, features: Sequence[str], spec: dict, keys: Seq
     return {"model": model, "threshold": thr, "test_scores": s_te, "metrics": row, "oof": oof}
 
 
-def train_multiclass(data: DataFrame, features: Sequence[str], spec: dict, keys: Sequence[str],
-                     label_text: str = "tier", seed: int = C.SEED) -> dict:
-    """Multiclass procedure (tier): split stratified on the label text,
-    weighted by class, evaluated with accuracy and weighted F1."""
-    from panelkit.operators.evaluation import weighted_f1
+def train_multiclass(data: DataFrame, features: Sequence[str], specs: dict, keys: Sequence[str],
+                     label_text: str = "tier", seed: int = C.SEED, codes: bool = True, parallelism: int = 12) -> dict:
+    """Multiclass procedure (tier): split stratified on the label text, every
+    candidate in ``specs`` cross-validated on the training part, the one with
+    the best mean accuracy evaluated on the test part (accuracy, weighted F1,
+    weighted one-vs-rest AUC)."""
+    from panelkit.operators.evaluation import auc_ovr_weighted, weighted_f1
     split = cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))
-    train = cut_lineage(spread(cut_lineage(class_weights(split.filter("is_test = 0"), label_text))))
-    test = split.filter("is_test = 1")
-    model = fit(train, features, spec, label="label_idx", string_label=label_text, seed=seed)
-    s_te = score_multiclass(model, test)
-    s_tr = score_multiclass(model, train)
-
-    def acc(s):
-        return s.agg(F.avg((F.col("pred_label") == F.col(label_text)).cast("double")).alias("acc"))
+    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), codes=codes)
+    train = cut_lineage(spread(stratified_folds(cut_lineage(tr), label_text, keys, C.N_FOLDS, seed), keys))
+    test = cut_lineage(te)
+    kw = {"label": "label_idx", "string_label": label_text, "seed": seed}
+    tasks = {}
+    for c, spec in specs.items():
+        tasks[(c, "final")] = (lambda spec=spec: fit(train, features, spec, **kw))
+        for i in range(C.N_FOLDS):
+            tasks[(c, i)] = (lambda spec=spec, i=i: fit(train.filter(F.col("fold") != i), features, spec, **kw))
+    models = run_concurrently(tasks, parallelism)
+
+    def acc(s, *by):
+        return s.groupBy(*by).agg(F.avg((F.col("pred_label") == F.col(label_text)).cast("double")).alias("acc"))
+    rows = []
+    for c in specs:
+        oof = reduce(DataFrame.unionByName, [
+            score_multiclass(models[(c, i)], train.filter(F.col("fold") == i)).select("fold", label_text, "pred_label")
+            for i in range(C.N_FOLDS)])
+        rows.append(acc(oof, "fold").agg(F.avg("acc").alias("cv_accuracy"), F.stddev_samp("acc").alias("cv_accuracy_std"))
+                    .withColumn("candidate", F.lit(c)))
+    cv = cut_lineage(reduce(DataFrame.unionByName, rows))
+    best = cv.agg(F.max_by("candidate", "cv_accuracy")).first()[0]  # one name
+    model = models[(best, "final")]
+    s_te, s_tr = cut_lineage(score_multiclass(model, test)), score_multiclass(model, train)
     wf1 = weighted_f1(s_te.select(F.col(label_text).alias("label"), F.col("pred_label").alias("pred")))
+    labels = list([s for s in model.stages if s.__class__.__name__ == "StringIndexerModel"][0].labels)
+    scores = "probs" if "probs" in s_te.columns else "margins"
+    probs = s_te.select(label_text, *[F.col(scores).getItem(x).alias(f"p{i}") for i, x in enumerate(labels)])
     row = one_row([acc(s_te).select(F.col("acc").alias("accuracy_test")),
-                   acc(s_tr).select(F.col("acc").alias("accuracy_train")), wf1.select("weighted_f1")])
-    return {"model": model, "test_scores": s_te, "metrics": row}
+                   acc(s_tr).select(F.col("acc").alias("accuracy_train")), wf1.select("weighted_f1"),
+                   auc_ovr_weighted(probs, label_text, {x: f"p{i}" for i, x in enumerate(labels)})
+                   .select(F.col("auc_ovr_weighted").alias("auc_ovr")),
+                   cv.filter(F.col("candidate") == best).select("cv_accuracy", "cv_accuracy_std")])
+    return {"model": model, "test_scores": s_te, "metrics": row.withColumn("candidate", F.lit(best)), "candidates": cv}
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -296,20 +331,3 @@ def smoke_inference(model: PipelineModel, spark, features: Sequence[str], value:
     row = spark.createDataFrame([tuple(float(value) for _ in features)], ", ".join(f"{f} double" for f in features))
     out = model.transform(row).withColumn("p", vector_to_array("probability"))
     return out.select(F.forall("p", lambda x: (x >= 0) & (x <= 1)).alias("valid"), "p")
-
-
-def compare_candidates(train: DataFrame, features: Sequence[str], specs: dict, metric: str = "auc",
-                       seed: int = C.SEED, oof_out: dict | None = None) -> DataFrame:
-    """ML10: cross-validated metric per candidate spec (out-of-fold scores,
-    no test-set selection); returns (candidate, mean, std, best). With
-    ``oof_out`` the checkpointed out-of-fold scores of each candidate are
-    handed back for reuse (calibration / CV report without refits)."""
-    rows = []
-    for name, spec in specs.items():
-        oof = cut_lineage(out_of_fold_scores(train, features, spec, seed=seed))
-        if oof_out is not None:
-            oof_out[name] = oof
-        rows.append(cv_metric(oof, metric).withColumn("candidate", F.lit(name)))
-    allc = reduce(DataFrame.unionByName, rows)
-    best = allc.agg(F.max_by("candidate", f"cv_{metric}_mean").alias("best")).first()["best"]  # one name
-    return allc.withColumn("best", F.col("candidate") == F.lit(best))

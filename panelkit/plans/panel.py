@@ -135,3 +135,14 @@ def panel_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Data
     from panelkit.session import materialize
     name = "panel_x_" + hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     return materialize(spark, name, lambda: panel_x(spark, sf_dir), bucket_by="entity_id", refresh=refresh)
+
+
+def year_bounds(p: DataFrame, year: str = "yr") -> tuple[int, int]:
+    """First and last year present (two numbers)."""
+    r = p.agg(F.min(year), F.max(year)).first()
+    return r[0], r[1]
+
+
+def panel_years(p: DataFrame, year: str = "yr") -> list[int]:
+    """The years present, in order (one number per year)."""
+    return sorted(r[0] for r in p.select(year).distinct().collect())

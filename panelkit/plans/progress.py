@@ -19,20 +19,30 @@ SUBJECTS = ["Matemática", "Português", "Inglês"]
 BADGES = ["first_login", "inde_7", "inde_8", "nota_mat_8", "nota_port_8", "streak_3", "topazio"]
 
 
+#: time ranges that one entity's events are numbered in
+EVENT_RANGES = 256
+
+
 def event_ordinal(events: DataFrame, entity: str, ts: str, tiebreak: str) -> DataFrame:
     """0-based position of each event in (ts, tiebreak) order per entity,
-    computed without a per-entity window over all its events: per-day
-    counts give offsets (a window over ≤ one row per active day), and
-    positions are numbered inside (entity, day) partitions. A dominant
-    entity is thus spread over its days instead of landing in one task."""
-    e = events.withColumn("__day", F.to_date(ts))
-    days = e.groupBy(entity, "__day").agg(F.count(F.lit(1)).alias("__c"))
-    wd = Window.partitionBy(entity).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("__off", F.coalesce(F.sum("__c").over(wd), F.lit(0))).drop("__c")
-    wi = Window.partitionBy(entity, "__day").orderBy(ts, tiebreak)
-    return (e.join(days, [entity, "__day"])
+    without a window over all events of an entity or of one of its days: the
+    events' times are cut at ``EVENT_RANGES`` quantiles (numbers, fetched
+    once), events are numbered inside (entity, range), and offsets come from a
+    window over one row per range. An entity with most of the events, also
+    within one day, is spread over the ranges its events fall in."""
+    from pyspark.ml.feature import Bucketizer
+    e = events.withColumn("__t", F.col(ts).cast("timestamp").cast("double"))
+    qs = [i / EVENT_RANGES for i in range(1, EVENT_RANGES)]
+    bounds = e.agg(F.percentile_approx("__t", qs, 100 * EVENT_RANGES)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    e = Bucketizer(splits=splits, inputCol="__t", outputCol="__r").transform(e)
+    parts = e.groupBy(entity, "__r").agg(F.count(F.lit(1)).alias("__c"))
+    wd = Window.partitionBy(entity).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__off", F.coalesce(F.sum("__c").over(wd), F.lit(0))).drop("__c")
+    wi = Window.partitionBy(entity, "__r").orderBy(ts, tiebreak)
+    return (e.join(parts, [entity, "__r"])
             .withColumn("ordinal", F.col("__off") + F.row_number().over(wi) - 1)
-            .drop("__day", "__off"))
+            .drop("__r", "__t", "__off"))
 
 
 def quiz_band(right: Column) -> Column:

@@ -3,7 +3,6 @@ small result tables; no figure code."""
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,9 +14,9 @@ from panelkit.operators import aggregates as A
 from panelkit.operators import stats as S
 from panelkit.operators import windows as W
 
-__all__ = ["adequacy_evolution", "performance_evolution", "engagement", "self_assessment", "psychosocial",
-           "assessment_vs_adequacy", "turning_point_drivers", "multidimensional", "effectiveness",
-           "segments", "overview"]
+__all__ = ["adequacy_evolution", "performance_evolution", "engagement", "self_assessment", "gap_histogram", "psychosocial",
+           "psychosocial_bins", "assessment_vs_adequacy", "assessment_verdict", "turning_point_drivers",
+           "turning_point_profile", "multidimensional", "trajectory", "effectiveness", "segments", "overview", "profile_360"]
 
 
 def adequacy_evolution(p: DataFrame, year="yr", ian="ian", scale=None) -> dict[str, DataFrame]:
@@ -40,59 +39,109 @@ def engagement(p: DataFrame, ieg="ieg", ida="ida", ipv="ipv") -> DataFrame:
                  F.round(F.regr_slope(ida, ieg), 6).alias("slope_ida"), F.round(F.regr_slope(ipv, ieg), 6).alias("slope_ipv"))
 
 
-def self_assessment(p: DataFrame, iaa="iaa", ida="ida", scale=None) -> DataFrame:
-    """Mean gap, regression of self-assessment on performance, verdict
+def self_assessment(p: DataFrame, iaa="iaa", ida="ida", ieg="ieg", scale=None) -> DataFrame:
+    """On rows complete in self-assessment, performance and engagement:
+    mean gap, line of performance on self-assessment, correlation, verdict
     (gap > 0.5 over; |gap| < 0.5 coherent; else under)."""
+    d = p.dropna(subset=[iaa, ida, ieg])
     gap = A.mean_gap(iaa, ida, scale)
-    one = p.agg(gap.alias("mean_gap"), F.round(F.regr_slope(iaa, ida), 6).alias("slope"),
-                F.round(F.regr_intercept(iaa, ida), 6).alias("intercept"),
-                F.round(F.regr_r2(iaa, ida), 6).alias("r2"), F.round(F.corr(iaa, ida), 6).alias("r"))
+    one = d.agg(gap.alias("mean_gap"), F.round(F.regr_slope(ida, iaa), 6).alias("slope"),
+                F.round(F.regr_intercept(ida, iaa), 6).alias("intercept"),
+                F.round(F.regr_r2(ida, iaa), 6).alias("r2"), F.round(F.corr(iaa, ida), 6).alias("r"))
     g = F.col("mean_gap")
     return one.withColumn("verdict", F.when(g > C.SELF_ASSESS_GAP, F.lit("over"))
                           .when(F.abs(g) < C.SELF_ASSESS_GAP, F.lit("coherent")).otherwise(F.lit("under")))
 
 
+def gap_histogram(p: DataFrame, iaa="iaa", ida="ida", ieg="ieg", year="yr", bins: int = 30) -> DataFrame:
+    """Histogram of self-assessment minus performance, coloured by year."""
+    d = p.dropna(subset=[iaa, ida, ieg]).withColumn("gap", F.round(F.col(iaa) - F.col(ida), 4))
+    return S.histogram(d, "gap", bins, year)
+
+
 def psychosocial(p: DataFrame, ips="ips", ida="ida", ieg="ieg") -> DataFrame:
-    """Correlations and regression of performance on psychosocial."""
-    return p.agg(F.round(F.corr(ips, ida), 6).alias("r_ips_ida"), F.round(F.corr(ips, ieg), 6).alias("r_ips_ieg"),
+    """On rows complete in the three: correlations and lines of
+    performance and of engagement on psychosocial support."""
+    d = p.dropna(subset=[ips, ida, ieg])
+    return d.agg(F.round(F.corr(ips, ida), 6).alias("r_ips_ida"), F.round(F.corr(ips, ieg), 6).alias("r_ips_ieg"),
                  F.round(F.regr_slope(ida, ips), 6).alias("slope"), F.round(F.regr_intercept(ida, ips), 6).alias("intercept"),
+                 F.round(F.regr_slope(ieg, ips), 6).alias("slope_ieg"),
+                 F.round(F.regr_intercept(ieg, ips), 6).alias("intercept_ieg"),
                  (F.corr(ips, ida) > F.lit(0.2)).alias("relevant"))
 
 
+def psychosocial_bins(p: DataFrame, ips="ips", ida="ida", ieg="ieg", index="inde", scale=None) -> DataFrame:
+    """Means of performance, engagement and index per support bin."""
+    return S.binned_means(p.dropna(subset=[ips, ida, ieg]), ips, [0, 4, 6, 8, 10], [ida, ieg, index], scale=scale)
+
+
 def assessment_vs_adequacy(p: DataFrame, ipp="ipp", ian="ian", scale=None) -> DataFrame:
-    """mean/std of the assessment index per adequacy band."""
-    d = p.filter(F.col(ipp).isNotNull()).withColumn("band", ian_band(ian))
+    """On rows complete in both: mean and spread of the assessment index
+    per adequacy band."""
+    d = p.dropna(subset=[ipp, ian]).withColumn("band", ian_band(ian))
     return A.mean_std(d, ["band"], ipp, scale)
 
 
-def turning_point_drivers(p: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Correlation with the turning-point index, ranked by |r|."""
-    return S.rank_by_abs(S.corr_target(p, target, cols))
+def assessment_verdict(p: DataFrame, ipp="ipp", ian="ian") -> DataFrame:
+    """Correlation of assessment and adequacy, line, and whether the one
+    confirms the other (r > 0.2)."""
+    d = p.dropna(subset=[ipp, ian])
+    r = F.corr(ipp, ian)
+    return d.agg(F.round(r, 6).alias("r"), F.round(F.regr_slope(ian, ipp), 6).alias("slope"),
+                 F.round(F.regr_intercept(ian, ipp), 6).alias("intercept"),
+                 F.when(r > 0.2, F.lit("confirms")).otherwise(F.lit("independent")).alias("verdict"))
+
+
+#: indicators compared with the turning-point index, and the rows that count
+DRIVERS = ["ida", "ieg", "iaa", "ips", "ipp", "ian"]
+DRIVER_COMPLETE = ["ipv", "ida", "ieg", "iaa", "ips", "ipp"]
+
 
+def turning_point_drivers(p: DataFrame, target: str = "ipv") -> DataFrame:
+    """Correlation with the turning-point index on rows complete in the
+    six (D16), ranked by |r|."""
+    return S.rank_by_abs(S.corr_target(p.dropna(subset=DRIVER_COMPLETE), target, DRIVERS))
 
-def multidimensional(p: DataFrame, cols: Sequence[str], index: str, tier: str = "tier", scale=None) -> dict:
-    """Correlation matrix, index drivers and tier profile."""
+
+def turning_point_profile(p: DataFrame, flag_col: str = "pv", scale=None) -> DataFrame:
+    """Indicator means of rows that reached the turning point and those
+    that did not, on the same complete rows."""
+    from panelkit.operators.reshape import transpose_means
+    return transpose_means(p.dropna(subset=DRIVER_COMPLETE), flag_col, DRIVERS, ["Sim", "Não"], scale=scale)
+
+
+MULTI = ["ida", "ieg", "ips", "ipp", "iaa", "ipv", "ian"]
+
+
+def multidimensional(p: DataFrame, index: str = "inde", tier: str = "tier", scale=None) -> dict:
+    """Correlation matrix, index drivers and tier profile over seven
+    indicators, all on rows complete in these and the index."""
     from panelkit.operators.joins import reindex_groups
-    return {"matrix": S.corr_matrix(p, cols), "drivers": S.rank_by_abs(S.corr_target(p, index, cols)),
-            "profile": reindex_groups(A.group_means(p, [tier], [c for c in cols if c != index], scale), tier, C.TIER_ORDER)}
+    d = p.dropna(subset=[*MULTI, index])
+    return {"matrix": S.corr_matrix(d, [*MULTI, index]), "drivers": S.rank_by_abs(S.corr_target(d, index, MULTI)),
+            "profile": reindex_groups(A.group_means(d, [tier], MULTI, scale), tier, C.TIER_ORDER)}
+
+
+def trajectory(p: DataFrame, year="yr", tier="tier", cols=("inde", "ida", "ieg"), scale=None) -> DataFrame:
+    """Yearly means and rows per tier, from one aggregation."""
+    return p.filter(F.col(tier).isNotNull()).groupBy(year, tier).agg(
+        *[A.mean_of(c, scale).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias("n"))
 
 
-def effectiveness(p: DataFrame, year="yr", tier="tier", index="inde", flag_col="pv", scale=None) -> dict:
+def effectiveness(p: DataFrame, year="yr", tier="tier", flag_col="pv", scale=None) -> dict:
     """Tier trajectory, tier share per year, turning-point rate per year."""
-    return {"trajectory": A.group_means(p, [year, tier], [index], scale),
+    return {"trajectory": trajectory(p, year, tier, scale=scale),
             "tier_share": A.group_share(p, year, tier),
             "flag_rate": A.conditional_share(p, year, F.col(flag_col) == "Sim")}
 
 
 def segments(p: DataFrame, keys: Sequence[str], cols: Sequence[str], scale=None) -> DataFrame:
     """The same means per several segment keys, stacked as
-    (key, value, means…, n)."""
-    parts = []
-    for k in keys:
-        g = p.filter(F.col(k).isNotNull()).groupBy(F.col(k).cast("string").alias("value")).agg(
-            *[A.mean_of(c, scale).alias(f"mean_{c}") for c in cols], F.count(F.lit(1)).alias("n"))
-        parts.append(g.select(F.lit(k).alias("key"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    (key, value, means…, n): every row is unfolded into its keys, one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]))
+    d = p.select(*cols, pairs.alias("__kv")).select(*cols, "__kv.key", "__kv.value").filter(F.col("value").isNotNull())
+    return d.groupBy("key", "value").agg(*[A.mean_of(c, scale).alias(f"mean_{c}") for c in cols],
+                                         F.count(F.lit(1)).alias("n"))
 
 
 def overview(p: DataFrame, cols: Sequence[str], tier="tier", year="yr", index="inde", scale=None) -> dict:
@@ -105,19 +154,28 @@ def overview(p: DataFrame, cols: Sequence[str], tier="tier", year="yr", index="i
             "radar": reindex_groups(A.group_means(p, [tier], cols, scale), tier, C.TIER_ORDER)}
 
 
-def profile_360(p: DataFrame, entity="entity_id", year="yr") -> DataFrame:
-    """One row per entity. History is gathered per entity — bounded by
-    the number of years — with ``collect_list`` then sorted."""
+def profile_360(p: DataFrame, entity="entity_id", year="yr", missing_tier_as_zero: bool = True,
+                scores: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per entity: latest values, tier and its change, history,
+    alert, recommendations and message; ``scores`` adds the columns of scored
+    tables (entity, year, …), matched on the latest row. A missing current
+    tier counts as ordinal 0, as in the source (D21). History is gathered per
+    entity — bounded by the number of years — then sorted."""
     from pyspark.sql import Window
     from panelkit.functions.bands import inde_message
     from panelkit.operators.rules import alert_levels, recommendations
     w = Window.partitionBy(entity).orderBy(F.desc(year))
-    ch = W.tier_change_latest(p, entity, year, "tier_ord")
+    q = p.withColumn("tier_ord", F.coalesce("tier_ord", F.lit(0))) if missing_tier_as_zero else p
+    known = q.withColumn("__known", F.nullif(F.col("tier_ord"), F.lit(0)))
+    prev = F.last("__known", ignorenulls=True).over(
+        Window.partitionBy(entity).orderBy(year).rowsBetween(Window.unboundedPreceding, -1))
+    ch = known.withColumn("tier_change", F.coalesce(F.col("tier_ord") - prev, F.lit(0))).drop("__known")
     latest = ch.withColumn("__rk", F.row_number().over(w)).filter("__rk = 1").drop("__rk")
     hist = p.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(year, "inde"))).alias("history"))
-    al = alert_levels(latest.withColumn("tier_change", F.coalesce("tier_change", F.lit(0))),
-                      keep=[entity, year, "inde", "ieg", "ips", "ida", "iaa", "tier", "tier_change"], missing_as="zero")
-    al = al.join(latest.select(entity, "tenure"), entity) if "tenure" not in al.columns else al
-    return (al.join(hist, entity)
-            .withColumn("recommendations", recommendations())
-            .withColumn("message", inde_message("inde")))
+    al = alert_levels(latest, keep=[entity, year, "inde", "ieg", "ips", "ida", "iaa", "tier", "tier_change"], missing_as="zero")
+    out = (al.join(hist, entity)
+           .withColumn("recommendations", recommendations())
+           .withColumn("message", inde_message("inde")))
+    for df in (scores or {}).values():
+        out = out.join(df, [entity, year], "left")
+    return out

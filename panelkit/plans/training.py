@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from panelkit.plans import features as FT
 from panelkit.plans import models as M
-from panelkit.plans.panel import panel_table
+from panelkit import config as C
+from panelkit.plans.panel import panel_table, year_bounds
 
 __all__ = ["train_all"]
 
@@ -25,15 +26,21 @@ KEYS = ["entity_id", "yr"]
 
 
 def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
-    # medians are fitted on the training part inside prepare_split
+    # medians and institution codes are fitted on the training part inside prepare_split
+    codes = False
     if name == "lag_risk":
         data, feats, metric, fill = FT.lag_features(p), FT.LAG_FEATURES, "f1", []
     elif name == "attrition":
-        data, feats, metric, fill = (FT.attrition_features(p, 1995, 2000, fill=False), FT.ATTRITION_FEATURES, "auc",
+        first, last = year_bounds(p)
+        data, feats, metric, fill = (FT.attrition_features(p, first, last - 1, fill=False), FT.ATTRITION_FEATURES, "auc",
                                      FT.ATTRITION_FILL)
+        positives = data.agg(F.count_if(F.col("label") == 1)).first()[0]  # one number
+        if positives < C.MIN_POSITIVES:
+            raise ValueError(f"only {positives} entities left: at least {C.MIN_POSITIVES} are needed for an attrition model")
     else:
-        data, feats, metric, fill = FT.turning_point_features(p, fill=False), FT.TP_FEATURES, "auc", FT.TP_FEATURES
-    prepared = M.prepare_split(data, KEYS, fill_cols=fill)
+        data, feats, metric, fill = (FT.turning_point_features(p, fill=False, coded=False), FT.TP_FEATURES, "auc", FT.TP_FILL)
+        codes = True
+    prepared = M.prepare_split(data, KEYS, fill_cols=fill, codes=codes)
     cands = {name: specs[name]}
     if name == "turning_point":
         cands["turning_point_rf"] = specs["turning_point_rf"]
@@ -59,7 +66,8 @@ def train_all(spark: SparkSession, sf_dir: str, out_dir: str, specs: dict | None
     specs = specs or M.MODEL_SPECS
     p = panel_table(spark, sf_dir)
     tasks = {n: (lambda n=n: _binary(p, n, specs, parallelism)) for n in ["lag_risk", "turning_point", "attrition"]}
-    tasks["tier"] = lambda: dict(M.train_multiclass(FT.tier_features(p), FT.TIER_FEATURES, specs["tier"], KEYS),
+    tiers = {c: specs[c] for c in ("tier", "tier_gbt") if c in specs}
+    tasks["tier"] = lambda: dict(M.train_multiclass(FT.tier_features(p, coded=False), FT.TIER_FEATURES, tiers, KEYS),
                                  features=FT.TIER_FEATURES)
     results = M.run_concurrently(tasks, parallelism)
     rows = {}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     tests) create a private scratch folder."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="panelkit-ckpt-", dir=os.environ.get("PANELKIT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -77,6 +81,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _MATERIALIZED: dict = {}
+_LOCK = threading.Lock()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a working folder when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def materialize(spark: SparkSession, name: str, build, partition_by: str | None = None,
@@ -94,35 +105,30 @@ def materialize(spark: SparkSession, name: str, build, partition_by: str | None
     shuffling. Rows are first repartitioned on the key so each bucket is one
     file. ``partition_by`` instead lets filters on a column prune files."""
     key = (spark.sparkContext.applicationId, name)
-    hit = _MATERIALIZED.get(key)
-    if hit is None or refresh:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        app = spark.sparkContext.applicationId
-        # per-application folder: concurrent applications never overwrite each other
-        path = f"{base}/tables/{app}/{name}"
-        df = build()
-        cols = df.columns
-        hit = None
-        if bucket_by:
-            n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            table = "pk_" + "".join(ch if ch.isalnum() else "_" for ch in f"{app}_{name}")
-            try:
-                (df.repartition(n, bucket_by).write.mode("overwrite").format("parquet").option("path", path)
-                 .bucketBy(n, bucket_by).sortBy(bucket_by).saveAsTable(table))
-                # table size from file metadata (no scan) for Catalyst's broadcast size checks
-                spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
-                hit = ("table", table, cols)
-            except Exception:  # noqa: BLE001 - no writable catalog: plain files, same data
-                path = path + "_files"
-                df.repartition(n, bucket_by).write.mode("overwrite").parquet(path)
-                hit = ("path", path, cols)
-        else:
-            w = df.write.mode("overwrite")
-            if partition_by:
-                w = w.partitionBy(partition_by)
-            w.parquet(path)
-            hit = ("path", path, cols)
-        _MATERIALIZED[key] = hit
+    with _LOCK:  # concurrent first readers wait for one write
+        if key not in _MATERIALIZED or refresh:
+            _MATERIALIZED[key] = _write(spark, name, build(), partition_by, bucket_by, buckets)
+    hit = _MATERIALIZED[key]
     kind, loc, cols = hit
     src = spark.table(loc) if kind == "table" else spark.read.parquet(loc)
     return src.select(*cols)
+
+
+def _write(spark: SparkSession, name: str, df: DataFrame, partition_by, bucket_by, buckets) -> tuple:
+    app = spark.sparkContext.applicationId
+    # per-application folder: concurrent applications never overwrite each other
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{app}/{name}"
+    delete_at_end(spark, path)
+    if bucket_by:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = "pk_" + "".join(ch if ch.isalnum() else "_" for ch in f"{app}_{name}")
+        (df.repartition(n, bucket_by).write.mode("overwrite").format("parquet").option("path", path)
+         .bucketBy(n, bucket_by).sortBy(bucket_by).saveAsTable(table))
+        # table size from file metadata (no scan) for Catalyst's broadcast size checks
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")
+        return "table", table, df.columns
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return "path", path, df.columns

@@ -55,23 +55,28 @@ def daily_activity(events: DataFrame, event_type: str = "purchase", watermark: s
 
 
 def _start(df: DataFrame, name: str, mode: str, sink: str, trigger_once: bool):
-    ck = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/streams/{name}"
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ck)
+    """Parquet by default: appended rows go to files of the shared folder, and
+    in update mode each batch's changed rows to a folder of that batch. The
+    ``memory`` sink keeps all rows on the driver and is for tests."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/") + f"/streams/{name}"
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", base)
     if sink == "memory":
         w = w.format("memory").queryName(name)
+    elif sink == "parquet" and mode == "update":
+        w = w.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{base}-out/batch={i}"))
     else:
-        w = w.format(sink)
+        w = w.format(sink).option("path", f"{base}-out")
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
 
 
-def answer_points_stream(spark: SparkSession, path: str, name: str = "answer_points", sink: str = "memory",
+def answer_points_stream(spark: SparkSession, path: str, name: str = "answer_points", sink: str = "parquet",
                          trigger_once: bool = True):
     return _start(answer_points(read_event_stream(spark, path)), name, "update" if sink != "memory" else "complete",
                   sink, trigger_once)
 
 
-def daily_activity_stream(spark: SparkSession, path: str, name: str = "daily_activity", sink: str = "memory",
+def daily_activity_stream(spark: SparkSession, path: str, name: str = "daily_activity", sink: str = "parquet",
                           trigger_once: bool = True):
     return _start(daily_activity(read_event_stream(spark, path)), name, "append", sink, trigger_once)

@@ -30,13 +30,59 @@ def test_save_load_and_artefacts(spark):
     assert chk == {"rf": True, "gbt": False}
 
 
-def test_compare_candidates_by_cv(spark):
-    from panelkit.operators.sampling import stratified_folds
-    tr = stratified_folds(M.class_weights(_data(spark, 200)), "label", ["id"], 3)
-    specs = {"rf_small": {"kind": "rf", "numTrees": 3, "maxDepth": 2, "minInstancesPerNode": 1},
-             "gbt_small": {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 1.0}}
-    out = M.compare_candidates(tr.filter("fold < 3"), ["x", "z"], specs).collect()
-    assert len(out) == 2 and sum(r["best"] for r in out) == 1
+def test_weights_follow_the_spec(spark):
+    """Only lag risk, the turning-point forest and attrition balance their classes."""
+    assert {n for n, s in M.MODEL_SPECS.items() if s.get("weighted")} == {"lag_risk", "turning_point_rf", "attrition"}
+    for name, spec in M.MODEL_SPECS.items():
+        clf = M.build_pipeline(["x"], spec).getStages()[-1]
+        if spec["kind"] != "gbt_ovr":
+            assert (clf.isSet("weightCol") and clf.getWeightCol() == "weight") == bool(spec.get("weighted")), name
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """The same rows in 1, 3 or 7 partitions give the same forest and the same boosting."""
+    df = _data(spark, 400).withColumn("w", F.rand(3))
+    for spec in ({"kind": "rf", "numTrees": 6, "maxDepth": 3, "minInstancesPerNode": 1},
+                 {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.5}):
+        got = []
+        for n in (1, 3, 7):
+            train = M.spread(df.repartition(n, "w"), ["id"])
+            m = M.fit(train, ["x", "z"], spec)
+            got.append([r["score"] for r in M.score_binary(m, df, 0.5).orderBy("id").collect()])
+        assert got[0] == got[1] == got[2]
+
+
+def test_no_feature_is_made_from_an_excluded_column():
+    from panelkit.plans.features import excluded_inputs
+    assert excluded_inputs() == []
+
+
+def test_turning_point_mean_does_not_hold_the_label(spark):
+    """The mean is over four indicators: five times it minus these says nothing about IPV."""
+    from panelkit.plans.features import turning_point_features
+    from panelkit.plans.panel import panel_table
+    p = panel_table(spark, SF_SMALL)
+    f = turning_point_features(p).join(p.select("entity_id", "yr", "ipv"), ["entity_id", "yr"])
+    r = f.agg(F.max(F.abs(4 * F.col("MEDIA_INDICADORES") - (F.col("IAA") + F.col("IEG") + F.col("IPS") + F.col("IDA")))),
+              F.count_if(F.abs(5 * F.col("MEDIA_INDICADORES") - (F.col("IAA") + F.col("IEG") + F.col("IPS") + F.col("IDA"))
+                               - F.col("ipv")) < 1e-9), F.count("*")).first()
+    assert r[0] < 1e-9 and r[1] < 0.05 * r[2]
+
+
+def test_missing_labels_are_a_stratum(spark):
+    from panelkit.operators.sampling import stratified_folds, stratified_split
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(50)], "id int, label int")
+    assert stratified_split(df, "label", ["id"], 0.2).count() == 50
+    f = {r["fold"]: r["n"] for r in stratified_folds(df, "label", ["id"], 5).filter("label IS NULL")
+         .groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    assert f == {i: 2 for i in range(5)}
+
+
+def test_recommendations_read_missing_as_zero(spark):
+    from panelkit.operators.rules import recommendations
+    df = spark.createDataFrame([(None, None, None, None)], "ieg double, ips double, ida double, iaa double")
+    assert len(df.select(recommendations()).first()[0]) == 3
+    assert df.select(recommendations(missing_as="no_signal")).first()[0] == ["Indicadores adequados. Manter acompanhamento regular."]
 
 
 def test_auc_ovr_weighted_perfect(spark):
@@ -59,6 +105,7 @@ def test_train_all_small(spark):
     from panelkit.plans.training import train_all
     small = {"lag_risk": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 5, "min_thresh": 0.45},
              "tier": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 3},
+             "tier_gbt": {"kind": "gbt_ovr", "maxIter": 2, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8},
              "turning_point": {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.8,
                                "threshold": 0.5},
              "turning_point_rf": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 4},
@@ -68,6 +115,8 @@ def test_train_all_small(spark):
     rows = {r["model"]: r for r in m.collect()}
     assert set(rows) == {"lag_risk", "tier", "turning_point", "attrition"}
     assert 0.0 <= rows["attrition"]["auc_test"] <= 1.0
+    assert 0.0 <= rows["tier"]["auc_ovr"] <= 1.0 and 0.0 <= rows["tier"]["cv_accuracy"] <= 1.0
+    assert rows["tier"]["candidate"] in ("tier", "tier_gbt")
     art = spark.read.json(out + "/artefacts").collect()
     assert all(r["present"] for r in art)
     loaded = M.load_model(out + "/models/attrition")

@@ -37,8 +37,12 @@ def test_report_builders(spark):
     assert a["share"].count() > 0 and a["trend"].count() == p.select("yr").distinct().count()
     pe = R.performance_evolution(p, scale=4)
     assert pe["trend"].first()["verdict"] in ("up", "down", "flat")
-    md = R.multidimensional(p, ["ieg", "ida", "ips", "inde"], "inde", scale=4)
-    assert md["matrix"].count() == 16 and md["drivers"].count() == 3
+    md = R.multidimensional(p, scale=4)
+    assert md["matrix"].count() == 64 and md["drivers"].count() == 7
+    complete = p.dropna(subset=[*R.MULTI, "inde"])
+    r = {(x["x"], x["y"]): x["r"] for x in md["matrix"].collect()}
+    assert abs(r["ida", "ipp"] - complete.stat.corr("ida", "ipp")) < 1e-6
     ef = R.effectiveness(p, scale=4)
     assert ef["flag_rate"].count() == p.select("yr").distinct().count()
-    assert R.turning_point_drivers(p, "ipv", ["ieg", "ida", "ips"]).count() == 3
+    assert ef["trajectory"].columns == ["yr", "tier", "mean_inde", "mean_ida", "mean_ieg", "n"]
+    assert R.turning_point_drivers(p).count() == 6

@@ -107,11 +107,11 @@ def test_stratified_folds_sizes_differ_by_at_most_one(spark):
     assert s.count() == 1003
 
 
-def test_transitions_equal_join_forms(spark):
+def test_leavers_are_transitions(spark):
     df = spark.createDataFrame([(1, 2000), (1, 2001), (1, 2003), (2, 2001)], "e int, yr int")
     t = {(r["e"], r["yr"]): r["left"] for r in W.transitions(df, "e", "yr", 2000, 2002).collect()}
     assert t == {(1, 2000): 0, (1, 2001): 1, (2, 2001): 1}
-    lv = {(r["e"], r["yr"]) for r in W.leavers_join(df, "e", "yr", 2000, 2002).collect()}
+    lv = {(r["e"], r["yr"]) for r in W.leavers(df, "e", "yr", 2000, 2002).collect()}
     assert lv == {k for k, v in t.items() if v == 1}
 
 

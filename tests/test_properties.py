@@ -23,9 +23,9 @@ def test_shares_sum_to_100_without_nulls(spark, rows):
 def test_leavers_plus_stayers_equal_present(spark, keys):
     df = spark.createDataFrame(sorted(keys), "e int, yr int")
     present = df.filter(F.col("yr").between(1995, 2000)).count()
-    assert W.leavers_join(df, "e", "yr", 1995, 2000).count() + W.stayers_join(df, "e", "yr", 1995, 2000).count() == present
+    assert W.leavers(df, "e", "yr", 1995, 2000).count() + W.stayers(df, "e", "yr", 1995, 2000).count() == present
     left = W.transitions(df, "e", "yr", 1995, 2000).agg(F.sum("left")).first()[0] or 0
-    assert left == W.leavers_join(df, "e", "yr", 1995, 2000).count()
+    assert left == W.leavers(df, "e", "yr", 1995, 2000).count()
 
 
 def test_seeded_fit_is_deterministic_and_probabilities_sum_to_one(spark):

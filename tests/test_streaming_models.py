@@ -16,7 +16,7 @@ def _events_dir():
 def test_answer_points_stream_equals_batch(spark):
     from panelkit.streaming import answer_points, answer_points_stream
     d = _events_dir()
-    q = answer_points_stream(spark, d, name="ap_test")
+    q = answer_points_stream(spark, d, name="ap_test", sink="memory")
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.sql("SELECT user_id, answers, right, points FROM ap_test").collect()}
     want = {tuple(r) for r in answer_points(spark.read.parquet(d)).select("user_id", "answers", "right", "points").collect()}
@@ -26,7 +26,7 @@ def test_answer_points_stream_equals_batch(spark):
 def test_daily_activity_stream(spark):
     from panelkit.streaming import daily_activity_stream
     d = _events_dir()
-    q = daily_activity_stream(spark, d, name="da_test")
+    q = daily_activity_stream(spark, d, name="da_test", sink="memory")
     q.awaitTermination(120)
     n = spark.sql("SELECT count(*) AS n FROM da_test").first()["n"]
     batch = (spark.read.parquet(d).filter("event_type = 'purchase'")
