@@ -61,10 +61,16 @@ def counts_by_key(df: DataFrame, col: str, name: str = "n") -> DataFrame:
             .orderBy(col))
 
 
-def year_stats(df: DataFrame, year: str, col: str, scale: int | None = None, digits: int = 6) -> DataFrame:
-    """A5: mean / median / sample std per year (exact median, D5, D6)."""
+def median_of(col: str, exact: bool = True) -> Column:
+    """Median: exact (a value → count map per group, small for scores of limited
+    precision), or for unbounded domains the approximate percentile."""
+    return F.median(col) if exact else F.percentile_approx(col, 0.5, 10_000).cast("double")
+
+
+def year_stats(df: DataFrame, year: str, col: str, scale: int | None = None, digits: int = 6, exact: bool = True) -> DataFrame:
+    """A5: mean / median / sample std per year (exact median by default, D5, D6)."""
     return df.groupBy(year).agg(mean_of(col, scale).alias("mean"),
-                                F.round(F.median(col), digits).alias("median"),
+                                F.round(median_of(col, exact), digits).alias("median"),
                                 F.round(F.stddev_samp(col), digits).alias("std"),
                                 F.count(col).alias("n"))
 
@@ -109,12 +115,12 @@ def conditional_share(df: DataFrame, by: str, cond: Column, name: str = "pct") -
 
 
 def column_stats(df: DataFrame, cols: Iterable[str], scale: int | None = None,
-                 digits: int = 6) -> DataFrame:
+                 digits: int = 6, exact: bool = True) -> DataFrame:
     """A10: mean / median / std of each column from one pass, as rows."""
     cols = list(cols)
     aggs = []
     for c in cols:
-        aggs += [mean_of(c, scale).alias(f"{c}__mean"), F.round(F.median(c), digits).alias(f"{c}__median"),
+        aggs += [mean_of(c, scale).alias(f"{c}__mean"), F.round(median_of(c, exact), digits).alias(f"{c}__median"),
                  F.round(F.stddev_samp(c), digits).alias(f"{c}__std")]
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[

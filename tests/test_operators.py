@@ -179,3 +179,15 @@ def test_degenerate_inputs_give_null_not_errors(spark):
     empty = spark.createDataFrame([], "x double, label int, pred int")
     assert A.null_profile(empty, ["x"]).first()["pct"] is None
     assert E.weighted_f1(empty).first()["weighted_f1"] is None
+
+
+def test_approximate_quantiles_are_near_the_exact_ones(spark):
+    df = spark.range(2000).selectExpr("id % 4 AS yr", "CAST(id * 7919 % 2003 AS double) / 10 AS x")
+    for exact in (True, False):
+        y = {r["yr"]: r["median"] for r in A.year_stats(df, "yr", "x", exact=exact).collect()}
+        b = {r["yr"]: (r["q1"], r["q3"], r["n"]) for r in S.box_summary(df, "x", "yr", exact=exact).collect()}
+        c = A.column_stats(df, ["x"], exact=exact).first()["median"]
+        if exact:
+            want = (y, b, c)
+    assert all(abs(want[0][k] - y[k]) < 3 for k in y) and abs(want[2] - c) < 3
+    assert all(abs(want[1][k][i] - b[k][i]) < 3 for k in b for i in range(3))
