@@ -45,7 +45,8 @@ def op8_bpe(spark, sf_dir):
 
 
 def op9_toxicity(spark, sf_dir):
-    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "toxic", *[f"p_{n}" for n, _ in toxicity.CHAIN])
 
 
 def op10_passages(spark, sf_dir):

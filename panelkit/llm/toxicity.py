@@ -138,6 +138,11 @@ def _fit(rows: DataFrame, label: str):
                               rawPredictionCol="raw", predictionCol="guess", standardization=False).fit(rows.select("x", label))
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """The bounded sample in a few files: every iteration of a fit is a job over them."""
+    return write_shared(df.coalesce(4), name)
+
+
 def fit_chain(sample: DataFrame, chain=CHAIN, folds: int = FOLDS) -> list[dict]:
     """Per category: ``weights`` (of word columns), ``before`` (of the earlier
     probabilities), ``intercept`` and ``threshold``."""
@@ -163,17 +168,17 @@ def fit_chain(sample: DataFrame, chain=CHAIN, folds: int = FOLDS) -> list[dict]:
                 parts.append(rows.where(F.col("fold") == f).select("doc_id", F.lit(0.0).alias("p")))
                 continue
             x = _vectors(rows, select_columns(counts, totals, i, f), i)
-            train = write_shared(x.where(F.col("fold") != f).select("x", y), "toxic-train")
+            train = _small(x.where(F.col("fold") != f).select("x", y), "toxic-train")
             parts.append(_fit(train, y).transform(x.where(F.col("fold") == f).select("doc_id", "x"))
                          .select("doc_id", F.get(vector_to_array("prob"), F.lit(1)).alias("p")))
         oof = parts[0]
         for part in parts[1:]:
             oof = oof.unionByName(part)
-        oof = write_shared(oof.groupBy("doc_id").agg(F.max("p").alias("p")), "toxic-oof")
+        oof = _small(oof.groupBy("doc_id").agg(F.max("p").alias("p")), "toxic-oof")
         columns = select_columns(counts, totals, i, None)
-        final = _fit(write_shared(_vectors(rows, columns, i).select("x", y), "toxic-train"), y)
+        final = _fit(_small(_vectors(rows, columns, i).select("x", y), "toxic-train"), y)
         w = final.coefficients.toArray().tolist()
-        rows = write_shared(rows.join(oof, "doc_id"), "toxic-chain")
+        rows = _small(rows.join(oof, "doc_id"), "toxic-chain")
         got = rows.agg(*[a for j, t in enumerate(GRID) for a in (
             F.count_if((F.col("p") > t) & (F.col(y) == 1)).alias(f"tp{j}"), F.count_if(F.col("p") > t).alias(f"n{j}"))],
             F.count_if(F.col(y) == 1).alias("pos")).first()
@@ -190,14 +195,15 @@ class Scorer:
 
     def __init__(self, models: list[dict]):
         self.models, self.cache = models, {}
+        #: weights of a column in all models
+        self.columns = {c: [m["weights"].get(c, 0.0) for m in models] for c in {c for m in models for c in m["weights"]}}
 
     def token(self, token: str) -> tuple[float, ...]:
         """A token's weight in each model; empty if it has none anywhere."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cols = columns_of(token)
-        got = tuple(sum(m["weights"].get(c, 0.0) for c in cols) for m in self.models)
-        self.cache[token] = got = got if any(got) else ()
+        hits = [self.columns[c] for c in columns_of(token) if c in self.columns]
+        self.cache[token] = got = tuple(map(sum, zip(*hits)))
         return got
 
     def score(self, text: str | None) -> list[float]:
@@ -225,13 +231,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def apply_chain(docs: DataFrame, models: list[dict], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # fixed size: the columns with a weight
+    sent = docs.sparkSession.sparkContext.broadcast([models])  # fixed size: the columns with a weight
     rows = with_row(docs, carry, doc_id=F.col(id_col), text=F.col(text_col))
     keep = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType(keep + [T.StructField(f"p_{m['name']}", T.DoubleType()) for m in models])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        # a worker process keeps its cache of tokens from task to task
+        if len(sent.value) == 1:
+            sent.value.append(Scorer(sent.value[0]))
+        scorer = sent.value[1]
         for b in batches:
             p = np.array([scorer.score(t.as_py()) for t in b["text"]], dtype=np.float64).reshape(b.num_rows, len(schema) - len(keep))
             yield pa.RecordBatch.from_arrays([b[f.name] for f in keep] + [pa.array(c) for c in p.T], names=[f.name for f in schema.fields])
