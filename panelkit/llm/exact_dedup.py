@@ -82,13 +82,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"),
                           F.col("doc_id"), F.col("uid"))).alias("best")
     links = (store.select("uid", "doc_id", "key", "n_chars", "text").join(shared_keys.select("key").hint("merge"), "key", "left_semi")
-             .groupBy("key", normalised(text).alias("norm")).agg(best, F.count("*").alias("group_size")))
-    links = write_shared(links.select("key", "norm", F.col("best.doc_id").alias("keep_id"),
+             # grouped by another form of the key: the join then keeps its own partitioning, a hot
+             # key is split there, and each part sends one row of each text on
+             .groupBy(F.bitwise_not("key").alias("not_key"), normalised(text).alias("norm")).agg(best, F.count("*").alias("group_size")))
+    links = write_shared(links.select(F.bitwise_not("not_key").alias("key"), "norm", F.col("best.doc_id").alias("keep_id"),
                                       F.col("best.uid").alias("keep_uid"), "group_size"), "hash-links")
     per_key = links.groupBy("key").agg(
         F.count("*").alias("n_chain"), F.first("keep_id").alias("keep_id"), F.first("keep_uid").alias("keep_uid"),
         F.first("group_size").alias("group_size"))
-    index = write_shared(per_key.join(shared_keys, "key")
+    index = write_shared(write_shared(per_key, "hash-chains").join(shared_keys, "key")
                          .repartitionByRange(F.expr("shiftleft(prefix, 64 - depth)"), "key"), "hash-index")
 
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] + (["row"] if carry else [])
