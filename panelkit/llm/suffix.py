@@ -261,13 +261,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = levels.add(suffixes.where(F.expr(f"pmod(shiftright(uid, 33), {batches}) = {b}")).select("core"))
         found = new if found is None else found.unionByName(new)
     levels.close()
-    hits = write_shared(suffixes.join(found.distinct(), "core", "left_semi"), "suffix-hits")
+    repeated = write_shared(found.distinct(), "suffix-repeated")  # written, so that a hot core's suffixes can be split
+    hits = write_shared(suffixes.join(repeated, "core", "left_semi"), "suffix-hits")
 
     # 3. classes of equal context; the contexts of one of each are compared where classes differ
     classes = write_shared(hits.groupBy("core", "context").agg(
         F.count("*").alias("n"), F.first("uid").alias("uid"), F.first("at").alias("at")), "suffix-classes")
-    mixed = (classes.groupBy("core").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("single"))
-             .where("k > 1 AND single > 0").select("core", "k"))
+    mixed = write_shared(classes.groupBy("core").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("single"))
+                         .where("k > 1 AND single > 0").select("core", "k"), "suffix-mixed")
     asked = classes.join(mixed, "core").select(page_of().alias("page"), "uid", "at", "core", "k", (F.col("n") > 1).alias("full"))
     cut_schema = "core long, uid long, at int, k long, full boolean, left int, bytes binary"
 
