@@ -135,8 +135,9 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star / small-star contraction: each round is two
     map-side-combined ``min`` aggregations and equi-joins, linear in the edges,
     and the number of rounds grows with the logarithm of the longest chain. A
-    hub's edges meet in joins only, which adaptive execution splits. Each round
-    is written to the shared folder; the driver reads one count per round.
+    hub's edges meet in joins of written tables only, which adaptive execution
+    splits (a join that shares its partitioning with an aggregation it cannot).
+    The driver reads one count per round.
     """
     spark = edges.sparkSession
     cur = write_shared(
@@ -145,18 +146,20 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u is hung on u's smallest neighbour (or u)
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
+        least = write_shared(both.groupBy("u").agg(F.min("v").alias("m"))
+                             .select(F.col("u").alias("mu"), F.least("u", "m").alias("m")), "least")
         large = (both.where("v > u").join(least, F.col("u") == F.col("mu"))
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct())
         # small star: u's smaller neighbours and u itself are hung on the smallest of them
-        low = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "mu")
+        large = write_shared(large, "edges")
+        low = write_shared(large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "mu"), "least")
         hung = large.join(low, F.col("hi") == F.col("mu"))
         nxt = write_shared(
             hung.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
             .unionByName(low.select(F.col("mu").alias("hi"), F.col("m").alias("lo"))).distinct(), "edges")
         # settled when every node hangs on one root that hangs on nothing, i.e. nothing moved
         moved = nxt.join(cur, ["hi", "lo"], "left_anti").limit(1).count() + cur.join(nxt, ["hi", "lo"], "left_anti").limit(1).count()
-        drop_shared(cur)
+        drop_shared(cur, least, large, low)
         cur = nxt
         if not moved:
             break

@@ -183,14 +183,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = write_shared(store, "simhash-store")
     nodes = write_shared(store.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     comps = connected(links(nodes.select("fp"), max_bits, segments, file_rows))
-    groups = nodes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = write_shared(nodes.join(comps, F.col("fp") == F.col("node"), "left")
+                          .select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    ids = write_shared(groups.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     groups = write_shared(groups.join(ids, "root").select("fp", "root", "component_id"), "simhash-groups")
     found = store.select("uid", "doc_id", "fp").join(groups, "fp")
     out = found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     if not carry:
         return out.select("doc_id", "fingerprint", "component_id")
-    keeper = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias("keep_uid"))
+    keeper = write_shared(found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias("keep_uid")), "simhash-keepers")
     out = out.join(keeper, "root").withColumn("kept", F.col("uid") == F.col("keep_uid"))
     # whole rows move once, to their decisions
     return store.select("uid", "row").join(out, "uid").select("doc_id", "fingerprint", "component_id", "kept", "row")
