@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from panelkit.llm import bpe, chaining, curriculum, exact_dedup, license, quality, shuffle, simhash, suffix, toxicity
+from panelkit.llm import (bpe, chaining, curriculum, exact_dedup, langid, license, negatives, phrases, quality, shuffle, simhash, suffix,
+                          toxicity)
 from panelkit.llm.common import documents
 
 
@@ -53,7 +54,20 @@ def op10_passages(spark, sf_dir):
     return chaining.passage_dedup(documents(spark, sf_dir)).drop("passages")
 
 
+def op11_language(spark, sf_dir):
+    return langid.held_out_report(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.mine_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_mixing, op3_sharding, op4_exact_dedup, op5_quality_rules, op6_simhash, op7_license_scan, op8_bpe, op9_toxicity,
-    op10_passages)}
-SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license.SQL}
+    op10_passages, op11_language, op12_hard_negatives, op13_phrases)}
+SQL = {"op2_mixing": curriculum.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_license_scan": license.SQL,
+       "op12_hard_negatives": negatives.SQL, "op13_phrases": phrases.SQL}
