@@ -7,7 +7,7 @@ Method
 1. A text becomes pieces and pieces words, on its UTF-8 bytes. A phrase is 1 to
    ``MAX_WORDS`` words in a row inside a piece, counted per language with overlaps.
    A phrase is never more frequent than one it contains.
-2. Sample: the documents in the ``SAMPLE`` share of lowest text hashes are counted
+2. Sample: a ``SAMPLE`` share of the documents, by the hash of their places, is counted
    without any threshold on their parts; words and pairs found ``sample_min`` times
    are proposed. The sample decides what is counted when, never what is returned.
 3. Full pass over all documents: a word is counted always, a longer phrase if both
@@ -56,11 +56,11 @@ from panelkit.llm.common import write_shared
 
 MAX_WORDS = 3
 #: share of the documents in the sample, and occurrences there that propose a phrase
-SAMPLE, SAMPLE_MIN = 0.25, 2
+SAMPLE, SAMPLE_MIN = 0.1, 2
 #: bits of a proposal bitmap at least and at most
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: bytes of texts that a task counts at once
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 #: parts of a language in which its phrases are ranked first
 SALTS = 64
 UNKNOWN = "und"
@@ -68,9 +68,8 @@ UNKNOWN = "und"
 #: the ends of pieces become line ends, A-Z become a-z; every byte stays one byte
 _FOLD = bytes(10 if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
-_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("phrase", T.BinaryType()),
-                        T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("known", T.BooleanType())])
-_ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64()), ("h", pa.int64()), ("known", pa.bool_())])
+_COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.BinaryType()), T.StructField("n", T.LongType())])
+_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,6 +80,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(lang: str, words: list[bytes]) -> list[int]:
+    seed = xxhash.xxh32_intdigest(lang)
+    return [xxhash.xxh64_intdigest(w, seed) for w in words]
+
+
 class Bitmap:
     """Proposals as set bits; ``None`` in place of bits proposes everything."""
 
@@ -119,64 +123,93 @@ def chunk_counts(lang: str, texts: pa.BinaryArray, now: list[Bitmap], before: li
     t, words = words_of(texts)
     if not len(words):
         return
-    bits, seed = len(words).bit_length(), xxhash.xxh32_intdigest(lang)
-    hashes = np.array([0] + [xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
+    bits, hashes = len(words).bit_length(), np.array([0, *word_hashes(lang, words.to_pylist())], np.uint64)
     had = lambda i, h: before[i].has(h) if before else np.zeros(len(h), bool)
 
-    def rows(cols: list[np.ndarray], h: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Equal phrases counted; up to 3 word numbers of 21 bits make one key."""
+    def rows(*cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Equal phrases counted, by word numbers that make one key."""
         if bits * len(cols) <= 63:
             key = reduce(lambda x, y: x << bits | y, cols)
-        else:  # word numbers too large for one key: number the pairs first
-            pair = np.unique(cols[0] << bits | cols[1], return_inverse=True)[1]
-            key = pair << bits | cols[2]
+        else:  # too large for one key: number the pairs first
+            key = np.unique(cols[0] << bits | cols[1], return_inverse=True)[1] << bits | cols[2]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
         for at in range(0, len(first), 1 << 16):
             f = first[at: at + (1 << 16)]
             parts = [words.take(pa.array(c[f] - 1)) for c in cols]
             phrase = pc.binary_join_element_wise(*parts, b" ") if len(parts) > 1 else parts[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(f), np.int64))), pa.array(np.full(len(f), len(cols), np.int32)), phrase,
-                 pa.array(n[at: at + (1 << 16)]), pa.array(h[f].view(np.int64)), pa.array(known[f])], schema=_ARROW)
+            langs = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(f), np.int64)))
+            yield pa.RecordBatch.from_arrays([langs, phrase, pa.array(n[at: at + (1 << 16)])], schema=_ARROW)
     # by word number, then by place in the texts
     word, old_word = now[0].has(hashes), had(0, hashes)
     if before is None:
-        one = t[t > 0]
-        yield from rows([one], hashes[one], word[one])
+        yield from rows(t[t > 0])
     word[0] = False
     two = np.flatnonzero(word[t[:-1]] & word[t[1:]])
     a, b = t[two], t[two + 1]
-    h = mixed(hashes[a], hashes[b])
-    pair, old = now[1].has(h), old_word[a] & old_word[b]
-    yield from rows([a[~old], b[~old]], h[~old], pair[~old])
+    old = old_word[a] & old_word[b]
+    yield from rows(a[~old], b[~old])
     if longest < 3:
         return
+    h = mixed(hashes[a], hashes[b])
+    pair = now[1].has(h)
     old &= had(1, h)
     at = two[:-1][(two[1:] == two[:-1] + 1) & pair[1:] & pair[:-1] & ~(old[1:] & old[:-1])]
-    yield from rows([t[at], t[at + 1], t[at + 2]], np.zeros(len(t), np.uint64), np.ones(len(at), bool))
+    yield from rows(t[at], t[at + 1], t[at + 2])
 
 
 def counted(texts: DataFrame, now: list, before: list | None, longest: int = MAX_WORDS) -> DataFrame:
-    """Sums ``(lang, k, phrase, n, h, known)`` of one pass; proposals are broadcast bitmaps."""
+    """Sums ``(lang, phrase, n)`` of one pass; proposals are broadcast bitmaps."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = [Bitmap(b and b.value) for b in now], before and [Bitmap(b and b.value) for b in before]
-
-        def chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
+        new, old = _bitmaps(now), before and _bitmaps(before)
+        for table in chunks(batches):
             for lang in table["lang"].unique().to_pylist():
                 own = table.filter(pc.equal(table["lang"], lang))["text"].combine_chunks()
                 yield from chunk_counts(lang, own if isinstance(own, pa.Array) else own.chunk(0), new, old, longest)
-        held, size = [], 0
+    return texts.mapInArrow(work, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.Table]:
+    """Whole texts in tables of about ``CHUNK`` bytes, however large the batches are."""
+    held, filled, size = [], 0, size or CHUNK
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b["text"]).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + size - filled, "right")))
+            held.append(b.slice(at, to - at))
+            filled += int(ends[to - 1] - done)
+            at = to
+            if at < b.num_rows or filled >= size:
+                yield pa.Table.from_batches(held)
+                held, filled = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bitmaps(sent: list) -> list[Bitmap]:
+    return [Bitmap(b and b.value) for b in sent]
+
+
+_MARKED = T.StructType([*_COUNTS, T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("known", T.BooleanType())])
+
+
+def marked(found: DataFrame, now: list) -> DataFrame:
+    """Phrases with their number of words ``k``, hash ``h`` and whether they are
+    proposed (``known``); these two for words and pairs only."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = _bitmaps(now)
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= CHUNK:
-                yield from chunk(held)
-                held, size = [], 0
-        if held:
-            yield from chunk(held)
-    found = texts.mapInArrow(work, _COUNTS)
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.first("known").alias("known"))
+            parts = [p.split(b" ") for p in b["phrase"].to_pylist()]
+            h = np.zeros((b.num_rows, 2), np.uint64)
+            for i, (lang, words) in enumerate(zip(b["lang"].to_pylist(), parts)):
+                if len(words) < 3:
+                    h[i, : len(words)] = word_hashes(lang, words)
+            k = np.array([len(p) for p in parts], np.int32)
+            h = np.where(k == 1, h[:, 0], mixed(h[:, 0], h[:, 1]))
+            known = np.where(k == 1, maps[0].has(h), (k > 2) | maps[1].has(h))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(h.view(np.int64)), pa.array(known)], names=_MARKED.names)
+    return found.mapInArrow(work, _MARKED)
 
 
 def bitmap(hashes: DataFrame, bits: int, base=None):
@@ -198,24 +231,22 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     drawn = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(10_000)) < int(sample * 10_000))
-    drawn = write_shared(counted(drawn, [None, None], None, 2).where(F.col("n") >= sample_min), "proposals")
-    new, now, before = [drawn.where(F.col("k") == k) for k in (1, 2)], [None, None], None
-    sizes = []
+    everything = [None, None]
+    drawn = write_shared(marked(counted(drawn, everything, None, 2).where(F.col("n") >= sample_min), everything), "proposals")
+    new, now, passes, sizes = [drawn.where(F.col("k") == k) for k in (1, 2)], everything, [], []
     for hashes in new:
         n, bits = hashes.count(), MIN_BITS
         while bits < min(8 * n, max_bits):
             bits *= 2
         sizes.append(bits)
-    frequent, words, passes = [], None, []
+    frequent, words = [], None
     while True:
         before, now = (now if passes else None), [bitmap(h, bits, base) for h, bits, base in zip(new, sizes, now)]
         found = counted(texts, now, before)
         if words is None:  # the first pass counts all words
-            found = write_shared(found.where((F.col("k") == 1) | (F.col("n") >= min_count)), "counts")
-            words = write_shared(found.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-            found = found.where(F.col("n") >= min_count)
-        else:
-            found = write_shared(found.where(F.col("n") >= min_count), "counts")
+            found = write_shared(found.where((F.col("n") >= min_count) | (F.locate(" ", F.col("phrase").cast("string")) == 0)), "counts")
+            words = write_shared(found.where(F.locate(" ", F.col("phrase").cast("string")) == 0).groupBy("lang").agg(F.sum("n").alias("n")), "words")
+        found = write_shared(marked(found.where(F.col("n") >= min_count), now), "counts")
         frequent.append(found)
         new = [found.where((F.col("k") == k) & ~F.col("known")) for k in (1, 2)]
         passes.append({k: f.count() for k, f in zip((1, 2), new)})

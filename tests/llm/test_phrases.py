@@ -63,7 +63,7 @@ def test_full_bitmaps_count_everything_once(spark):
     full = [phrases.Bitmap(np.full(4096, 255, np.uint8))] * 2
     count = {}
     for b in phrases.chunk_counts("en", t, full, None):
-        count.update({(r["k"], r["phrase"]): r["n"] for r in b.to_pylist()})
+        count.update({(len(r["phrase"].split()), r["phrase"]): r["n"] for r in b.to_pylist()})
     assert count == {(1, b"a"): 3, (1, b"b"): 3, (1, b"c"): 3, (2, b"a b"): 3, (2, b"b c"): 2, (2, b"c a"): 2, (3, b"a b c"): 2,
                      (3, b"b c a"): 1, (3, b"c a b"): 2}
     assert list(phrases.chunk_counts("en", t, full, full)) == [] or all(b.num_rows == 0 for b in phrases.chunk_counts("en", t, full, full))
@@ -73,7 +73,11 @@ def test_chunks_and_wide_numbers(spark, monkeypatch):
     """Counts do not depend on how texts are cut into chunks."""
     data = texts()
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(1)
-    monkeypatch.setattr(phrases, "CHUNK", 1)
+    monkeypatch.setattr(phrases, "CHUNK", 100)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": [b"x" * (i * 7 % 130) for i in range(50)]})
+    cut = list(phrases.chunks(iter([batch, batch]), 100))
+    assert pa.concat_tables(cut).to_batches() and pa.concat_tables(cut)["text"].to_pylist() == batch["text"].to_pylist() * 2
+    assert all(t.num_rows == 1 or t["text"].nbytes < 1000 for t in cut) and len(cut) > 50
     assert sorted(map(tuple, phrases.collocations(docs, min_count=3).collect())) == brute([(v, t) for _, t, v in data], 3)
 
 
