@@ -55,6 +55,8 @@ BUCKETS, WIDTH, SIZES = 8192, 16, (1, 2, 3, 4)
 #: labelled texts that the fit takes at most, of all languages together
 MAX_LABELLED = 4000
 MAX_LANGUAGES = 500
+#: parts of a language in which its lowest hashes are found first
+SALTS = 64
 #: descent
 EPOCHS, BATCH, RATE, MOMENTUM, SEED = 25, 32, 4.0, 0.9, 17
 #: share of right predictions that accepted rows have on the calibration rows
@@ -196,8 +198,10 @@ def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
         raise ValueError(f"{n} different labels: more than {MAX_LANGUAGES} are no languages")
     if not n:
         return rows.select("lang", "h", "text").limit(0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = one.withColumn("rank", rank).where(F.col("rank") <= max(1, max_labelled // n)).drop("rank")
+    # lowest hashes of every part of a language first, so that a large one is no task's alone
+    for by in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        one = one.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("rank") <= max(1, max_labelled // n))
+    picked = one.drop("rank")
     # at most max_labelled ids and hashes
     return (rows.join(F.broadcast(picked), ["lang", "h", "id"]).groupBy("lang", "h").agg(F.first("text").alias("text")))
 
