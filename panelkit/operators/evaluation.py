@@ -92,30 +92,44 @@ def weighted_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
 PREFIX_RANGES = 256
 
 
+def quantile_ranges(df: DataFrame, col: str, out: str, ranges: int) -> DataFrame:
+    """Adds the number of the range of ``col`` (a double) among ``ranges`` cut at
+    its quantiles: fewer numbers than ranges, fetched once and searched in halves.
+    NaN and then missing values have ranges of their own, the last ones."""
+    from pyspark.ml.feature import Bucketizer
+    qs = [i / ranges for i in range(1, ranges)]
+    found = (df.agg(F.percentile_approx(col, qs, 100 * ranges)).first()[0] or []) if qs else []
+    bounds = sorted({b for b in found if abs(b) < float("inf")})
+    if bounds:
+        splits = [-float("inf"), *bounds, float("inf")]
+        df = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    else:
+        df = df.withColumn(out, F.when(F.isnan(col), 1.0).when(F.col(col).isNotNull(), 0.0))
+    return df.withColumn(out, F.coalesce(out, F.lit(float(ranges + 1))))
+
+
 def ordered_prefix_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False,
                         keys: Sequence[str] = (), ranges: int = PREFIX_RANGES) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order`` (within each
     ``keys`` group; one row per distinct (keys, order) value expected),
     computed range-parallel. The rows are written once, cut into ``ranges``
-    ranges at quantiles of ``order`` (fewer than 256 numbers, fetched once and
-    searched in halves by ``Bucketizer``), summed per (keys, range) in
+    ranges at quantiles of ``order``, summed per (keys, range) in
     parallel, and shifted by range offsets from a table with one row per
-    (keys, range). A key holding most rows is thus spread over all ranges."""
-    from pyspark.ml.feature import Bucketizer
+    (keys, range). A key holding most rows is thus spread over all ranges.
+    Rows without an order value come last and are neighbours of each other, and
+    a missing key is a key like any other: no row is lost."""
     keys = list(keys)
     key = (-F.col(order) if descending else F.col(order)).cast("double")
-    r = cut_lineage(df.withColumn("__k", key))
-    qs = [i / ranges for i in range(1, ranges)]
-    bounds = r.agg(F.percentile_approx("__k", qs, 100 * ranges)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
-    r = Bucketizer(splits=splits, inputCol="__k", outputCol="__b").transform(r)
+    r = quantile_ranges(cut_lineage(df.withColumn("__k", key)), "__k", "__b", ranges)
     w = Window.partitionBy(*keys, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = r.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"t_{v}") for v in values])
     wo = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ ranges rows per key
     off = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"t_{v}").over(wo), F.lit(0)).alias(f"o_{v}") for v in values])
-    out = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(off if keys else F.broadcast(off), [*keys, "__b"])
+    off = off.withColumnsRenamed({k: f"__o_{k}" for k in [*keys, "__b"]})
+    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys] + [F.col("__b") == F.col("__o___b")]
+    out = r.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(off if keys else F.broadcast(off), same)
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"o_{v}") for v in values}).drop(
-        "__b", "__k", *[f"o_{v}" for v in values])
+        "__b", "__k", "__o___b", *[f"__o_{k}" for k in keys], *[f"o_{v}" for v in values])
 
 
 def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -138,19 +152,19 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
                     F.try_divide(F.col("cum_neg").cast("double"), F.col("__pn.N").cast("double")).alias("fpr"))
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = (), ranges: int = PREFIX_RANGES) -> DataFrame:
     """ROC AUC with tie-averaged ranks (Mann–Whitney):
     Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N)."""
     if keys:
         g = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(
             F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-        c = ordered_prefix_sums(g, "score", ["neg"], keys=keys)
+        c = ordered_prefix_sums(g, "score", ["neg"], keys=keys, ranges=ranges)
         below = F.col("cum_neg") - F.col("neg")
         return c.groupBy(*keys).agg(F.try_divide(
             F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),
             F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
     g = score_groups(df, label, score)
-    c = ordered_prefix_sums(g, "score", ["neg"])
+    c = ordered_prefix_sums(g, "score", ["neg"], ranges=ranges)
     below = F.col("cum_neg") - F.col("neg")
     # undefined (NULL) when one class is absent
     return c.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0))),

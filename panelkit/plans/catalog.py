@@ -916,6 +916,21 @@ def q_quiz_sessions(spark, sf):
     return _quiz(spark, sf)
 
 
+@register("quiz_sessions_gaps", QUIZ_SQL.replace("FROM events WHERE", """FROM (
+  SELECT event_id, event_type, CASE WHEN event_id % 41 <> 0 THEN user_id END AS user_id,
+         CASE WHEN event_id % 17 <> 0 THEN ts END AS ts FROM events) WHERE""").replace("ORDER BY ts, event_id", "ORDER BY ts NULLS LAST, event_id")
+          + "SELECT user_id, session, answers, \"right\", points FROM q")
+def q_quiz_sessions_gaps(spark, sf):
+    """answers without a time are their entity's last, answers without an
+    entity are one entity's: none is lost. Gaps are put into the input here."""
+    from panelkit.plans.progress import quiz_sessions
+    from panelkit.sources.readers import read_table
+    ev = read_table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "error")).withColumns({
+        "user_id": F.when(F.col("event_id") % 41 != 0, F.col("user_id")), "ts": F.when(F.col("event_id") % 17 != 0, F.col("ts"))})
+    s = quiz_sessions(ev, "user_id", "ts", "event_id", F.col("event_type") == "purchase")
+    return s.select("user_id", "session", "answers", "right", "points")
+
+
 @register("quiz_summary", QUIZ_SQL + """
 SELECT count(*) AS sessions, CAST(count_if(complete) AS BIGINT) AS complete,
        CAST(count_if(complete AND "right" >= 8) AS BIGINT) AS complete_8, CAST(sum(points) AS BIGINT) AS points FROM q""")

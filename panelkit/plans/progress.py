@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelkit import config as C
 from panelkit.functions.core import col_
+from panelkit.operators.evaluation import quantile_ranges
 from panelkit.operators.rules import reasons
 
 __all__ = ["event_ordinal", "quiz_sessions", "quiz_band", "weakest_subject", "badges", "xp_level", "progress_report",
@@ -23,26 +24,24 @@ BADGES = ["first_login", "inde_7", "inde_8", "nota_mat_8", "nota_port_8", "strea
 EVENT_RANGES = 256
 
 
-def event_ordinal(events: DataFrame, entity: str, ts: str, tiebreak: str) -> DataFrame:
+def event_ordinal(events: DataFrame, entity: str, ts: str, tiebreak: str, ranges: int = EVENT_RANGES) -> DataFrame:
     """0-based position of each event in (ts, tiebreak) order per entity,
     without a window over all events of an entity or of one of its days: the
-    events' times are cut at ``EVENT_RANGES`` quantiles (numbers, fetched
+    events' times are cut at ``ranges`` quantiles (numbers, fetched
     once), events are numbered inside (entity, range), and offsets come from a
     window over one row per range. An entity with most of the events, also
-    within one day, is spread over the ranges its events fall in."""
-    from pyspark.ml.feature import Bucketizer
-    e = events.withColumn("__t", F.col(ts).cast("timestamp").cast("double"))
-    qs = [i / EVENT_RANGES for i in range(1, EVENT_RANGES)]
-    bounds = e.agg(F.percentile_approx("__t", qs, 100 * EVENT_RANGES)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
-    e = Bucketizer(splits=splits, inputCol="__t", outputCol="__r").transform(e)
+    within one day, is spread over the ranges its events fall in. Events without
+    a time come last, in tiebreak order; a missing entity is an entity of its own.
+    Results do not depend on ``ranges``: raise it with the events of the largest entity."""
+    e = quantile_ranges(events.withColumn("__t", F.col(ts).cast("timestamp").cast("double")), "__t", "__r", ranges)
     parts = e.groupBy(entity, "__r").agg(F.count(F.lit(1)).alias("__c"))
     wd = Window.partitionBy(entity).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__off", F.coalesce(F.sum("__c").over(wd), F.lit(0))).drop("__c")
     wi = Window.partitionBy(entity, "__r").orderBy(ts, tiebreak)
-    return (e.join(parts, [entity, "__r"])
+    parts = parts.withColumnsRenamed({entity: "__e", "__r": "__pr"})
+    return (e.join(parts, F.col(entity).eqNullSafe(F.col("__e")) & (F.col("__r") == F.col("__pr")))
             .withColumn("ordinal", F.col("__off") + F.row_number().over(wi) - 1)
-            .drop("__r", "__t", "__off"))
+            .drop("__r", "__t", "__off", "__e", "__pr"))
 
 
 def quiz_band(right: Column) -> Column:

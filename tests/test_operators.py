@@ -54,7 +54,7 @@ def test_topk_ties_keep_first_rows(spark):
 
 def test_auc_with_ties_is_five_sixths(spark):
     df = spark.createDataFrame([(0.5, 0), (0.5, 1), (0.9, 1), (0.1, 0), (0.5, 1)], "score double, label int")
-    assert abs(E.auc(df, buckets=2).first()["auc"] - 5 / 6) < 1e-12
+    assert abs(E.auc(df, ranges=2).first()["auc"] - 5 / 6) < 1e-12
 
 
 def test_auc_matches_brute_force_and_is_rank_invariant(spark):
@@ -64,17 +64,17 @@ def test_auc_matches_brute_force_and_is_rank_invariant(spark):
     pos = [s for s, y in data if y == 1]
     neg = [s for s, y in data if y == 0]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    got = E.auc(df, buckets=7).first()["auc"]
+    got = E.auc(df, ranges=7).first()["auc"]
     assert abs(got - brute) < 1e-12
     mono = df.withColumn("score", F.col("score") * 3 + 1)
-    assert abs(E.auc(mono, buckets=5).first()["auc"] - got) < 1e-12
+    assert abs(E.auc(mono, ranges=5).first()["auc"] - got) < 1e-12
 
 
 def test_prefix_sums_match_running_total(spark):
     rnd = random.Random(3)
     data = [(float(i), rnd.randint(0, 5)) for i in range(300)]
     df = spark.createDataFrame(data, "k double, v long")
-    out = {r["k"]: r["cum_v"] for r in E.ordered_prefix_sums(df, "k", ["v"], buckets=9).collect()}
+    out = {r["k"]: r["cum_v"] for r in E.ordered_prefix_sums(df, "k", ["v"], ranges=9).collect()}
     run = 0
     for k, v in data:
         run += v
@@ -148,7 +148,7 @@ def test_keyed_auc_with_hot_key_matches_brute_force(spark):
     rnd = random.Random(11)
     data = [("hot" if i % 10 else f"k{i % 3}", round(rnd.random(), 2), rnd.randint(0, 1)) for i in range(600)]
     df = spark.createDataFrame(data, "g string, score double, label int")
-    got = {r["g"]: r["auc"] for r in E.auc(df, keys=["g"], buckets=6).collect()}
+    got = {r["g"]: r["auc"] for r in E.auc(df, keys=["g"], ranges=6).collect()}
     for g in got:
         pos = [s for k, s, y in data if k == g and y == 1]
         neg = [s for k, s, y in data if k == g and y == 0]
@@ -191,3 +191,23 @@ def test_approximate_quantiles_are_near_the_exact_ones(spark):
             want = (y, b, c)
     assert all(abs(want[0][k] - y[k]) < 3 for k in y) and abs(want[2] - c) < 3
     assert all(abs(want[1][k][i] - b[k][i]) < 3 for k in b for i in range(3))
+
+
+def test_prefix_sums_keep_rows_without_order_or_key(spark):
+    df = spark.createDataFrame([("a", 2.0, 1), ("a", None, 10), (None, 1.0, 5), (None, 3.0, 7), ("a", 1.0, 2)], "g string, k double, v long")
+    out = {(r["g"], r["k"]): r["cum_v"] for r in E.ordered_prefix_sums(df, "k", ["v"], keys=["g"], ranges=2).collect()}
+    assert out == {("a", 1.0): 2, ("a", 2.0): 3, ("a", None): 13, (None, 1.0): 5, (None, 3.0): 12}
+
+
+def test_event_ordinal_keeps_events_without_time_or_entity(spark):
+    """An answer without a time is the entity's last; a missing entity is one entity."""
+    import datetime as dt
+    from panelkit.plans.progress import event_ordinal, quiz_sessions
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    ev = spark.createDataFrame([(1, 7, t(3)), (2, 7, None), (3, 7, t(1)), (4, None, t(2)), (5, None, None), (6, 7, None)],
+                               "event_id long, user_id long, ts timestamp")
+    for ranges in (1, 2, 256):
+        got = {r["event_id"]: r["ordinal"] for r in event_ordinal(ev, "user_id", "ts", "event_id", ranges=ranges).collect()}
+        assert got == {3: 0, 1: 1, 2: 2, 6: 3, 4: 0, 5: 1}
+    s = quiz_sessions(ev.withColumn("ok", F.lit(True)), correct="ok").collect()
+    assert sorted((r["user_id"] or 0, r["answers"]) for r in s) == [(0, 2), (7, 4)]
