@@ -1283,6 +1283,8 @@ def q_features_tier(spark, sf):
 
 # ------------------------------------------------- model fits (whole-table scores) --
 _SCORED: dict = {}
+#: the fitted pipelines that score raw rows
+_ARTEFACTS: dict = {}
 _SCORE_LOCKS = {n: __import__("threading").Lock() for n in ("lag_risk", "tier", "turning_point", "attrition")}
 
 
@@ -1305,11 +1307,14 @@ def _score(spark, sf, which):
     from panelkit.plans import features as FT
     from panelkit.plans import models as M
     from panelkit.session import cut_lineage
-    p, keys, spec = px(spark, sf), ["entity_id", "yr"], M.MODEL_SPECS[which]
+    from panelkit.plans.artefact import artefact
+    p, keys, spec, fitted = px(spark, sf), ["entity_id", "yr"], M.MODEL_SPECS[which], []
+    kept = (spark.sparkContext.applicationId, sf.rstrip("/"), which)
     if which == "tier":
         s = cut_lineage(stratified_split(FT.tier_features(p, coded=False), "tier", keys, 0.2))
-        tr, te = M.prepare_parts(s.filter("is_test = 0"), s.filter("is_test = 1"), codes=True)
+        tr, te = M.prepare_parts(s.filter("is_test = 0"), s.filter("is_test = 1"), codes=True, fitted=fitted)
         m = M.fit(cut_lineage(M.spread(cut_lineage(tr), keys)), FT.TIER_FEATURES, spec, label="label_idx", string_label="tier")
+        _ARTEFACTS[kept] = artefact(which, fitted, m)
         out = M.score_multiclass(m, tr.unionByName(te))
         return out.select("entity_id", "yr", "tier", "is_test", "pred_label", F.round("confidence", 6).alias("confidence"))
     feats, data, band, fill, codes = {
@@ -1318,13 +1323,14 @@ def _score(spark, sf, which):
         "attrition": lambda: (FT.ATTRITION_FEATURES, FT.attrition_features(p, *_spans(spark, sf), fill=False), "attrition",
                               FT.ATTRITION_FILL, False),
     }[which]()
-    train, test = M.prepare_split(data, keys, fill_cols=fill, codes=codes)
+    train, test = M.prepare_split(data, keys, fill_cols=fill, codes=codes, fitted=fitted)
     if "threshold" in spec:
         m, threshold = M.fit(train, feats, spec), spec["threshold"]
     else:
         fits = M.fit_folds_and_final(train, feats, {which: spec})[which]
         m = fits["final"]
         threshold = best_threshold(threshold_f1(fits["oof"], threshold_grid(spec["min_thresh"], 0.80))).first()["threshold"]
+    _ARTEFACTS[kept] = artefact(which, fitted, m, float(threshold), band)
     out = M.score_binary(m, train.unionByName(test, allowMissingColumns=True), float(threshold), band)
     return out.select("entity_id", "yr", "label", "is_test", F.round("score", 6).alias("score"), "pred",
                       F.lit(float(threshold)).alias("threshold"), *(["band"] if band else []))
@@ -1369,6 +1375,72 @@ def q_score_checks(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@register("artefact_rescore", with_panel(f"""
+SELECT 'lag_risk' AS model, count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS different, 0::BIGINT AS bad_smoke
+FROM panel_x WHERE {_BASE_ROWS} AND ipv IS NOT NULL
+UNION ALL SELECT 'turning_point', count(*), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM panel_x WHERE {_BASE_ROWS}
+UNION ALL SELECT 'attrition', count(*), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM panel_x WHERE {_BASE_ROWS}
+UNION ALL SELECT 'tier', count(*), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM panel_x WHERE {_BASE_ROWS} AND ipv IS NOT NULL"""))
+def q_artefact_rescore(spark, sf):
+    """Every model saved, loaded from its files and applied to the raw
+    panel rows: rows scored, rows of the in-memory scores that are missing or
+    differ (score, flag or label, band), and smoke rows out of range."""
+    from functools import reduce
+    from panelkit.plans.artefact import load_artefact, save_artefact, smoke_rows
+    from panelkit.operators.evaluation import one_row
+    from panelkit.session import cut_lineage, delete_at_end, ensure_checkpoint_dir
+    import uuid
+    parts = []
+    for name in ("lag_risk", "turning_point", "attrition", "tier"):
+        memory = scored(spark, sf, name)
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artefacts/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+        delete_at_end(spark, path)
+        save_artefact(_ARTEFACTS[(spark.sparkContext.applicationId, sf.rstrip("/"), name)], path)
+        loaded = load_artefact(path)
+        raw = cut_lineage(loaded.transform(px(spark, sf).drop("label")))
+        cols = {"score": F.round("score", 6), "pred": F.col("pred")} if name != "tier" else {
+            "pred_label": F.col("pred_label"), "confidence": F.round("confidence", 6)}
+        cols |= {"band": F.col("band")} if name in ("lag_risk", "attrition") else {}
+        got = raw.select("entity_id", "yr", *[v.alias(f"raw_{c}") for c, v in cols.items()], F.lit(1).alias("hit"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"raw_{c}")) for c in cols])
+        diff = memory.join(got, ["entity_id", "yr"], "left").agg(
+            F.count_if(F.col("hit").isNull()).alias("missing"), F.count_if(F.col("hit").isNotNull() & ~same).alias("different"))
+        value = "confidence" if name == "tier" else "score"
+        smoke = loaded.transform(smoke_rows(spark)).agg(F.count_if(~F.col(value).between(0, 1) | F.col(value).isNull()).alias("bad_smoke"))
+        parts.append(one_row([raw.agg(F.count(F.lit(1)).alias("n")), diff, smoke]).select(F.lit(name).alias("model"), "n", "missing", "different", "bad_smoke"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("ensemble_layouts", with_panel(f"""
+SELECT k AS learner, count(*) AS n, 0::BIGINT AS different, 0::BIGINT AS bad_sums
+FROM panel_x, (VALUES ('forest'), ('boosting')) v(k) WHERE {_BASE_ROWS} AND ipv IS NOT NULL AND tier IS NOT NULL GROUP BY 1"""))
+def q_ensemble_layouts(spark, sf):
+    """ML6/ML8: a forest and a multinomial boosting fitted on two layouts of the
+    same rows, once in one task and once level by level over all partitions: rows
+    scored differently, and rows whose probabilities do not add up to 1."""
+    from functools import reduce
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from panelkit.plans import features as FT
+    from panelkit.plans.histtrees import fit_boosting, fit_forest
+    from panelkit.session import cut_lineage
+    data = FT.tier_features(px(spark, sf))
+    data = cut_lineage(StringIndexer(inputCol="tier", outputCol="y", stringOrderType="alphabetAsc").fit(data).transform(data))
+    rows = VectorAssembler(inputCols=FT.TIER_FEATURES, outputCol="features", handleInvalid="keep").transform(data)
+    common = {"key": ["entity_id", "yr"]}
+    fits = {"forest": lambda d, n: fit_forest(d, FT.TIER_FEATURES, "y", 4, trees=12, depth=5, min_leaf=3, one_task_rows=n, **common)[0],
+            "boosting": lambda d, n: fit_boosting(d, FT.TIER_FEATURES, "y", 4, rounds=4, depth=3, rate=0.1, subsample=0.8, one_task_rows=n, **common)[0]}
+    parts = []
+    for name, f in fits.items():
+        a, b = f(data, 1 << 62), f(data.repartition(7, "yr", "FASE"), 0)
+        two = b.transform(a.transform(rows).withColumnsRenamed({"probability": "p", "prediction": "c"}))
+        p, q = vector_to_array("p"), vector_to_array("probability")
+        total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+        parts.append(two.agg(F.count(F.lit(1)).alias("n"), F.count_if(~p.eqNullSafe(q)).alias("different"),
+                             F.count_if(F.abs(total - 1) > 1e-9).alias("bad_sums")).select(F.lit(name).alias("learner"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("score_bands", None)
 def q_score_bands(spark, sf):
     """ML14: rows and share per attrition band over the whole table."""

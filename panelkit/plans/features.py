@@ -81,13 +81,13 @@ def _without_code(features: list[str]) -> list[str]:
     return [f for f in features if f != "INSTITUICAO_COD"]
 
 
-def tier_features(p: DataFrame, codes: DataFrame | None = None, coded: bool = True) -> DataFrame:
+def tier_features(p: DataFrame, codes: DataFrame | None = None, coded: bool = True, labelled: bool = True) -> DataFrame:
     """ML2: 13 features (no index, no IAN) + tier label text. ``coded=False``
     leaves ``institution`` for a caller that fits the codes on its training
-    part (D23)."""
+    part (D23); ``labelled=False`` keeps rows without a tier, to be scored."""
     b = _common(_base(p)).withColumn("MEDIA_INDICADORES", row_mean_skipna(["IAA", "IEG", "IPS", "IDA", "IPV"]))
     raw = _without_code(TIER_FEATURES)
-    b = b.select("entity_id", "yr", "institution", *raw, F.col("PEDRA").alias("tier")).dropna(subset=raw + ["tier"])
+    b = b.select("entity_id", "yr", "institution", *raw, F.col("PEDRA").alias("tier")).dropna(subset=raw + ["tier"] * labelled)
     if not coded:
         return b
     b = add_institution_codes(b, codes if codes is not None else institution_codes(p))
@@ -121,14 +121,15 @@ def turning_point_features(p: DataFrame, codes: DataFrame | None = None, fit_on:
 ATTRITION_FILL = ["IPV", "IAN", "FASE", "ANOS_PM", "PEDRA_NUM", "MEDIA_INDICADORES"]
 
 
-def attrition_features(p: DataFrame, first_year, last_year, fill: bool = True) -> DataFrame:
+def attrition_features(p: DataFrame, first_year, last_year, fill: bool = True, labelled: bool = True) -> DataFrame:
     """ML4: transitions year → year+1 (J3), 10 features, label = left;
-    complete on the four core indicators, the rest median-filled."""
-    t = transitions(p, "entity_id", "yr", first_year, last_year)
+    complete on the four core indicators, the rest median-filled.
+    ``labelled=False`` takes every row as it is, with a NULL label, to be scored."""
+    t = transitions(p, "entity_id", "yr", first_year, last_year) if labelled else p.withColumn("left", F.lit(None).cast("int"))
     b = _base(t, extra=["left"])
     b = b.withColumn("MEDIA_INDICADORES", row_mean_skipna(["IAA", "IEG", "IPS", "IDA", "IPV", "IAN"]))
     b = b.select("entity_id", "yr", *ATTRITION_FEATURES, F.col("left").alias("label"))
-    b = b.dropna(subset=["IAA", "IEG", "IPS", "IDA", "label"])
+    b = b.dropna(subset=["IAA", "IEG", "IPS", "IDA"] + ["label"] * labelled)
     return median_fill(b, ATTRITION_FILL) if fill else b
 
 

@@ -37,14 +37,14 @@ __all__ = ["run_concurrently", "spread", "prepare_split", "fit_folds_and_final",
 
 # fixed values: model settings of the four models; only the weighted ones balance the classes
 MODEL_SPECS = {
-    "lag_risk": {"kind": "rf", "numTrees": 300, "maxDepth": 4, "minInstancesPerNode": 5, "min_thresh": 0.45, "weighted": True},
-    "tier": {"kind": "rf", "numTrees": 300, "maxDepth": 6, "minInstancesPerNode": 3},
-    "tier_gbt": {"kind": "gbt_ovr", "maxIter": 300, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8},
+    "lag_risk": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 4, "minInstancesPerNode": 5, "min_thresh": 0.45, "weighted": True},
+    "tier": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 6, "minInstancesPerNode": 3},
+    "tier_gbt": {"kind": "hist_gb", "maxIter": 300, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8},
     "turning_point": {"kind": "gbt", "maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,
                       "threshold": 0.5},
-    "turning_point_rf": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5,
+    "turning_point_rf": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5,
                          "weighted": True},
-    "attrition": {"kind": "rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5, "weighted": True},
+    "attrition": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5, "weighted": True},
 }
 
 #: partitions of a model's input. Tree learners draw their samples per partition,
@@ -77,7 +77,7 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
 
 def _classifier(spec: dict, label: str, weight: str | None, seed: int):
     kind = spec["kind"]
-    weight = weight if spec.get("weighted") else None
+    weight = weight_column(spec, weight)
     if kind == "rf":
         clf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=spec["numTrees"],
                                      maxDepth=spec["maxDepth"], minInstancesPerNode=spec["minInstancesPerNode"],
@@ -116,9 +116,60 @@ def build_pipeline(features: Sequence[str], spec: dict, label: str = "label", we
 
 
 def fit(train: DataFrame, features, spec, **kw) -> PipelineModel:
+    if spec["kind"].startswith("hist"):
+        return fit_histogram(train, features, spec, [None], **kw)[0]
     return build_pipeline(features, spec, **kw).fit(train)
 
 
+def weight_column(spec: dict, weight: str | None) -> str | None:
+    """Only the models with balanced classes are fitted with weights."""
+    return weight if spec.get("weighted") else None
+
+
+def fit_histogram(train: DataFrame, features: Sequence[str], spec: dict, fits: Sequence[int | None], label: str = "label",
+                  weight: str | None = "weight", seed: int = C.SEED, string_label: str | None = None, fold: str | None = None,
+                  keys: Sequence[str] | None = None) -> list[PipelineModel]:
+    """Forests (``hist_rf``) and multinomial boosting (``hist_gb``) whose trees depend
+    on the rows alone. All ``fits`` (None: every row, k: without fold k) grow together."""
+    from panelkit.plans.histtrees import fit_boosting, fit_forest
+    keys = list(keys or [k for k in ("entity_id", "yr") if k in train.columns] or features)
+    stages, classes = [], 2
+    if string_label:
+        stages.append(StringIndexer(inputCol=string_label, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train))
+        train, label, classes = stages[0].transform(train), "label_idx", len(stages[0].labels)
+    weight = weight_column(spec, weight)
+    common = {"key": keys, "seed": seed, "fold": fold, "fits": fits}
+    if spec["kind"] == "hist_rf":
+        models = fit_forest(train, features, label, classes, trees=spec["numTrees"], depth=spec["maxDepth"], min_leaf=spec["minInstancesPerNode"],
+                            weight=weight if weight in train.columns else None, **common)
+    else:
+        models = fit_boosting(train, features, label, classes, rounds=spec["maxIter"], depth=spec["maxDepth"], rate=spec["stepSize"],
+                              subsample=spec["subsamplingRate"], **common)
+    return [PipelineModel([*stages, VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), m]) for m in models]
+
+
+def _fit_all(train: DataFrame, features, specs: dict, k: int, fold: str, **kw) -> dict:
+    """Tasks for :func:`run_concurrently`: a candidate's final fit and its fold fits;
+    histogram learners grow all of them in the same jobs."""
+    tasks = {}
+    for c, spec in specs.items():
+        if spec["kind"].startswith("hist"):
+            tasks[c] = (lambda spec=spec: fit_histogram(train, features, spec, [None, *range(k)], fold=fold, **kw))
+            continue
+        tasks[(c, "final")] = (lambda spec=spec: fit(train, features, spec, **kw))
+        for i in range(k):
+            tasks[(c, i)] = (lambda spec=spec, i=i: fit(train.filter(F.col(fold) != i), features, spec, **kw))
+    return tasks
+
+
+def _by_fold(res: dict, k: int) -> dict:
+    """{(candidate, "final" or fold): model}."""
+    out = {}
+    for key, v in res.items():
+        out |= {key: v} if isinstance(key, tuple) else {(key, i): m for i, m in zip(["final", *range(k)], v)}
+    return out
+
+
 def score_binary(model: PipelineModel, df: DataFrame, threshold: float, band: str | None = None) -> DataFrame:
     """ML12/ML14: probability of class 1, flag at the threshold, band text."""
     out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
@@ -176,12 +227,7 @@ def fit_folds_and_final(train: DataFrame, features, specs: dict, k: int = C.N_FO
     them depends on another's result, so they are submitted together and
     share the executors. Returns {candidate: {"final": model, "oof": scores}}
     with the out-of-fold scores checkpointed."""
-    tasks = {}
-    for c, spec in specs.items():
-        tasks[(c, "final")] = (lambda spec=spec: fit(train, features, spec, label=label, **kw))
-        for i in range(k):
-            tasks[(c, i)] = (lambda spec=spec, i=i: fit(train.filter(F.col(fold) != i), features, spec, label=label, **kw))
-    res = run_concurrently(tasks, parallelism)
+    res = _by_fold(run_concurrently(_fit_all(train, features, specs, k, fold, label=label, **kw), parallelism), k)
     out = {}
     for c in specs:
         parts = [res[(c, i)].transform(train.filter(F.col(fold) == i)).select(
@@ -201,27 +247,31 @@ def cv_metric(oof: DataFrame, metric: str = "auc", threshold: float = 0.5, label
 
 
 def prepare_split(data: DataFrame, keys: Sequence[str], seed: int = C.SEED, label: str = "label",
-                  fill_cols: Sequence[str] = (), codes: bool = False):
+                  fill_cols: Sequence[str] = (), codes: bool = False, fitted: list | None = None):
     """Stratified 80/20 split first; then, fitted on the training part only
     (D23) and applied to both parts: institution codes (``codes``), medians of
     ``fill_cols`` and class weights; stratified folds on the training part.
-    Each step is checkpointed: returns (train with ``fold`` and ``weight``, test)."""
+    Each step is checkpointed: returns (train with ``fold`` and ``weight``, test);
+    the fitted steps are added to ``fitted``."""
     split = cut_lineage(stratified_split(data, label, keys, C.TEST_FRACTION, seed))
-    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), fill_cols, codes)
+    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), fill_cols, codes, fitted)
     train = class_weights(cut_lineage(tr), label)
     train = cut_lineage(spread(stratified_folds(train, label, keys, C.N_FOLDS, seed), keys))
     return train, cut_lineage(te)
 
 
-def prepare_parts(tr: DataFrame, te: DataFrame, fill_cols: Sequence[str] = (), codes: bool = False):
-    """Codes and medians of the training part, applied to both."""
-    from panelkit.operators.clean import median_fill
-    from panelkit.plans.features import add_institution_codes, institution_codes
+def prepare_parts(tr: DataFrame, te: DataFrame, fill_cols: Sequence[str] = (), codes: bool = False, fitted: list | None = None):
+    """Codes and medians of the training part, applied to both; the fitted steps
+    are added to ``fitted``, to be saved with the model."""
+    from panelkit.plans.artefact import FirstSeenCodes, MedianFill
+    from panelkit.plans.features import with_row_id
+    fitted = fitted if fitted is not None else []
     if codes:
-        fitted = cut_lineage(institution_codes(tr))
-        tr, te = add_institution_codes(tr, fitted), add_institution_codes(te, fitted)
+        fitted.append(FirstSeenCodes().fit(with_row_id(tr)))
+        tr, te = fitted[-1].transform(tr), fitted[-1].transform(te)
     if fill_cols:
-        tr, te = median_fill(tr, fill_cols, fit_on=tr), median_fill(te, fill_cols, fit_on=tr)
+        fitted.append(MedianFill(inputCols=list(fill_cols)).fit(tr))
+        tr, te = fitted[-1].transform(tr), fitted[-1].transform(te)
     return tr, te
 
 
@@ -263,16 +313,12 @@ def train_multiclass(data: DataFrame, features: Sequence[str], specs: dict, keys
     weighted one-vs-rest AUC)."""
     from panelkit.operators.evaluation import auc_ovr_weighted, weighted_f1
     split = cut_lineage(stratified_split(data, label_text, keys, C.TEST_FRACTION, seed))
-    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), codes=codes)
+    fitted: list = []
+    tr, te = prepare_parts(split.filter("is_test = 0"), split.filter("is_test = 1"), codes=codes, fitted=fitted)
     train = cut_lineage(spread(stratified_folds(cut_lineage(tr), label_text, keys, C.N_FOLDS, seed), keys))
     test = cut_lineage(te)
     kw = {"label": "label_idx", "string_label": label_text, "seed": seed}
-    tasks = {}
-    for c, spec in specs.items():
-        tasks[(c, "final")] = (lambda spec=spec: fit(train, features, spec, **kw))
-        for i in range(C.N_FOLDS):
-            tasks[(c, i)] = (lambda spec=spec, i=i: fit(train.filter(F.col("fold") != i), features, spec, **kw))
-    models = run_concurrently(tasks, parallelism)
+    models = _by_fold(run_concurrently(_fit_all(train, features, specs, C.N_FOLDS, "fold", **kw), parallelism), C.N_FOLDS)
 
     def acc(s, *by):
         return s.groupBy(*by).agg(F.avg((F.col("pred_label") == F.col(label_text)).cast("double")).alias("acc"))
@@ -296,7 +342,8 @@ def train_multiclass(data: DataFrame, features: Sequence[str], specs: dict, keys
                    auc_ovr_weighted(probs, label_text, {x: f"p{i}" for i, x in enumerate(labels)})
                    .select(F.col("auc_ovr_weighted").alias("auc_ovr")),
                    cv.filter(F.col("candidate") == best).select("cv_accuracy", "cv_accuracy_std")])
-    return {"model": model, "test_scores": s_te, "metrics": row.withColumn("candidate", F.lit(best)), "candidates": cv}
+    return {"model": model, "test_scores": s_te, "metrics": row.withColumn("candidate", F.lit(best)), "candidates": cv,
+            "fitted": fitted}
 
 
 def save_model(model: PipelineModel, path: str) -> None:

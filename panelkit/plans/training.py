@@ -15,6 +15,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.plans import artefact as AR
 from panelkit.plans import features as FT
 from panelkit.plans import models as M
 from panelkit import config as C
@@ -23,6 +24,8 @@ from panelkit.plans.panel import panel_table, year_bounds
 __all__ = ["train_all"]
 
 KEYS = ["entity_id", "yr"]
+#: risk bands of the binary models
+BANDS = {"lag_risk": "lag", "attrition": "attrition"}
 
 
 def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
@@ -40,7 +43,8 @@ def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
     else:
         data, feats, metric, fill = (FT.turning_point_features(p, fill=False, coded=False), FT.TP_FEATURES, "auc", FT.TP_FILL)
         codes = True
-    prepared = M.prepare_split(data, KEYS, fill_cols=fill, codes=codes)
+    fitted: list = []
+    prepared = M.prepare_split(data, KEYS, fill_cols=fill, codes=codes, fitted=fitted)
     cands = {name: specs[name]}
     if name == "turning_point":
         cands["turning_point_rf"] = specs["turning_point_rf"]
@@ -57,6 +61,7 @@ def _binary(p: DataFrame, name: str, specs: dict, parallelism: int) -> dict:
                        prepared=prepared, oof=fits[best]["oof"], model=fits[best]["final"])
     r["candidate"] = best
     r["features"] = feats
+    r["fitted"] = fitted
     return r
 
 
@@ -72,13 +77,15 @@ def train_all(spark: SparkSession, sf_dir: str, out_dir: str, specs: dict | None
     results = M.run_concurrently(tasks, parallelism)
     rows = {}
     for name, r in results.items():
-        M.save_model(r["model"], f"{out_dir}/models/{name}")
+        # the saved pipeline scores raw panel rows: features, codes, medians, learner, threshold, band
+        AR.save_artefact(AR.artefact(name, r["fitted"], r["model"], r.get("threshold"), BANDS.get(name)), f"{out_dir}/models/{name}")
         if hasattr(r["model"].stages[-1], "featureImportances"):
             M.feature_importance(r["model"], r["features"]).coalesce(1).write.mode("overwrite").json(
                 f"{out_dir}/importance/{name}")
         rows[name] = r["metrics"]
     metrics = M.write_metric_rows(rows, f"{out_dir}/metrics")
-    M.artefact_check(spark, list(tasks), metrics).coalesce(1).write.mode("overwrite").json(f"{out_dir}/artefacts")
+    files = AR.artefact_files(spark, f"{out_dir}/models", list(tasks))
+    M.artefact_check(spark, list(tasks), metrics).join(files.withColumnRenamed("present", "saved"), "model").coalesce(1).write.mode("overwrite").json(f"{out_dir}/artefacts")
     return metrics
 
 

@@ -34,8 +34,9 @@ def test_weights_follow_the_spec(spark):
     """Only lag risk, the turning-point forest and attrition balance their classes."""
     assert {n for n, s in M.MODEL_SPECS.items() if s.get("weighted")} == {"lag_risk", "turning_point_rf", "attrition"}
     for name, spec in M.MODEL_SPECS.items():
-        clf = M.build_pipeline(["x"], spec).getStages()[-1]
-        if spec["kind"] != "gbt_ovr":
+        assert (M.weight_column(spec, "weight") == "weight") == bool(spec.get("weighted")), name
+        if spec["kind"] in ("rf", "gbt"):
+            clf = M.build_pipeline(["x"], spec).getStages()[-1]
             assert (clf.isSet("weightCol") and clf.getWeightCol() == "weight") == bool(spec.get("weighted")), name
 
 
@@ -103,9 +104,9 @@ def test_train_all_small(spark):
     """Full training run on sf0.001 with small forests (speed only; the
     procedure is the same as with the reference settings)."""
     from panelkit.plans.training import train_all
-    small = {"lag_risk": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 5, "min_thresh": 0.45},
+    small = {"lag_risk": {"kind": "hist_rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 5, "min_thresh": 0.45},
              "tier": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 3},
-             "tier_gbt": {"kind": "gbt_ovr", "maxIter": 2, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8},
+             "tier_gbt": {"kind": "hist_gb", "maxIter": 2, "maxDepth": 2, "stepSize": 0.05, "subsamplingRate": 0.8},
              "turning_point": {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "stepSize": 0.1, "subsamplingRate": 0.8,
                                "threshold": 0.5},
              "turning_point_rf": {"kind": "rf", "numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 4},
@@ -119,5 +120,14 @@ def test_train_all_small(spark):
     assert rows["tier"]["candidate"] in ("tier", "tier_gbt")
     art = spark.read.json(out + "/artefacts").collect()
     assert all(r["present"] for r in art)
-    loaded = M.load_model(out + "/models/attrition")
-    assert loaded is not None
+    assert all(r["saved"] and r["scores_raw"] for r in art)
+    from panelkit.plans.artefact import load_artefact, smoke_rows
+    for name in rows:
+        p = load_artefact(f"{out}/models/{name}").transform(smoke_rows(spark)).collect()
+        assert p and all(0 <= r["confidence" if name == "tier" else "score"] <= 1 for r in p)
+
+
+def test_one_vs_rest_boosting_stays_available(spark):
+    df = _data(spark, 200).withColumn("name", F.when(F.col("x") < 3, "a").when(F.col("x") < 6, "b").otherwise("c"))
+    m = M.fit(df, ["x", "z"], {"kind": "gbt_ovr", "maxIter": 2, "maxDepth": 2, "stepSize": 0.1}, string_label="name")
+    assert M.score_multiclass(m, df).where("pred_label = name").count() > 150
