@@ -1889,3 +1889,31 @@ def q_flag_count_distribution(spark, sf):
     from panelkit.functions.core import flag, flag_sum
     p = px(spark, sf).select(flag_sum([flag(F.col(c) < 4) for c in ("ieg", "ips", "ida")]).alias("n_flags"))
     return A.counts_by_key(p, "n_flags")
+
+
+# ------------------------------------------------- exact quantiles of unbounded domains --
+_LEVELS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@register("exact_quantiles", "SELECT l_returnflag, l_linestatus, count(*) AS n, " + ", ".join(
+    f"round(quantile_cont(l_extendedprice, {v}), 6) AS q{int(v * 100)}, quantile_disc(l_extendedprice, {v}) AS e{int(v * 100)}" for v in _LEVELS)
+    + " FROM lineitem GROUP BY 1, 2")
+def q_exact_quantiles(spark, sf):
+    """Exact quantiles per group of an unbounded column, interpolated
+    and as elements of the data, by distributed selection."""
+    from panelkit.operators.quantiles import exact_quantiles
+    from panelkit.sources.readers import read_table
+    rows, keys = read_table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice"), ["l_returnflag", "l_linestatus"]
+    a = exact_quantiles(rows, "l_extendedprice", _LEVELS, keys)
+    b = exact_quantiles(rows, "l_extendedprice", _LEVELS, keys, how="lower").select(*keys, F.col("quantiles").alias("e"))
+    return a.join(b, keys).select(*keys, "n", *[c for i, v in enumerate(_LEVELS) for c in (
+        F.round(F.col("quantiles")[i], 6).alias(f"q{int(v * 100)}"), F.col("e")[i].alias(f"e{int(v * 100)}"))])
+
+
+@register("column_medians", with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(median({c}), 6) AS median FROM panel" for c in INDICATORS), False))
+def q_column_medians(spark, sf):
+    """P20/A10: the medians of all indicators in one distributed search."""
+    from panelkit.operators.quantiles import column_quantiles
+    out = column_quantiles(px(spark, sf), INDICATORS, [0.5])
+    return out.select("column", "n", F.round(F.col("quantiles")[0], 6).alias("median"))
