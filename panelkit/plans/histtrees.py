@@ -70,7 +70,7 @@ CHECKPOINT = 25
 #: rows of a packed partition, and bytes of a forest level's sums
 BLOCK_ROWS, LEVEL_BYTES = 200_000, 8 << 20
 #: rows up to which one task grows a fit, or a batch of trees, by itself
-ONE_TASK_ROWS = 20_000
+ONE_TASK_ROWS = 100_000
 
 # fixed values: distribution function of Poisson(1) in units of 2^-32; draws beyond the last entry are 9
 POISSON = [int(sum(1 / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(n + 1)) / np.e * 2 ** 32) for n in range(9)]
@@ -177,11 +177,14 @@ def _sums(node: np.ndarray, use: np.ndarray, first: int, width: int, x: np.ndarr
     trees, features = node.shape[0], x.shape[1] if subset is None else subset.shape[-1]
     t, r = np.nonzero(use & (node >= first) & (node < first + width))
     n = node[t, r] - first
-    own = x[r] if subset is None else x[r[:, None], subset[t, n]]
-    place = ((t * width + n)[:, None] * features + np.arange(features)) * bins + own
-    size = trees * width * features * bins
-    out = [np.bincount(place.ravel(), np.repeat(s[t, r], features), size) for s in stats]  # integers below 2^53 are exact
-    return np.stack(out, -1).astype(np.int64).reshape(trees, width, features, bins, len(stats))
+    at, size = (t * width + n) * bins, trees * width * bins
+    weights = [s[t, r] for s in stats]
+    out = np.empty((features, len(stats), size), np.int64)
+    for j in range(features):
+        place = at + (x[r, j] if subset is None else x[r, subset[t, n, j]])
+        for k, w in enumerate(weights):
+            out[j, k] = np.bincount(place, w, size)  # integers below 2^53 are exact
+    return np.ascontiguousarray(out.reshape(features, len(stats), trees, width, bins).transpose(2, 3, 0, 4, 1))
 
 
 def fit_boosting(rows: DataFrame, features: Sequence[str], label: str, classes: int, *, key: Sequence[str], rounds: int, depth: int, rate: float,
@@ -203,13 +206,17 @@ def fit_boosting(rows: DataFrame, features: Sequence[str], label: str, classes:
     start = np.log(np.maximum(prior, 1e-9) / np.maximum(prior.sum(1, keepdims=True), 1))
     rounds = rounds if n and classes > 1 else 0
 
+    # of two classes one has the other's trees with opposite values
+    grown_classes = [1] if classes == 2 else list(range(classes))
+    per = len(grown_classes)
+
     def gradients(b, z, own, r):
         """Of every tree (fit, class) of the fits ``own`` in round r: gradient and
         curvature of each row, and whether the row takes part."""
-        p = softmax(z)
-        g = np.round(((b["y"][:, None] == np.arange(classes)) - p) * UNIT).transpose(0, 2, 1).reshape(-1, len(b["y"]))
+        p = softmax(z)[..., grown_classes]
+        g = np.round(((b["y"][:, None] == np.array(grown_classes)) - p) * UNIT).transpose(0, 2, 1).reshape(-1, len(b["y"]))
         h = np.round(p * (1 - p) * UNIT).transpose(0, 2, 1).reshape(-1, len(b["y"]))
-        return g, h, np.repeat(_in_fit(b["fold"], own) & in_subsample(b["key"], seed, r, subsample), classes, 0)
+        return g, h, np.repeat(_in_fit(b["fold"], own) & in_subsample(b["key"], seed, r, subsample), per, 0)
 
     def sums(b, g, h, use, feature, cut, level):
         return _sums(walk(b["x"], feature, cut, level), use, 2 ** level - 1, 2 ** level, b["x"], bins, [np.ones_like(g), g, h])
@@ -217,10 +224,11 @@ def fit_boosting(rows: DataFrame, features: Sequence[str], label: str, classes:
     def step_of(b, tree, count):
         """What a round adds to the scores of ``count`` fits."""
         node = walk(b["x"], tree[0], tree[1], depth)
-        return np.take_along_axis(tree[2], node, 1).reshape(count, classes, -1).transpose(0, 2, 1)
+        add = np.take_along_axis(tree[2], node, 1).reshape(count, per, -1).transpose(0, 2, 1)
+        return np.concatenate([-add, add], -1) if per < classes else add
 
     def no_trees(count):
-        return np.full((count * classes, size), -1, np.int16), np.zeros((count * classes, size), np.int16), np.zeros((count * classes, size))
+        return np.full((count * per, size), -1, np.int16), np.zeros((count * per, size), np.int16), np.zeros((count * per, size))
     if n <= one_task_rows:
         def whole(item):
             i, b = item
@@ -257,8 +265,10 @@ def fit_boosting(rows: DataFrame, features: Sequence[str], label: str, classes:
                 blocks.count()
                 old.unpersist()
                 since = []
-        grown = [[tuple(a[i * classes: (i + 1) * classes] for a in tree) for tree in all_trees] for i in range(len(fits))]
+        grown = [[tuple(a[i * per: (i + 1) * per] for a in tree) for tree in all_trees] for i in range(len(fits))]
     blocks.unpersist()
+    if per < classes:
+        grown = [[(np.repeat(f, 2, 0), np.repeat(c, 2, 0), np.concatenate([-v, v])) for f, c, v in made] for made in grown]
     stack = lambda made, j: np.stack([t[j] for t in made]) if made else np.zeros((0, classes, size))
     return [HistogramTreesModel.of(kind="boosting", features=features, cuts=cuts, bins=bins, depth=depth, start=start[i], feature=stack(made, 0),
                                    cut=stack(made, 1), value=stack(made, 2)) for i, made in enumerate(grown)]

@@ -40,7 +40,7 @@ MODEL_SPECS = {
     "lag_risk": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 4, "minInstancesPerNode": 5, "min_thresh": 0.45, "weighted": True},
     "tier": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 6, "minInstancesPerNode": 3},
     "tier_gbt": {"kind": "hist_gb", "maxIter": 300, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8},
-    "turning_point": {"kind": "gbt", "maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,
+    "turning_point": {"kind": "hist_gb", "maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,
                       "threshold": 0.5},
     "turning_point_rf": {"kind": "hist_rf", "numTrees": 300, "maxDepth": 5, "minInstancesPerNode": 4, "threshold": 0.5,
                          "weighted": True},
