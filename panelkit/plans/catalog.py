@@ -1917,3 +1917,37 @@ def q_column_medians(spark, sf):
     from panelkit.operators.quantiles import column_quantiles
     out = column_quantiles(px(spark, sf), INDICATORS, [0.5])
     return out.select("column", "n", F.round(F.col("quantiles")[0], 6).alias("median"))
+
+
+# ------------------------------------------------- co-moments as a stored state --
+def _comoment_state(spark, sf):
+    """The panel's state, stored year by year: all years but the last, then the last."""
+    from panelkit.operators.comoments import read_state, write_state
+    from panelkit.session import delete_at_end, ensure_checkpoint_dir
+    import uuid
+    p = px(spark, sf)
+    last = year_bounds(p)[1]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/comoments/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:8]}"
+    delete_at_end(spark, path)
+    write_state(p.filter(F.col("yr") < last), INDICATORS, "yr", path)
+    write_state(p.filter(F.col("yr") == last), INDICATORS, "yr", path)
+    return read_state(spark, path)
+
+
+@register("comoment_corr", with_panel(" UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, "
+    + (f"1.0::DOUBLE AS r" if a == b else f"round(corr({a}, {b}), 6) AS r") + " FROM panel" for a in INDICATORS for b in INDICATORS), False))
+def q_comoment_corr(spark, sf):
+    """A13 from the stored state, the last year added to the others."""
+    from panelkit.operators.comoments import correlations, merged
+    return correlations(merged(_comoment_state(spark, sf)))
+
+
+@register("comoment_lines", with_panel(" UNION ALL ".join(
+    f"SELECT yr, '{a}' AS x, '{b}' AS y, regr_count({b}, {a})::BIGINT AS n, round(regr_slope({b}, {a}), 6) AS slope, "
+    f"round(regr_intercept({b}, {a}), 6) AS intercept, round(regr_r2({b}, {a}), 6) AS r2 FROM panel GROUP BY yr"
+    for a in ("ida", "ieg") for b in INDICATORS if a != b), False))
+def q_comoment_lines(spark, sf):
+    """A16 of every year from the stored state: each indicator on two of them."""
+    from panelkit.operators.comoments import lines
+    return lines(_comoment_state(spark, sf), ["yr"]).filter(F.col("x").isin("ida", "ieg"))
