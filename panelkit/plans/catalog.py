@@ -1951,3 +1951,28 @@ def q_comoment_lines(spark, sf):
     """A16 of every year from the stored state: each indicator on two of them."""
     from panelkit.operators.comoments import lines
     return lines(_comoment_state(spark, sf), ["yr"]).filter(F.col("x").isin("ida", "ieg"))
+
+
+@register("csv_quarantine", with_panel("""
+WITH l AS (SELECT CASE WHEN entity_id % 13 = 0 THEN 'too few fields' WHEN entity_id % 17 = 0 THEN 'too many fields' ELSE 'accepted' END AS reason,
+                  inde FROM panel)
+SELECT reason, count(*) AS lines, CASE WHEN reason = 'accepted' THEN round(sum(inde), 3) END AS inde FROM l GROUP BY 1""", False))
+def q_csv_quarantine(spark, sf):
+    """The panel written as ``;`` lines, some cut short and some with a field
+    too many; the reader accepts the others and quarantines these by reason."""
+    from panelkit.operators import clean as CL
+    from panelkit.sources.readers import read_delimited_checked
+    cols = ["ID", "ANO", "IDA", "INDE"]
+    full = F.concat_ws(";", F.col("entity_id"), F.col("yr"), F.col("ida"), F.col("inde"))
+    line = F.when(F.col("entity_id") % 13 == 0, F.concat_ws(";", "entity_id", "yr")).when(
+        F.col("entity_id") % 17 == 0, F.concat(full, F.lit(";x"))).otherwise(full)
+    path = _work_path(spark, sf, "bad_lines")
+    # the header stands in every file
+    files = px(spark, sf).repartition(3).select(line.alias("value"), F.lit(1).alias("o"), F.spark_partition_id().alias("p"))
+    heads = files.select("p").distinct().select(F.lit(";".join(cols)).alias("value"), F.lit(0).alias("o"), "p")
+    files.unionByName(heads, allowMissingColumns=True).repartition(3, "p").sortWithinPartitions("p", "o").select("p", "value") \
+        .write.mode("overwrite").partitionBy("p").text(path)
+    accepted, bad = read_delimited_checked(spark, f"{path}/*", cols)
+    good = CL.coerce_numeric(accepted, ["INDE"]).agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("INDE"), 3).alias("inde"))
+    return good.select(F.lit("accepted").alias("reason"), "lines", "inde").unionByName(
+        bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).withColumn("inde", F.lit(None).cast("double")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["read_table", "read_delimited_panel", "read_snapshot", "write_metrics",
+__all__ = ["read_table", "read_delimited_panel", "read_delimited_checked", "read_snapshot", "write_metrics",
            "read_metrics", "source_counts", "non_null_counts", "QUESTION_SCHEMA",
            "read_question_bank", "question_rows", "TABLES"]
 
@@ -45,6 +45,35 @@ def read_delimited_panel(spark: SparkSession, path: str, columns: Iterable[str]
     return r.csv(path)
 
 
+#: the line as it was read, for lines that do not fit the columns
+BAD_LINE = "__line"
+
+
+def read_delimited_checked(spark: SparkSession, path: str, columns: Iterable[str], sep: str = ";",
+                           encoding: str = "ISO-8859-1") -> tuple[DataFrame, DataFrame]:
+    """S1 with a quarantine: ``(accepted, quarantined)``. A line with fewer or more
+    fields than ``columns`` is neither padded nor cut but kept whole, with its file,
+    number of fields and reason. Quoted separators are no field ends. Every line
+    that is not blank and no file's header is in exactly one of the two tables.
+    Both are lazy reads of the files; column pruning is off for them, as a parser
+    that skips columns does not see a line's length."""
+    from pyspark.sql import functions as F
+    columns = list(columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, BAD_LINE]])
+    raw = (spark.read.option("header", "true").option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE")
+           .option("columnPruning", "false").option("columnNameOfCorruptRecord", BAD_LINE).schema(schema).csv(path))
+    # Spark refuses plans that read the line column alone: this always true condition reads a column beside it
+    raw = raw.where(F.hash(columns[0]) >= F.lit(-2 ** 31))
+    accepted = raw.where(F.col(BAD_LINE).isNull()).select(*columns)
+    bare = F.regexp_replace(BAD_LINE, '"([^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    bad = raw.where(F.col(BAD_LINE).isNotNull()).select(
+        F.col("_metadata.file_name").alias("file"), F.col(BAD_LINE).alias("line"), fields.cast("int").alias("fields"))
+    reason = (F.when(F.col("fields") < len(columns), "too few fields").when(F.col("fields") > len(columns), "too many fields")
+              .otherwise("unreadable"))
+    return accepted, bad.withColumn("reason", reason)
+
+
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "parquet",
                   schema: T.StructType | None = None, **options) -> DataFrame:
     """Snapshot table exported as CSV/Parquet (re-aimed from Excel)."""

@@ -61,3 +61,20 @@ def test_quiz_points_and_badges(spark):
     m = {r["mission"]: r for r in missions(df.withColumn("nota_ing", F.lit(None).cast("double")), [],
                                            {}).collect()}
     assert m["inde_7"]["done"] and m["nota_mat_8"]["progress_pct"] == 93.75 and m["nota_ing_6"]["progress_pct"] is None
+
+
+def test_bad_lines_are_quarantined_whole(spark):
+    """Short and long lines, quoted separators, blank lines, several files."""
+    import os
+    import tempfile
+    from panelkit.sources.readers import read_delimited_checked
+    d = tempfile.mkdtemp(prefix="panelkit-lines-")
+    with open(os.path.join(d, "a.csv"), "wb") as f:
+        f.write("ID;NOME;X\n1;José;5\n2;curta\n\n3;\"a;b\";7\n4;longa;8;9\n".encode("latin-1"))
+    with open(os.path.join(d, "b.csv"), "wb") as f:
+        f.write("ID;NOME;X\n5;;\n6\n".encode("latin-1"))
+    good, bad = read_delimited_checked(spark, d, ["ID", "NOME", "X"])
+    assert sorted(map(tuple, good.collect())) == [("1", "José", "5"), ("3", "a;b", "7"), ("5", None, None)]
+    got = sorted((r["file"], r["line"], r["fields"], r["reason"]) for r in bad.collect())
+    assert got == [("a.csv", "2;curta", 2, "too few fields"), ("a.csv", "4;longa;8;9", 4, "too many fields"), ("b.csv", "6", 1, "too few fields")]
+    assert good.count() == 3 and bad.count() == 3  # also where no column is asked for
