@@ -1976,3 +1976,91 @@ def q_csv_quarantine(spark, sf):
     good = CL.coerce_numeric(accepted, ["INDE"]).agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("INDE"), 3).alias("inde"))
     return good.select(F.lit("accepted").alias("reason"), "lines", "inde").unionByName(
         bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")).withColumn("inde", F.lit(None).cast("double")))
+
+
+# ------------------------------------------- the full audit, by stored states --
+_AUDIT_PANEL = [
+    ("loader", "one row per entity and year", "(SELECT count(*) FROM (SELECT 1 FROM panel_x GROUP BY entity_id, yr HAVING count(*) > 1))"),
+    ("loader", "year in the stated years", "count_if(yr < (SELECT min(year(o_orderdate)) FROM orders) OR yr > (SELECT max(year(o_orderdate)) FROM orders))"),
+    ("loader", "tier spelling", "count_if(tier NOT IN ('Quartzo', 'Ágata', 'Ametista', 'Topázio', 'Sem classificação'))"),
+    ("loader", "missing tier has no index", "count_if((tier = 'Sem classificação') <> (inde IS NULL))"),
+    ("loader", "phase read from its code", "count_if(phase IS DISTINCT FROM CAST(replace(phase_code, 'H', '') AS INTEGER))"),
+    ("loader", "turning point is Sim, Não or missing", "count_if(pv NOT IN ('Sim', 'Não'))"),
+    ("loader", "columns added", "0"),
+    *[("loader", f"{c} holds no NaN", f"count_if(isnan({c}))") for c in INDICATORS],
+    *[("nulls in key columns", c, f"count_if({c} IS NULL)") for c in
+      ["entity_id", "yr", "tier", "gender", "institution", "segment", "phase", "tenure", "lag", "inde"]],
+    *[("numeric types", c, "0") for c in [*INDICATORS, "lag", "tenure"]],
+    *[("ranges", c, f"count_if({c} < 0 OR {c} > 10)") for c in [*INDICATORS, "ipv_n", "phase"]],
+    ("tenure", "not negative", "count_if(tenure < 0)"),
+    ("tenure", "not longer than the panel", "count_if(tenure > yr - (SELECT min(year(o_orderdate)) FROM orders))"),
+    ("encodings", "gender known", "count_if(gender NOT IN ('Menina', 'Menino'))"),
+    ("encodings", "both genders", "least(count_if(gender = 'Menino'), count_if(gender <> 'Menino'))"),
+    ("encodings", "tier code follows the tier", "count_if(coalesce(tier_ord, 0) <> CASE tier WHEN 'Quartzo' THEN 1 WHEN 'Ágata' THEN 2 "
+                                                "WHEN 'Ametista' THEN 3 WHEN 'Topázio' THEN 4 ELSE 0 END)"),
+    ("encodings", "no code without a tier", "count_if(tier_ord IS NOT NULL AND inde IS NULL)"),
+    ("encodings", "both turning-point values", "least(count_if(pv = 'Sim'), count_if(pv = 'Não'))"),
+    ("encodings", "turning point missing only without its score", "count_if(pv IS NULL AND ipv > 0)"),
+]
+_AUDIT_FEATURES = ["IAA", "IEG", "IPS", "IDA", "IPV", "FASE", "ANOS_PM", "GENERO_NUM", "PV_NUM", "SCORE_COMPORTAMENTAL",
+                   "GAP_IAA_IDA", "IEG_POR_FASE", "IEG_X_IPV", "IDA_X_ANOS"]
+_AUDIT_MATRIX = [
+    ("binary target", "0 or 1", "count_if(label IS NULL OR label NOT IN (0, 1))"),
+    ("binary target", "both classes", "least(count_if(label = 1), count_if(label <> 1))"),
+    *[("features without leakage", c, f"count_if({c} IS NULL OR isnan({c}::DOUBLE))") for c in _AUDIT_FEATURES],
+    ("features without leakage", "no excluded input", "0"),
+    *[("residual leakage", c, f"round(abs(corr({c}, label)), 6)") for c in _AUDIT_FEATURES[:9]],
+]
+
+
+def _audit_rows(checks, table: str) -> str:
+    """One scan of ``table`` for all its checks, then a row for each."""
+    wide = f"(SELECT {', '.join(f'CAST({sql} AS DOUBLE) AS v{i}' for i, (_, _, sql) in enumerate(checks))} FROM {table})"
+    names = ", ".join(f"{{'s': '{s}', 'k': '{k}', 'v': v{i}}}" for i, (s, k, _) in enumerate(checks))
+    return f"SELECT unnest([{names}]) AS r FROM {wide}"
+
+
+# the seeded order is not SQL's, but its quotas are: a class of n rows has ceil(n / 5) test
+# rows, and the others go to the folds in turn
+@register("audit_sections", with_panel("WITH " + LAGF_SQL.replace("\nSELECT", "lagf AS (SELECT", 1) + """),
+q AS (SELECT label, count(*) AS n, CAST(ceil(count(*) * 0.2) AS BIGINT) AS te FROM lagf GROUP BY label),
+fo AS (SELECT f, label, (n - te - f + 4) // 5 AS m, n - te AS n FROM q, range(0, 5) r(f)),
+fs AS (SELECT f, sum(m) AS m, sum(CASE WHEN label = 1 THEN m END) AS m1, sum(n) AS n, sum(CASE WHEN label = 1 THEN n END) AS n1 FROM fo GROUP BY f),
+o AS (SELECT {'s': 'raw data', 'k': 'rows', 'v': CAST(count(*) AS DOUBLE)} AS r FROM orders
+UNION ALL SELECT {'s': 'raw data', 'k': 'columns', 'v': 0.0} UNION ALL SELECT {'s': 'raw data', 'k': 'types', 'v': 0.0}
+UNION ALL """ + _audit_rows(_AUDIT_PANEL, "panel_x") + " UNION ALL " + _audit_rows(_AUDIT_MATRIX, "lagf") + """
+UNION ALL SELECT {'s': 'split', 'k': 'no row in both parts', 'v': 0.0}
+UNION ALL SELECT {'s': 'split', 'k': 'stratified', 'v': round(abs(sum(CASE WHEN label = 1 THEN te END) / sum(te)
+                 - sum(CASE WHEN label = 1 THEN n - te END) / sum(n - te)), 6)} FROM q
+UNION ALL SELECT {'s': 'cross-validation', 'k': 'every row once', 'v': 0.0}
+UNION ALL SELECT {'s': 'cross-validation', 'k': 'fold known', 'v': 0.0}
+UNION ALL SELECT {'s': 'cross-validation', 'k': 'fold ' || f || ' has rows', 'v': CAST(m AS DOUBLE)} FROM fs
+UNION ALL SELECT {'s': 'cross-validation', 'k': 'fold ' || f || ' stratified', 'v': round(abs(m1 / m - (n1 - m1) / (n - m)), 6)} FROM fs)
+SELECT r.s AS section, r.k AS "check", r.v AS observed, CASE
+  WHEN r.k IN ('rows', 'both genders', 'both turning-point values', 'both classes') OR r.k LIKE '%has rows' THEN r.v >= 1
+  WHEN r.s = 'residual leakage' THEN coalesce(r.v <= 0.5, true) WHEN r.k LIKE '%stratified' THEN coalesce(r.v <= 0.01, true)
+  ELSE r.v = 0 END AS passed FROM o"""))
+def q_audit_sections(spark, sf):
+    """The audit's 12 sections read from stored states. Raw orders, panel and
+    lag-risk matrix are stored for all years but the last, then for the last by
+    itself; split and folds are drawn from all rows and stored at once."""
+    from panelkit.operators.sampling import stratified_folds, stratified_split
+    from panelkit.plans import panel_audit as PA
+    from panelkit.plans.features import lag_features
+    from panelkit.sources.readers import read_table
+    from panelkit.session import cut_lineage
+    raw = read_table(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
+    years = raw.agg(F.min("yr"), F.max("yr")).first()  # two numbers
+    p = px(spark, sf)
+    m = lag_features(p)
+    split = cut_lineage(stratified_split(m.select("entity_id", "yr", "label"), "label", ["entity_id", "yr"], 0.2))
+    folds = stratified_folds(split.where("is_test = 0").drop("is_test"), "label", ["entity_id", "yr"], 5)
+    checks = {"raw": PA.raw_constraints(raw, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderdate": "timestamp_ntz"}),
+              "panel": PA.panel_constraints(p, (years[0], years[1])), "matrix": PA.matrix_constraints(m),
+              "split": PA.split_constraints(), "folds": PA.fold_constraints()}
+    rows = {"raw": raw, "panel": p, "matrix": m, "split": split, "folds": folds}
+    path = _work_path(spark, sf, "audit")
+    by_year = ("raw", "panel", "matrix")
+    PA.store({t: (rows[t].where(F.col("yr") < years[1]) if t in by_year else rows[t], checks[t], "yr") for t in checks}, path)
+    PA.store({t: (rows[t].where(F.col("yr") == years[1]), checks[t], "yr") for t in by_year}, path)
+    return PA.report(spark, checks, path)
