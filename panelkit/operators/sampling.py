@@ -58,7 +58,9 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 5,
 
 
 def sample_per_entity(pairs: DataFrame, entity: str, item: str, k: int, seed: int = 42) -> DataFrame:
-    """K items per entity in seeded random order. ``pairs`` holds the
-    candidate items of each entity (bounded by the item pool)."""
-    w = Window.partitionBy(entity).orderBy(F.xxhash64(F.col(entity), F.col(item), F.lit(seed)), item)
-    return pairs.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= k)
+    """K items per entity in seeded random order: the items of the k smallest
+    hashes, cut to k a task and a part before they meet (:func:`bottom_k`), so an
+    entity may have any number of items."""
+    from panelkit.operators.topk import bottom_k
+    order = [F.xxhash64(F.col(entity), F.col(item), F.lit(seed)), F.col(item)]
+    return bottom_k(pairs, [entity], order, k, spread=[item], rank="pick")
