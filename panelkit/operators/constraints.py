@@ -25,6 +25,8 @@ __all__ = ["Constraint", "never", "at_least", "holds", "both_present", "same_sha
            "state", "write_state", "read_state", "merged", "verdicts"]
 
 _SUMS = [f"s{i}" for i in range(1, 7)]
+#: columns of a state that repeat its constraint's declaration
+_DECLARED = {"section": "section", "check": "name", "rule": "rule", "limit": "limit"}
 
 
 @dataclass(frozen=True)
@@ -103,13 +105,16 @@ def state(df: DataFrame, constraints: Sequence[Constraint], key: str) -> DataFra
         firsts = [F.sum(n).alias(n) for n in names.values()]
     total = df.groupBy(key).agg(*([F.sum(_one(F.col("__rows") > 1)).alias("__twice")] if keys else []), *firsts)
 
-    def row(i: int, c: Constraint) -> Column:
-        s = [F.col("__twice")] if c.keys else [F.col(names[i, j]) for j in range(len(c.terms))]
-        s += [F.lit(0.0)] * (len(_SUMS) - len(s))
-        return F.struct(F.lit(c.section).alias("section"), F.lit(c.name).alias("check"), F.lit(c.rule).alias("rule"),
-                        F.lit(float(c.limit)).alias("limit"), *[v.alias(n) for v, n in zip(s, _SUMS)])
+    at = F.col("__i")
+    sums_of = [F.array(F.col("__twice")) if c.keys else F.array(*[F.col(names[i, j]) for j in range(len(c.terms))])
+               for i, c in enumerate(constraints)]
+    each = total.select(key, F.posexplode(F.array(*sums_of)).alias("__i", "__s"))
+    said = [F.element_at(_literals(constraints, n), at + 1).alias(n) for n in _DECLARED]
+    return each.select(key, *said, *[F.coalesce(F.get("__s", F.lit(j)), F.lit(0.0)).alias(n) for j, n in enumerate(_SUMS)])
 
-    return total.select(key, F.explode(F.array(*[row(i, c) for i, c in enumerate(constraints)])).alias("c")).select(key, "c.*")
+
+def _literals(constraints: Sequence[Constraint], declared: str) -> Column:
+    return F.lit([getattr(c, _DECLARED[declared]) for c in constraints])
 
 
 def write_state(df: DataFrame, constraints: Sequence[Constraint], key: str, path: str) -> None:
@@ -133,9 +138,8 @@ def verdicts(total: DataFrame, constraints: Sequence[Constraint], digits: int =
     """``section, check, passed, observed`` of merged states, every one of
     ``constraints`` included, those without a stored row too."""
     spark = total.sparkSession
-    listed = spark.createDataFrame([(c.section, c.name, c.rule, float(c.limit)) for c in constraints],
-                                   "section string, check string, rule string, limit double")
-    t = total.join(listed.select("section", "check", "rule", "limit"), ["section", "check", "rule", "limit"], "right")
+    listed = spark.range(1).select(F.inline(F.arrays_zip(*[_literals(constraints, n).alias(n) for n in _DECLARED])).alias(*_DECLARED))
+    t = total.join(listed, list(_DECLARED), "right")
     s1, s2, s3, s4, s5, s6 = (F.coalesce(F.col(s), F.lit(0.0)) for s in _SUMS)
     r = F.try_divide(s1 * s6 - s2 * s3, F.sqrt(F.greatest(s1 * s4 - s2 * s2, F.lit(0.0))) * F.sqrt(F.greatest(s1 * s5 - s3 * s3, F.lit(0.0))))
     rule, limit = F.col("rule"), F.col("limit")

@@ -2064,3 +2064,79 @@ def q_audit_sections(spark, sf):
     PA.store({t: (rows[t].where(F.col("yr") < years[1]) if t in by_year else rows[t], checks[t], "yr") for t in checks}, path)
     PA.store({t: (rows[t].where(F.col("yr") == years[1]), checks[t], "yr") for t in by_year}, path)
     return PA.report(spark, checks, path)
+
+
+# ------------------------------------ search, bottom-k, latest state, densities --
+_SEARCHES = ["", "7", "ri", "#00", "red w", "BLUE BOLT", "er#0", "0000012", "99", "none of them"]
+
+
+@register("text_search", "SELECT q.p AS pattern, s.id, s.name FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS p" for p in _SEARCHES) + """) q
+JOIN (SELECT p_partkey * 2 AS id, p_name AS name FROM part UNION ALL SELECT c_custkey * 2 + 1, c_name FROM customer) s
+  ON contains(upper(s.name), upper(q.p))""")
+def q_text_search(spark, sf):
+    """Substring searches over the names of parts and customers, by a trigram
+    index written once: the empty pattern, one and two letters, longer ones, one that
+    no name has."""
+    from functools import reduce
+    from panelkit.operators import textindex as TI
+    from panelkit.sources.readers import read_table
+    parts = read_table(spark, sf, "part").select((F.col("p_partkey") * 2).alias("id"), F.col("p_name").alias("name"))
+    names = parts.unionByName(read_table(spark, sf, "customer").select((F.col("c_custkey") * 2 + 1).alias("id"), F.col("c_name").alias("name")))
+    path = _work_path(spark, sf, "grams")
+    TI.build_index(names, "id", "name", path)
+    return reduce(DataFrame.unionByName, [TI.search(names, "id", "name", path, p).select(F.lit(p).alias("pattern"), "id", "name")
+                                          for p in _SEARCHES])
+
+
+@register("bottom_k_per_key", """
+SELECT o_custkey, o_orderkey, o_totalprice, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rk FROM orders)
+WHERE rk <= 3""")
+def q_bottom_k_per_key(spark, sf):
+    """T3 per key: the three lowest orders of every customer, as the merge of two
+    results that were made apart."""
+    from panelkit.operators.topk import bottom_k
+    from panelkit.sources.readers import read_table
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
+    order, cut = [F.col("o_totalprice").asc(), F.col("o_orderkey").asc()], F.lit(1996)
+    low = lambda df: bottom_k(df.drop("yr"), ["o_custkey"], order, 3, ["o_orderkey"])
+    earlier, later = low(o.where(F.coalesce(F.col("yr") < cut, F.lit(True)))), low(o.where(F.col("yr") >= cut))
+    return low(earlier.drop("rank").unionByName(later.drop("rank")))
+
+
+@register("latest_state", with_panel("""
+SELECT entity_id, yr, inde, tier_ord, prev_yr, prev_inde, prev_tier_ord, n_rows, coalesce(tier_ord, 0) - coalesce(prev_tier_ord, 0) AS tier_change FROM (
+  SELECT entity_id, yr, inde, tier_ord, row_number() OVER (PARTITION BY entity_id ORDER BY yr DESC) AS rk,
+         lag(yr) OVER w AS prev_yr, lag(inde) OVER w AS prev_inde, lag(tier_ord) OVER w AS prev_tier_ord,
+         CAST(count(*) OVER (PARTITION BY entity_id) AS INTEGER) AS n_rows
+  FROM panel_x WINDOW w AS (PARTITION BY entity_id ORDER BY yr)) WHERE rk = 1"""))
+def q_latest_state(spark, sf):
+    """Latest and previous values per entity from a table kept up by three
+    batches: all years but the last (some scores wrong), the corrections, the last year."""
+    from panelkit.operators import upkeep as UK
+    p, cols = px(spark, sf).select("entity_id", "yr", "inde", "tier_ord"), ["inde", "tier_ord"]
+    last = year_bounds(px(spark, sf))[1]
+    old, wrong = p.where(F.col("yr") < last), F.col("entity_id") % 50 == 0
+    path = _work_path(spark, sf, "latest")
+    for batch in (old.withColumn("inde", F.when(wrong, F.lit(-1.0)).otherwise(F.col("inde"))), old.where(wrong), p.where(F.col("yr") == last)):
+        UK.upsert(spark, path, batch, "entity_id", "yr", cols, buckets=16)
+    out = UK.latest(UK.read_state(spark, path), "entity_id", "yr", cols)
+    return out.withColumn("tier_change", F.coalesce("tier_ord", F.lit(0)) - F.coalesce("prev_tier_ord", F.lit(0)))
+
+
+@register("density_binned", """
+WITH d AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL),
+p AS (SELECT g, count(*) AS n, min(v) AS lo, (max(v) - min(v)) / 500.0 AS d, max(v) AS hi,
+             stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h FROM d GROUP BY g HAVING stddev_samp(v) > 0),
+e AS (SELECT g, b, sum(w) AS w FROM (
+        SELECT d.g, unnest([least(floor((v - lo) / d), 499), least(floor((v - lo) / d), 499) + 1]) AS b,
+               unnest([1 - ((v - lo) / d - least(floor((v - lo) / d), 499)), (v - lo) / d - least(floor((v - lo) / d), 499)]) AS w
+        FROM d JOIN p ON d.g = p.g) GROUP BY g, b)
+SELECT e.g AS l_returnflag, CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * i / 99.0, 4) AS x,
+       round(sum(w * exp(-pow((lo + (hi - lo) * i / 99.0 - (lo + d * b)) / h, 2) / 2.0)) / (n * h * sqrt(2 * pi())) * 1e5, 6) AS density
+FROM e JOIN p ON e.g = p.g, range(0, 100) r(i) GROUP BY e.g, i, lo, hi, n, h""")
+def q_density_binned(spark, sf):
+    """A21 over an unbounded domain: prices by return flag, densities per 100,000."""
+    from panelkit.sources.readers import read_table
+    d = S.density_binned(read_table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", bins=500, digits=15)
+    return d.select("l_returnflag", "i", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e5, 6).alias("density"))
