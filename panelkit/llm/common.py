@@ -84,6 +84,13 @@ def drop_shared(*tables: DataFrame) -> None:
             fs.delete(p.getParent(), True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now. Its cleaner does so
+    once the driver's JVM has collected their plans, which else may take until the
+    heap is full; tables that are written do not need them any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: parts of an input split that are handled as one group of texts
 PAGES = 4
 
