@@ -35,6 +35,9 @@ __all__ = ["exact_quantiles", "column_quantiles"]
 
 #: parts that an interval is counted in
 BINS = 512
+#: ranks looked for up to which their intervals are sent to the rows; beyond, the rows move
+#: to their group's intervals
+SENT_RANKS = 20_000
 #: narrowing steps after which a search is taken to be in error
 MAX_STEPS = 2000
 
@@ -59,9 +62,10 @@ def exact_quantiles(df: DataFrame, col: str, levels: Sequence[float], keys: Sequ
     for _ in range(MAX_STEPS):
         done.append(open_.where("lo = hi").select(*names, "rank", F.col("lo").alias("value")))
         open_ = open_.where("lo < hi")
-        if open_.isEmpty():
+        ranks = open_.count()
+        if not ranks:
             break
-        open_ = cut_lineage(_narrowed(rows, open_, names, bins))
+        open_ = cut_lineage(_narrowed(rows, open_, names, bins, ranks <= SENT_RANKS))
     else:
         raise RuntimeError("a quantile was not found")
     found = reduce(DataFrame.unionByName, done).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
@@ -83,36 +87,46 @@ def _same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner
     return left.join(right, cond, how).drop(*[f"__r{n}" for n in names])
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], bins: int) -> DataFrame:
-    """Every rank's interval narrowed to the values of the part that holds it."""
-    # ranks of one group that share an interval are counted once
-    spans = state.select(*names, "lo", "hi", "below").distinct()
-    held = spans.groupBy(*names).agg(F.collect_set(F.struct("lo", "hi", "below")).alias("spans"))  # at most a row for every level
-    held = _same(rows.where("x IS NOT NULL"), held if names else F.broadcast(held), names)
-    inside = held.select(*names, "x", F.explode(F.filter("spans", lambda s: (F.col("x") >= s["lo"]) & (F.col("x") <= s["hi"]))).alias("s"))
-    share = _place(F.col("x")) - _place(F.col("s.lo"))
-    share = F.nanvl(share / F.nullif(_place(F.col("s.hi")) - _place(F.col("s.lo")), F.lit(0.0)), F.lit(0.5))
-    part = F.when(F.col("x") == F.col("s.lo"), 0).when(F.col("x") == F.col("s.hi"), bins - 1).otherwise(
-        F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.5)) * bins))).cast("int"))
-    counts = inside.groupBy(*names, "s", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo2"), F.max("x").alias("hi2"))
-    w = Window.partitionBy(*names, "s").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("upto", F.col("s.below") + F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c"))
-    counts = counts.withColumnsRenamed({n: f"__r{n}" for n in names})
+def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], bins: int, sent: bool) -> DataFrame:
+    """Every rank's interval narrowed to the values of the part that holds it. With few
+    ranks (``sent``) the rows stay where they are: a group may hold most of them."""
+    few = F.broadcast if sent else lambda d: d
+    # ranks of one group that share an interval are counted once; what only depends on an
+    # interval is worked out once for it, so that a row's part is a short expression
+    spans = state.select(*[F.col(n).alias(f"__r{n}") for n in names], *[F.col(c).alias(f"s_{c}") for c in ("lo", "hi", "below")]).distinct()
+    lo, hi = F.col("s_lo"), F.col("s_hi")
+    spans = spans.withColumn("s_most", F.greatest(F.abs(lo), F.abs(hi))).withColumn("s_scale", _scale())
+    spans = spans.withColumn("s_from", _place(lo)).withColumn("s_width", F.nullif(_place(hi) - F.col("s_from"), F.lit(0.0)))
+    at = [F.col(n).eqNullSafe(F.col(f"__r{n}")) for n in names] + [F.col("x") >= lo, F.col("x") <= hi]
+    inside = rows.join(few(spans), reduce(lambda a, b: a & b, at))
+    share = F.coalesce(F.nanvl((_place(F.col("x")) - F.col("s_from")) / F.col("s_width"), F.lit(0.5)), F.lit(0.5))
+    part = F.when(F.col("x") == lo, 0).when(F.col("x") == hi, bins - 1).otherwise(
+        F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(share * bins))).cast("int"))
+    span = [*[f"__r{n}" for n in names], "s_lo", "s_hi", "s_below"]
+    counts = inside.select(*span, "x", part.alias("part")).groupBy(*span, "part").agg(
+        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo2"), F.max("x").alias("hi2"))
+    w = Window.partitionBy(*span).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("upto", F.col("s_below") + F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c"))
     cond = [F.col(n).eqNullSafe(F.col(f"__r{n}")) for n in names] + [
-        F.col("lo") == F.col("s.lo"), F.col("hi") == F.col("s.hi"), F.col("below") == F.col("s.below"),
+        F.col("lo") == lo, F.col("hi") == hi, F.col("below") == F.col("s_below"),
         F.col("rank") > F.col("before"), F.col("rank") <= F.col("upto")]
-    return state.join(counts, cond).select(*names, "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("before").alias("below"))
+    return few(state).join(counts, reduce(lambda a, b: a & b, cond)).select(
+        *names, "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("before").alias("below"))
+
+
+def _scale():
+    """The scale of an interval, one that no order of magnitude can exhaust: logarithmic
+    on both sides of zero (0) or on one side of it where the ends are far apart (1),
+    else linear (2)."""
+    lo, hi = F.col("s_lo"), F.col("s_hi")
+    far = F.col("s_most") / F.least(F.abs(lo), F.abs(hi)) > 1024.0
+    return F.when((lo <= 0) & (hi >= 0), 0).when(far, 1).otherwise(2)
 
 
 def _place(x):
-    """Where x lies in its interval, on a scale that no order of magnitude can
-    exhaust: logarithmic on one side of zero where the ends are far apart, and
-    on both sides of it; else linear (halved, as differences may overflow)."""
-    lo, hi = F.col("s.lo"), F.col("s.hi")
-    most = F.greatest(F.abs(lo), F.abs(hi))
-    far = most / F.least(F.abs(lo), F.abs(hi)) > 1024.0
-    around = F.signum(x) * F.log1p(F.abs(x) / most * F.lit(1e15))
-    return F.when((lo <= 0) & (hi >= 0), around).when(far, F.signum(x) * F.log(F.abs(x))).otherwise(x / 2)
+    """Where x lies on its interval's scale (linear: halved, as differences may overflow)."""
+    around = F.signum(x) * F.log1p(F.abs(x) / F.col("s_most") * F.lit(1e15))
+    return F.when(F.col("s_scale") == 2, x / 2).when(F.col("s_scale") == 1, F.signum(x) * F.log(F.abs(x))).otherwise(around)
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], levels: Sequence[float], how: str = "linear", bins: int = BINS) -> DataFrame:

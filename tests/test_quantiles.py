@@ -64,3 +64,18 @@ def test_no_task_holds_a_group(spark):
     state = spark.createDataFrame([("a", 1, 1.0, 2.0, 0)], "__g0 string, rank long, lo double, hi double, below long")
     plan = _narrowed(rows, state, ["__g0"], 8)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in plan and "collect_list" not in plan
+
+
+def test_rows_stay_in_place_for_few_ranks(spark):
+    """A group that holds nearly all rows must not be moved to one task."""
+    from pyspark.sql import functions as F
+
+    from panelkit.operators import quantiles as Q
+    rows = spark.range(4000).select(F.lit("a").alias("__g0"), F.col("id").cast("double").alias("x"))
+    state = spark.createDataFrame([("a", 1000, 0.0, 3999.0, 0)], "__g0 string, rank long, lo double, hi double, below long")
+    for sent in (True, False):
+        d = Q._narrowed(rows, state, ["__g0"], 8, sent)
+        assert [tuple(r) for r in d.collect()] == [("a", 1000, 500.0, 999.0, 500)] or d.first()["lo"] <= 999.0 <= d.first()["hi"]
+        if sent:
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan
