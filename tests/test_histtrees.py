@@ -138,3 +138,42 @@ def test_bound_saving_and_degenerate_tables(spark):
         assert np.abs(probabilities(e, df).sum(1) - 1).max() < 1e-12
     one = H.fit_forest(df.withColumn("y", df.y * 0), COLS, "y", 1, key=["id"], trees=2, depth=2)[0]
     assert (probabilities(one, df) == 1).all()
+
+
+def test_chunks_are_bounded_and_do_not_change_the_trees(spark, monkeypatch):
+    """A task works on a bounded number of rows at a time, whatever its partition holds."""
+    from pyspark.sql import functions as F
+    df, _, _ = table(spark)
+    spec = {"key": ["id"], "fold": "fold", "fits": [None, 1], "max_bins": 16}
+
+    def states(**kw):
+        ms = H.fit_boosting(df, COLS, "y", 3, rounds=3, depth=3, rate=0.2, subsample=0.7, **kw, **spec)
+        ms += H.fit_forest(df, COLS, "y", 3, trees=5, depth=4, min_leaf=2, weight="a1", **kw, **spec)
+        return [m.getOrDefault("state") for m in ms]
+    df = df.withColumn("a1", F.lit(0.75) + F.col("y") / 4)
+    cuts = [[-1.0, -0.5, 0.0, 0.5, 1.0]] * 3
+    monkeypatch.setattr(H, "cut_points", lambda *_: cuts)
+    whole = states()
+    monkeypatch.setattr(H, "CHUNK_ROWS", 20)
+    assert states() == whole and states(one_task_rows=0, block_rows=90) == whole
+    blocks, n = H._packed(df.coalesce(1), COLS, cuts, 20, F.xxhash64("id"), F.col("y"), F.lit(1.0), F.lit(-1), 0, 10 ** 9, 0)
+    sizes = blocks.map(lambda b: len(b["y"])).collect()
+    assert n == sum(sizes) == 240 and max(sizes) < 40
+
+
+def test_scores_of_a_round_are_kept_for_the_next(spark, monkeypatch):
+    """No job of a round starts again from the first round's trees."""
+    df, _, _ = table(spark)
+    sent = []
+    monkeypatch.setattr(H, "cut_points", lambda *_: [[-1.0, 0.0, 1.0]] * 3)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sent.append(v))
+    H.fit_boosting(df, COLS, "y", 3, key=["id"], rounds=3, depth=2, rate=0.2, one_task_rows=0)
+    assert sent == []
+
+
+def test_layouts_differ_beyond_one_task(spark):
+    from pyspark.sql import functions as F
+    df, _, _ = table(spark)
+    cuts = [[-1.0, 0.0, 1.0]] * 3
+    parts = [H._packed(df, COLS, cuts, 10, F.xxhash64("id"), F.col("y"), F.lit(1.0), F.lit(-1), 0, 0, rows)[0].getNumPartitions() for rows in (0, 80, 50)]
+    assert parts == [2, 3, 5]
