@@ -25,6 +25,8 @@ END = "\u0000"
 GRAM = 3
 #: grams of a pattern that are looked up; any number gives the same result
 RAREST = 4
+#: letters of texts (so at most as many postings) that a file of the index is made for
+FILE_LETTERS = 1_000_000
 
 
 def _grams(text: Column) -> Column:
@@ -37,9 +39,15 @@ def build_index(df: DataFrame, id_col: str, text: str, path: str, files: int | N
     """Write the postings and the gram counts below ``path``. Files are ranges of
     (gram, id), so a gram that every text has fills several of them."""
     spark = df.sparkSession
-    rows = df.where(F.col(id_col).isNotNull()).select(F.explode(_grams(F.col(text))).alias("gram"), F.col(id_col).alias("id")).distinct()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    texts = df.where(F.col(id_col).isNotNull())
+    n = files
+    if not n:  # a file, and the task that sorts it, does not grow with the table
+        letters = texts.agg(F.sum(F.length(text))).first()[0] or 0  # one number
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-letters // FILE_LETTERS))
+    rows = texts.select(F.explode(_grams(F.col(text))).alias("gram"), F.col(id_col).alias("id"))
+    # equal postings meet in one range
+    rows = rows.repartitionByRange(n, "gram", "id").distinct()
+    rows.sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
     counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     counts.repartitionByRange(max(1, n // 8), "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
 

@@ -47,3 +47,17 @@ def test_empty_table(spark, table):
     none = df.limit(0)
     K.build_index(none, "id", "text", path, 2)
     assert all(K.search(none, "id", "text", path, p).count() == 0 for p in ("", "a", "abc", "abcd"))
+
+
+def test_files_follow_the_letters(spark, monkeypatch):
+    """A file, and the task that sorts it, holds no more of a larger table."""
+    import glob
+    monkeypatch.setattr(K, "FILE_LETTERS", 50)
+    path = tempfile.mkdtemp(prefix="panelkit-grams-")
+    df = spark.createDataFrame([(i, f"text {i % 37} of {i}") for i in range(100)] + [(3, "text 3 of 3"), (7, None)], "id long, text string")
+    K.build_index(df, "id", "text", path)
+    files = glob.glob(f"{path}/postings/*.parquet")
+    assert len(files) > 20
+    got = spark.read.parquet(f"{path}/postings")
+    assert got.count() == got.distinct().count() == sum(len({(f"text {i % 37} of {i}".upper() + "\0\0")[j:j + 3] for j in range(len(f"text {i % 37} of {i}"))}) for i in range(100))
+    assert sorted(r["id"] for r in K.search(df, "id", "text", path, "36 OF").select("id").distinct().collect()) == [36, 73]
