@@ -159,18 +159,27 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, fi
     big = sizes.where(F.col("n") > file_rows)
     if big.isEmpty():
         return pairs
-    inner, outer = max_bits // 2, max_bits - max_bits // 2
     hot = write_shared(filed(table.select("fp"), segments, max_bits).join(big, ["choice", "bits"], "left_semi")
                        .select("fp").distinct(), "fp-hot")
+    return pairs.unionByName(centre_links(hot, max_bits))
+
+
+def centre_links(hot: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges from every hot fingerprint to the centres within ``max_bits - max_bits // 2`` bits
+    of it: for each z, the least hot fingerprint within ``max_bits // 2`` bits of z."""
+    inner = max_bits // 2
 
     def around(bits: int) -> DataFrame:
         """Every fingerprint within ``bits`` bits of a hot one (a fixed number for each)."""
         return hot.select("fp", F.explode(F.lit(_flips(bits))).alias("flip")).select(
             F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), "fp")
 
-    centre = around(inner).groupBy("z").agg(F.min("fp").alias("c"))
-    far = around(outer)
-    return pairs.unionByName(far.join(centre, "z").where("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct())
+    # Spark takes both sides for as small as the hot fingerprints they are made from (an explode has its input's
+    # estimate), and would send one of them to the driver and all executors. The centres are written first, as a
+    # join that shares its partitioning with an aggregation cannot split a hot key
+    centre = write_shared(around(inner).groupBy("z").agg(F.min("fp").alias("c")), "fp-centres")
+    return (around(max_bits - inner).hint("merge").join(centre.hint("merge"), "z")
+            .where("fp <> c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS,

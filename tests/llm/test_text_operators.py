@@ -120,6 +120,25 @@ def test_simhash_links_planted_fingerprints(spark, file_rows):
     assert sorted(mine.values()) == sorted(Counter(c for _, _, c in want).values())
 
 
+def test_simhash_centres_are_not_broadcast(spark):
+    """What a hot fingerprint is exploded to is not sent to the driver, however small its table is taken to be."""
+    rnd = random.Random(7)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(5))) for _ in range(60)})
+    hot = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    edges = simhash.centre_links(hot)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {frozenset((r.a, r.b)) for r in edges.collect()}
+    assert all(((a ^ b) % (1 << 64)).bit_count() <= 3 for a, b in map(tuple, got))
+    root = {simhash._signed(f): simhash._signed(f) for f in fps}
+    for a, b in map(tuple, got):
+        x, y = root[a], root[b]
+        root = {k: y if v == x else v for k, v in root.items()}
+    want = Counter(c for _, _, c in _components([(i, f) for i, f in enumerate(fps)]))
+    assert sorted(Counter(root.values()).values()) == sorted(want.values())
+
+
 def test_simhash_keeps_one_row_of_each_group(spark):
     got = simhash.near_dedup(tricky(spark), carry=True).collect()
     assert len(got) == len(rows())
