@@ -177,3 +177,31 @@ def test_layouts_differ_beyond_one_task(spark):
     cuts = [[-1.0, 0.0, 1.0]] * 3
     parts = [H._packed(df, COLS, cuts, 10, F.xxhash64("id"), F.col("y"), F.lit(1.0), F.lit(-1), 0, 0, rows)[0].getNumPartitions() for rows in (0, 80, 50)]
     assert parts == [2, 3, 5]
+
+
+def test_a_fit_keeps_no_stored_rounds(spark, monkeypatch):
+    """Each stored state of a long fit goes when the next one is there, and the last one at the end."""
+    import pathlib
+
+    from panelkit.session import drop_stores, ensure_checkpoint_dir
+    df, _, _ = table(spark)
+    monkeypatch.setattr(H, "CHECKPOINT", 2)
+    monkeypatch.setattr(H, "cut_points", lambda *a: [[-0.5, 0.0, 0.5]] * 3)
+    dropped = []
+    monkeypatch.setattr(H, "drop_stores", lambda s, paths: (dropped.append(list(paths)), drop_stores(s, paths)))
+    root = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("*/rdd-*"))
+    H.fit_boosting(df, COLS, "y", 3, key=["id"], rounds=8, depth=2, rate=0.1, one_task_rows=0, block_rows=100)
+    assert set(root.glob("*/rdd-*")) <= before and sum(map(len, dropped)) >= 3
+
+
+def test_the_split_keeps_only_its_parts(spark):
+    import os
+
+    from panelkit.plans import models as M
+    from panelkit.session import recorded_stores
+    data = spark.createDataFrame([(i, 2000 + i % 3, float(i % 7), int(i % 4 == 0)) for i in range(200)], "entity_id long, yr int, a double, label int")
+    with recorded_stores() as made:
+        train, test = M.prepare_split(data, ["entity_id", "yr"])
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in made) == 2 < len(made)
+    assert train.count() + test.count() == 200
